@@ -27,7 +27,7 @@ def timeframe_hours(timeframe: Column) -> Column:
         hours = F.when(unit == name, F.lit(float(value))).otherwise(hours)
     return F.when(
         unit == "", F.raise_error(F.concat(F.lit("unsupported timeframe: "), timeframe)).cast("double")
-    ).otherwise(F.expr("1D") * F.nullif(count, F.lit("")).cast("double") * hours)
+    ).otherwise(count.try_cast("double") * hours)
 
 
 def parse_timeframe(timeframe: str) -> float:

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from barloom.functions.keys import epoch_micros, timeframe_hours
 from barloom.schemas import SERIES_KEYS
 
-BLOCK_ROWS = 16_384
-SUB_ROWS = 1_024  # sub-blocks bound the exponents of geometric scans
+BLOCK_ROWS = 262_144
+SUB_ROWS = 2_048  # sub-blocks bound the exponents of geometric scans
 
 
 def time_bucket(ts: str = "ts", timeframe: str = "timeframe", rows: int = BLOCK_ROWS) -> Column:

@@ -1,8 +1,6 @@
 """Scans over a blocked series: geometric recurrences, running sums, forward fill.
 
-All functions expect the columns ``_blk`` and ``_sub`` of ``layout.with_halo`` and
-no halo rows. They need no further shuffle of the bars: the carries travel in a
-table with one row per block.
+All functions expect the columns ``_blk`` and ``_sub`` of ``layout.with_halo``.
 """
 
 from __future__ import annotations
@@ -13,118 +11,98 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.operators.layout import (
-    BLOCK_ROWS,
-    SUB_ROWS,
-    block_window,
-    drop_halo,
-    sub_window,
-    with_halo,
-)
+from barloom.operators.layout import SUB_ROWS, block_window, sub_window
 from barloom.schemas import SERIES_KEYS
 
-SUBS_PER_BLOCK = BLOCK_ROWS // SUB_ROWS
-# exp(-745) is the smallest positive double: a longer memory adds exactly zero.
+# exp(-745) is the smallest positive double: an older term adds exactly zero.
 UNDERFLOW_EXPONENT = 745.0
 
 
-def scan(
+def memory_rows(*decays: float) -> int:
+    """Rows after which a chain of recurrences has forgotten its start.
+
+    ``d^rows`` is below the smallest double, so a block that starts this many rows
+    early gives the values of the unbounded recurrence. Rounded up to sub-blocks.
+    """
+    rows = sum(math.ceil(UNDERFLOW_EXPONENT / -math.log(decay)) for decay in decays)
+    return math.ceil(rows / SUB_ROWS) * SUB_ROWS
+
+
+def linear_recurrence(
     df: DataFrame,
-    recurrences: Mapping[str, tuple[Column, float]] | None = None,
-    sums: Mapping[str, Column] | None = None,
+    recurrences: Mapping[str, tuple[Column, float]],
     keys: Sequence[str] = SERIES_KEYS,
 ) -> DataFrame:
-    """Add ``y_t = d * y_{t-1} + e_t`` and running-sum columns.
+    """Add columns ``y_t = d * y_{t-1} + e_t`` for each ``name: (e, d)``, ``0 < d < 1``.
 
-    ``recurrences`` maps the new column to ``(e, d)`` with ``0 < d < 1``; ``sums``
-    maps it to the summed term. A recurrence starts from zero, so a seed is an
-    ``e`` of the seed value at its first row and zero before it.
+    A recurrence starts from zero, so a seed is an ``e`` of the seed value at its
+    first row and zero before it. ``df`` is blocked with at least
+    ``memory_rows(d)`` halo rows.
 
-    Inside a sub-block the recurrence is ``d^k * sum(e * d^-k)``. The carry into a
-    sub-block folds the ends of the preceding sub-blocks; since ``d^SUB_ROWS`` is
-    small this needs a bounded number of them before a term is below the smallest
-    double, so even the carry table is never ordered per series.
+    Inside a sub-block the recurrence is ``d^k * sum(e * d^-k)``, a plain growing
+    sum. The carry into a sub-block is read by fixed-offset lags from the ends of
+    the few preceding sub-blocks that are not yet below the smallest double. All
+    windows share one sort and no shuffle or join is added.
     """
     keys = list(keys)
-    recurrences = dict(recurrences or {})
-    sums = dict(sums or {})
+    names = list(recurrences)
     k = F.col("rn") - F.col("_sub") * SUB_ROWS
     sub, block = sub_window(keys), block_window(keys)
-    growing_sub = sub.rowsBetween(Window.unboundedPreceding, 0)
-    growing_block = block.rowsBetween(Window.unboundedPreceding, 0)
-
-    local = {}
+    growing = sub.rowsBetween(Window.unboundedPreceding, 0)
+    local, reach = [], {}
     for name, (term, decay) in recurrences.items():
-        if not 0.0 < decay < 1.0 or -math.log(decay) * SUB_ROWS > 600:
+        rate = -math.log(decay)
+        if not 0.0 < decay < 1.0 or rate * SUB_ROWS > 600:
             raise ValueError(f"{name}: decay {decay} does not fit sub-blocks of {SUB_ROWS} rows")
-        scaled = term * F.pow(F.lit(decay), -k)
-        local[f"_l_{name}"] = F.sum(scaled).over(growing_sub) * F.pow(F.lit(decay), k)
-    for name, term in sums.items():
-        local[f"_l_{name}"] = F.sum(term).over(growing_block)
-    out = df.withColumns(local)
-
-    carries = None
-    if recurrences:
-        carries = _recurrence_carries(out, recurrences, keys)
-    if sums:
-        totals = _sum_carries(out, sums, keys)
-        carries = totals if carries is None else carries.join(totals, [*keys, "_blk"])
-    out = out.join(carries, [*keys, "_blk"])
-
-    slot = (F.col("_sub") % SUBS_PER_BLOCK + 1).cast("int")
-    final = {}
-    for name, (_, decay) in recurrences.items():
-        carry = F.element_at(F.col(f"_c_{name}"), slot)
-        final[name] = F.col(f"_l_{name}") + carry * F.pow(F.lit(decay), k + 1)
-    for name in sums:
-        final[name] = F.col(f"_l_{name}") + F.col(f"_c_{name}")
-    scratch = [f"_{kind}_{name}" for kind in "lc" for name in (*recurrences, *sums)]
-    return out.withColumns(final).drop(*scratch)
-
-
-def _recurrence_carries(
-    df: DataFrame, recurrences: Mapping[str, tuple[Column, float]], keys: list[str]
-) -> DataFrame:
-    """One row per block with, per recurrence, the array of carries of its sub-blocks."""
-    ends = df.groupBy(*keys, "_blk", "_sub").agg(
-        *[F.max_by(f"_l_{name}", "rn").alias(name) for name in recurrences]
-    )
-    memory = {
-        name: min(SUB_ROWS, math.ceil(UNDERFLOW_EXPONENT / (-math.log(decay) * SUB_ROWS)) + 1)
-        for name, (_, decay) in recurrences.items()
+        base = F.lit(float(decay))
+        scaled = F.coalesce(term, F.lit(0.0)) * F.pow(base, -k)
+        local.append(F.sum(scaled).over(growing) * F.pow(base, k))
+        reach[name] = math.ceil(UNDERFLOW_EXPONENT / (rate * SUB_ROWS))
+    # One array of all recurrences: one lag per preceding sub-block serves them all.
+    out = df.withColumn("_local", F.array(*local))
+    ends = {
+        f"_end{back}": F.lag("_local", 1 + back * SUB_ROWS).over(block)
+        for back in range(max(reach.values()))
     }
-    # The sub-block table is itself a series, blocked over its own positions.
-    table = with_halo(
-        ends.withColumnRenamed("_blk", "_bar_blk").withColumn("_pos", F.col("_sub")),
-        back=max(memory.values()),
-        pos="_pos",
-        rows=SUB_ROWS,
-        sub_rows=SUB_ROWS,
-    )
-    order = Window.partitionBy(*keys, "_blk").orderBy("_sub", "_pos")
-    carried = {}
-    for name, (_, decay) in recurrences.items():
-        earlier = F.collect_list(name).over(order.rowsBetween(-memory[name], -1))
-        step = float(decay**SUB_ROWS)
-        carried[name] = F.aggregate(earlier, F.lit(0.0), lambda acc, end, step=step: acc * step + end)
-    table = drop_halo(table.withColumns(carried))
-    ordered = F.sort_array(F.collect_list(F.struct("_pos", *recurrences)))
-    return (
-        table.groupBy(*keys, F.col("_bar_blk").alias("_blk"))
-        .agg(ordered.alias("_all"))
-        .select(*keys, "_blk", *[F.col(f"_all.{name}").alias(f"_c_{name}") for name in recurrences])
-    )
+    out = out.withColumns(ends)
+    carries = []
+    for i, name in enumerate(names):
+        decay = recurrences[name][1]
+        terms = [F.col(f"_end{back}")[i] * float(decay ** (back * SUB_ROWS)) for back in range(reach[name])]
+        carry = F.lit(0.0)
+        for term in reversed(terms):
+            carry = carry + F.coalesce(term, F.lit(0.0))
+        carries.append(carry)
+    out = out.withColumn("_carry", F.first(F.when(k == 0, F.array(*carries))).over(growing))
+    final = {
+        name: F.col("_local")[i]
+        + F.coalesce(F.col("_carry")[i], F.lit(0.0)) * F.pow(F.lit(float(recurrences[name][1])), k + 1)
+        for i, name in enumerate(names)
+    }
+    return out.withColumns(final).drop("_local", "_carry", *ends)
 
 
-def _sum_carries(df: DataFrame, sums: Mapping[str, Column], keys: list[str]) -> DataFrame:
-    """One row per block with the sum of all earlier blocks of the series."""
-    totals = df.groupBy(*keys, "_blk").agg(*[F.max_by(f"_l_{name}", "rn").alias(name) for name in sums])
+def running_sum(
+    df: DataFrame, sums: Mapping[str, Column], keys: Sequence[str] = SERIES_KEYS
+) -> DataFrame:
+    """Add sums over the whole history of the series (no halo rows in ``df``).
+
+    In-block sums plus the total of the earlier blocks, which travels in a table
+    with one row per block.
+    """
+    keys = list(keys)
+    growing = block_window(keys).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumns({f"_l_{name}": F.sum(term).over(growing) for name, term in sums.items()})
+    totals = df.groupBy(*keys, "_blk").agg(*[F.sum(term).alias(name) for name, term in sums.items()])
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(
+    carries = totals.select(
         *keys,
         "_blk",
         *[F.coalesce(F.sum(name).over(before), F.lit(0.0)).alias(f"_c_{name}") for name in sums],
     )
+    final = {name: F.col(f"_l_{name}") + F.col(f"_c_{name}") for name in sums}
+    scratch = [f"_{kind}_{name}" for kind in "lc" for name in sums]
+    return out.join(carries, [*keys, "_blk"]).withColumns(final).drop(*scratch)
 
 
 def ema_term(x: Column, n: int, first: int, growing_mean: Column) -> tuple[Column, float]:
@@ -135,24 +113,20 @@ def ema_term(x: Column, n: int, first: int, growing_mean: Column) -> tuple[Colum
     """
     alpha = 2.0 / (n + 1)
     seed = first + n - 1
-    if seed >= SUB_ROWS:
-        raise ValueError("the seed must lie in the first sub-block")
     rn = F.col("rn")
-    term = F.when(rn < seed, 0.0).when(rn == seed, growing_mean).otherwise(x * alpha)
-    return F.coalesce(term, F.lit(0.0)), 1.0 - alpha
+    return F.when(rn < seed, 0.0).when(rn == seed, growing_mean).otherwise(x * alpha), 1.0 - alpha
 
 
 def rma_term(x: Column, n: int, first: int) -> tuple[Column, float]:
     """Wilder average of ``n`` seeded with the first value."""
     rn = F.col("rn")
-    term = F.when(rn < first, 0.0).when(rn == first, x).otherwise(x / n)
-    return F.coalesce(term, F.lit(0.0)), (n - 1) / n
+    return F.when(rn < first, 0.0).when(rn == first, x).otherwise(x / n), (n - 1) / n
 
 
 def forward_fill(
     df: DataFrame, column: str, keys: Sequence[str] = SERIES_KEYS, out: str | None = None
 ) -> DataFrame:
-    """Last non-null value of ``column`` at or before each row.
+    """Last non-null value of ``column`` at or before each row (no halo rows in ``df``).
 
     In-block fill plus the last value of the nearest earlier block that has one.
     """

@@ -1,0 +1,2 @@
+"""Registered queries: callables (spark, sf_dir) -> DataFrame."""
+from barloom.registry import fixtures as fx
