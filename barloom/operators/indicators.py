@@ -47,7 +47,7 @@ def technicals(df: DataFrame, wanted: Iterable[str] = ALL) -> DataFrame:
     """Add the wanted indicator columns to bars of any number of series.
 
     Columns not needed by ``wanted`` are not computed. The position columns
-    ``rn`` and ``n_bars`` stay, for the operators downstream.
+    ``rn``, ``n_bars`` and ``last_close`` stay, for the operators downstream.
     """
     wanted = tuple(wanted)
     need = set(wanted)
@@ -56,7 +56,7 @@ def technicals(df: DataFrame, wanted: Iterable[str] = ALL) -> DataFrame:
         raise ValueError(f"unknown indicators {sorted(unknown)}; known: {list(ALL)}")
     base = df.columns
     if "rn" not in base:
-        df = with_position(df)
+        df = with_position(df, last="close")
     out = with_halo(df, back=HALO_BACK)
     w = block_window()
 
@@ -102,7 +102,7 @@ def technicals(df: DataFrame, wanted: Iterable[str] = ALL) -> DataFrame:
         # The first bar has no predecessor and counts with its full volume.
         moved = F.coalesce(F.signum("_diff"), F.lit(1.0)) * F.col("volume")
         out = running_sum(out, {"obv": moved})
-    return drop_layout(out.select(*base, *[c for c in ("rn", "n_bars") if c not in base], *wanted, "_blk", "_sub"))
+    return drop_layout(out.select(*base, *[c for c in df.columns if c not in base], *wanted, "_blk", "_sub"))
 
 
 def _recurrent(out: DataFrame, need: set[str]) -> DataFrame:
