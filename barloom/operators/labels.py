@@ -18,6 +18,9 @@ from barloom.operators.layout import block_window, drop_halo, drop_layout, with_
 from barloom.schemas import SERIES_KEYS
 
 
+POSITION = ("rn", "n_bars", "last_close")
+
+
 @dataclass(frozen=True)
 class Barrier:
     """Look-ahead in bars and barrier distances in ATR multiples."""
@@ -51,9 +54,9 @@ def _positioned(bars: DataFrame) -> DataFrame:
 
 def barrier_labels(bars: DataFrame, barrier: Barrier = Barrier()) -> DataFrame:
     """Label every bar from the bars of its own timeframe (``i+1 .. i+swing``)."""
-    keep = [c for c in bars.columns if c not in ("rn", "n_bars", "last_close")]
+    keep = [c for c in bars.columns if c not in POSITION]
     labelled = label_grid(bars, [barrier])
-    return labelled.select(*keep, "rn", "n_bars", "target", "target_ret", "label_complete")
+    return labelled.select(*keep, *POSITION, "target", "target_ret", "label_complete")
 
 
 def label_grid(bars: DataFrame, barriers: Sequence[Barrier], payload: Sequence[str] | None = None) -> DataFrame:
@@ -67,31 +70,32 @@ def label_grid(bars: DataFrame, barriers: Sequence[Barrier], payload: Sequence[s
     out = with_halo(_positioned(bars), fwd=reach)
     ahead = {}
     for j in range(1, reach + 1):
-        ahead[f"_h{j}"] = F.lead("high", j).over(w)
-        ahead[f"_l{j}"] = F.lead("low", j).over(w)
+        ahead[f"_a{j}"] = F.lead(F.struct("high", "low"), j).over(w)
     for swing in sorted({b.swing for b in barriers}):
         ahead[f"_x{swing}"] = F.coalesce(F.lead("close", swing).over(w), F.col("last_close"))
     out = drop_halo(out.withColumns(ahead))
 
     settings = []
     for b in barriers:
-        tp, sl = _prices(b)
-        target = F.when(F.col("_l1") <= sl, -1).when(F.col("_h1") >= tp, 1)
-        for j in range(2, b.swing + 1):
-            target = target.when(F.col(f"_l{j}") <= sl, -1).when(F.col(f"_h{j}") >= tp, 1)
+        # SQL text: one parse instead of four driver calls per look-ahead bar.
+        tp, sl = f"close + atr_14 * {float(b.tp)!r}D", f"close - atr_14 * {float(b.sl)!r}D"
+        touches = " ".join(
+            f"WHEN _a{j}.low <= {sl} THEN -1 WHEN _a{j}.high >= {tp} THEN 1" for j in range(1, b.swing + 1)
+        )
+        target = F.expr(f"CASE {touches} ELSE 0 END")
         settings.append(
             F.struct(
                 F.lit(b.swing).alias("swing"),
                 F.lit(float(b.tp)).alias("tp"),
                 F.lit(float(b.sl)).alias("sl"),
-                target.otherwise(0).alias("target"),
+                target.alias("target"),
                 F.col(f"_x{b.swing}").alias("_exit"),
             )
         )
-    base = list(payload or [c for c in bars.columns if c not in ("rn", "n_bars", "last_close")])
+    base = list(payload or [c for c in bars.columns if c not in POSITION])
     needed = [c for c in ("close", "atr_14") if c not in base]
-    flat = out.select(*base, *needed, "rn", "n_bars", F.explode(F.array(*settings)).alias("_s")).select(
-        *base, *needed, "rn", "n_bars", "_s.*"
+    flat = out.select(*base, *needed, *POSITION, F.explode(F.array(*settings)).alias("_s")).select(
+        *base, *needed, *POSITION, "_s.*"
     )
     barrier = Barrier(F.col("swing"), F.col("tp"), F.col("sl"))
     return (
@@ -137,13 +141,12 @@ def barrier_labels_ltf(bars: DataFrame, lower: DataFrame, timeframe: str, barrie
         .groupBy("symbol", "_at")
         .agg(F.min_by(F.when(F.col("_lo") <= F.col("_sl"), -1).otherwise(1), "_lt").alias("_first"))
     )
-    keep = [c for c in bars.columns if c not in ("rn", "n_bars", "last_close")]
+    keep = [c for c in bars.columns if c not in POSITION]
     labelled = out.withColumn("_at", at).join(hits, ["symbol", "_at"], "left")
     target = F.coalesce("_first", F.lit(0))
     return labelled.withColumn("target", target).select(
         *keep,
-        "rn",
-        "n_bars",
+        *POSITION,
         "target",
         _exit_return(F.col("target"), barrier, F.col("_exit")).alias("target_ret"),
         (F.col("rn") + barrier.swing < F.col("n_bars")).alias("label_complete"),

@@ -46,7 +46,6 @@ def linear_recurrence(
     """
     keys = list(keys)
     names = list(recurrences)
-    k = F.col("rn") - F.col("_sub") * SUB_ROWS
     sub, block = sub_window(keys), block_window(keys)
     growing = sub.rowsBetween(Window.unboundedPreceding, 0)
     local, reach = [], {}
@@ -54,9 +53,9 @@ def linear_recurrence(
         rate = -math.log(decay)
         if not 0.0 < decay < 1.0 or rate * SUB_ROWS > 600:
             raise ValueError(f"{name}: decay {decay} does not fit sub-blocks of {SUB_ROWS} rows")
-        base = F.lit(float(decay))
-        scaled = F.coalesce(term, F.lit(0.0)) * F.pow(base, -k)
-        local.append(F.sum(scaled).over(growing) * F.pow(base, k))
+        up = F.expr(f"pow({float(decay)!r}D, _sub * {SUB_ROWS} - rn)")
+        down = F.expr(f"pow({float(decay)!r}D, rn - _sub * {SUB_ROWS})")
+        local.append(F.sum(F.coalesce(term, F.lit(0.0)) * up).over(growing) * down)
         reach[name] = math.ceil(UNDERFLOW_EXPONENT / (rate * SUB_ROWS))
     # One array of all recurrences: one lag per preceding sub-block serves them all.
     out = df.withColumn("_local", F.array(*local))
@@ -65,18 +64,18 @@ def linear_recurrence(
         for back in range(max(reach.values()))
     }
     out = out.withColumns(ends)
+    # Expressions as SQL text: one parse instead of a driver call per term.
     carries = []
     for i, name in enumerate(names):
         decay = recurrences[name][1]
-        terms = [F.col(f"_end{back}")[i] * float(decay ** (back * SUB_ROWS)) for back in range(reach[name])]
-        carry = F.lit(0.0)
-        for term in reversed(terms):
-            carry = carry + F.coalesce(term, F.lit(0.0))
-        carries.append(carry)
-    out = out.withColumn("_carry", F.first(F.when(k == 0, F.array(*carries))).over(growing))
+        terms = [f"coalesce(_end{back}[{i}] * {float(decay ** (back * SUB_ROWS))!r}D, 0D)" for back in range(reach[name])]
+        carries.append(" + ".join(reversed(terms)))
+    entry = F.expr(f"CASE WHEN rn = _sub * {SUB_ROWS} THEN array({', '.join(carries)}) END")
+    out = out.withColumn("_carry", F.first(entry).over(growing))
     final = {
-        name: F.col("_local")[i]
-        + F.coalesce(F.col("_carry")[i], F.lit(0.0)) * F.pow(F.lit(float(recurrences[name][1])), k + 1)
+        name: F.expr(
+            f"_local[{i}] + coalesce(_carry[{i}], 0D) * pow({float(recurrences[name][1])!r}D, rn - _sub * {SUB_ROWS} + 1)"
+        )
         for i, name in enumerate(names)
     }
     return out.withColumns(final).drop("_local", "_carry", *ends)

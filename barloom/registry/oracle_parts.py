@@ -156,11 +156,11 @@ def picks(cand: str, keys: list[str], swing: int, name: str = "r_pick") -> dict:
     on = " AND ".join(f"c.{x} = d.{x}" for x in keys)
     onr = " AND ".join(f"r.{x} = n.{x}" for x in keys)
     return {
-        f"{name}_next": f"""SELECT {', '.join('c.' + x for x in keys)}, c.pos, d.pos AS next_pos
-         FROM {cand} c ASOF JOIN {cand} d ON {on} AND c.pos + {swing} <= d.pos""".replace("ASOF JOIN", "ASOF JOIN"),
+        f"nx_{name}": f"""SELECT {', '.join('c.' + x for x in keys)}, c.pos, d.pos AS next_pos
+         FROM {cand} c ASOF JOIN {cand} d ON {on} AND c.pos + {swing} <= d.pos""",
         name: f"""SELECT {k}, min(pos) AS pos FROM {cand} GROUP BY {k}
          UNION ALL SELECT {', '.join('n.' + x for x in keys)}, n.next_pos
-         FROM {name} r JOIN {name}_next n ON {onr} AND r.pos = n.pos""",
+         FROM {name} r JOIN nx_{name} n ON {onr} AND r.pos = n.pos""",
     }
 
 
