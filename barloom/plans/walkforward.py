@@ -21,6 +21,7 @@ from barloom.operators.splits import VAL_TRADES_FLOOR
 from barloom.operators.trades import cooldown_select, naive_trades, threshold_search, trade_return, with_exit_close
 from barloom.plans.config import ExperimentConfig
 from barloom.schemas import SERIES_KEYS
+from barloom.session import cut_lineage
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -37,11 +38,14 @@ class WalkForward:
 
 
 def prepare(bars: DataFrame, config: ExperimentConfig) -> tuple[DataFrame, DataFrame]:
-    """Bars with look-ahead exits, and the fold bounds of every series."""
-    ready = with_exit_close(bars, config.swing_period, SERIES_KEYS)
-    windows = fold_windows(bars, config.window_months, config.step_months)
-    bounds = fold_bounds(bars, windows, config.swing_period, config.embargo_days, config.embargo_bars)
-    return ready, bounds
+    """Bars with look-ahead exits, and the fold bounds of every series.
+
+    Both are written once: every fold, run and formulation reads them again.
+    """
+    ready = cut_lineage(with_exit_close(bars, config.swing_period, SERIES_KEYS))
+    windows = fold_windows(ready, config.window_months, config.step_months)
+    bounds = fold_bounds(ready, windows, config.swing_period, config.embargo_days, config.embargo_bars)
+    return ready, cut_lineage(bounds)
 
 
 def longest_window(config: ExperimentConfig, timeframes: Sequence[str]) -> int:
@@ -80,15 +84,17 @@ def evaluate(
             found = one if found is None else found.unionByName(one)
     else:
         found = threshold_search(val, run, swing, thresholds, VAL_TRADES_FLOOR)
-    chosen = found.select(*run, "threshold")
+    chosen = cut_lineage(found.select(*run, "threshold"))
 
     limit = longest_window(config, timeframes) if timeframes else None
     used = chosen.filter("threshold IS NOT NULL")
     oos = scored.filter("part = 'oos'").join(used, run)
     model = cooldown_select(oos.filter("score >= threshold"), run, swing, ["ts", "ret"], max_rows=limit)
     naive = naive_trades(oos, swing)
-    trades = model.select(*run, F.lit("model").alias("side"), "pos", "ts", "ret").unionByName(
-        naive.select(*run, F.lit("naive").alias("side"), "pos", "ts", "ret")
+    trades = cut_lineage(
+        model.select(*run, F.lit("model").alias("side"), "pos", "ts", "ret").unionByName(
+            naive.select(*run, F.lit("naive").alias("side"), "pos", "ts", "ret")
+        )
     )
 
     windows = _window_table(bounds, chosen, trades, keys)

@@ -23,6 +23,7 @@ from barloom.registry.core import query
 from barloom.registry.features_q import rounded, rounded_sql
 from barloom.registry.labels_q import atr_bars
 from barloom.registry.oracle_parts import dbl, with_sql
+from barloom.session import cut_lineage
 
 SWING = 10
 COST = tr.round_trip_cost(0.001, 0.0005)
@@ -36,7 +37,8 @@ def evaluated(spark, sf, tf="1h"):
     # Warm-up rows are a prefix, so positions only shift.
     shifted = clean.withColumn("pos", F.col("rn") - 13)
     out = tr.with_exit_close(shifted, SWING, KEYS, "pos").withColumn("exit_close", F.coalesce("close_ahead", "last_close"))
-    return out.withColumn("score", fx.md5_score(F.col("symbol"), F.col("timeframe"), F.col("pos")))
+    scored = out.withColumn("score", fx.md5_score(F.col("symbol"), F.col("timeframe"), F.col("pos")))
+    return cut_lineage(scored)
 
 
 def evaluated_sql(tf="1h"):
@@ -267,7 +269,7 @@ def walkforward_folds(spark, sf):
     CASE WHEN skipped IS NULL THEN ntr + 10 ELSE -1 END AS val_lo, CASE WHEN skipped IS NULL THEN ntr + 10 + nv ELSE -1 END AS val_hi,
     oos_lo, oos_hi, skipped AS skipped_reason FROM bnd""", recursive=True))
 def fold_bounds_q(spark, sf):
-    bars = wf_bars(spark, sf)
+    bars = cut_lineage(wf_bars(spark, sf))
     out = fold_bounds(bars, fold_windows(bars, 6, 6), SWING)
     return out.select("symbol", F.col("fold").cast("long").alias("fold"), "n_prior",
                       *[F.when(F.col("skipped_reason").isNull(), F.col(c)).otherwise(-1).cast("long").alias(c) for c in ("n_train", "val_lo", "val_hi")],
