@@ -84,15 +84,17 @@ def rigor_check(runs: DataFrame, keys: Sequence[str] = ("symbol", "timeframe"),
 
 
 def asset_verdict(runs: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Reject without a pass, conditional for passes in one timeframe only, else approve."""
-    n_pass = F.count_if("passes_gate")
-    timeframes = F.count_distinct(F.when(F.col("passes_gate"), F.col("timeframe")))
-    sums = runs.groupBy(*list(keys)).agg(F.count(F.lit(1)).alias("n_runs"), n_pass.alias("n_pass"), timeframes.alias("_tf"))
-    verdict = (
-        F.when(F.col("n_pass") == 0, "reject")
-        .when((F.col("n_pass") <= 2) & (F.col("_tf") == 1), "conditional")
-        .otherwise("approve")
+    """Reject without a pass; conditional for one or two passes that share a timeframe
+    or a formulation; else approve."""
+    passed = F.col("passes_gate")
+    sums = runs.groupBy(*list(keys)).agg(
+        F.count(F.lit(1)).alias("n_runs"),
+        F.count_if(passed).alias("n_pass"),
+        F.count_distinct(F.when(passed, F.col("timeframe"))).alias("_tf"),
+        F.count_distinct(F.when(passed, F.col("formulation"))).alias("_form"),
     )
+    narrow = (F.col("n_pass") <= 2) & ((F.col("_tf") == 1) | (F.col("_form") == 1))
+    verdict = F.when(F.col("n_pass") == 0, "reject").when(narrow, "conditional").otherwise("approve")
     return sums.select(*list(keys), "n_runs", "n_pass", verdict.alias("verdict"))
 
 
