@@ -145,7 +145,8 @@ def _window_table(bounds: DataFrame, chosen: DataFrame, trades: DataFrame, keys:
         *[F.when(skipped, zero).otherwise(F.col(c)).alias(c) for c in ("cum_ret", "vol", "threshold")],
         F.when(skipped, zero).otherwise(pf["model"]).alias("model_pf"),
         F.when(skipped, zero).otherwise(pf["naive"]).alias("naive_pf"),
-        F.when(skipped, zero).otherwise(pf["model"] - pf["naive"]).alias("delta"),
+        # Equal trades may be summed in another order: differences below 1e-12 are none.
+        F.when(skipped, zero).otherwise(F.round(pf["model"] - pf["naive"], 12)).alias("delta"),
         *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("model_trade_count", "naive_trade_count")],
         "skipped_reason",
         *[F.coalesce(c, zero).alias(c) for c in ("_model_gain", "_model_loss")],

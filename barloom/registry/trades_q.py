@@ -148,14 +148,19 @@ PRODUCTION_GRID = tr.threshold_grid(*tr.BINARY_GRID, inclusive=False)
 WALK_GRID = tr.threshold_grid(*tr.BINARY_GRID)
 
 
-def _search_ctes(source, keys, grid, floor, ret):
+def _search_ctes(source, keys, grid, floor, ret, swing=SWING):
     k = ", ".join(keys)
-    values = ", ".join(f"({dbl(t)})" for t in grid)
+    if isinstance(grid, dict):
+        values = ", ".join(f"('{name}', {dbl(t)})" for name, ts in grid.items() for t in ts)
+        head, match = "g(grid_name, threshold)", "score >= threshold AND formulation = grid_name"
+    else:
+        values = ", ".join(f"({dbl(t)})" for t in grid)
+        head, match = "g(threshold)", "score >= threshold"
     on = " AND ".join(f"p.{x} = c.{x}" for x in [*keys, "threshold"])
     return {
-        "grid": f"SELECT * FROM (VALUES {values}) g(threshold)",
-        "sc": f"SELECT {k}, pos, {ret} AS ret, threshold FROM {source} JOIN grid ON score >= threshold",
-        **op.picks("sc", [*keys, "threshold"], SWING, "r_sp"),
+        "grid": f"SELECT * FROM (VALUES {values}) {head}",
+        "sc": f"SELECT {k}, pos, {ret} AS ret, threshold FROM {source} JOIN grid ON {match}",
+        **op.picks("sc", [*keys, "threshold"], swing, "r_sp"),
         "nets": f"""SELECT {', '.join('c.' + x for x in keys)}, c.threshold, sum(c.ret) AS net, count(*) AS n_trades
           FROM sc c JOIN r_sp p ON {on} AND p.pos = c.pos GROUP BY ALL""",
         "runs": f"SELECT {k}, count(*) AS n_rows FROM {source} GROUP BY ALL",
@@ -208,47 +213,66 @@ WF_CTES = {
       FROM rg g JOIN c ON c.symbol = g.symbol AND c.rn >= g.lo AND c.rn < g.hi
       JOIN c x ON x.symbol = c.symbol AND x.rn = least(c.rn + 10, g.hi - 1)""",
     "sr": f"SELECT *, {op.ternary()} AS ret FROM sl",
-    "vs": "SELECT * FROM sr WHERE part = 'val'",
-    **_search_ctes("vs", ["symbol", "fold"], WALK_GRID, "8", "ret"),
-    "oos": "SELECT s.*, b.threshold FROM sr s JOIN best b ON b.symbol = s.symbol AND b.fold = s.fold WHERE part = 'oos'",
-    "oc": "SELECT * FROM oos WHERE score >= threshold",
-    **op.picks("oc", ["symbol", "fold"], SWING, "r_op"),
-    "tr": """SELECT c.symbol, c.fold, 'model' AS side, c.pos, c.ts, c.ret FROM oc c JOIN r_op p ON p.symbol = c.symbol AND p.fold = c.fold AND p.pos = c.pos
-      UNION ALL SELECT symbol, fold, 'naive', pos, ts, ret FROM oos WHERE pos % 10 = 0""",
-    "ws": """SELECT symbol, fold, coalesce(sum(ret) FILTER (side = 'model'), 0) AS cum_ret, coalesce(stddev_pop(ret) FILTER (side = 'model'), 0) AS vol,
-      coalesce(sum(ret) FILTER (side = 'model' AND ret > 0), 0) AS mg, coalesce(sum(-ret) FILTER (side = 'model' AND ret < 0), 0) AS ml,
-      coalesce(sum(ret) FILTER (side = 'naive' AND ret > 0), 0) AS ng, coalesce(sum(-ret) FILTER (side = 'naive' AND ret < 0), 0) AS nl,
-      count(*) FILTER (side = 'model') AS mn, count(*) FILTER (side = 'naive') AS nn FROM tr GROUP BY ALL""",
-    "win": f"""SELECT b.symbol, b.fold, b.start, b."end",
-      coalesce(b.skipped, CASE WHEN t.threshold IS NULL THEN 'threshold_failed' END) AS skipped_reason,
-      coalesce(cum_ret, 0) AS cum_ret, coalesce(vol, 0) AS vol, coalesce(t.threshold, 0) AS threshold,
-      CASE WHEN t.threshold IS NULL THEN 0 ELSE {op.pf('mg', 'ml', 'mn')} END AS model_pf,
-      CASE WHEN t.threshold IS NULL THEN 0 ELSE {op.pf('ng', 'nl', 'nn')} END AS naive_pf,
-      coalesce(mn, 0) AS model_trade_count, coalesce(nn, 0) AS naive_trade_count, coalesce(mg, 0) AS mg, coalesce(ml, 0) AS ml
-      FROM bnd b LEFT JOIN best t ON t.symbol = b.symbol AND t.fold = b.fold LEFT JOIN ws w ON w.symbol = b.symbol AND w.fold = b.fold""",
-    "us": """SELECT symbol, fold, start, "end", (row_number() OVER (PARTITION BY symbol ORDER BY fold) - 1) * 8 AS block0 FROM win WHERE skipped_reason IS NULL""",
-    "bk": """SELECT u.symbol, u.block0 + floor((epoch_us(t.ts) - epoch_us(u.start)) * 8 / (epoch_us(u."end") - epoch_us(u.start)))::BIGINT AS block,
-      coalesce(sum(ret) FILTER (side = 'model' AND ret > 0), 0) AS mg, coalesce(sum(-ret) FILTER (side = 'model' AND ret < 0), 0) AS ml,
-      count(*) FILTER (side = 'model') AS mn, coalesce(sum(ret) FILTER (side = 'naive' AND ret > 0), 0) AS ng,
-      coalesce(sum(-ret) FILTER (side = 'naive' AND ret < 0), 0) AS nl, count(*) FILTER (side = 'naive') AS nn
-      FROM us u JOIN tr t ON t.symbol = u.symbol AND t.fold = u.fold GROUP BY ALL""",
-    "kk": "SELECT symbol, max(block0) + 8 AS k FROM us GROUP BY symbol",
-    "dr": """SELECT symbol, i.iteration, CAST('0x' || substr(md5('42|' || i.iteration || '|' || j.draw), 1, 8) AS BIGINT) % k AS block
-      FROM kk, range(1000) i(iteration), range(2000) j(draw) WHERE j.draw < k""",
-    "dl": f"""SELECT d.symbol, d.iteration, {op.pf('sum(mg)', 'sum(ml)', 'sum(mn)')} - {op.pf('sum(ng)', 'sum(nl)', 'sum(nn)')} AS delta
-      FROM dr d LEFT JOIN bk USING (symbol, block) GROUP BY ALL""",
-    "ct": """SELECT symbol, count(*) FILTER (delta IS NULL) AS n_null, quantile_cont(delta, 0.05) AS p5, quantile_cont(delta, 0.5) AS p50,
-      quantile_cont(delta, 0.95) AS p95 FROM dl GROUP BY symbol""",
-    "rn_": f"""SELECT symbol, count(*) AS total_windows, count(*) FILTER (skipped_reason IS NULL) AS windows_used,
-      count(*) FILTER (skipped_reason IS NULL AND model_pf > 1) AS windows_pf_gt_1,
-      count(*) FILTER (skipped_reason IS NULL AND model_pf - naive_pf > 0) AS windows_delta_gt_0,
-      count(*) FILTER (skipped_reason IS NOT NULL) AS windows_skipped, sum(model_trade_count)::BIGINT AS pooled_trades,
-      {op.pf('sum(mg)', 'sum(ml)', 'sum(model_trade_count)')} AS oos_pf_point FROM win GROUP BY symbol""",
-    "run": """SELECT r.*, CASE WHEN n_null = 0 THEN p5 END AS p5, CASE WHEN n_null = 0 THEN p50 END AS p50, CASE WHEN n_null = 0 THEN p95 END AS p95,
-      coalesce(pooled_trades >= 300 AND n_null = 0 AND p5 > 0, false) AS passes_gate FROM rn_ r LEFT JOIN ct USING (symbol)""",
 }
 
 
+def run_ctes(extra=(), grid=WALK_GRID, seed="42"):
+    """Threshold, trades, windows, bootstrap and gate for runs (symbol, *extra) over slices ``sr``."""
+    keys = ["symbol", *extra]
+    k, kf = ", ".join(keys), ", ".join([*keys, "fold"])
+    return {
+        "vs": "SELECT * FROM sr WHERE part = 'val'",
+        **_search_ctes("vs", [*keys, "fold"], grid, "8", "ret"),
+        "oos": f"SELECT s.*, b.threshold FROM sr s JOIN best b USING ({kf}) WHERE part = 'oos'",
+        "oc": "SELECT * FROM oos WHERE score >= threshold",
+        **op.picks("oc", [*keys, "fold"], SWING, "r_op"),
+        "tr": f"""SELECT {kf}, 'model' AS side, pos, c.ts, c.ret FROM oc c JOIN r_op p USING ({kf}, pos)
+          UNION ALL SELECT {kf}, 'naive', pos, ts, ret FROM oos WHERE pos % 10 = 0""",
+        "ws": f"""SELECT {kf}, coalesce(sum(ret) FILTER (side = 'model'), 0) AS cum_ret, coalesce(stddev_pop(ret) FILTER (side = 'model'), 0) AS vol,
+          coalesce(sum(ret) FILTER (side = 'model' AND ret > 0), 0) AS mg, coalesce(sum(-ret) FILTER (side = 'model' AND ret < 0), 0) AS ml,
+          coalesce(sum(ret) FILTER (side = 'naive' AND ret > 0), 0) AS ng, coalesce(sum(-ret) FILTER (side = 'naive' AND ret < 0), 0) AS nl,
+          count(*) FILTER (side = 'model') AS mn, count(*) FILTER (side = 'naive') AS nn FROM tr GROUP BY ALL""",
+        "rk": f"SELECT DISTINCT {k} FROM vs" if extra else "SELECT DISTINCT symbol FROM bnd",
+        "win": f"""SELECT {kf}, start, "end", coalesce(b.skipped, CASE WHEN t.threshold IS NULL THEN 'threshold_failed' END) AS skipped_reason,
+          coalesce(cum_ret, 0) AS cum_ret, coalesce(vol, 0) AS vol, coalesce(t.threshold, 0) AS threshold,
+          CASE WHEN t.threshold IS NULL THEN 0 ELSE {op.pf('mg', 'ml', 'mn')} END AS model_pf,
+          CASE WHEN t.threshold IS NULL THEN 0 ELSE {op.pf('ng', 'nl', 'nn')} END AS naive_pf,
+          coalesce(mn, 0) AS model_trade_count, coalesce(nn, 0) AS naive_trade_count, coalesce(mg, 0) AS mg, coalesce(ml, 0) AS ml
+          FROM bnd b JOIN rk USING (symbol) LEFT JOIN best t USING ({kf}) LEFT JOIN ws w USING ({kf})""",
+        "us": f"""SELECT {kf}, start, "end", (row_number() OVER (PARTITION BY {k} ORDER BY fold) - 1) * 8 AS block0 FROM win WHERE skipped_reason IS NULL""",
+        "bk": f"""SELECT {k}, u.block0 + floor((epoch_us(t.ts) - epoch_us(u.start)) * 8 / (epoch_us(u."end") - epoch_us(u.start)))::BIGINT AS block,
+          coalesce(sum(ret) FILTER (side = 'model' AND ret > 0), 0) AS mg, coalesce(sum(-ret) FILTER (side = 'model' AND ret < 0), 0) AS ml,
+          count(*) FILTER (side = 'model') AS mn, coalesce(sum(ret) FILTER (side = 'naive' AND ret > 0), 0) AS ng,
+          coalesce(sum(-ret) FILTER (side = 'naive' AND ret < 0), 0) AS nl, count(*) FILTER (side = 'naive') AS nn
+          FROM us u JOIN tr t USING ({kf}) GROUP BY ALL""",
+        **draw_ctes(k, seed),
+        "rn_": f"""SELECT {k}, count(*) AS total_windows, count(*) FILTER (skipped_reason IS NULL) AS windows_used,
+          count(*) FILTER (skipped_reason IS NULL AND model_pf > 1) AS windows_pf_gt_1,
+          count(*) FILTER (skipped_reason IS NULL AND round(model_pf - naive_pf, 12) > 0) AS windows_delta_gt_0,
+          count(*) FILTER (skipped_reason IS NOT NULL) AS windows_skipped, sum(model_trade_count)::BIGINT AS pooled_trades,
+          {op.pf('sum(mg)', 'sum(ml)', 'sum(model_trade_count)')} AS oos_pf_point FROM win GROUP BY {k}""",
+        "run": f"""SELECT r.*, CASE WHEN n_null = 0 THEN p5 END AS p5, CASE WHEN n_null = 0 THEN p50 END AS p50, CASE WHEN n_null = 0 THEN p95 END AS p95,
+          coalesce(pooled_trades >= 300 AND n_null = 0 AND p5 > 0, false) AS passes_gate FROM rn_ r LEFT JOIN ct USING ({k})""",
+    }
+
+
+def draw_ctes(k="symbol", seed="42"):
+    """Paired block draws over ``us`` and ``bk``."""
+    return {
+        "kk": f"SELECT {k}, max(block0) + 8 AS k FROM us GROUP BY {k}",
+        "dr": f"""SELECT {k}, i.iteration, CAST('0x' || substr(md5({seed} || '|' || i.iteration || '|' || j.draw), 1, 8) AS BIGINT) % k AS block
+          FROM kk, range(1000) i(iteration), range(2000) j(draw) WHERE j.draw < k""",
+        "dl": f"""SELECT {k}, d.iteration, {op.pf('sum(mg)', 'sum(ml)', 'sum(mn)')} - {op.pf('sum(ng)', 'sum(nl)', 'sum(nn)')} AS delta
+          FROM dr d LEFT JOIN bk USING ({k}, block) GROUP BY ALL""",
+        "ct": f"""SELECT {k}, count(*) FILTER (delta IS NULL) AS n_null, quantile_cont(delta, 0.05) AS p5, quantile_cont(delta, 0.5) AS p50,
+          quantile_cont(delta, 0.95) AS p95 FROM dl GROUP BY {k}""",
+    }
+
+
+BASE_CTES = WF_CTES
+WF_CTES = {**BASE_CTES, **run_ctes()}
+
+
 def _upto(name):
     """The walk-forward CTEs up to and including ``name``."""
     out = {}
@@ -326,8 +350,9 @@ def boot_trades(spark, sf):
     {**_BOOT_CTES,
      "us": """SELECT symbol, i AS fold, TIMESTAMP '2024-01-01' + to_days((i * 10)::INT) AS start, TIMESTAMP '2024-01-01' + to_days((i * 10 + 10)::INT) AS "end", i * 8 AS block0
        FROM (SELECT DISTINCT symbol FROM tt), range(3) g(i)""",
-     "bk": WF_CTES["bk"].replace("t.fold = u.fold", 't.ts >= u.start AND t.ts < u."end"').replace("JOIN tr t", "JOIN tt t"),
-     "kk": WF_CTES["kk"], "dr": WF_CTES["dr"], "dl": WF_CTES["dl"], "ct": WF_CTES["ct"]},
+     "bk": WF_CTES["bk"].replace("JOIN tr t USING (symbol, fold)", """JOIN tt t ON t.symbol = u.symbol AND t.ts >= u.start AND t.ts < u."end" """)
+       .replace("SELECT symbol,", "SELECT u.symbol,"),
+     **draw_ctes()},
     f"SELECT symbol, n_null AS n_null_iters, {op.r6('p5')} AS p5, {op.r6('p50')} AS p50, {op.r6('p95')} AS p95 FROM ct", recursive=True))
 def paired_block_bootstrap(spark, sf):
     trades = boot_trades(spark, sf)
