@@ -120,15 +120,23 @@ def asof_daily(
         F.date_add(day, availability_lag.days).alias("_day"),
         F.struct(*values).alias("_known"),
     )
-    # A value holds until the day before the next one of its key, the last one
-    # until the last day of the left side.
+    # A value holds until the day before the next one of its key.
     order = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_day")
-    horizon = left.agg(F.max(day)).scalar()
-    until = F.coalesce(F.date_sub(F.lead("_day").over(order), 1), F.greatest(horizon, F.col("_day")))
+    until = F.date_sub(F.lead("_day").over(order), 1)
+    keyed = left.withColumn("_day", day)
+    if by:
+        # The last value of a key holds until the last day of the left side.
+        until = F.coalesce(until, F.greatest(left.agg(F.max(day)).scalar(), F.col("_day")))
+        known = F.col("_known")
+    else:
+        # Later rows read the last value directly: one row, no pass over the left side.
+        newest = daily.agg(F.max_by(F.struct("_day", "_known"), "_day")).scalar()
+        until = F.coalesce(until, F.col("_day"))
+        known = F.coalesce("_known", F.when(F.col("_day") > newest["_day"], newest["_known"]))
     spans = daily.withColumn("_until", until)
     calendar = spans.select(*by, F.explode(F.sequence("_day", "_until")).alias("_day"), "_known")
     return (
-        left.withColumn("_day", day)
-        .join(calendar if by else F.broadcast(calendar), [*by, "_day"], "left")
+        keyed.join(calendar if by else F.broadcast(calendar), [*by, "_day"], "left")
+        .withColumn("_known", known)
         .select(*left.columns, *[F.col(f"_known.{v}").alias(v) for v in values])
     )

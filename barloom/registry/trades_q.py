@@ -82,8 +82,8 @@ def _model_sql(thr=0.6):
     }
 
 
-def model_trades(spark, sf, ret="ret_net", thr=0.6):
-    rows = priced(spark, sf)
+def model_trades(spark, sf, ret="ret_net", thr=0.6, rows=None):
+    rows = priced(spark, sf) if rows is None else rows
     gain, loss = tr.gain_and_loss(F.col(ret), F.col("target"))
     rows = rows.withColumns({"gain": gain, "loss": loss})
     return tr.cooldown_select(rows.filter(F.col("score") >= thr), KEYS, SWING, ["ts", "target", ret, "gain", "loss"])
@@ -341,9 +341,10 @@ _BOOT_CTES = {
 
 
 def boot_trades(spark, sf):
-    model = model_trades(spark, sf, thr=0.5).select(*KEYS, F.lit("model").alias("side"), "ts", F.col("ret_net").alias("ret"), "pos")
-    naive = tr.naive_trades(priced(spark, sf), SWING).select(*KEYS, F.lit("naive").alias("side"), "ts", F.col("ret_net").alias("ret"), "pos")
-    return model.unionByName(naive)
+    rows = priced(spark, sf)
+    model = model_trades(spark, sf, thr=0.5, rows=rows).select(*KEYS, F.lit("model").alias("side"), "ts", F.col("ret_net").alias("ret"), "pos")
+    naive = tr.naive_trades(rows, SWING).select(*KEYS, F.lit("naive").alias("side"), "ts", F.col("ret_net").alias("ret"), "pos")
+    return cut_lineage(model.unionByName(naive))
 
 
 @query("paired_block_bootstrap", with_sql(
