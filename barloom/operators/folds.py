@@ -133,7 +133,7 @@ def fold_slices(
         "_slot", F.explode(F.sequence(F.expr(f"lo div {JOIN_ROWS}"), F.expr(f"(hi - 1) div {JOIN_ROWS}")))
     )
     exit_close = F.when(F.col("rn") + swing < F.col("hi"), F.col("close_ahead")).otherwise(F.col("_last_close"))
-    carried = [c for c in columns if c != "close_ahead"]
+    carried = [c for c in dict.fromkeys(columns) if c != "close_ahead"]
     return (
         bars.withColumn("_slot", F.expr(f"rn div {JOIN_ROWS}"))
         .join(slotted, [*keys, "_slot"])

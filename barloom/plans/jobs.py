@@ -13,7 +13,7 @@ from barloom.operators.bootstrap import delta_percentiles, iid_bootstrap
 from barloom.operators.labels import Barrier, label_grid
 from barloom.operators.layout import with_position
 from barloom.operators.sizing import barrier_prices
-from barloom.operators.splits import temporal_split
+from barloom.operators.splits import bars_per_trade, min_val_trades, temporal_split
 from barloom.plans.diagnostics import regime_stats
 from barloom.plans.walkforward import Scorer
 from barloom.schemas import SERIES_KEYS
@@ -32,10 +32,15 @@ def run_metrics(scored: DataFrame, keys: Sequence[str], swing: int, threshold: C
     return mx.trade_metrics(picked, keys, ret=ret)
 
 
-def split_positions(labelled: DataFrame, swing: int, embargo: int, split_swing: int | None = None) -> DataFrame:
-    """Held-out bars with their split, position in it, and exit close inside it."""
+def split_positions(
+    labelled: DataFrame, swing: int, embargo: int, split_swing: int | None = None, extra: Sequence[str] = ()
+) -> DataFrame:
+    """Bars with their split, position in it, and exit close inside it.
+
+    ``extra`` are key columns beyond the series, such as the barrier settings.
+    """
     split = temporal_split(labelled, swing, embargo, split_swing).filter("split IS NOT NULL")
-    keys = [*SERIES_KEYS, "split"]
+    keys = [*SERIES_KEYS, *extra, "split"]
     placed = with_position(split.drop("rn", "n_bars", "last_close"), keys, name="pos", last="close")
     ahead = tr.with_exit_close(placed, swing, keys, "pos")
     return ahead.withColumn("exit_close", F.coalesce("close_ahead", "last_close")).drop("close_ahead")
@@ -167,16 +172,78 @@ def regimes(
     return out.withColumn("status", F.when(failed, "threshold_failed").otherwise(F.col("status")))
 
 
-def rank_configs(results: DataFrame, keys: Sequence[str], min_trades: Column | int) -> DataFrame:
-    """Winner per key by production score; configurations below the fitness sentinel are out.
+def optimize(
+    bars: DataFrame, scorer: Scorer, barriers: Sequence[Barrier], cost: float = 0.0, run_keys: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """Grid search per series: all configurations on validation, the winner also on test.
 
-    ``results`` has ``config_id``, the ``trade_metrics`` columns and ``fitness``.
+    ``scorer`` may add key columns (``run_keys``: strategy, hyper-parameters). Splits are
+    sized for the largest swing. Returns the validation results of every
+    configuration and one winner row per series with its test score and verdict.
     """
-    valid = results.filter(F.col("fitness") != -999.0).withColumn("production", mx.production_score(min_trades))
-    best = valid.groupBy(*list(keys)).agg(
-        F.count(F.lit(1)).alias("n_valid"),
-        F.max_by(F.struct(*[c for c in valid.columns if c not in keys]), F.struct(F.round("production", 9), -F.col("config_id"))).alias("_w"),
+    base = cut_lineage(bars)
+    largest = max(b.swing for b in barriers)
+    config = ("tp", "sl", *run_keys)
+    keys = [*SERIES_KEYS, *config]
+    grid = tr.threshold_grid(*tr.BINARY_GRID, inclusive=False)
+    scored: dict[int, DataFrame] = {}
+    results = None
+    for swing in sorted({b.swing for b in barriers}):
+        labelled = label_grid(base, [b for b in barriers if b.swing == swing]).drop("swing")
+        placed = split_positions(labelled, swing, swing, largest, ("tp", "sl")).filter("split IN ('val', 'test')")
+        ret = tr.trade_return(F.col("tp"), F.col("sl"), F.col("exit_close"), cost)
+        rows = scorer(placed).withColumn("ret", ret)
+        scored[swing] = cut_lineage(rows.select(*keys, "split", "pos", "score", "target", "ret"))
+        val = scored[swing].filter("split = 'val'")
+        found = cut_lineage(tr.threshold_search(val, keys, swing, grid, tr.production_min_trades(swing)))
+        found = found.filter("threshold IS NOT NULL").select(*keys, "threshold", "n_rows")
+        one = _config_metrics(val, found, keys, swing).withColumn("swing", F.lit(swing))
+        results = one if results is None else results.unionByName(one)
+    results = cut_lineage(results)
+
+    floor = min_val_trades(F.col("n_rows"), largest, bars_per_trade(F.col("timeframe")))
+    winners = cut_lineage(rank_configs(results, SERIES_KEYS, floor, ("swing", *config)))
+    audits = None
+    for swing, rows in scored.items():
+        mine = winners.filter(F.col("swing") == swing)
+        test = rows.filter("split = 'test'").join(mine.select(*keys), keys, "left_semi")
+        sizes = test.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+        one = _config_metrics(test, mine.select(*keys, "threshold").join(sizes, keys), keys, swing)
+        one = one.select(*SERIES_KEYS, F.col("fitness").alias("test_fitness"), F.col("trade_count").alias("test_trades"))
+        audits = one if audits is None else audits.unionByName(one)
+    verdict = winners.join(audits, list(SERIES_KEYS), "left")
+    return results, verdict.withColumn("oos_sane", mx.oos_sane(F.col("test_fitness"), F.col("fitness")))
+
+
+def _config_metrics(rows: DataFrame, found: DataFrame, keys: Sequence[str], swing: int) -> DataFrame:
+    """Reported metrics per configuration: score from exact values, the rest rounded."""
+    exact = run_metrics(rows.join(found.select(*keys, "threshold"), list(keys)), keys, swing, F.col("threshold"))
+    exact = exact.join(found, list(keys))
+    return exact.select(
+        *keys,
+        "threshold",
+        "n_rows",
+        "trade_count",
+        F.round("gross_profit", 6).alias("gross_profit"),
+        F.round("gross_loss", 6).alias("gross_loss"),
+        F.round("profit_factor", 4).alias("profit_factor"),
+        F.round("max_drawdown", 4).alias("max_drawdown"),
+        F.round(mx.fitness_score(F.col("n_rows"), F.lit(float(swing))), 6).alias("fitness"),
     )
+
+
+def rank_configs(
+    results: DataFrame, keys: Sequence[str], min_trades: Column | int, config: Sequence[str]
+) -> DataFrame:
+    """Winner per key by production score, equal scores to the first configuration.
+
+    Configurations at the fitness sentinel (no edge) are out.
+    """
+    valid = results.filter(F.col("fitness") != -999.0).withColumn("production", mx.production_score(min_trades))
+    rest = [c for c in valid.columns if c not in keys]
+    # min_by over (score descending, configuration): combines before the shuffle.
+    order = F.struct((-F.round("production", 9)).alias("_p"), *config)
+    best = valid.groupBy(*list(keys)).agg(F.count(F.lit(1)).alias("n_valid"), F.min_by(F.struct(*rest), order).alias("_w"))
     return best.select(*list(keys), "n_valid", "_w.*")
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.functions.keys import r6
-from barloom.operators.labels import barrier_labels, extrema_labels
+from barloom.operators.indicators import technicals
+from barloom.operators.labels import Barrier, barrier_labels, extrema_labels
+from barloom.operators.layout import with_position
 from barloom.plans import jobs, models, sweep
 from barloom.plans import walkforward as wf
-from barloom.plans.config import ExperimentConfig
+from barloom.plans.config import FORMULATIONS, ExperimentConfig
 from barloom.registry import fixtures as fx
 from barloom.registry import oracle_parts as op
 from barloom.registry.core import query
@@ -156,6 +158,9 @@ def split_eval_ctes(swing, split_swing, payoff_label="target", prefix="", tp=1.5
         return body
 
     search = {renames[k]: fix(b) for k, b in search.items()}
+    equity = lambda src: f"""SELECT *, product(1 + ret) OVER (PARTITION BY symbol, split ORDER BY pos) AS eq FROM {src}"""
+    drawdown = lambda src: f"""SELECT symbol, split, greatest(0, max((pk - eq) / pk)) AS dd FROM
+      (SELECT *, greatest(1, max(eq) OVER (PARTITION BY symbol, split ORDER BY pos)) AS pk FROM {src}) GROUP BY ALL"""
     metric = lambda src: f"""SELECT symbol, split, count(*) AS n, sum(CASE target WHEN 1 THEN ret WHEN -1 THEN 0 ELSE greatest(ret, 0) END)
       / greatest(sum(CASE target WHEN -1 THEN abs(ret) WHEN 1 THEN 0 ELSE greatest(-ret, 0) END), 1e-9::DOUBLE) AS pf FROM {src} GROUP BY ALL"""
     return {
@@ -178,6 +183,8 @@ def split_eval_ctes(swing, split_swing, payoff_label="target", prefix="", tp=1.5
         f"{p}mt": f"SELECT c.* FROM {p}mc c JOIN r_{p}m USING (symbol, split, pos)",
         f"{p}nt": f"SELECT * FROM {p}e WHERE pos % {swing} = 0",
         f"{p}mm": metric(f"{p}mt"),
+        f"{p}mq": equity(f"{p}mt"),
+        f"{p}md": drawdown(f"{p}mq"),
         f"{p}nm": metric(f"{p}nt"),
         f"{p}r": f"""SELECT n.symbol, n.split, {swing} AS swing, b.threshold, n.n AS naive_n, n.pf AS naive_pf, m.n::DOUBLE AS model_n, m.pf AS model_pf, m.pf - n.pf AS delta
           FROM {p}nm n LEFT JOIN {p}mm m USING (symbol, split) LEFT JOIN {p}best b ON b.symbol = n.symbol""",
@@ -236,3 +243,76 @@ def label_reconciliation(spark, sf):
     labelled = extrema_labels(barrier_labels(clean_daily(spark, sf)))
     out = jobs.label_reconciliation(labelled, SWING, 1.5, 1.0, SWING)
     return rounded(out, ("profit_factor",), "symbol", "split", "regime", "trade_count")
+
+
+# --- grid search ---------------------------------------------------------------------
+
+QUICK_GRID = [Barrier(10, tp, sl) for tp in sweep.QUICK["tp"] for sl in sweep.QUICK["sl"]]
+
+
+def _fitness_sql(pf, dd, n, rows, swing):
+    return f"""CASE WHEN {pf} <= 1 THEN -999.0::DOUBLE ELSE (least({pf}, 10) - 1) / greatest({dd}, 0.01::DOUBLE) * ln(greatest({n}, 1))
+      * least(1.0::DOUBLE, {n} / greatest(12, floor(greatest(1.0::DOUBLE, {rows} / {dbl(float(swing))}) * 0.15::DOUBLE))) END"""
+
+
+_OPT_CONFIGS = {f"g{i}": b for i, b in enumerate(QUICK_GRID)}
+_OPT_ROWS = " UNION ALL ".join(
+    f"""SELECT m.symbol, m.split, {dbl(b.tp)} AS tp, {dbl(b.sl)} AS sl, t.threshold, m.n, m.pf, d.dd, z.nv, z.nt
+    FROM {p}mm m JOIN {p}md d USING (symbol, split) JOIN {p}best t USING (symbol) JOIN {p}ok z USING (symbol)""" for p, b in _OPT_CONFIGS.items())
+_OPT = {
+    **C0,
+    **{k: v for p, b in _OPT_CONFIGS.items() for k, v in split_eval_ctes(10, 10, prefix=p, tp=b.tp, sl=b.sl).items()},
+    "cf": f"""SELECT symbol, split, tp, sl, threshold, n, round(pf, 4) AS pf, round(dd, 4) AS dd, nv,
+      round({_fitness_sql('pf', 'dd', 'n', "CASE split WHEN 'val' THEN nv ELSE nt END", 10)}, 6) AS fitness FROM ({_OPT_ROWS})""",
+    "vl": """SELECT *, CASE WHEN n < greatest(8, floor(nv / 50 * 0.5::DOUBLE)) OR pf <= 1.05::DOUBLE THEN -9999.0::DOUBLE + n
+      ELSE (pf - 1) / greatest(dd, 0.01::DOUBLE) * ln(n) END AS production FROM cf WHERE split = 'val' AND fitness <> -999""",
+    "wn": """SELECT *, count(*) OVER (PARTITION BY symbol) AS n_valid FROM vl
+      QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(production, 9) DESC, tp, sl) = 1""",
+}
+
+
+@query("strategy_search", with_sql(_OPT,
+    f"""SELECT w.symbol, w.n_valid, w.tp, w.sl, {op.r6('w.threshold')} AS threshold, w.n AS trade_count, {op.r6('w.pf')} AS profit_factor, {op.r6('w.dd')} AS max_drawdown,
+    {op.r6('w.fitness')} AS fitness, {op.r6('w.production')} AS production, {op.r6('t.fitness')} AS test_fitness,
+    coalesce(t.fitness / nullif(greatest(w.fitness, 0), 0) >= 0.5::DOUBLE, false) AS oos_sane
+    FROM wn w LEFT JOIN cf t ON t.symbol = w.symbol AND t.tp = w.tp AND t.sl = w.sl AND t.split = 'test'""", recursive=True))
+def strategy_search(spark, sf):
+    _, winners = jobs.optimize(clean_daily(spark, sf), hash_rows, QUICK_GRID)
+    doubles = ("threshold", "profit_factor", "max_drawdown", "fitness", "production", "test_fitness")
+    return rounded(winners, doubles, "symbol", "n_valid", "tp", "sl", "trade_count", "oos_sane")
+
+
+# --- regimes ---------------------------------------------------------------------------
+
+REGIMES = (("bear", "1997-01-01", "1997-12-31"), ("range", "1998-01-01", "1998-12-31"), ("late", "1999-06-01", "2001-03-01"))
+
+
+@query("regimes_rigorous")
+def regimes_rigorous(spark, sf):
+    windows = spark.createDataFrame(list(REGIMES), "regime string, start string, end string").select(
+        "regime", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end")
+    )
+    labelled = barrier_labels(clean_daily(spark, sf))
+    out = jobs.regimes(labelled, windows, hash_rows, SWING, 1.5, 1.0, in_sample_end="1998-06-01", n_iter=200)
+    doubles = ("threshold", "model_pf", "naive_pf", "delta", "p5", "p50", "p95", "cum_return_pct", "ret_std_pct")
+    return rounded(out, doubles, "symbol", "regime", "sample_type", "n_bars", "n_prior", "status", "model_trades", "naive_trades")
+
+
+# --- models ------------------------------------------------------------------------------
+
+MODEL_FEATURES = ("rsi_14", "dist_ema_50", "atr_14", "bb_width", "bb_pos", "rel_volume")
+MODEL_CONFIG = ExperimentConfig(window_months=38, step_months=38, n_bootstrap=200)
+
+
+@query("gbt_baseline")
+def gbt_baseline(spark, sf):
+    """All three formulations on daily bars: boosted trees and a multinomial model per fold."""
+    bars = technicals(fx.bars(spark, sf, "1d"), MODEL_FEATURES)
+    dataset = barrier_labels(bars).na.drop("any").drop("rn", "n_bars", "last_close")
+    ready, bounds = wf.prepare(with_position(dataset), MODEL_CONFIG)
+    scorer = models.model_scorer(ready, bounds, {"CONTROL": MODEL_FEATURES}, hyper=models.Hyper(n_trees=10))
+    grids = {f.name: f.thresholds for f in FORMULATIONS.values()}
+    out = wf.evaluate(
+        ready, bounds, scorer, MODEL_CONFIG, grids, ("variant", "formulation"), ("target_ret", *MODEL_FEATURES), timeframes=["1d"]
+    )
+    return rounded(out.runs, RUN_DOUBLES, "symbol", "variant", "formulation", *RUN_COUNTS, "passes_gate")
