@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from barloom.functions.keys import epoch_micros
 
-BUCKET = timedelta(days=365)  # default slice of time sorted by one task
+BUCKET = timedelta(days=28)  # default slice of time sorted by one task
+SALTS = 32  # tasks per slice when no key spreads the left rows
 DAY = timedelta(days=1)
 
 
@@ -50,10 +51,14 @@ def asof_join(
 
     Both sides go through one sort per ``(by, time bucket)``; the last right row of
     the earlier buckets comes from a table with one row per bucket. A hot ``by`` key
-    is thus spread over its buckets, and a right side without ``by`` is copied into
-    the bucket table only, never sorted with all left rows in one task.
+    is thus spread over its buckets. Without ``by`` the left rows are spread by a salt and
+    the right side, a single global series, is copied to every salt.
     """
     by = list(by)
+    if not by:
+        salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int"))
+        copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return asof_join(salted, copies, values, availability_lag, ["_salt"], ts, bucket).drop("_salt")
     span = int(bucket.total_seconds()) * 1_000_000
     payload = F.struct(*values)
     shape = left.columns
@@ -80,9 +85,7 @@ def asof_join(
         )
         .groupBy(*by, "_slot").agg(F.first("_end", ignorenulls=True).alias("_end"))
     )
-    # Without a key the table is one row per time slot of a global daily series.
-    scope = by or [F.lit(0)]
-    before = Window.partitionBy(*scope).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.select(*by, "_slot", F.last("_end", ignorenulls=True).over(before).alias("_carry"))
 
     local = Window.partitionBy(*by, "_slot").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators.layout import block_window, drop_halo, with_halo
 from barloom.operators.metrics import LOSS_FLOOR
+from barloom.operators.quantiles import exact_quantiles
 
 
 def feature_health(df: DataFrame, features: Sequence[str], by: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -110,13 +111,9 @@ def feature_target_corr(
 def atr_quantiles(bars: DataFrame, tp: float, cost: float, by: Sequence[str] = ("symbol",)) -> DataFrame:
     """Quartiles of ATR in percent of price, and cost in percent of the take-profit distance."""
     share = F.try_divide("atr_14", F.when(F.col("close") != 0, F.col("close")))
-    cuts = bars.groupBy(*list(by)).agg(F.percentile(share, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    q = F.col("_q")
-    return cuts.select(
-        *list(by),
-        *[(F.lit(100.0) * q[i]).alias(name) for i, name in enumerate(("p25", "median", "p75"))],
-        (F.lit(100.0) * F.try_divide(F.lit(cost), q[1] * tp)).alias("cost_pct_of_tp"),
-    )
+    percent = bars.withColumn("_share", F.lit(100.0) * share)
+    cuts = exact_quantiles(percent, list(by), "_share", {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    return cuts.withColumn("cost_pct_of_tp", F.lit(10_000.0) * F.try_divide(F.lit(cost), F.col("median") * tp))
 
 
 def regime_stats(df: DataFrame, keys: Sequence[str], pos: str = "rn") -> DataFrame:

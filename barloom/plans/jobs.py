@@ -99,20 +99,26 @@ def swing_sweep(
 
 
 def regimes(
-    labelled: DataFrame, windows: DataFrame, scorer: Scorer, swing: int, tp: float, sl: float, in_sample_end: str,
+    labelled: DataFrame, windows: Sequence[tuple[str, str, str]], scorer: Scorer, swing: int, tp: float, sl: float, in_sample_end: str,
     payoff: str = "binary", n_iter: int = 1000, seed: int = 42, min_bars: int = 200, min_prior: int = 500, min_trades: int = 20,
 ) -> DataFrame:
     """Model against naive per market regime, with a per-trade bootstrap out of sample.
 
-    ``windows`` has ``regime, start, end`` (both ends included). The threshold comes from
+    ``windows`` lists ``(regime, start, end)``, both ends included. The threshold comes from
     the last 15 % (at least 200 bars) before the regime. Returns one row per series
     and regime; ``status`` tells why a regime was not evaluated.
     """
     keys = [*SERIES_KEYS, "regime"]
-    win = F.broadcast(windows.withColumn("sample_type", F.when(F.col("start") <= F.lit(in_sample_end).cast("timestamp_ntz"), "IN-SAMPLE").otherwise("OOS")))
     base = cut_lineage(labelled)
-    # Regimes are a handful of rows from the caller; the range predicate picks them per bar.
-    tagged = base.join(win, F.col("ts") <= F.col("end"))
+    ntz = lambda text: F.lit(text).cast("timestamp_ntz")
+    options = F.array(
+        *[F.struct(F.lit(name).alias("regime"), ntz(lo).alias("start"), ntz(hi).alias("end")) for name, lo, hi in windows]
+    )
+    # A bar goes to each regime it belongs to or precedes.
+    mine = F.filter(options, lambda w: w["end"] >= F.col("ts"))
+    tagged = base.withColumn("_w", F.explode(mine)).select(*base.columns, "_w.*")
+    sample = F.when(F.col("start") <= ntz(in_sample_end), "IN-SAMPLE").otherwise("OOS")
+    tagged = tagged.withColumn("sample_type", sample)
     sizes = tagged.groupBy(*keys, "sample_type").agg(
         F.count_if(F.col("ts") >= F.col("start")).alias("n_bars"), F.count_if(F.col("ts") < F.col("start")).alias("n_prior")
     )

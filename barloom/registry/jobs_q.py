@@ -289,11 +289,8 @@ REGIMES = (("bear", "1997-01-01", "1997-12-31"), ("range", "1998-01-01", "1998-1
 
 @query("regimes_rigorous")
 def regimes_rigorous(spark, sf):
-    windows = spark.createDataFrame(list(REGIMES), "regime string, start string, end string").select(
-        "regime", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end")
-    )
     labelled = barrier_labels(clean_daily(spark, sf))
-    out = jobs.regimes(labelled, windows, hash_rows, SWING, 1.5, 1.0, in_sample_end="1998-06-01", n_iter=200)
+    out = jobs.regimes(labelled, REGIMES, hash_rows, SWING, 1.5, 1.0, in_sample_end="1998-06-01", n_iter=200)
     doubles = ("threshold", "model_pf", "naive_pf", "delta", "p5", "p50", "p95", "cum_return_pct", "ret_std_pct")
     return rounded(out, doubles, "symbol", "regime", "sample_type", "n_bars", "n_prior", "status", "model_trades", "naive_trades")
 

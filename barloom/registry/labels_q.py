@@ -146,9 +146,14 @@ def staircase_check(spark, sf):
 def _corr_sql():
     parts = " UNION ALL ".join(
         f"""SELECT symbol, '{c}' AS feature, CASE WHEN count({c}) >= 10 AND count(DISTINCT {c}) > 1 AND count(DISTINCT target) > 1
-        THEN corr({c}, target) END AS corr FROM lab WHERE rn < 120 GROUP BY symbol""" for c in HEALTH)
+        THEN corr({c}, target) END AS corr FROM train GROUP BY symbol""" for c in HEALTH)
     return with_sql(
-        {**op.features("4h"), **op.with_sentiment(), **op.labels("fs"), "c": parts,
+        {**op.features("1h"), **op.with_sentiment(), **op.labels("fs"),
+         "sz": """SELECT DISTINCT symbol, n_bars, n_bars - 20 AS alloc, greatest(80, floor((n_bars - 20) * 0.15::DOUBLE)::BIGINT) AS nv,
+           greatest(100, floor((n_bars - 20) * 0.15::DOUBLE)::BIGINT) AS nt FROM b""",
+         "train": """SELECT l.* FROM lab l JOIN sz USING (symbol) WHERE sz.n_bars >= 400 AND nv + nt <= alloc * 0.45::DOUBLE
+           AND alloc - nv - nt >= 200 AND l.rn < alloc - nv - nt""",
+         "c": parts,
          "k": """SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(abs(corr), 9) DESC, feature) AS top_rank,
           row_number() OVER (PARTITION BY symbol ORDER BY round(abs(corr), 9), feature DESC) AS bottom_rank FROM c WHERE corr IS NOT NULL"""},
         f"""SELECT symbol, feature, {op.r6('corr')} AS corr, top_rank <= 5 AS is_top, bottom_rank <= 5 AS is_bottom
@@ -157,7 +162,8 @@ def _corr_sql():
 
 @query("feature_target_corr", _corr_sql())
 def feature_target_corr(spark, sf):
-    train = barrier_labels(full_dataset(spark, sf)).filter("rn < 120")
+    labelled = barrier_labels(full_dataset(spark, sf, "1h"))
+    train = temporal_split(labelled, swing=5, embargo=10).filter("split = 'train'")
     return rounded(diag.feature_target_corr(train, HEALTH, k=5), ("corr",), "symbol", "feature", "is_top", "is_bottom")
 
 

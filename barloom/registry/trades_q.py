@@ -350,20 +350,20 @@ def boot_trades(spark, sf):
 @query("paired_block_bootstrap", with_sql(
     {**_BOOT_CTES,
      "us": """SELECT symbol, i AS fold, TIMESTAMP '2024-01-01' + to_days((i * 10)::INT) AS start, TIMESTAMP '2024-01-01' + to_days((i * 10 + 10)::INT) AS "end", i * 8 AS block0
-       FROM (SELECT DISTINCT symbol FROM tt), range(3) g(i)""",
+       FROM (SELECT symbol, max(date_diff('day', TIMESTAMP '2024-01-01', ts)) // 10 AS last FROM tt GROUP BY symbol), range(1000) g(i) WHERE i <= last""",
      "bk": WF_CTES["bk"].replace("JOIN tr t USING (symbol, fold)", """JOIN tt t ON t.symbol = u.symbol AND t.ts >= u.start AND t.ts < u."end" """)
        .replace("SELECT symbol,", "SELECT u.symbol,"),
      **draw_ctes()},
     f"SELECT symbol, n_null AS n_null_iters, {op.r6('p5')} AS p5, {op.r6('p50')} AS p50, {op.r6('p95')} AS p95 FROM ct", recursive=True))
 def paired_block_bootstrap(spark, sf):
-    trades = boot_trades(spark, sf)
-    fold = F.floor(F.datediff("ts", F.lit("2024-01-01").cast("date")) / 10).cast("long")
-    trades = trades.withColumn("fold", fold).filter("fold >= 0 AND fold < 3")
     base = F.expr("TIMESTAMP_NTZ '2024-01-01'")
-    windows = trades.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).select(
-        *KEYS, F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("fold"), (base + F.expr(f"INTERVAL {10 * i} DAYS")).alias("start"),
-                                            (base + F.expr(f"INTERVAL {10 * i + 10} DAYS")).alias("end"), F.lit(8 * i).cast("long").alias("block0"))
-                                   for i in range(3)])).alias("_w")).select(*KEYS, "_w.*")
+    fold = F.floor(F.datediff("ts", base) / 10).cast("long")
+    trades = boot_trades(spark, sf).withColumn("fold", fold)
+    ten_days = F.make_dt_interval(F.lit(10))
+    windows = trades.groupBy(*KEYS).agg(F.max("fold").alias("_last")).select(*KEYS, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("fold"))
+    windows = windows.select(
+        *KEYS, "fold", (base + ten_days * F.col("fold")).alias("start"), (base + ten_days * (F.col("fold") + 1)).alias("end"), (F.col("fold") * 8).alias("block0")
+    )
     blocks = boot.block_sums(trades, windows, KEYS)
     out = boot.delta_percentiles(boot.paired_block_bootstrap(blocks, KEYS), KEYS)
     return rounded(out, ("p5", "p50", "p95"), "symbol", "n_null_iters")

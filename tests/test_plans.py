@@ -117,3 +117,35 @@ def test_grid_search_picks_the_best_validation_score(spark, bars):
     assert results.count() == 3
     win = winners.first()
     assert win.fitness > 0 and win.test_fitness is not None and win.n_valid >= 1
+
+
+def test_regimes_match_a_loop(spark, bars):
+    n, swing = 1500, 5
+    close = [100 + 5 * math.sin(i / 4) + (i * 7) % 3 for i in range(n)]
+    df = technicals(bars(close, [c + 1 for c in close], [c - 1 for c in close], hours=24, timeframe="1d", start="2000-01-01"), ["atr_14"])
+    labelled = barrier_labels(df, Barrier(swing, 1.0, 1.0))
+    clean_rows = labelled.filter("atr_14 IS NOT NULL").withColumns({"rn": F.col("rn") - 13, "n_bars": F.col("n_bars") - 13})
+    scorer = lambda rows: rows.withColumn("score", F.when(F.pmod(F.dayofyear("ts"), F.lit(3)) == 0, 0.9).otherwise(0.2))
+    windows = [("early", "2000-06-01", "2001-03-01"), ("in", "2002-01-01", "2002-12-31"), ("out", "2003-01-01", "2003-12-31"), ("gone", "2010-01-01", "2010-12-31")]
+    out = {r.regime: r for r in jobs.regimes(clean_rows, windows, scorer, swing, 1.0, 1.0, "2002-06-01", n_iter=20).collect()}
+    rows = sorted(clean_rows.collect(), key=lambda r: r.ts)
+    assert out["early"].status == "insufficient_prior" and out["in"].sample_type == "IN-SAMPLE" and out["in"].p5 is None
+    assert out["out"].sample_type == "OOS" and out["out"].p5 is not None
+    assert out["gone"].status == "insufficient_data"
+    for name, lo, hi in windows[1:3]:
+        lo, hi = datetime.fromisoformat(lo), datetime.fromisoformat(hi)
+        win = [r for r in rows if lo <= r.ts <= hi]
+        assert out[name].n_bars == len(win) and out[name].n_prior == sum(r.ts < lo for r in rows)
+        pays = [r.atr_14 / r.close * (1 if r.target == 1 else -1) for r in win]
+        fired = [r.ts.timetuple().tm_yday % 3 == 0 for r in win]
+        model, i = [], 0
+        while i < len(win):
+            if fired[i]:
+                model.append(pays[i])
+                i += swing
+            else:
+                i += 1
+        pf = lambda xs: sum(x for x in xs if x > 0) / max(-sum(x for x in xs if x < 0), 1e-9)
+        assert (out[name].model_trades, out[name].naive_trades) == (len(model), len(pays[::swing]))
+        assert out[name].model_pf == pytest.approx(pf(model)) and out[name].naive_pf == pytest.approx(pf(pays[::swing]))
+        assert out[name].cum_return_pct == pytest.approx(100 * (win[-1].close / win[0].close - 1))

@@ -158,3 +158,38 @@ def test_undefined_iterations_remove_the_percentiles(spark):
     only_naive = boot.block_sums(trades.filter("side = 'naive'"), windows, ["run"])
     row = boot.delta_percentiles(boot.paired_block_bootstrap(only_naive, ["run"], 20), ["run"]).first()
     assert row.n_null_iters == 20 and row.p5 is None
+
+
+def test_exact_quantiles_of_skewed_groups(spark):
+    from barloom.operators.quantiles import exact_quantiles
+
+    rng = random.Random(4)
+    groups = {"wide": [rng.lognormvariate(0, 3) for _ in range(900)], "ties": [1.0] * 50 + [2.0] * 7, "one": [5.0]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs] + [("one", None)], "k string, v double")
+    probs = {"p05": 0.05, "p50": 0.5, "p90": 0.9}
+    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", probs, buckets=64).collect()}
+    for k, vs in groups.items():
+        vs = sorted(vs)
+        for name, p in probs.items():
+            at = p * (len(vs) - 1)
+            lo = int(at)
+            expected = vs[lo] + (at - lo) * (vs[min(lo + 1, len(vs) - 1)] - vs[lo])
+            assert got[k][name] == pytest.approx(expected)
+
+
+def test_iid_bootstrap_matches_a_loop(spark):
+    import hashlib
+
+    sides = {"model": [0.02, -0.01, 0.03, -0.02, 0.01], "naive": [0.01, -0.02, 0.02]}
+    rows = [("r", s, i, x) for s, xs in sides.items() for i, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "run string, side string, idx long, ret double")
+    got = {r.iteration: r.delta for r in boot.iid_bootstrap(df, ["run"], 20).collect()}
+
+    def factor(side, it):
+        xs = sides[side]
+        drawn = [xs[int(hashlib.md5(f"42|{side}|{it}|{j}".encode()).hexdigest()[:8], 16) % len(xs)] for j in range(len(xs))]
+        return sum(x for x in drawn if x > 0) / max(-sum(x for x in drawn if x < 0), 1e-9)
+
+    assert len(got) == 20
+    for it, delta in got.items():
+        assert delta == pytest.approx(factor("model", it) - factor("naive", it))
