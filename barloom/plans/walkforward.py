@@ -13,7 +13,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.keys import parse_timeframe
 from barloom.operators import bootstrap as boot
 from barloom.operators.folds import fold_bounds, fold_slices, fold_windows, number_used_blocks
 from barloom.operators.metrics import passes_gate, profit_factor, signed_sums
@@ -48,9 +47,9 @@ def prepare(bars: DataFrame, config: ExperimentConfig) -> tuple[DataFrame, DataF
     return ready, cut_lineage(bounds)
 
 
-def longest_window(config: ExperimentConfig, timeframes: Sequence[str]) -> int:
-    """Bars an out-of-sample window can hold at most."""
-    return int(config.window_months * 31 * 24 / min(parse_timeframe(t) for t in timeframes)) + 1
+def _longest(bounds: DataFrame, lo: str, hi: str) -> int:
+    """Longest slice of any fold, from the small bounds table."""
+    return bounds.agg(F.max(F.col(hi) - F.col(lo))).first()[0] or 0
 
 
 def evaluate(
@@ -61,12 +60,11 @@ def evaluate(
     thresholds: Sequence[float] | Mapping[str, Sequence[float]],
     run_keys: Sequence[str] = (),
     columns: Sequence[str] = (),
-    timeframes: Sequence[str] | None = None,
 ) -> WalkForward:
     """Threshold on validation, trades and naive trades out of sample, bootstrap, gate.
 
     ``thresholds`` is one grid, or one per value of a ``formulation`` run key.
-    ``timeframes`` states which timeframes occur, which bounds the length of a window.
+    ``bounds`` is a written table (see ``prepare``); it tells how long slices get.
     """
     keys = [*SERIES_KEYS, *run_keys]
     run = [*keys, "fold"]
@@ -77,19 +75,19 @@ def evaluate(
     scored = scorer(slices).select(*run, "part", "pos", "ts", "score", ret.alias("ret"))
 
     val = scored.filter("part = 'val'")
+    val_rows, oos_rows = _longest(bounds, "val_lo", "val_hi"), _longest(bounds, "oos_lo", "oos_hi")
     if isinstance(thresholds, Mapping):
         found = None
         for name, grid in thresholds.items():
-            one = threshold_search(val.filter(F.col("formulation") == name), run, swing, grid, VAL_TRADES_FLOOR)
+            one = threshold_search(val.filter(F.col("formulation") == name), run, swing, grid, VAL_TRADES_FLOOR, max_rows=val_rows)
             found = one if found is None else found.unionByName(one)
     else:
-        found = threshold_search(val, run, swing, thresholds, VAL_TRADES_FLOOR)
+        found = threshold_search(val, run, swing, thresholds, VAL_TRADES_FLOOR, max_rows=val_rows)
     chosen = cut_lineage(found.select(*run, "threshold"))
 
-    limit = longest_window(config, timeframes) if timeframes else None
     used = chosen.filter("threshold IS NOT NULL")
     oos = scored.filter("part = 'oos'").join(used, run)
-    model = cooldown_select(oos.filter("score >= threshold"), run, swing, ["ts", "ret"], max_rows=limit)
+    model = cooldown_select(oos.filter("score >= threshold"), run, swing, ["ts", "ret"], max_rows=oos_rows)
     naive = naive_trades(oos, swing)
     trades = cut_lineage(
         model.select(*run, F.lit("model").alias("side"), "pos", "ts", "ret").unionByName(

@@ -41,7 +41,7 @@ def variant_scorer(variants, formulations):
 def matrix(spark, sf, variants):
     ready, bounds = wf.prepare(wf_bars(spark, sf), CONFIG)
     return wf.evaluate(
-        ready, bounds, variant_scorer(variants, GRIDS), CONFIG, GRIDS, ("variant", "formulation"), timeframes=["1d"]
+        ready, bounds, variant_scorer(variants, GRIDS), CONFIG, GRIDS, ("variant", "formulation")
     ).runs
 
 
@@ -310,6 +310,6 @@ def gbt_baseline(spark, sf):
     scorer = models.model_scorer(ready, bounds, {"CONTROL": MODEL_FEATURES}, hyper=models.Hyper(n_trees=10))
     grids = {f.name: f.thresholds for f in FORMULATIONS.values()}
     out = wf.evaluate(
-        ready, bounds, scorer, MODEL_CONFIG, grids, ("variant", "formulation"), ("target_ret", *MODEL_FEATURES), timeframes=["1d"]
+        ready, bounds, scorer, MODEL_CONFIG, grids, ("variant", "formulation"), ("target_ret", *MODEL_FEATURES)
     )
     return rounded(out.runs, RUN_DOUBLES, "symbol", "variant", "formulation", *RUN_COUNTS, "passes_gate")

@@ -306,7 +306,7 @@ def hash_scorer(slices):
 
 def walk(spark, sf):
     ready, bounds = wf.prepare(wf_bars(spark, sf), CONFIG)
-    return wf.evaluate(ready, bounds, hash_scorer, CONFIG, WALK_GRID, timeframes=["1d"])
+    return wf.evaluate(ready, bounds, hash_scorer, CONFIG, WALK_GRID)
 
 
 WINDOW_DOUBLES = ("cum_ret", "vol", "threshold", "model_pf", "naive_pf", "delta")

@@ -41,7 +41,7 @@ def evaluate(spark, frames, config):
     bars = with_position(spark.createDataFrame(pd.concat(frames), schema))
     ready, bounds = wf.prepare(bars, config)
     score = lambda s: s.withColumn("score", F.col("feature_1"))
-    return wf.evaluate(ready, bounds, score, config, GRID, columns=["feature_1"], timeframes=["4h"])
+    return wf.evaluate(ready, bounds, score, config, GRID, columns=["feature_1"])
 
 
 def test_gate(result):
