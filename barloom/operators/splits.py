@@ -87,7 +87,11 @@ def split_bounds(df: DataFrame, embargo: Column | int) -> DataFrame:
 
 
 def temporal_split(df: DataFrame, swing: int, embargo: int, split_swing: int | None = None) -> DataFrame:
-    """Label each bar ``train``, ``val``, ``test`` or NULL (gap, or no split possible)."""
+    """Label each bar ``train``, ``val``, ``test`` or NULL (gap, or no split possible).
+
+    ``pos`` is the position inside the block. ``rn`` and ``n_bars``, if present, must
+    count the rows given.
+    """
     if "rn" not in df.columns:
         df = with_position(df)
     base = df.columns
@@ -98,7 +102,8 @@ def temporal_split(df: DataFrame, swing: int, embargo: int, split_swing: int | N
         .when((rn >= F.col("val_lo")) & (rn < F.col("val_hi")), "val")
         .when((rn >= F.col("test_lo")) & (rn < F.col("test_hi")), "test")
     )
-    return out.withColumn("split", label).select(*base, "split")
+    first = F.when(F.col("split") == "val", F.col("val_lo")).when(F.col("split") == "test", F.col("test_lo")).otherwise(0)
+    return out.withColumn("split", label).withColumn("pos", rn - first).select(*base, "split", "pos")
 
 
 def min_val_trades(n_val: Column, swing: Column | int, factor: Column | int, floor: int = VAL_TRADES_FLOOR) -> Column:

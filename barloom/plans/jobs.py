@@ -11,7 +11,7 @@ from barloom.operators import metrics as mx
 from barloom.operators import trades as tr
 from barloom.operators.bootstrap import delta_percentiles, iid_bootstrap
 from barloom.operators.labels import Barrier, label_grid
-from barloom.operators.layout import with_position
+from barloom.operators.layout import block_window, drop_halo, drop_layout, with_halo, with_position
 from barloom.operators.sizing import barrier_prices
 from barloom.operators.splits import bars_per_trade, min_val_trades, temporal_split
 from barloom.plans.diagnostics import regime_stats
@@ -46,11 +46,18 @@ def split_positions(
 
     ``extra`` are key columns beyond the series, such as the barrier settings.
     """
-    split = temporal_split(labelled, swing, embargo, split_swing).filter("split IS NOT NULL")
-    keys = [*SERIES_KEYS, *extra, "split"]
-    placed = with_position(split.drop("rn", "n_bars", "last_close"), keys, name="pos", last="close")
-    ahead = tr.with_exit_close(placed, swing, keys, "pos")
-    return ahead.withColumn("exit_close", F.coalesce("close_ahead", "last_close")).drop("close_ahead")
+    split = temporal_split(labelled, swing, embargo, split_swing)
+    keys = [*SERIES_KEYS, *extra]
+    ahead = with_halo(split, fwd=swing)
+    later = F.lead(F.struct("split", "close"), swing).over(block_window(keys))
+    ahead = drop_layout(drop_halo(ahead.withColumn("_later", later))).filter("split IS NOT NULL")
+    last = split.groupBy(*SERIES_KEYS, "split").agg(F.max_by("close", "rn").alias("_last"))
+    inside = F.when(F.col("_later.split") == F.col("split"), F.col("_later.close"))
+    return (
+        ahead.join(last, [*SERIES_KEYS, "split"])
+        .withColumn("exit_close", F.coalesce(inside, F.col("_last")))
+        .drop("_later", "_last")
+    )
 
 
 def naive_vs_model(
@@ -63,7 +70,8 @@ def naive_vs_model(
     """
     placed = split_positions(labelled, swing, swing if embargo is None else embargo, split_swing)
     ret = tr.trade_return(tp, sl, F.col("exit_close"), cost)
-    scored = cut_lineage(scorer(placed.filter("split IN ('val', 'test')")).withColumn("ret", ret))
+    rows = scorer(placed.filter("split IN ('val', 'test')")).withColumn("ret", ret)
+    scored = cut_lineage(rows.select(*SERIES_KEYS, "split", "pos", "score", "target", "ret"))
     longest = _longest(scored)
     found = tr.threshold_search(
         scored.filter("split = 'val'"), SERIES_KEYS, swing,
