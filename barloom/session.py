@@ -39,12 +39,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's checkpoint folder and read it back.
 
     A reliable checkpoint survives the loss of executors. The folder is the one
-    the cluster names in ``spark.checkpoint.dir``; only a session without one
+    the cluster names in ``spark.checkpoint.dir``; only a local session without one
     (tests, a laptop) gets a temporary folder.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="barloom-ckpt-"))
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="barloom-ckpt-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
