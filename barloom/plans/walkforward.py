@@ -120,11 +120,12 @@ def _window_table(bounds: DataFrame, chosen: DataFrame, trades: DataFrame, keys:
         F.count_if(is_model).alias("model_trade_count"),
         F.count_if(~is_model).alias("naive_trade_count"),
     )
-    # Folds skipped for lack of data have no slices: they get one row per run.
-    runs = chosen.select(*keys).distinct() if extra else None
     table = bounds.select(*SERIES_KEYS, "fold", "start", "end", "skipped_reason")
-    if runs is not None:
-        table = table.join(runs, list(SERIES_KEYS))
+    if extra:
+        # Folds skipped for lack of data have no slices: they get one row for each of
+        # the few combinations of formulation, variant, ... that occur.
+        combinations = chosen.select(*extra).distinct().agg(F.collect_list(F.struct(*extra))).scalar()
+        table = table.withColumn("_r", F.explode(combinations)).select(*table.columns, "_r.*")
     table = table.join(chosen, run, "left").join(stats, run, "left")
     reason = F.coalesce(
         "skipped_reason", F.when(F.col("threshold").isNull(), "threshold_failed")

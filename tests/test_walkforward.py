@@ -71,3 +71,17 @@ def test_trades_respect_the_cooldown_and_the_window(result):
     for row in trades.itertuples():
         start, end = bounds[row.symbol, row.fold]
         assert start <= row.ts < end
+
+
+def test_series_without_usable_folds_keep_their_rows_per_run(spark):
+    schema = "symbol string, timeframe string, ts timestamp_ntz, close double, atr_14 double, target int, feature_1 double"
+    frames = [synthetic(3_500, True, "LONG", 5), synthetic(1_700, True, "BRIEF", 6)]
+    config = ExperimentConfig(window_months=3, step_months=3, n_bootstrap=10, embargo_days=85)
+    bars = with_position(spark.createDataFrame(pd.concat(frames), schema))
+    ready, bounds = wf.prepare(bars, config)
+    kinds = F.array(F.lit("a"), F.lit("b"))
+    scorer = lambda s: s.withColumn("score", F.col("feature_1")).withColumn("kind", F.explode(kinds))
+    out = wf.evaluate(ready, bounds, scorer, config, GRID, ("kind",), ["feature_1"])
+    rows = {(r.symbol, r.kind): r for r in out.runs.collect()}
+    assert set(rows) == {(s, k) for s in ("LONG", "BRIEF") for k in "ab"}
+    assert rows["LONG", "a"].windows_used > 0 and rows["BRIEF", "a"].total_windows >= rows["BRIEF", "a"].windows_skipped > 0
