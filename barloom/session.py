@@ -27,6 +27,7 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
         # Call-site capture costs a driver round trip per column expression.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.codegen.cache.maxEntries", "2000")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in ENGINE_CONF.items():
         builder = builder.config(key, value)
@@ -35,20 +36,28 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
 
-    A reliable checkpoint survives the loss of executors. The folder is the one
-    the cluster names in ``spark.checkpoint.dir``; only a local session without one
-    (tests, a laptop) gets a temporary folder.
+    Only a local session without one (tests, a laptop) gets a folder of its own, named after the
+    application, in the temporary folder; a cluster must name one.
     """
-    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
     context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return f"{tempfile.gettempdir()}/barloom-{context.applicationId}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder as a reliable checkpoint and read it back.
+
+    It survives the loss of executors. With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark deletes
+    the files once the result is no longer referenced.
+    """
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="barloom-ckpt-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
