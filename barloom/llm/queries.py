@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import divergence, mixing, novelty, pieces, sharding, vptree
+from barloom.llm import divergence, mixing, novelty, orderhash, pagetext, passages, pieces, sharding, toxicity, vptree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,14 +15,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orderhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op2_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.quality(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.sampled_segmentations(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.components(table(spark, sf_dir, "documents"))
 
@@ -43,8 +59,12 @@ def op10_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_order_minhash,
+        op2_host_suffix_array,
         op3_distribution_divergence,
+        op4_substring_dedup,
         op5_gumbel_segmentations,
+        op6_toxicity_chain,
         op7_simhash_components,
         op8_kd_shards,
         op9_capped_mix,
@@ -84,4 +104,29 @@ SELECT doc_id, size::BIGINT AS size, source_size, target, (whole * size + greate
 FROM m
 """
 
-ORACLES: dict[str, str] = {"op9_capped_mix": OP9_SQL}
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), p AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM d
+), w AS (
+  SELECT doc_id, pos, word,
+         CASE WHEN count(*) OVER ahead = 50 THEN md5(string_agg(word, ' ') OVER ahead) END AS seq
+  FROM p WINDOW ahead AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)
+), f AS (
+  SELECT seq, min(doc_id) AS first FROM w WHERE seq IS NOT NULL GROUP BY seq
+), c AS (
+  SELECT w.doc_id, w.pos, w.word,
+         coalesce(max(CASE WHEN f.first < w.doc_id THEN 1 ELSE 0 END) OVER (
+           PARTITION BY w.doc_id ORDER BY w.pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) = 1 AS gone
+  FROM w LEFT JOIN f USING (seq)
+), k AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed,
+         string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept
+  FROM c GROUP BY doc_id
+)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op4_substring_dedup": OP4_SQL, "op9_capped_mix": OP9_SQL}
