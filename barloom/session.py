@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +52,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{tempfile.gettempdir()}/barloom-{context.applicationId}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: compact, for tables that are read again."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder as a reliable checkpoint and read it back.
 
