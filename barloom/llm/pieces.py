@@ -27,8 +27,10 @@ give equal rows; empty tables give empty results; columns other than doc_id and
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import re
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +50,7 @@ LITERAL = 0x110000
 BASE = np.uint64(0x100000001B3)
 CHUNKS = re.compile(r" *[^ \n]+|\n| +")
 #: Characters of documents that share one lattice.
-GROUP_CHARS = 1 << 21
+GROUP_CHARS = 1 << 20
 TABLE_BITS = 19
 
 
@@ -138,8 +140,8 @@ def _byte_count(points: np.ndarray) -> np.ndarray:
 class Lattice:
     """The lattices of distinct chunks, side by side.
 
-    Edges are sorted by start; ``first[p]`` is the first edge from position p. ``until`` is
-    p + cumulative conditional probability, so that one search finds an edge for (p, u).
+    Edges are sorted by start; ``first[p]`` is the first edge from position p. ``until`` is the cumulative
+    conditional probability among the edges of a position: the edge for u is the first above it.
     """
 
     def __init__(self, chunks: list[str], vocabulary: Vocabulary) -> None:
@@ -158,21 +160,30 @@ class Lattice:
             found = vocabulary.find(keys)
             hit = found >= 0
             starts.append(alive[hit])
-            sizes.append(np.full(int(hit.sum()), n, np.int64))
+            sizes.append(n)
             ids.append(found[hit])
             if n == 1:
                 spelled = np.setdiff1d(alive, alive[hit], assume_unique=True)
                 starts.append(spelled)
-                sizes.append(np.ones(len(spelled), np.int64))
+                sizes.append(1)
                 ids.append(-points[spelled] - 1)
             going = found >= -1
             alive, keys = alive[going], keys[going]
             if not len(alive):
                 break
-        # Longest first: within a position the likeliest edge tends to be the first.
-        at, size, piece = (np.concatenate(x[::-1]) if x else np.zeros(0, np.int64) for x in (starts, sizes, ids))
-        order = np.argsort(at, kind="stable")
-        self.at, self.size, self.piece = at[order], size[order], piece[order]
+        # Sorted by position, longest first (there the first edge tends to be the likeliest): each length has
+        # a position once, so counting places the edges without a sort.
+        per_position = np.zeros(len(points) + 1, np.int64)
+        for at in starts:
+            per_position[at + 1] += 1
+        self.first = np.cumsum(per_position)
+        edges = int(self.first[-1])
+        self.at, self.size, self.piece = np.zeros(edges, np.int64), np.zeros(edges, np.int64), np.zeros(edges, np.int64)
+        free = self.first[:-1].copy()
+        for at, size, piece in zip(starts[::-1], sizes[::-1], ids[::-1], strict=True):
+            row = free[at]
+            self.at[row], self.size[row], self.piece[row] = at, size, piece
+            free[at] += 1
         weight = np.where(
             self.piece >= 0,
             vocabulary.log_weight[np.maximum(self.piece, 0)],
@@ -198,33 +209,32 @@ class Lattice:
             spread = np.diff(np.append(heads, len(e)))
             beta[p[heads]] = top + np.log(np.add.reduceat(np.exp(total[e] - np.repeat(top, spread)), heads))
         self.log_prob = total - beta[self.at] if len(self.at) else total
-        self.first = np.searchsorted(self.at, np.arange(len(points) + 1))
         running = np.cumsum(np.exp(self.log_prob))
         before = np.concatenate(([0.0], running))[self.first[self.at]] if len(self.at) else running
-        self.until = self.at + (running - before)
+        self.until = running - before
         # The last edge of a position takes what rounding leaves.
-        last = self.first[1:] - 1
-        self.until[last] = np.arange(len(points)) + 1.0
+        self.until[self.first[1:] - 1] = 1.0
 
-    def sample(self, chunks: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def sample(self, chunks: np.ndarray, keys: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Edges in text order, their number per chunk, and each chunk's log-probability."""
         pos, stop = self.start[chunks], self.end[chunks]
         active = np.arange(len(chunks))
         log_prob = np.zeros(len(chunks))
         whose, edges = [], []
         while len(active):
-            with np.errstate(over="ignore"):
-                goal = pos[active] + uniform(keys[active] + np.uint64(len(edges)) * MIX_STEP)
-            e = self.first[pos[active]]
+            # All arrays follow ``active``.
+            goal = _step_uniform(keys, turn * TURN + len(edges))
+            e = self.first[pos]
             late = np.nonzero(self.until[e] <= goal)[0]
             while len(late):
                 e[late] += 1
                 late = late[self.until[e[late]] <= goal[late]]
             log_prob[active] += self.log_prob[e]
-            pos[active] += self.size[e]
+            pos = pos + self.size[e]
             whose.append(active)
             edges.append(e)
-            active = active[pos[active] < stop[active]]
+            going = np.nonzero(pos < stop)[0]
+            active, pos, stop, keys = active[going], pos[going], stop[going], keys[going]
         counts = np.zeros(len(chunks), np.int64)
         for own in whose:
             counts[own] += 1
@@ -233,7 +243,7 @@ class Lattice:
             path[starts[own] + step] = e
         return path, counts, log_prob
 
-    def sample_but(self, chunk: int, excluded: list[tuple[int, ...]], key: np.uint64) -> tuple[np.ndarray, float] | None:
+    def sample_but(self, chunk: int, excluded: list[tuple[int, ...]], key: np.uint64, turn: int) -> tuple[np.ndarray, float] | None:
         """A segmentation of one chunk other than the excluded ones, by its share of what they leave."""
         p, stop, path = int(self.start[chunk]), int(self.end[chunk]), []
         # Mass of each excluded path from here on, given the walk so far.
@@ -248,7 +258,7 @@ class Lattice:
             total = sum(mass)
             if total <= 0.0:
                 return None
-            u, e = float(uniform(np.array([key + np.uint64(step) * MIX_STEP], np.uint64))[0]) * total, options[0]
+            u, e = float(_step_uniform(np.array([key], np.uint64), turn * TURN + step)[0]) * total, options[0]
             for e, m in zip(options, mass, strict=True):
                 if m > 0.0 and u < m:
                     break
@@ -261,18 +271,33 @@ class Lattice:
         return np.array(path, np.int64), log_prob
 
 
-MIX_STEP = np.uint64(0xD1B54A32D192ED03)
+MIX_STEP = 0xD1B54A32D192ED03
+#: Steps that lie between two turns of the search: more than a chunk that anyone writes has pieces.
+TURN = 1 << 40
+
+
+def _step_uniform(keys: np.ndarray, step: int) -> np.ndarray:
+    """Uniform numbers for a step of a walk; the keys are mixed already, so one more round does."""
+    x = keys + np.uint64((step + 1) * MIX_STEP & 0xFFFFFFFFFFFFFFFF)
+    x ^= x >> np.uint64(32)
+    x *= GOLDEN
+    x ^= x >> np.uint64(29)
+    x >>= np.uint64(12)
+    u = x.astype(np.float64)
+    u += 0.5
+    u *= 2.0**-52
+    return u
 
 
 def row_keys(ids: list[int | None], seed: int) -> np.ndarray:
-    plain = np.array([(1 << 63) if i is None else i & 0xFFFFFFFFFFFFFFFF for i in ids], np.uint64)
+    plain = np.array([1 << 63 if i is None else i & 0xFFFFFFFFFFFFFFFF for i in ids], np.uint64)
     with np.errstate(over="ignore"):
         return mix64(mix64(plain + GOLDEN) + np.uint64(seed))
 
 
-def _token_keys(row: np.uint64, sample: int, n: int, start: int = 0) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix64(mix64(np.array([row + np.uint64(sample + 1) * GOLDEN], np.uint64)) + np.arange(start, n, dtype=np.uint64) * GOLDEN)
+def token_keys(row: np.uint64, n: int) -> np.ndarray:
+    """A key for each chunk of a text."""
+    return mix64(row + np.arange(n, dtype=np.uint64) * GOLDEN)
 
 
 def _gumbel_below(phi: np.ndarray, u: np.ndarray, top: float) -> np.ndarray:
@@ -280,53 +305,47 @@ def _gumbel_below(phi: np.ndarray, u: np.ndarray, top: float) -> np.ndarray:
     return phi - np.log(np.exp(phi - top) - np.log(u))
 
 
-def top_k(lattice: Lattice, chunks: np.ndarray, row: np.uint64, k: int, drawn: tuple | None = None) -> list[tuple]:
+def top_k(lattice: Lattice, chunks: np.ndarray, row: np.uint64, k: int, keys: np.ndarray, drawn: tuple) -> list[tuple]:
     """Up to k samples (edges, log_prob, perturbed, log_inclusion), perturbed falling.
 
-    ``drawn`` is the first sample if it has been drawn already, with the keys of sample 0.
+    ``keys`` are the chunks' keys and ``drawn`` the first sample, which is a plain one (turn 0).
     """
     n = len(chunks)
-    with np.errstate(over="ignore"):
-        top = float(-np.log(-np.log(uniform(np.array([row], np.uint64))))[0])
+    top = float(-np.log(-np.log(uniform(np.array([row], np.uint64))))[0])
     heap: list[tuple] = [(-top, 0, None, 0, ())]
-    out, made = [], 0
+    out, turn = [], 0
     while heap and len(out) < k:
         key, _, parent, t, excluded = heapq.heappop(heap)
-        made += 1
         if parent is None:
-            edges, counts, probs = drawn or lattice.sample(chunks, _token_keys(row, 0, n))
-            starts = np.concatenate(([0], np.cumsum(counts)))
+            edges, counts, probs = drawn
         else:
             edges, counts, probs, starts = parent
-            left = lattice.sample_but(int(chunks[t]), list(excluded), _token_keys(row, made, t + 1, t)[0])
+            turn += 1
+            left = lattice.sample_but(int(chunks[t]), list(excluded), keys[t], 2 * turn)
             if left is None:
                 continue
-            tail = lattice.sample(chunks[t + 1 :], _token_keys(row, made, n, t + 1))
+            tail = lattice.sample(chunks[t + 1 :], keys[t + 1 :], 2 * turn)
             edges = np.concatenate((edges[: starts[t]], left[0], tail[0]))
             counts = np.concatenate((counts[:t], [len(left[0])], tail[1]))
             probs = np.concatenate((probs[:t], [left[1]], tail[2]))
-            starts = np.concatenate(([0], np.cumsum(counts)))
-        this = (edges, counts, probs, starts)
-        total = float(probs.sum())
-        out.append((edges, total, -key))
-        if n:
-            before = np.concatenate(([0.0], np.cumsum(probs)[:-1]))[t:]
-            rest = -np.expm1(probs[t:])
-            if excluded:
-                gone = sum(math.exp(float(lattice.log_prob[list(x)].sum())) for x in excluded)
-                rest[0] -= gone
-            rest[rest < 1e-12] = 0.0
-            open_ = np.nonzero(rest)[0]
-            if len(open_):
-                phi = before[open_] + np.log(rest[open_])
-                with np.errstate(over="ignore", divide="ignore"):
-                    u = uniform(_token_keys(row, 1000 + made, n, t)[open_])
-                    keys = _gumbel_below(phi, u, -key)
-                # Only the best k + 1 - len(out) nodes can still be popped or give kappa.
-                for j in np.argsort(-keys, kind="stable")[: k + 1 - len(out)].tolist():
-                    at = int(open_[j]) + t
-                    own = tuple(edges[starts[at] : starts[at + 1]].tolist())
-                    heapq.heappush(heap, (-float(keys[j]), made * (n + 1) + at, this, at, (*(excluded if at == t else ()), own)))
+        starts = np.concatenate(([0], np.cumsum(counts)))
+        out.append((edges, float(probs.sum()), -key))
+        if not n:
+            continue
+        rest = -np.expm1(probs[t:])
+        if excluded:
+            rest[0] -= sum(math.exp(float(lattice.log_prob[list(x)].sum())) for x in excluded)
+        open_ = np.nonzero(rest >= 1e-12)[0]
+        if len(open_):
+            before = np.cumsum(probs[t:]) - probs[t:] + probs[:t].sum()
+            u = _step_uniform(keys[t:][open_], (2 * turn + 1) * TURN)
+            best = _gumbel_below(before[open_] + np.log(rest[open_]), u, -key)
+            # The k - len(out) nodes that can still be popped, and the one that gives kappa.
+            m = k + 1 - len(out)
+            for j in (np.argpartition(-best, m)[:m] if len(best) > m else range(len(best))):
+                at = int(open_[j]) + t
+                own = tuple(edges[starts[at] : starts[at + 1]].tolist())
+                heapq.heappush(heap, (-float(best[j]), turn * (n + 1) + at, (edges, counts, probs, starts), at, (*(excluded if at == t else ()), own)))
     kappa = -heap[0][0] if heap else -math.inf
     return [(e, lp, g, _log_inclusion(lp - kappa)) for e, lp, g in out]
 
@@ -335,9 +354,13 @@ def _log_inclusion(x: float) -> float:
     return 0.0 if x > 30 else x if x < -30 else math.log(-math.expm1(-math.exp(x)))
 
 
-def piece_ids(lattice: Lattice, edges: np.ndarray, byte_ids: dict[int, int]) -> np.ndarray:
-    """Ids of a path; edges without a piece become byte pieces."""
-    ids = lattice.piece[edges]
+def piece_ids(ids: np.ndarray, byte_ids: dict[int, int]) -> np.ndarray:
+    """Piece ids of a path; what has no piece (-1 - code point) becomes byte pieces."""
+    low = (ids < 0) & (ids >= -128)
+    if low.any():
+        ascii_ids = np.array([byte_ids[b] for b in range(128)])
+        ids = ids.copy()
+        ids[low] = ascii_ids[-1 - ids[low]]
     spelled = np.nonzero(ids < 0)[0]
     if not len(spelled):
         return ids
@@ -363,20 +386,19 @@ def encode_batch(ids: list, texts: list, vocabulary: Vocabulary, k: int, seed: i
     """(row, rank, log_prob, perturbed, log_inclusion, piece ids) of all documents; shared lattices by group."""
     rows, keys = [], row_keys(ids, seed)
     for group in _groups(texts):
-        seen: dict[str, int] = {}
-        tokens = [np.array([seen.setdefault(c, len(seen)) for c in split(texts[i] or "")], np.int64) for i in group]
+        seen: defaultdict[str, int] = defaultdict(itertools.count().__next__)
+        tokens = [np.fromiter(map(seen.__getitem__, c), np.int64, len(c)) for c in (split(texts[i] or "") for i in group)]
         lattice = Lattice(list(seen), vocabulary)
-        with np.errstate(over="ignore"):
-            first = lattice.sample(np.concatenate(tokens), np.concatenate([_token_keys(keys[i], 0, len(t)) for i, t in zip(group, tokens, strict=True)]))
-        ends = np.cumsum([len(t) for t in tokens])
-        edge_ends = np.concatenate(([0], np.cumsum(first[1])))
-        for i, chunks, b in zip(group, tokens, ends.tolist(), strict=True):
-            a = b - len(chunks)
-            drawn = (first[0][edge_ends[a] : edge_ends[b]], first[1][a:b], first[2][a:b])
-            with np.errstate(over="ignore"):
-                found = top_k(lattice, chunks, keys[i], k, drawn)
-            for rank, (edges, lp, g, inc) in enumerate(found):
-                rows.append((i, rank, lp, g, inc, piece_ids(lattice, edges, vocabulary.byte_ids)))
+        with np.errstate(over="ignore", divide="ignore"):
+            own = [token_keys(keys[i], len(t)) for i, t in zip(group, tokens, strict=True)]
+            first = lattice.sample(np.concatenate(tokens), np.concatenate(own), 0)
+            ends = np.cumsum([len(t) for t in tokens])
+            edge_ends = np.concatenate(([0], np.cumsum(first[1])))
+            for i, chunks, row_keys_, b in zip(group, tokens, own, ends.tolist(), strict=True):
+                a = b - len(chunks)
+                drawn = (first[0][edge_ends[a] : edge_ends[b]], first[1][a:b], first[2][a:b])
+                for rank, (edges, lp, g, inc) in enumerate(top_k(lattice, chunks, keys[i], k, row_keys_, drawn)):
+                    rows.append((i, rank, lp, g, inc, piece_ids(lattice.piece[edges], vocabulary.byte_ids)))
     return rows
 
 
