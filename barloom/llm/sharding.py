@@ -3,9 +3,9 @@
 Rows are pre-aggregated to groups of equal texts, with metadata (size of a row, language, source, first
 doc_id) as dimensions. A node of the tree is a box with a number of leaves; it is split along its
 widest dimension, in shares of the dimension's whole extent, at the weighted quantile that
-leaves each side the bytes of its leaves. Quantiles come from two rounds of histograms per level, so
-a level is three small aggregations over the groups and nothing is sorted in one task. What
-the driver holds is one row per node.
+leaves each side the bytes of its leaves. Quantiles come from histograms that are refined where the goal
+lies, five rounds at most, so a level is a few small aggregations over the groups and nothing is
+sorted in one task. What the driver holds is one row per node.
 
 Groups of more than an eighth of a leaf's bytes (under 8 per leaf by counting, so their number is
 bounded) would spoil any split: they go to the emptiest shard first, largest first, and the tree
@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from barloom.session import cut_lineage
 
 DIMENSIONS = ("size", "lang", "source", "first_id")
-#: Histogram bins a round; two rounds resolve 2**24 steps of a box's extent.
+#: Histogram bins a round.
 BINS = 4096
 #: A coordinate is a dimension's share of its extent in 2**20 steps, then 2**30 of a hash that parts ties.
 STEP_BITS, TIE_BITS = 20, 30
@@ -69,10 +69,9 @@ def kd_shards(docs: DataFrame, shards: int = 24, slots_of: int = SLOT_ROWS) -> D
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null: sizes decide, not keys)."""
     rows = cut_lineage(_rows(docs))
     groups = cut_lineage(_groups(rows))
-    placed = _place(groups, shards)
+    placed = _place(rows, groups, shards)
     key = ["text_hash", "size", "text_crc32"]
-    mine = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("pieces")).cast("int")
-    sharded = rows.join(placed, key).select("doc_id", "size", "text_crc32", F.element_at("targets", mine + 1).alias("shard"))
+    sharded = rows.join(placed, key).select("doc_id", "size", "text_crc32", F.element_at("targets", _piece() + 1).alias("shard"))
     return with_slots(sharded, slots_of).select(
         "doc_id",
         "size",
@@ -96,31 +95,40 @@ def with_slots(sharded: DataFrame, slots_of: int) -> DataFrame:
     return sharded.join(starts, ["shard", "bucket"]).withColumn("slot", (F.col("start") + rank - 1).cast("long"))
 
 
-def _place(groups: DataFrame, shards: int) -> DataFrame:
+def _piece() -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("pieces")).cast("int")
+
+
+def _place(rows: DataFrame, groups: DataFrame, shards: int) -> DataFrame:
     """Per group key: the pieces it is cut into and the shard of each."""
     key = ["text_hash", "size", "text_crc32"]
     total = groups.agg(F.sum("weight")).first()[0] or 0
     target = total / shards
-    loads = [0.0] * shards
-    heavy_rows = []
     # Weights add up to the total, so at most HEAVY_SHARE * shards groups are heavy.
-    for g in groups.filter(F.col("weight") > target / HEAVY_SHARE).orderBy(F.desc("weight"), *key).collect():
-        pieces = 1 if g["weight"] <= SPLIT_ABOVE * target else min(g["rows"], int(g["weight"] * HEAVY_SHARE / target) + 1)
-        chosen = []
-        for _ in range(pieces):
-            least = min(range(shards), key=lambda i: (loads[i], i))
-            loads[least] += g["weight"] / pieces
-            chosen.append(least)
-        heavy_rows.append((*[g[k] for k in key], pieces, chosen))
+    heavy = groups.filter(F.col("weight") > target / HEAVY_SHARE).collect()
+    pieces_of = {
+        tuple(g[k] for k in key): 1 if g["weight"] <= SPLIT_ABOVE * target else min(g["rows"], int(g["weight"] * HEAVY_SHARE / target) + 1)
+        for g in heavy
+    }
+    spark = groups.sparkSession
+    items = [(g["weight"], tuple(g[k] for k in key), 0) for g in heavy if pieces_of[tuple(g[k] for k in key)] == 1]
+    if cut := [(*k, n) for k, n in pieces_of.items() if n > 1]:
+        table = spark.createDataFrame(cut, "text_hash long, size long, text_crc32 long, pieces int")
+        weights = rows.join(F.broadcast(table), key).groupBy(*key, _piece().alias("piece")).agg(F.sum("size").alias("w"))
+        items += [(r["w"], tuple(r[k] for k in key), r["piece"]) for r in weights.collect()]
+    loads, homes = [0.0] * shards, {k: [0] * n for k, n in pieces_of.items()}
+    for weight, k, piece in sorted(items, key=lambda x: (-x[0], x[1:])):
+        homes[k][piece] = least = min(range(shards), key=lambda i: (loads[i], i))
+        loads[least] += weight
+    heavy_rows = [(*k, pieces_of[k], shards_) for k, shards_ in homes.items()]
     rest = _boxed(groups.filter(F.col("weight") <= target / HEAVY_SHARE))
-    room = (total - sum(loads)) / max(1, sum(x < target for x in loads))
-    wants = _levelled(loads, total, room)
+    wants = _levelled(loads, total)
     light = _split(rest, wants).select(*key, F.lit(1).alias("pieces"), F.array("shard").alias("targets"))
     schema = "text_hash long, size long, text_crc32 long, pieces int, targets array<int>"
-    return light.union(groups.sparkSession.createDataFrame(heavy_rows, schema)) if heavy_rows else light
+    return light.union(spark.createDataFrame(heavy_rows, schema)) if heavy_rows else light
 
 
-def _levelled(loads: list[float], total: float, room: float) -> list[float]:
+def _levelled(loads: list[float], total: float) -> list[float]:
     """What each leaf still gets so that all end level, as far as the heavy groups allow."""
     open_ = sorted(range(len(loads)), key=lambda i: loads[i])
     rest, level, n = total - sum(loads), 0.0, 0
@@ -166,9 +174,13 @@ def _split(groups: DataFrame, wants: list[float]) -> DataFrame:
             steps = {d: box[f"hi_{d}"] - box[f"lo_{d}"] for d in DIMENSIONS}
             widest = max(DIMENSIONS, key=lambda d: (steps[d] >> TIE_BITS, -DIMENSIONS.index(d)))
             share = sum(wants[a:middle]) / (sum(wants[a:b]) or 1.0)
-            cuts[n] = [widest, box[f"lo_{widest}"], box[f"hi_{widest}"] + 1, share * box["weight"]]
-        for _ in range(2):
-            _refine(current, cuts)
+            cuts[n] = [widest, box[f"lo_{widest}"], box[f"hi_{widest}"] + 1, share * box["weight"], box["weight"]]
+        open_ = dict(cuts)
+        while open_:
+            open_ = _refine(current, open_, cuts)
+        for c in cuts.values():
+            # What is left of the interval goes to the side that it brings nearer to its goal.
+            c[1] = c[2] if 2 * c[3] >= c[4] else c[1]
         new, number = {}, {}
         for n, (a, b) in nodes.items():
             middle = (a + b) // 2 if b - a > 1 else b
@@ -185,23 +197,34 @@ def _split(groups: DataFrame, wants: list[float]) -> DataFrame:
     return current.withColumn("shard", leaf.cast("int"))
 
 
-def _refine(current: DataFrame, cuts: dict[int, list]) -> None:
-    """Narrow each node's interval to the bin that its goal falls in; afterwards the interval's start is the cut."""
-    if not cuts:
-        return
+def _refine(current: DataFrame, open_: dict[int, list], cuts: dict[int, list]) -> dict[int, list]:
+    """Narrow each open node's interval to the bin that its goal falls in.
+
+    A cut is [dimension, start, end, goal from the start on, weight inside]. Nodes stay open until their interval
+    holds one group or one coordinate, which takes five rounds at most.
+    """
     bin_ = F.lit(None)
-    for n, (d, lo, hi, _) in cuts.items():
-        width = max(1, -(-(hi - lo) // BINS))
+    for n, (d, lo, hi, *_) in open_.items():
         at = F.col(f"at_{d}")
         inside = (F.col("node") == n) & (at >= F.lit(lo)) & (at < F.lit(hi))
-        bin_ = F.when(inside, F.floor((at - F.lit(lo)) / F.lit(width)).cast("long")).otherwise(bin_)
-    sums = current.select("node", "weight", bin_.alias("bin")).filter("bin is not null").groupBy("node", "bin").agg(F.sum("weight").alias("w"))
+        bin_ = F.when(inside, F.floor((at - F.lit(lo)) / F.lit(_width(lo, hi))).cast("long")).otherwise(bin_)
+    binned = current.select("node", "weight", bin_.alias("bin")).filter("bin is not null")
+    sums = binned.groupBy("node", "bin").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("groups"))
+    # A node has BINS bins at most.
     running = sums.withColumn("upto", F.sum("w").over(Window.partitionBy("node").orderBy("bin")))
-    goals = current.sparkSession.createDataFrame([(n, float(c[3])) for n, c in cuts.items()], "node int, goal double")
-    # The first bin that passes the goal; a box on a level has at most BINS bins.
-    hits = running.join(F.broadcast(goals), "node").filter(F.col("upto") >= F.col("goal")).groupBy("node").agg(F.min_by(F.struct("bin", "w", "upto"), "bin").alias("hit"))
-    for r in hits.collect():
-        d, lo, hi, goal = cuts[r["node"]]
-        width = max(1, -(-(hi - lo) // BINS))
-        start = lo + r["hit"]["bin"] * width
-        cuts[r["node"]] = [d, start, min(hi, start + width), goal - (r["hit"]["upto"] - r["hit"]["w"])]
+    goals = current.sparkSession.createDataFrame([(n, float(c[3])) for n, c in open_.items()], "node int, goal double")
+    reached = running.join(F.broadcast(goals), "node").filter(F.col("upto") >= F.col("goal"))
+    hits = reached.groupBy("node").agg(F.min_by(F.struct("bin", "w", "upto", "groups"), "bin").alias("hit")).collect()
+    still = {}
+    for n, hit in ((r["node"], r["hit"]) for r in hits):
+        d, lo, hi, goal, _ = cuts[n]
+        width = _width(lo, hi)
+        start = lo + hit["bin"] * width
+        cuts[n][:] = [d, start, min(hi, start + width), goal - (hit["upto"] - hit["w"]), hit["w"]]
+        if hit["groups"] > 1 and width > 1:
+            still[n] = cuts[n]
+    return still
+
+
+def _width(lo: int, hi: int) -> int:
+    return max(1, -(-(hi - lo) // BINS))
