@@ -112,16 +112,22 @@ def asof_daily(
     calendar. Without ``by`` that is one row per day, 3.7 million rows for the whole
     range of DATE and some ten thousand in practice, so it is broadcast and the bars
     are not shuffled at all. With ``by`` the day is part of the join key, which
-    spreads a hot key over its days. Requires a lag of whole days.
+    spreads a hot key over its days. Requires a lag of whole days; a right row off midnight is
+    an error (its value would be used before it exists), and of several rows of one day and key the
+    greatest counts.
     """
     if availability_lag % DAY:
         raise ValueError("a daily as-of join needs a lag of whole days")
     by = list(by)
     day = F.to_date(F.col(ts))
-    daily = right.select(
-        *by,
-        F.date_add(day, availability_lag.days).alias("_day"),
-        F.struct(*values).alias("_known"),
+    midnight = F.when(F.date_trunc("day", ts).cast(right.schema[ts].dataType) == F.col(ts), day).otherwise(
+        F.raise_error(F.concat(F.lit("a daily as-of join needs midnights on the right side, found "), F.col(ts).cast("string"))).cast("date")
+    )
+    daily = (
+        right.filter(F.col(ts).isNotNull())
+        .select(*by, F.date_add(midnight, availability_lag.days).alias("_day"), F.struct(*values).alias("_known"))
+        .groupBy(*by, "_day")
+        .agg(F.max("_known").alias("_known"))
     )
     # A value holds until the day before the next one of its key.
     order = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_day")

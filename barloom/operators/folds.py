@@ -13,7 +13,6 @@ from barloom.operators.splits import split_sizes
 from barloom.schemas import SERIES_KEYS
 
 JOIN_ROWS = 65_536  # positions per join slot of the folds x bars range join
-MAX_FOLDS = 2_000  # months between the first and last fold start of one series
 
 
 def fold_windows(bars: DataFrame, window_months: int, step_months: int, keys: Sequence[str] = SERIES_KEYS) -> DataFrame:
@@ -27,7 +26,7 @@ def fold_windows(bars: DataFrame, window_months: int, step_months: int, keys: Se
     span = bars.groupBy(*keys).agg(F.min("ts").alias("_lo"), F.max("ts").alias("_hi"))
     count = F.greatest(F.floor(F.months_between("_hi", "_lo") / step_months), F.lit(0)).cast("int") + 1
     starts = F.aggregate(
-        F.sequence(F.lit(1), F.least(count, F.lit(MAX_FOLDS))),
+        F.sequence(F.lit(1), count),
         F.array(F.col("_lo") + step),
         lambda acc, _: F.concat(acc, F.array(F.element_at(acc, -1) + step)),
     )
@@ -126,9 +125,10 @@ def fold_slices(
             F.array(*[F.struct(F.lit(p).alias("part"), ends[p][0].alias("lo"), ends[p][1].alias("hi")) for p in parts])
         ).alias("_r"),
     ).select(*keys, "fold", "_r.*")
-    # The last close of each slice: an equi-join on the position.
+    # The last close of each slice: an equi-join on the position, which exists for every range, so
+    # the few ranges can be the small side.
     last = bars.select(*keys, F.col("rn").alias("_at"), F.col("close").alias("_last_close"))
-    ranges = ranges.withColumn("_at", F.col("hi") - 1).join(last, [*keys, "_at"], "left").drop("_at")
+    ranges = ranges.withColumn("_at", F.col("hi") - 1).join(last, [*keys, "_at"]).drop("_at")
     slotted = ranges.withColumn(
         "_slot", F.explode(F.sequence(F.expr(f"lo div {JOIN_ROWS}"), F.expr(f"(hi - 1) div {JOIN_ROWS}")))
     )

@@ -25,7 +25,18 @@ def memory_rows(*decays: float) -> int:
     early gives the values of the unbounded recurrence. Rounded up to sub-blocks.
     """
     rows = sum(math.ceil(UNDERFLOW_EXPONENT / -math.log(decay)) for decay in decays)
-    return math.ceil(rows / SUB_ROWS) * SUB_ROWS
+    whole = max(SUB_ROWS, sub_rows(decays))
+    return math.ceil(rows / whole) * whole
+
+
+def sub_rows(decays: Sequence[float]) -> int:
+    """Length of a sub-block that suits all of some decays, a power of two.
+
+    The fastest decay bounds it: ``d^-rows`` must stay a double. A slow one is carried over fewer, longer
+    sub-blocks.
+    """
+    longest = 600.0 / max(-math.log(decay) for decay in decays)
+    return 1 << max(0, math.floor(math.log2(longest))) if not 1.0 <= longest / SUB_ROWS < 32.0 else SUB_ROWS
 
 
 def linear_recurrence(
@@ -46,21 +57,26 @@ def linear_recurrence(
     """
     keys = list(keys)
     names = list(recurrences)
+    for name, (_, decay) in recurrences.items():
+        if not 0.0 < decay < 1.0:
+            raise ValueError(f"{name}: decay {decay} is not between 0 and 1")
+    size = sub_rows([decay for _, decay in recurrences.values()])
+    given = df
+    if size != SUB_ROWS:
+        df = df.withColumn("_sub", F.expr(f"rn div {size}"))
     sub, block = sub_window(keys), block_window(keys)
     growing = sub.rowsBetween(Window.unboundedPreceding, 0)
     local, reach = [], {}
     for name, (term, decay) in recurrences.items():
         rate = -math.log(decay)
-        if not 0.0 < decay < 1.0 or rate * SUB_ROWS > 600:
-            raise ValueError(f"{name}: decay {decay} does not fit sub-blocks of {SUB_ROWS} rows")
-        up = F.expr(f"pow({float(decay)!r}D, _sub * {SUB_ROWS} - rn)")
-        down = F.expr(f"pow({float(decay)!r}D, rn - _sub * {SUB_ROWS})")
+        up = F.expr(f"pow({float(decay)!r}D, _sub * {size} - rn)")
+        down = F.expr(f"pow({float(decay)!r}D, rn - _sub * {size})")
         local.append(F.sum(F.coalesce(term, F.lit(0.0)) * up).over(growing) * down)
-        reach[name] = math.ceil(UNDERFLOW_EXPONENT / (rate * SUB_ROWS))
+        reach[name] = math.ceil(UNDERFLOW_EXPONENT / (rate * size))
     # One array of all recurrences: one lag per preceding sub-block serves them all.
     out = df.withColumn("_local", F.array(*local))
     ends = {
-        f"_end{back}": F.lag("_local", 1 + back * SUB_ROWS).over(block)
+        f"_end{back}": F.lag("_local", 1 + back * size).over(block)
         for back in range(max(reach.values()))
     }
     out = out.withColumns(ends)
@@ -68,17 +84,18 @@ def linear_recurrence(
     carries = []
     for i, name in enumerate(names):
         decay = recurrences[name][1]
-        terms = [f"coalesce(_end{back}[{i}] * {float(decay ** (back * SUB_ROWS))!r}D, 0D)" for back in range(reach[name])]
+        terms = [f"coalesce(_end{back}[{i}] * {float(decay ** (back * size))!r}D, 0D)" for back in range(reach[name])]
         carries.append(" + ".join(reversed(terms)))
-    entry = F.expr(f"CASE WHEN rn = _sub * {SUB_ROWS} THEN array({', '.join(carries)}) END")
+    entry = F.expr(f"CASE WHEN rn = _sub * {size} THEN array({', '.join(carries)}) END")
     out = out.withColumn("_carry", F.first(entry).over(growing))
     final = {
         name: F.expr(
-            f"_local[{i}] + coalesce(_carry[{i}], 0D) * pow({float(recurrences[name][1])!r}D, rn - _sub * {SUB_ROWS} + 1)"
+            f"_local[{i}] + coalesce(_carry[{i}], 0D) * pow({float(recurrences[name][1])!r}D, rn - _sub * {size} + 1)"
         )
         for i, name in enumerate(names)
     }
-    return out.withColumns(final).drop("_local", "_carry", *ends)
+    out = out.withColumns(final).drop("_local", "_carry", *ends)
+    return out if size == SUB_ROWS else out.withColumn("_sub", F.expr(f"rn div {SUB_ROWS}")).select(*given.columns, *names)
 
 
 def running_sum(

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DECIMAL = "decimal(28,10)"
+DECIMAL = "decimal(38,18)"
 
 
 def floor_to_step(value: Column, step: Column) -> Column:
-    """Largest multiple of ``step`` not above ``value`` (quantity step, price tick)."""
+    """Largest multiple of ``step`` not above ``value`` (quantity step, price tick).
+
+    A double becomes its shortest decimal; 18 digits after the point leave nothing to round up.
+    """
     v, s = value.cast(DECIMAL), step.cast(DECIMAL)
     return (v - v % s).cast(DECIMAL)
 

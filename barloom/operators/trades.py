@@ -80,13 +80,11 @@ def cooldown_picks(
     swing: int,
     payload: Sequence[str],
     pos: str = "pos",
-    max_rows: int | None = None,
 ) -> DataFrame:
     """Picks of the sequential scan: one row per ``(keys, _blk)`` with an array ``picks``.
 
     ``candidates`` holds only bars that may open a trade; ``pos`` counts all bars of
-    the run. ``max_rows`` states a known bound of ``pos``: at most one block needs no
-    composition.
+    the run.
     """
     keys = list(keys)
     blocks = (
@@ -94,10 +92,7 @@ def cooldown_picks(
         .groupBy(*keys, "_blk")
         .agg(F.array_sort(F.collect_list("_c")).alias("_cands"))
     )
-    if max_rows is not None and max_rows <= FOLD_ROWS:
-        blocks = blocks.withColumn("_entry", F.lit(0).cast("long"))
-    else:
-        blocks = blocks.join(_entries(blocks, keys, swing, pos), [*keys, "_blk"])
+    blocks = blocks.join(_entries(blocks, keys, swing, pos), [*keys, "_blk"])
     start = F.struct(
         (F.col("_blk") * FOLD_ROWS + F.col("_entry")).alias("free"),
         F.expr("filter(_cands, c -> false)").alias("picks"),
@@ -189,10 +184,9 @@ def cooldown_select(
     swing: int,
     payload: Sequence[str],
     pos: str = "pos",
-    max_rows: int | None = None,
 ) -> DataFrame:
     """The picked candidates as rows: ``keys, pos`` and the payload."""
-    picks = cooldown_picks(candidates, keys, swing, payload, pos, max_rows)
+    picks = cooldown_picks(candidates, keys, swing, payload, pos)
     return picks.select(*keys, F.explode("picks").alias("_p")).select(*keys, "_p.*")
 
 
@@ -208,7 +202,6 @@ def threshold_search(
     thresholds: Sequence[float],
     min_trades: Column | int,
     pos: str = "pos",
-    max_rows: int | None = None,
     score: str = "score",
     ret: str = "ret",
 ) -> DataFrame:
@@ -222,7 +215,7 @@ def threshold_search(
     grid = F.array(*[F.lit(float(t)) for t in thresholds])
     reached = F.filter(grid, lambda t: F.col(score) >= t)
     candidates = scored.select(*keys, pos, F.col(ret).alias("_ret"), F.explode(reached).alias("threshold"))
-    picks = cooldown_picks(candidates, [*keys, "threshold"], swing, ["_ret"], pos, max_rows)
+    picks = cooldown_picks(candidates, [*keys, "threshold"], swing, ["_ret"], pos)
     nets = picks.groupBy(*keys, "threshold").agg(
         F.sum(F.size("picks")).alias("n_trades"),
         F.sum(F.aggregate("picks", F.lit(0.0), lambda acc, p: acc + p["_ret"])).alias("net"),

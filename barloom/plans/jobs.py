@@ -21,13 +21,8 @@ from barloom.session import cut_lineage
 from barloom.sources.tables import latest_bar
 
 
-def _longest(scored: DataFrame) -> int:
-    """Longest run of a written table: short runs need no composition over blocks."""
-    return (scored.agg(F.max("pos")).first()[0] or 0) + 1
-
-
 def run_metrics(
-    scored: DataFrame, keys: Sequence[str], swing: int, threshold: Column | None, ret: str = "ret", max_rows: int | None = None
+    scored: DataFrame, keys: Sequence[str], swing: int, threshold: Column | None, ret: str = "ret"
 ) -> DataFrame:
     """Trade metrics per run: of the model at ``threshold``, or naive (every bar) when None."""
     gain, loss = tr.gain_and_loss(F.col(ret), F.col("target"))
@@ -35,7 +30,7 @@ def run_metrics(
     if threshold is None:
         picked = tr.naive_trades(rows, swing)
     else:
-        picked = tr.cooldown_select(rows.filter(F.col("score") >= threshold), keys, swing, [ret, "gain", "loss"], max_rows=max_rows)
+        picked = tr.cooldown_select(rows.filter(F.col("score") >= threshold), keys, swing, [ret, "gain", "loss"])
     return mx.trade_metrics(picked, keys, ret=ret)
 
 
@@ -72,15 +67,14 @@ def naive_vs_model(
     ret = tr.trade_return(tp, sl, F.col("exit_close"), cost)
     rows = scorer(placed.filter("split IN ('val', 'test')")).withColumn("ret", ret)
     scored = cut_lineage(rows.select(*SERIES_KEYS, "split", "pos", "score", "target", "ret"))
-    longest = _longest(scored)
     found = tr.threshold_search(
         scored.filter("split = 'val'"), SERIES_KEYS, swing,
-        tr.threshold_grid(*tr.BINARY_GRID, inclusive=False), tr.production_min_trades(swing), max_rows=longest,
+        tr.threshold_grid(*tr.BINARY_GRID, inclusive=False), tr.production_min_trades(swing),
     )
     found = cut_lineage(found.select(*SERIES_KEYS, "threshold"))
     keys = [*SERIES_KEYS, "split"]
     naive = run_metrics(scored, keys, swing, None)
-    model = run_metrics(scored.join(found, list(SERIES_KEYS)), keys, swing, F.col("threshold"), max_rows=longest)
+    model = run_metrics(scored.join(found, list(SERIES_KEYS)), keys, swing, F.col("threshold"))
     columns = ("trade_count", "gross_profit", "gross_loss", "profit_factor", "max_drawdown")
     n = naive.select(*keys, *[F.col(c).alias(f"naive_{c}") for c in columns])
     m = model.select(*keys, *[F.col(c).alias(f"model_{c}") for c in columns])
@@ -156,14 +150,13 @@ def regimes(
             {"ret": tr.trade_return(tp, sl, F.col("exit_close"), payoff=payoff), "ret_val": tr.trade_return(tp, sl, F.col("exit_close"))}
         )
     )
-    longest = _longest(scored)
     found = tr.threshold_search(
         scored.filter("part = 'val'"), keys, swing, tr.threshold_grid(*tr.BINARY_GRID, inclusive=False),
-        tr.production_min_trades(swing), ret="ret_val", max_rows=longest,
+        tr.production_min_trades(swing), ret="ret_val",
     ).select(*keys, "threshold")
     found = cut_lineage(found)
     window = scored.filter("part = 'window'").join(found.filter("threshold IS NOT NULL"), keys)
-    model = tr.cooldown_select(window.filter("score >= threshold"), keys, swing, ["ret"], max_rows=longest)
+    model = tr.cooldown_select(window.filter("score >= threshold"), keys, swing, ["ret"])
     naive = tr.naive_trades(window, swing).select(*keys, "pos", "ret")
     trades = cut_lineage(
         model.withColumn("side", F.lit("model")).unionByName(naive.withColumn("side", F.lit("naive")))
@@ -220,12 +213,11 @@ def optimize(
         rows = scorer(placed).withColumn("ret", ret)
         scored[swing] = cut_lineage(rows.select(*keys, "split", "pos", "score", "target", "ret"))
         val = scored[swing].filter("split = 'val'")
-        longest = _longest(scored[swing])
         found = cut_lineage(
-            tr.threshold_search(val, keys, swing, grid, tr.production_min_trades(swing), max_rows=longest)
+            tr.threshold_search(val, keys, swing, grid, tr.production_min_trades(swing))
         )
         found = found.filter("threshold IS NOT NULL").select(*keys, "threshold", "n_rows")
-        one = _config_metrics(val, found, keys, swing, longest).withColumn("swing", F.lit(swing))
+        one = _config_metrics(val, found, keys, swing).withColumn("swing", F.lit(swing))
         results = one if results is None else results.unionByName(one)
     results = cut_lineage(results)
 
@@ -236,17 +228,17 @@ def optimize(
         mine = winners.filter(F.col("swing") == swing)
         test = rows.filter("split = 'test'").join(mine.select(*keys), keys, "left_semi")
         sizes = test.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-        one = _config_metrics(test, mine.select(*keys, "threshold").join(sizes, keys), keys, swing, _longest(rows))
+        one = _config_metrics(test, mine.select(*keys, "threshold").join(sizes, keys), keys, swing)
         one = one.select(*SERIES_KEYS, F.col("fitness").alias("test_fitness"), F.col("trade_count").alias("test_trades"))
         audits = one if audits is None else audits.unionByName(one)
     verdict = winners.join(audits, list(SERIES_KEYS), "left")
     return results, verdict.withColumn("oos_sane", mx.oos_sane(F.col("test_fitness"), F.col("fitness")))
 
 
-def _config_metrics(rows: DataFrame, found: DataFrame, keys: Sequence[str], swing: int, max_rows: int) -> DataFrame:
+def _config_metrics(rows: DataFrame, found: DataFrame, keys: Sequence[str], swing: int) -> DataFrame:
     """Reported metrics per configuration: score from exact values, the rest rounded."""
     fired = rows.join(found.select(*keys, "threshold"), list(keys))
-    exact = run_metrics(fired, keys, swing, F.col("threshold"), max_rows=max_rows)
+    exact = run_metrics(fired, keys, swing, F.col("threshold"))
     exact = exact.join(found, list(keys))
     return exact.select(
         *keys,

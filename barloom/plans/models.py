@@ -12,12 +12,12 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators.folds import fold_slices
@@ -26,7 +26,24 @@ from barloom.plans.config import FORMULATIONS
 from barloom.schemas import SERIES_KEYS
 from barloom.session import cut_lineage
 
-Predict = Callable[[DataFrame], DataFrame]
+#: Column of the fitted model that becomes the score.
+SCORES = {
+    "binary_homerun": lambda: vector_to_array("probability")[1],
+    "multiclass_3": lambda: F.get(vector_to_array("probability"), F.lit(2)),
+    "regression_return": lambda: F.col("prediction"),
+}
+
+
+@dataclass(frozen=True)
+class Fitted:
+    """A fitted formulation: called on rows with its features it adds ``score``."""
+
+    pipeline: PipelineModel
+    formulation: str
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        scored = self.pipeline.transform(df).withColumn("score", SCORES[self.formulation]())
+        return scored.select(*df.columns, "score")
 
 
 @dataclass(frozen=True)
@@ -37,10 +54,6 @@ class Hyper:
     seed: int = 42
 
 
-def _assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="_x").transform(df)
-
-
 def _weighted(train: DataFrame, label: str) -> DataFrame:
     """Balanced weights ``n / (k * n_c)``; the class table has one row per class."""
     counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
@@ -51,42 +64,34 @@ def _weighted(train: DataFrame, label: str) -> DataFrame:
     return train.withColumn("_w", weight)
 
 
-def fit(train: DataFrame, val: DataFrame, formulation: str, features: Sequence[str], hyper: Hyper = Hyper()) -> Predict:
-    """Fit one formulation; the validation rows stop boosting early.
+def fit(train: DataFrame, val: DataFrame, formulation: str, features: Sequence[str], hyper: Hyper = Hyper()) -> Fitted:
+    """Fit one formulation; the validation rows, if there are any, stop boosting early.
 
-    The returned function adds ``score``: P(take profit), or the predicted return.
+    The score is P(take profit), or the predicted return.
     """
     both = train.withColumn("_val", F.lit(False)).unionByName(val.withColumn("_val", F.lit(True)))
     boosted = {
         "featuresCol": "_x", "labelCol": "_y", "maxIter": hyper.n_trees, "maxDepth": hyper.max_depth,
-        "stepSize": hyper.learning_rate, "seed": hyper.seed, "validationIndicatorCol": "_val",
+        "stepSize": hyper.learning_rate, "seed": hyper.seed,
     }
+    if val.limit(1).count():
+        boosted["validationIndicatorCol"] = "_val"
     if formulation == "binary_homerun":
         labelled = both.withColumn("_y", (F.col("target") == 1).cast("double"))
         stats = labelled.filter("NOT _val").agg(F.sum("_y").alias("pos"), F.count(F.lit(1)).alias("n")).first()
         ratio = (stats["n"] - (stats["pos"] or 0)) / max(1.0, stats["pos"] or 0)
         weighted = labelled.withColumn("_w", F.when(F.col("_y") == 1, ratio).otherwise(1.0))
-        model = GBTClassifier(weightCol="_w", **boosted).fit(_assemble(weighted, features))
-        score = vector_to_array("probability")[1]
+        rows, model = weighted, GBTClassifier(weightCol="_w", **boosted)
     elif formulation == "multiclass_3":
         labelled = train.withColumn("_y", (F.col("target") + 1).cast("double"))
-        model = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", family="multinomial").fit(
-            _assemble(_weighted(labelled, "_y"), features)
-        )
-        score = F.get(vector_to_array("probability"), F.lit(2))
+        rows = _weighted(labelled, "_y")
+        model = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", family="multinomial")
     elif formulation == "regression_return":
-        labelled = both.withColumn("_y", F.col("target_ret"))
-        model = GBTRegressor(lossType="absolute", **boosted).fit(_assemble(labelled, features))
-        score = F.col("prediction")
+        rows, model = both.withColumn("_y", F.col("target_ret")), GBTRegressor(lossType="absolute", **boosted)
     else:
         raise ValueError(f"unknown formulation {formulation!r}; available: {sorted(FORMULATIONS)}")
-    model.setFeaturesCol("_x")
-
-    def predict(df: DataFrame) -> DataFrame:
-        scored = model.transform(_assemble(df, features)).withColumn("score", score)
-        return scored.select(*df.columns, "score")
-
-    return predict
+    assembler = VectorAssembler(inputCols=list(features), outputCol="_x")
+    return Fitted(Pipeline(stages=[assembler, model]).fit(rows), formulation)
 
 
 def model_scorer(
@@ -134,7 +139,7 @@ def model_scorer(
     return scorer
 
 
-def production_fit(dataset: DataFrame, features: Sequence[str], hyper: Hyper = Hyper()) -> Predict:
+def production_fit(dataset: DataFrame, features: Sequence[str], hyper: Hyper = Hyper()) -> Fitted:
     """Final model of one series: the last ``min(30, 10 %)`` rows, if at least ten, stop the boosting."""
     placed = dataset if "n_bars" in dataset.columns else with_position(dataset)
     holdout = F.least(F.lit(30), F.floor(F.col("n_bars") * 0.1))
@@ -142,7 +147,12 @@ def production_fit(dataset: DataFrame, features: Sequence[str], hyper: Hyper = H
     return fit(placed.filter(~is_val), placed.filter(is_val), "binary_homerun", features, hyper)
 
 
-def save_bundle(model: PipelineModel, metadata: DataFrame, path: str) -> None:
+def save_bundle(fitted: Fitted, metadata: DataFrame, path: str) -> None:
     """The fitted pipeline and its one-row table of threshold, barriers and features."""
-    model.write().overwrite().save(f"{path}/model")
-    metadata.write.mode("overwrite").json(f"{path}/metadata")
+    fitted.pipeline.write().overwrite().save(f"{path}/model")
+    metadata.withColumn("formulation", F.lit(fitted.formulation)).write.mode("overwrite").json(f"{path}/metadata")
+
+
+def load_bundle(spark: SparkSession, path: str) -> tuple[Fitted, DataFrame]:
+    metadata = spark.read.json(f"{path}/metadata")
+    return Fitted(PipelineModel.load(f"{path}/model"), metadata.first()["formulation"]), metadata

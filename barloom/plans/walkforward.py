@@ -47,11 +47,6 @@ def prepare(bars: DataFrame, config: ExperimentConfig) -> tuple[DataFrame, DataF
     return ready, cut_lineage(bounds)
 
 
-def _longest(bounds: DataFrame, lo: str, hi: str) -> int:
-    """Longest slice of any fold, from the small bounds table."""
-    return bounds.agg(F.max(F.col(hi) - F.col(lo))).first()[0] or 0
-
-
 def evaluate(
     ready: DataFrame,
     bounds: DataFrame,
@@ -64,7 +59,7 @@ def evaluate(
     """Threshold on validation, trades and naive trades out of sample, bootstrap, gate.
 
     ``thresholds`` is one grid, or one per value of a ``formulation`` run key.
-    ``bounds`` is a written table (see ``prepare``); it tells how long slices get.
+    ``bounds`` is a written table (see ``prepare``).
     """
     keys = [*SERIES_KEYS, *run_keys]
     run = [*keys, "fold"]
@@ -72,22 +67,22 @@ def evaluate(
     base = ("ts", "close", "atr_14", "target", "close_ahead")
     slices = fold_slices(ready, bounds, ("val", "oos"), (*base, *columns), swing)
     ret = trade_return(config.tp_multi, config.sl_multi, F.col("exit_close"), config.cost)
-    scored = scorer(slices).select(*run, "part", "pos", "ts", "score", ret.alias("ret"))
+    # Read for the thresholds, the sizes of the runs and both sides out of sample.
+    scored = cut_lineage(scorer(slices).select(*run, "part", "pos", "ts", "score", ret.alias("ret")))
 
     val = scored.filter("part = 'val'")
-    val_rows, oos_rows = _longest(bounds, "val_lo", "val_hi"), _longest(bounds, "oos_lo", "oos_hi")
     if isinstance(thresholds, Mapping):
         found = None
         for name, grid in thresholds.items():
-            one = threshold_search(val.filter(F.col("formulation") == name), run, swing, grid, VAL_TRADES_FLOOR, max_rows=val_rows)
+            one = threshold_search(val.filter(F.col("formulation") == name), run, swing, grid, VAL_TRADES_FLOOR)
             found = one if found is None else found.unionByName(one)
     else:
-        found = threshold_search(val, run, swing, thresholds, VAL_TRADES_FLOOR, max_rows=val_rows)
+        found = threshold_search(val, run, swing, thresholds, VAL_TRADES_FLOOR)
     chosen = cut_lineage(found.select(*run, "threshold"))
 
     used = chosen.filter("threshold IS NOT NULL")
     oos = scored.filter("part = 'oos'").join(used, run)
-    model = cooldown_select(oos.filter("score >= threshold"), run, swing, ["ts", "ret"], max_rows=oos_rows)
+    model = cooldown_select(oos.filter("score >= threshold"), run, swing, ["ts", "ret"])
     naive = naive_trades(oos, swing)
     trades = cut_lineage(
         model.select(*run, F.lit("model").alias("side"), "pos", "ts", "ret").unionByName(

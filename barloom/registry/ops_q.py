@@ -226,8 +226,9 @@ def signal_scan(spark, sf):
 
 @query("position_sizing", with_sql(
     {"bars_1h": None,
-     "q": """SELECT symbol, ts, close, floor(500::DOUBLE / close / 0.001::DOUBLE + 1e-9::DOUBLE) AS steps FROM bars_1h"""},
-    f"""SELECT symbol, ts, {op.r6('steps / 1000')} AS quantity, {op.r6("floor(close / 0.05::DOUBLE + 1e-9::DOUBLE) * 0.05::DOUBLE")} AS tp_tick,
+     "q": """SELECT symbol, ts, close, (floor(((500::DOUBLE / close)::VARCHAR)::DECIMAL(38,18) * 1000))::DOUBLE AS steps,
+          (floor((close::VARCHAR)::DECIMAL(38,18) * 20))::DOUBLE AS ticks FROM bars_1h"""},
+    f"""SELECT symbol, ts, {op.r6('steps / 1000')} AS quantity, {op.r6("ticks / 20")} AS tp_tick,
     CASE WHEN steps / 1000 < 2.5::DOUBLE THEN 'below_min_qty' WHEN steps / 1000 * close < 499.9::DOUBLE THEN 'below_min_notional' END AS reject_reason FROM q"""))
 def position_sizing(spark, sf):
     signals = fx.bars(spark, sf, "1h").select("symbol", "ts", "close", F.col("close").alias("tp"))

@@ -42,9 +42,11 @@ def scan_stream(
         spark = batch.sparkSession
         replace = {"mode": "overwrite"}
         batch.write.parquet(f"{table_path}/batch={batch_id}", **replace)
-        history = spark.read.schema(BAR).option("basePath", table_path).parquet(f"{table_path}/batch=*")
+        history = spark.read.schema(BAR).parquet(table_path)
+        # Batches count as numbers: as text, 9 would come after 10. Inside a batch, the later row wins.
+        landed = F.struct(F.col("batch").cast("long"), "_metadata.file_path", "_metadata.row_index")
         touched = batch.select(*SERIES_KEYS).distinct()
-        affected = history.join(touched, list(SERIES_KEYS), "left_semi").withColumn("_from", F.input_file_name())
+        affected = history.select(*BAR.names, landed.alias("_from")).join(touched, list(SERIES_KEYS), "left_semi")
         bars = keep_last(affected, [*SERIES_KEYS, "ts"], "_from").drop("_from")
         latest_signals(scorer(bars), models).write.parquet(f"{signals_path}/batch={batch_id}", **replace)
 

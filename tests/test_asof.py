@@ -81,6 +81,16 @@ def test_matched_null_stays_null_and_buckets_do_not_matter(spark):
     assert values(asof_daily(left, right.drop("symbol"), ["v"], timedelta(0)), "v") == expected
 
 
+def test_daily_join_refuses_intraday_rows_and_keeps_one_row_a_day(spark):
+    left = probes(spark, [D(2024, 1, 1), D(2024, 1, 1, 12), D(2024, 1, 2, 4)], "s")
+    twice = spark.createDataFrame([("s", D(2024, 1, 1), 1.0), ("s", D(2024, 1, 1), 2.0)], "symbol string, ts timestamp_ntz, v double")
+    for by, right in ((["symbol"], twice), ([], twice.drop("symbol"))):
+        assert values(asof_daily(left, right, ["v"], timedelta(0), by), "v") == [2.0, 2.0, 2.0]
+    late = spark.createDataFrame([("s", D(2024, 1, 1, 20), 1.0), ("s", D(2024, 1, 2, 3), 2.0)], "symbol string, ts timestamp_ntz, v double")
+    with pytest.raises(Exception, match="midnight"):
+        asof_daily(left, late, ["v"], timedelta(0), ["symbol"]).collect()
+
+
 def test_lag_of_part_of_a_day_is_refused(spark):
     with pytest.raises(ValueError):
         asof_daily(probes(spark, [D(2024, 1, 1)]), daily(spark, D(2024, 1, 1), [1], "v"), ["v"], timedelta(hours=5))

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.operators.indicators import ema
 from barloom.operators.layout import block_window, drop_halo, with_halo, with_position
 from barloom.operators.scan import ema_term, forward_fill, linear_recurrence, memory_rows, rma_term, running_sum
 
@@ -87,8 +88,21 @@ def test_running_sum_and_forward_fill_cross_blocks(series):
             assert got[symbol, i][1] == filled
 
 
-def test_too_wide_a_frame_is_refused(series):
-    with pytest.raises(ValueError, match="wider"):
-        with_halo(series[0], back=BLOCK + 1, rows=BLOCK)
+def test_a_block_is_at_least_as_long_as_its_frame(series):
+    placed, values = series
+    out = with_halo(placed, back=BLOCK + 1, rows=BLOCK).groupBy("symbol", "_blk").agg(F.count_if("_own").alias("n"))
+    longest = max(len(v) for v in values.values())
+    assert out.agg(F.max("n")).first()[0] == min(2 * BLOCK, longest)
     with pytest.raises(ValueError, match="decay"):
-        linear_recurrence(with_halo(series[0]), {"y": (F.col("x"), 0.5)})
+        linear_recurrence(with_halo(placed), {"y": (F.col("x"), 1.0)})
+
+
+@pytest.mark.parametrize("n", [2, 5, 6, 20, 700, 800, 2000])
+def test_ema_of_any_length_matches_a_loop(series, n):
+    placed, values = series
+    got = {(r.symbol, r.rn): r.e for r in ema(placed, "x", n, "e").select("symbol", "rn", "e").collect()}
+    for symbol, xs in values.items():
+        y = None
+        for i, x in enumerate(xs):
+            y = sum(xs[:n]) / n if i == n - 1 else y if y is None else y + (x - y) * 2 / (n + 1)
+            assert got[symbol, i] is None if y is None else got[symbol, i] == pytest.approx(y, rel=1e-9)

@@ -95,6 +95,31 @@ def test_stream_equals_batch(spark, series):
     assert (streamed.ts, streamed.obv, streamed.tp) == (batch.ts, batch.obv, pytest.approx(batch.tp))
 
 
+def test_stream_takes_the_latest_correction(spark, series):
+    """A bar that lands again and again: its last version counts, also past the tenth batch."""
+    folder = tempfile.mkdtemp(prefix="barloom-stream-")
+    model = spark.createDataFrame([("BTC_USDT", "4h", "m", 0.5, 1.5, 1.0)], "symbol string, timeframe string, model string, threshold double, tp_multi double, sl_multi double")
+    scorer = lambda df: technicals(df, ["atr_14"]).withColumn("score", F.lit(0.9))
+    newest = series.agg(F.max("ts")).first()[0]
+    series.coalesce(1).write.parquet(f"{folder}/landing")
+    for close in range(12):
+        series.filter(F.col("ts") == newest).withColumn("close", F.lit(float(close))).coalesce(1).write.mode("append").parquet(f"{folder}/landing")
+        scan_stream(closed_bars(spark, f"{folder}/landing", 1), f"{folder}/bars", f"{folder}/signals", model, scorer, f"{folder}/ckpt").awaitTermination(120)
+    assert [spark.read.parquet(f"{folder}/signals/batch={b}").first().close for b in (1, 9, 10, 11, 12)] == [0.0, 8.0, 9.0, 10.0, 11.0]
+
+
+def test_production_fit_without_holdout_is_stored_and_loaded(spark):
+    rows = [("BTC_USDT", "4h", datetime(2024, 1, 1) + timedelta(hours=4 * i), float(i % 10), 1 if i % 10 >= 6 else -1) for i in range(90)]
+    df = spark.createDataFrame(rows, "symbol string, timeframe string, ts timestamp_ntz, a double, target int")
+    fitted = models.production_fit(df, ["a"], models.Hyper(n_trees=3))
+    folder = tempfile.mkdtemp(prefix="barloom-bundle-")
+    models.save_bundle(fitted, spark.createDataFrame([(0.6, 1.5)], "threshold double, tp_multi double"), folder)
+    loaded, metadata = models.load_bundle(spark, folder)
+    got = loaded(df).select("ts", "target", "score").collect()
+    assert got == fitted(df).select("ts", "target", "score").collect() and metadata.first().threshold == 0.6
+    assert min(r.score for r in got if r.target == 1) > max(r.score for r in got if r.target == -1)
+
+
 def test_models_learn_a_visible_rule(spark):
     rows = [(float(i % 10), float((i * 7) % 5), 1 if i % 10 >= 6 else (-1 if i % 10 < 3 else 0), 0.01 * (i % 10 - 5)) for i in range(400)]
     df = spark.createDataFrame(rows, "a double, b double, target int, target_ret double")

@@ -42,7 +42,7 @@ def test_known_bound_skips_composition_with_the_same_result(spark):
     rng = random.Random(1)
     scores = [rng.random() for _ in range(500)]
     df = scored(spark, scores).filter("score >= 0.6")
-    got = sorted(r.pos for r in tr.cooldown_select(df, ["run"], 10, [], max_rows=500).collect())
+    got = sorted(r.pos for r in tr.cooldown_select(df, ["run"], 10, []).collect())
     assert got == sequential(scores, 0.6, 10)
 
 
