@@ -7,8 +7,8 @@ before it. A later model is trained on out-of-fold probabilities of the earlier
 texts in one fold), so that it learns from predictions as uncertain as those it will get.
 
 Training takes a bounded sample of labelled rows: the ``MOST_LABELLED`` first by hash of their id, equal texts
-once. Scoring covers every document in one pass; what is sent to the tasks are the stems with a
-weight, fewer than ``VOCABULARY`` per category.
+once. A model chooses among the ``FEATURES`` stems per category that deviate most from chance. Scoring covers
+every document in one pass; what is sent to the tasks are the stems with a weight.
 
 Defined cases: a null or empty text has no words and gets the scores of the bias; a category with one class
 among the labelled rows has its smoothed share as constant score; without any labelled row scores are
@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,11 +35,13 @@ from barloom.session import stored
 CATEGORIES = ("quality", "toxic")
 MOST_LABELLED = 20_000
 FOLDS = 3
-VOCABULARY = 1 << 16
+#: Stems per category that enter a model, by how far their share of a category is from chance.
+FEATURES = 1_024
 #: A stem must occur in as many labelled texts.
 MIN_TEXTS = 8
 REGULARISATION = 0.0005
-STEPS = 50
+STEPS = 30
+FIT_TASKS = 2
 THRESHOLD = 0.5
 STEMS = (4, 5)
 WORDS = re.compile(r"[^\W\d_]+")
@@ -108,14 +110,30 @@ def _labelled(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], m
     return stored(found.groupBy("h").agg(*[F.min(y).alias(y) for y in ys], F.first("words").alias("words")))
 
 
+def _telling_stems(rows: DataFrame, categories: tuple[str, ...]) -> list[str]:
+    """The stems whose share of labelled texts deviates most from a category's own, ``FEATURES`` per category."""
+    ys = [f"y_{c}" for c in categories]
+    shares = rows.agg(*[F.avg(y).alias(y) for y in ys]).first()
+    counts = rows.select(*ys, F.explode("words").alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(y) for y in ys])
+    counts = stored(counts.filter(F.col("n") >= MIN_TEXTS))
+    found: set[str] = set()
+    for y in ys:
+        p = shares[y]
+        if 0.0 < p < 1.0:
+            z = F.abs(F.col(y) - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p))
+            found |= {r["stem"] for r in counts.orderBy(z.desc(), "stem").limit(FEATURES).collect()}
+    return sorted(found)
+
+
 def _fit(rows: DataFrame, label: str) -> tuple[float, np.ndarray]:
     """Bias and coefficients; a constant if there is one class only."""
     n, positive = rows.agg(F.count(F.lit(1)), F.sum(label)).first()
     positive = positive or 0.0
     if positive in (0.0, float(n)):
         return math.log((positive + 1.0) / (n - positive + 1.0)), np.zeros(0)
-    lr = LogisticRegression(labelCol=label, featuresCol="x", maxIter=STEPS, regParam=REGULARISATION, elasticNetParam=1.0)
-    model = lr.fit(rows)
+    lr = LogisticRegression(labelCol=label, featuresCol="x", maxIter=STEPS, regParam=REGULARISATION, elasticNetParam=1.0, tol=1e-4)
+    # The sample is bounded: a step of the optimiser is a job, and two tasks make it a short one.
+    model = lr.fit(rows.select(label, "x").coalesce(FIT_TASKS))
     return float(model.intercept), model.coefficients.toArray()
 
 
@@ -124,12 +142,10 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] =
     rows = _labelled(docs, labels, categories, most)
     if rows.limit(1).count() == 0:
         return []
-    counter = CountVectorizer(inputCol="words", outputCol="vector", binary=True, minDF=float(MIN_TEXTS), vocabSize=VOCABULARY)
-    enough = rows.select(F.explode("words").alias("w")).groupBy("w").count().filter(F.col("count") >= MIN_TEXTS).limit(1).count()
-    words: list[str] = []
-    if enough:
-        fitted = counter.fit(rows)
-        words, rows = fitted.vocabulary, fitted.transform(rows)
+    words = _telling_stems(rows, categories)
+    if words:
+        vectors = CountVectorizerModel.from_vocabulary(words, inputCol="words", outputCol="vector").setBinary(True)
+        rows = vectors.transform(rows)
     rows = rows.withColumn("fold", F.pmod(F.xxhash64("h"), F.lit(FOLDS)))
     chain: list[Model] = []
     earlier: list[str] = []
