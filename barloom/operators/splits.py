@@ -110,7 +110,3 @@ def min_val_trades(n_val: Column, swing: Column | int, factor: Column | int, flo
     """Half of the trades one would expect in the validation block, at least ``floor``."""
     per_trade = (swing if isinstance(swing, Column) else F.lit(swing)) * factor
     return F.greatest(F.lit(floor), F.floor(F.try_divide(n_val, per_trade) * 0.5)).cast("long")
-
-
-def series_sizes(bars: DataFrame, keys: Sequence[str] = SERIES_KEYS) -> DataFrame:
-    return bars.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_bars"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.layout import block_window, drop_halo, with_halo
@@ -39,9 +39,27 @@ def staircase_check(df: DataFrame, column: str, by: Sequence[str] = ("symbol",))
     """Does a daily value stay constant within each day? Plus duplicate and missing keys.
 
     Counts per (key, instant) first, so duplicates and distinct values need no
-    set of all instants in one place.
+    set of all instants in one place. With a column ``rn``, the order in which rows came, ``monotonic`` tells whether
+    time never goes back: the rows of a day lie after those of all earlier days, and in order within it.
     """
     by = list(by)
+    if "rn" in df.columns:
+        return _staircase(df, column, by).join(_monotonic(df, by), by)
+    return _staircase(df, column, by)
+
+
+def _monotonic(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One row per key: whether ``ts`` never falls as ``rn`` grows; only days are ordered per key."""
+    day = F.to_date("ts")
+    inside = Window.partitionBy(*by, "_day").orderBy("rn")
+    falls = df.withColumn("_day", day).withColumn("_falls", F.col("ts") < F.lag("ts").over(inside))
+    days = falls.groupBy(*by, "_day").agg(F.max("_falls").alias("_falls"), F.min("rn").alias("_a"), F.max("rn").alias("_b"))
+    before = F.lag("_b").over(Window.partitionBy(*by).orderBy("_day"))
+    out = days.withColumn("_back", F.coalesce(F.col("_falls"), F.lit(False)) | F.coalesce(F.col("_a") < before, F.lit(False)))
+    return out.groupBy(*by).agg((~F.max("_back")).alias("monotonic"))
+
+
+def _staircase(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
     days = (
         df.groupBy(*by, "ts")
         .agg(
@@ -189,25 +207,39 @@ def imbalance(df: DataFrame, keys: Sequence[str], label: str = "target") -> Data
     )
 
 
+#: A live profit factor below this for two weeks pauses the bot.
+PAUSE_BELOW = 0.85
+WEEK_SECONDS = 7 * 86_400
+
+
 def live_verdict(trades: DataFrame, bands: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Live profit factor from realised trades against the band of the backtest.
 
-    ``bands`` has ``pf_p5`` and ``pf_p95`` per key.
+    ``trades`` has ``ts`` and ``realized_pnl``; ``bands`` has ``pf_p5`` and ``pf_p95`` per key. Weeks count back from
+    the key's newest trade: two weeks in a row below 0.85 pause, the newest week below ``0.9 * p5`` is
+    to be monitored; a week without trades is below nothing.
     """
     keys = list(keys)
     pnl = F.col("realized_pnl")
-    live = trades.groupBy(*keys).agg(
+    newest = trades.groupBy(*keys).agg(F.max("ts").alias("_newest"))
+    age = F.unix_seconds(F.col("_newest").cast("timestamp")) - F.unix_seconds(F.col("ts").cast("timestamp"))
+    aged = trades.join(newest, keys).withColumn("_week", F.floor(age / WEEK_SECONDS))
+
+    def factor(rows: Column) -> Column:
+        gain = F.coalesce(F.sum(F.when(rows & (pnl > 0), pnl)), F.lit(0.0))
+        loss = F.coalesce(F.sum(F.when(rows & (pnl < 0), -pnl)), F.lit(0.0))
+        return F.when(F.count_if(rows) > 0, gain / F.greatest(loss, F.lit(LOSS_FLOOR)))
+
+    live = aged.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("trades"),
-        (
-            F.coalesce(F.sum(F.when(pnl > 0, pnl)), F.lit(0.0))
-            / F.greatest(F.coalesce(F.sum(F.when(pnl < 0, -pnl)), F.lit(0.0)), F.lit(LOSS_FLOOR))
-        ).alias("live_pf"),
+        factor(F.lit(True)).alias("live_pf"),
+        factor(F.col("_week") == 0).alias("_week0"),
+        factor(F.col("_week") == 1).alias("_week1"),
     )
-    pf, p5, p95 = F.col("live_pf"), F.col("pf_p5"), F.col("pf_p95")
     verdict = (
-        F.when(pf > p95 * 1.2, "favorable")
-        .when(pf < p5 * 0.85, "pause")
-        .when(pf < p5 * 0.9, "monitor")
+        F.when((F.col("_week0") < PAUSE_BELOW) & (F.col("_week1") < PAUSE_BELOW), "pause")
+        .when(F.col("_week0") < F.col("pf_p5") * 0.9, "monitor")
+        .when(F.col("live_pf") > F.col("pf_p95") * 1.2, "favorable")
         .otherwise("within_expectation")
     )
     return live.join(bands, keys).select(*keys, "trades", "live_pf", verdict.alias("verdict"))

@@ -67,8 +67,11 @@ def add_trend_htf(bars: DataFrame, daily_bars: DataFrame, length: int = 200) ->
 
 
 def add_taker_buy_ratio(bars: DataFrame) -> DataFrame:
+    """Share of taker buys; a table without any finite value is an error when it is read."""
     ratio = F.try_divide("taker_buy_base_vol", F.when(F.col("volume") > 0, F.col("volume")))
-    return bars.withColumn("taker_buy_ratio", ratio)
+    finite = bars.agg(F.count(ratio)).scalar()
+    failed = F.raise_error(F.lit("no finite taker_buy_ratio: the bars carry no taker volume")).cast("double")
+    return bars.withColumn("taker_buy_ratio", F.when(finite > 0, ratio).otherwise(failed))
 
 
 def add_technicals(bars: DataFrame) -> DataFrame:

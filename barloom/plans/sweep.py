@@ -30,10 +30,10 @@ QUICK = {"tp": (1.5, 2.0), "sl": (1.0, 1.5), "swings": (10,), "depths": (3,), "t
 
 
 def sweep_slots(spark: SparkSession) -> DataFrame:
-    """The 53 valid settings: take profit at least the stop, exclusions removed."""
-    grid = [(s, tp, sl, tf) for s in SWINGS for tp, sl in TP_SL_PAIRS for tf in SWEEP_TIMEFRAMES if tp >= sl]
-    slots = spark.createDataFrame(grid, SLOT)
-    return slots.join(spark.createDataFrame(list(EXCLUDED), SLOT), list(SLOT_KEYS), "left_anti")
+    """The 53 valid settings: every swing, pair and timeframe but the exclusions."""
+    pairs = spark.createDataFrame(list(TP_SL_PAIRS), "tp double, sl double")
+    slots = fan_out(fan_out(pairs, F.lit(list(SWINGS)), "swing"), F.lit(list(SWEEP_TIMEFRAMES)), "timeframe")
+    return slots.select(*SLOT_KEYS).join(spark.createDataFrame(list(EXCLUDED), SLOT), list(SLOT_KEYS), "left_anti")
 
 
 def fan_out(df: DataFrame, options: Column, name: str) -> DataFrame:

@@ -18,10 +18,10 @@ from barloom.registry.features_q import rounded, rounded_sql
 from barloom.registry.labels_q import atr_bars
 from barloom.registry.oracle_parts import dbl, with_sql
 from barloom.registry.trades_q import BASE_CTES, CONFIG, KEYS, RUN_COUNTS, SWING, run_ctes, wf_bars
-from barloom.operators.trades import BINARY_GRID, MULTICLASS_GRID, threshold_grid
+from barloom.operators.trades import BINARY_GRID, MULTICLASS_GRID, REGRESSION_GRID, threshold_grid
 from barloom.session import cut_lineage
 
-GRIDS = {"binary_homerun": threshold_grid(*BINARY_GRID), "multiclass_3": threshold_grid(*MULTICLASS_GRID)}
+GRIDS = {"binary_homerun": threshold_grid(*BINARY_GRID), "multiclass_3": threshold_grid(*MULTICLASS_GRID), "regression_return": threshold_grid(*REGRESSION_GRID)}
 VARIANTS = ("CONTROL", "TREATMENT")
 RUN_DOUBLES = ("oos_pf_point", "p5", "p95")
 
@@ -208,7 +208,7 @@ def naive_vs_model(spark, sf):
     return rounded(out, _NVM, "symbol", "split", "naive_n", "model_n")
 
 
-SWINGS = (5, 7, 10)
+SWINGS = (2, 3, 4, 5, 7, 10)
 _SWEEP_ROWS = " UNION ALL ".join(f"SELECT * FROM s{s}r" for s in SWINGS)
 _SWEEP = {
     **C0,
@@ -290,7 +290,7 @@ REGIMES = (("bear", "1997-01-01", "1997-12-31"), ("range", "1998-01-01", "1998-1
 @query("regimes_rigorous")
 def regimes_rigorous(spark, sf):
     labelled = barrier_labels(clean_daily(spark, sf))
-    out = jobs.regimes(labelled, REGIMES, hash_rows, SWING, 1.5, 1.0, in_sample_end="1998-06-01", n_iter=200)
+    out = jobs.regimes(labelled, REGIMES, hash_rows, SWING, 1.5, 1.0, in_sample_end="1998-06-01", n_iter=1000)
     doubles = ("threshold", "model_pf", "naive_pf", "delta", "p5", "p50", "p95", "cum_return_pct", "ret_std_pct")
     return rounded(out, doubles, "symbol", "regime", "sample_type", "n_bars", "n_prior", "status", "model_trades", "naive_trades")
 

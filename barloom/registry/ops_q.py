@@ -254,14 +254,18 @@ _PNL = "value - 50"
 
 
 @query("live_pf_verdict",
-    f"""WITH t AS (SELECT event_type AS symbol, user_id, {_PNL} AS pnl FROM events),
+    f"""WITH t AS (SELECT event_type AS symbol, ts, user_id, {_PNL} AS pnl FROM events),
+    nw AS (SELECT symbol, max(ts) AS newest FROM t WHERE user_id % 2 = 1 GROUP BY symbol),
+    wk AS (SELECT symbol, pnl, floor((epoch(newest)::BIGINT - epoch(date_trunc('second', ts))::BIGINT) / 604800) AS week FROM t JOIN nw USING (symbol) WHERE user_id % 2 = 1),
+    wf AS (SELECT symbol, week, coalesce(sum(pnl) FILTER (pnl > 0), 0) / greatest(coalesce(sum(-pnl) FILTER (pnl < 0), 0), 1e-9) AS pf FROM wk WHERE week < 2 GROUP BY ALL),
+    w2 AS (SELECT symbol, max(pf) FILTER (week = 0) AS w0, max(pf) FILTER (week = 1) AS w1 FROM wf GROUP BY symbol),
     bands AS (SELECT symbol, sum(pnl) FILTER (pnl > 0) / greatest(sum(-pnl) FILTER (pnl < 0), 1e-9) * 1.05::DOUBLE AS pf_p5 FROM t WHERE user_id % 2 = 0 GROUP BY symbol),
     live AS (SELECT symbol, count(*) AS trades, coalesce(sum(pnl) FILTER (pnl > 0), 0) / greatest(coalesce(sum(-pnl) FILTER (pnl < 0), 0), 1e-9) AS live_pf
       FROM t WHERE user_id % 2 = 1 GROUP BY symbol)
-    SELECT symbol, trades, {op.r6('live_pf')} AS live_pf, CASE WHEN live_pf > pf_p5 * 1.1::DOUBLE * 1.2::DOUBLE THEN 'favorable' WHEN live_pf < pf_p5 * 0.85::DOUBLE THEN 'pause'
-    WHEN live_pf < pf_p5 * 0.9::DOUBLE THEN 'monitor' ELSE 'within_expectation' END AS verdict FROM live JOIN bands USING (symbol)""")
+    SELECT symbol, trades, {op.r6('live_pf')} AS live_pf, CASE WHEN w0 < 0.85::DOUBLE AND w1 < 0.85::DOUBLE THEN 'pause' WHEN w0 < pf_p5 * 0.9::DOUBLE THEN 'monitor'
+    WHEN live_pf > pf_p5 * 1.1::DOUBLE * 1.2::DOUBLE THEN 'favorable' ELSE 'within_expectation' END AS verdict FROM live JOIN bands USING (symbol) JOIN w2 USING (symbol)""")
 def live_pf_verdict(spark, sf):
-    t = fx.table(spark, sf, "events").select(F.col("event_type").alias("symbol"), "user_id", (F.col("value") - 50).alias("realized_pnl"))
+    t = fx.table(spark, sf, "events").select(F.col("event_type").alias("symbol"), "ts", "user_id", (F.col("value") - 50).alias("realized_pnl"))
     pnl = F.col("realized_pnl")
     gain, loss = F.sum(F.when(pnl > 0, pnl)), F.sum(F.when(pnl < 0, -pnl))
     bands = t.filter("user_id % 2 = 0").groupBy("symbol").agg((gain / F.greatest(loss, F.lit(1e-9)) * 1.05).alias("pf_p5"))

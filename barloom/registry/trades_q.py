@@ -373,7 +373,7 @@ def paired_block_bootstrap(spark, sf):
     {**_BOOT_CTES,
      "ix": "SELECT *, row_number() OVER (PARTITION BY symbol, side ORDER BY pos) - 1 AS idx, count(*) OVER (PARTITION BY symbol, side) AS n FROM tt",
      "dw": """SELECT symbol, side, iteration, CAST('0x' || substr(md5('42|' || side || '|' || iteration || '|' || idx), 1, 8) AS BIGINT) % n AS idx
-       FROM ix, range(200) g(iteration)""",
+       FROM ix, range(1000) g(iteration)""",
      "sm": """SELECT d.symbol, d.iteration, coalesce(sum(ret) FILTER (d.side = 'model' AND ret > 0), 0) AS mg, coalesce(sum(-ret) FILTER (d.side = 'model' AND ret < 0), 0) AS ml,
        coalesce(sum(ret) FILTER (d.side = 'naive' AND ret > 0), 0) AS ng, coalesce(sum(-ret) FILTER (d.side = 'naive' AND ret < 0), 0) AS nl,
        count(*) FILTER (d.side = 'model') AS mn, count(*) FILTER (d.side = 'naive') AS nn
@@ -384,5 +384,5 @@ def paired_block_bootstrap(spark, sf):
 def iid_bootstrap(spark, sf):
     trades = boot_trades(spark, sf)
     indexed = with_position(trades, [*KEYS, "side"], "ts", name="idx").select(*KEYS, "side", "idx", "ret")
-    out = boot.delta_percentiles(boot.iid_bootstrap(indexed, KEYS, n_iter=200), KEYS)
+    out = boot.delta_percentiles(boot.iid_bootstrap(indexed, KEYS, n_iter=1000), KEYS)
     return rounded(out, ("p5", "p50", "p95"), "symbol", "n_null_iters")

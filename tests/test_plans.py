@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barloom.operators.columns import LABEL_COLS, clean, strategies
 from barloom.operators.indicators import technicals
 from barloom.operators.labels import Barrier, barrier_labels
-from barloom.plans import jobs, models, sweep
+from barloom.plans import diagnostics, enrich, jobs, models, sweep
 from barloom.plans.dataset import PROFILES, Sources, build_dataset, get_profile
 from barloom.streaming.scan import closed_bars, scan_stream
 
@@ -51,7 +51,7 @@ def test_treatment_is_not_a_control_feature(series, sentiment):
 
 def test_strategies_never_hold_labels(series):
     labelled = clean(barrier_labels(technicals(series)), drop_missing=False)
-    sets = strategies(labelled, with_sentiment=True)
+    sets = {r.name: r.features for r in strategies(labelled, with_sentiment=True).collect()}
     assert len(sets) == 14
     for features in sets.values():
         assert not set(features) & set(LABEL_COLS)
@@ -72,6 +72,30 @@ def test_verdicts(spark):
     assert got == {"no": "reject", "one": "conditional", "tf": "conditional", "two": "approve"}
 
 
+def test_live_verdict_counts_weeks(spark):
+    day = lambda n: datetime(2024, 3, 31) - timedelta(days=n)
+    rows = [(k, day(n), v) for k, weeks in (
+        ("pause", (0.5, 0.5, 9.0)), ("monitor", (0.86, 3.0, 3.0)), ("fine", (1.0, 0.1, 3.0)), ("good", (9.0, 9.0, 9.0)), ("gap", (0.5, None, 5.0))
+    ) for w, pf in enumerate(weeks) if pf is not None for n, v in ((7 * w, pf), (7 * w + 1, -1.0))]
+    trades = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, realized_pnl double")
+    bands = trades.select("symbol").distinct().withColumns({"pf_p5": F.lit(1.0), "pf_p95": F.lit(2.0)})
+    got = {r.symbol: r.verdict for r in diagnostics.live_verdict(trades, bands, ["symbol"]).collect()}
+    assert got == {"pause": "pause", "monitor": "monitor", "fine": "within_expectation", "good": "favorable", "gap": "monitor"}
+
+
+def test_staircase_tells_whether_time_goes_back(spark):
+    rows = [("a", datetime(2024, 1, 1 + i // 6, 4 * (i % 6)), i, 1.0) for i in range(18)] + [("b", datetime(2024, 1, 3 - i), i, 1.0) for i in range(2)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, rn long, v double")
+    assert {r.symbol: r.monotonic for r in diagnostics.staircase_check(df, "v").collect()} == {"a": True, "b": False}
+    assert "monotonic" not in diagnostics.staircase_check(df.drop("rn"), "v").columns
+
+
+def test_taker_ratio_needs_a_finite_value(spark):
+    df = spark.createDataFrame([("a", 0.0, 1.0), ("a", None, 2.0)], "symbol string, volume double, taker_buy_base_vol double")
+    with pytest.raises(Exception, match="taker"):
+        enrich.add_taker_buy_ratio(df).collect()
+
+
 def test_live_scan_is_strict(spark, series):
     scored = technicals(series, ["atr_14"]).withColumn("score", F.lit(0.6))
     model = spark.createDataFrame([("BTC_USDT", "4h", "m", 0.6, 1.5, 1.0)], "symbol string, timeframe string, model string, threshold double, tp_multi double, sl_multi double")
