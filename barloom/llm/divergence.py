@@ -42,7 +42,7 @@ COMMON = 64
 REFERENCE_WORDS = 5_000
 HEAVY = 1_000
 #: Distinct words that a task holds before it hands on partial counts.
-HELD = 400_000
+HELD = 200_000
 
 SYMBOLS = "#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "space", "stop", "mark", "symbol", "letter", "other")
@@ -128,12 +128,14 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, dict[bytes, int],
         classes: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(CLASSES)))
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = [(lang, w, float(n)) for lang, counter in words_of.items() for w, n in counter.items()]
-            rows += [(lang, b" %d" % i, float(n)) for lang, c in classes.items() for i, n in enumerate(c)]
+            for lang, counter in [*words_of.items(), *classes.items()]:
+                if isinstance(counter, Counter):
+                    bins, counts = pa.array(counter.keys(), pa.binary()), pa.array(counter.values(), pa.float64())
+                else:
+                    bins, counts = pa.array([b" %d" % i for i in range(len(CLASSES))], pa.binary()), pa.array(counter)
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(bins)), bins, counts], ["lang", "bin", "n"])
             words_of.clear()
             classes.clear()
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.binary(), pa.float64()), strict=True)], ["lang", "bin", "n"])
 
         for batch in batches:
             for text, lang, h in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
