@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.operators.trades import FOLD_ROWS
+from barloom.operators.trades import FAN, FOLD_ROWS
 
 # Pre-registered gate.
 MIN_POOLED_TRADES = 300
@@ -71,19 +71,18 @@ def trade_metrics(
         )
         .select(*keys, "_blk", "_gain", "_loss", "_n", F.aggregate("_t", empty, trade).alias("_s"))
     )
-    runs = blocks.groupBy(*keys).agg(
-        F.sum("_n").alias("trade_count"),
-        F.sum("_gain").alias("gross_profit"),
-        F.sum("_loss").alias("gross_loss"),
-        F.array_sort(F.collect_list(F.struct("_blk", "_s"))).alias("_b"),
-    )
-    return runs.select(
+    sums = [F.sum(c).alias(c) for c in ("_n", "_gain", "_loss")]
+    for level in (F.expr(f"_blk div {FAN}"), F.lit(0)):  # blocks of blocks, then the run
+        gathered = F.array_sort(F.collect_list(F.struct("_blk", "_s"))).alias("_b")
+        merged = blocks.groupBy(*keys, level.cast("long").alias("_up")).agg(*sums, gathered)
+        blocks = merged.select(*keys, F.col("_up").alias("_blk"), "_n", "_gain", "_loss", F.aggregate("_b", empty, merge).alias("_s"))
+    return blocks.select(
         *keys,
-        "trade_count",
-        "gross_profit",
-        "gross_loss",
-        (F.col("gross_profit") / F.greatest("gross_loss", F.lit(LOSS_FLOOR))).alias("profit_factor"),
-        F.aggregate("_b", empty, merge, lambda acc: acc["dd"]).alias("max_drawdown"),
+        F.col("_n").alias("trade_count"),
+        F.col("_gain").alias("gross_profit"),
+        F.col("_loss").alias("gross_loss"),
+        (F.col("_gain") / F.greatest("_loss", F.lit(LOSS_FLOOR))).alias("profit_factor"),
+        F.col("_s.dd").alias("max_drawdown"),
     )
 
 

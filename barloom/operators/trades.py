@@ -20,6 +20,7 @@ from barloom.operators.layout import block_window, drop_halo, drop_layout, with_
 
 FOLD_ROWS = 16_384  # positions per block
 FAN = 1_024  # blocks per block of blocks
+PIECE = 128  # candidates whose picks are gathered together
 
 # Threshold grids (first, last, step) per formulation, and the
 # half-open grid of the production search.
@@ -87,15 +88,32 @@ def cooldown_picks(
     the run.
     """
     keys = list(keys)
-    blocks = (
+    blocks = _blocks(candidates, keys, payload, pos)
+    blocks = blocks.join(_entries(_exits(blocks, keys, "_cands", swing, pos), keys, swing), [*keys, "_blk"])
+    picks = _picked("_cands", F.col("_blk") * FOLD_ROWS + F.col("_entry"), swing, pos)
+    return blocks.select(*keys, "_blk", picks.alias("picks"))
+
+
+def _blocks(candidates: DataFrame, keys: list[str], payload: Sequence[str], pos: str) -> DataFrame:
+    """One row per block with the sorted array ``_cands``."""
+    return (
         candidates.select(*keys, F.expr(f"{pos} div {FOLD_ROWS}").alias("_blk"), F.struct(pos, *payload).alias("_c"))
         .groupBy(*keys, "_blk")
         .agg(F.array_sort(F.collect_list("_c")).alias("_cands"))
     )
-    blocks = blocks.join(_entries(blocks, keys, swing, pos), [*keys, "_blk"])
-    start = F.struct(
-        (F.col("_blk") * FOLD_ROWS + F.col("_entry")).alias("free"),
-        F.expr("filter(_cands, c -> false)").alias("picks"),
+
+
+def _picked(cands: str | Column, free: Column, swing: int, pos: str) -> Column:
+    """The candidates of one block that the scan takes, as an array.
+
+    Picks are gathered in pieces of ``PIECE`` candidates and flattened once, so that a long block
+    is not copied for each pick.
+    """
+    cands = F.col(cands) if isinstance(cands, str) else cands
+    nothing = F.filter(cands, lambda c: F.lit(False))
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.floor((F.size(cands) - 1) / PIECE), F.lit(0)).cast("int")),
+        lambda i: F.slice(cands, i * PIECE + 1, F.lit(PIECE)),
     )
 
     def take(state: Column, c: Column) -> Column:
@@ -104,22 +122,31 @@ def cooldown_picks(
         )
         return F.when(c[pos] >= state["free"], opened).otherwise(state)
 
-    picks = F.aggregate("_cands", start, take, lambda state: state["picks"])
-    return blocks.select(*keys, "_blk", picks.alias("picks"))
+    def piece(state: Column, own: Column) -> Column:
+        start = F.struct(state["free"].alias("free"), nothing.alias("picks"))
+        done = F.aggregate(own, start, take)
+        return F.struct(done["free"].alias("free"), F.concat(state["picks"], F.array(done["picks"])).alias("picks"))
 
+    begin = F.struct(free.cast("long").alias("free"), F.filter(F.array(nothing), lambda x: F.lit(False)).alias("picks"))
+    return F.flatten(F.aggregate(pieces, begin, piece, lambda state: state["picks"]))
 
-def _entries(blocks: DataFrame, keys: list[str], swing: int, pos: str) -> DataFrame:
-    """Bars still to skip at the start of every block that has candidates."""
+
+def _exits(blocks: DataFrame, keys: Sequence[str], cands: str | Column, swing: int, pos: str) -> DataFrame:
+    """``_map`` of each block: the bars still to skip at its end, for each number at its start."""
+    cands = F.col(cands) if isinstance(cands, str) else cands
     first = F.col("_blk") * FOLD_ROWS
     entry_states = F.transform(F.sequence(F.lit(0), F.lit(swing - 1)), lambda e: first + e)
 
     def step(free: Column, c: Column) -> Column:
         return F.transform(free, lambda f: F.when(c[pos] >= f, c[pos] + swing).otherwise(f).cast("long"))
 
-    exits = F.aggregate("_cands", entry_states, step)
+    exits = F.aggregate(cands, entry_states, step)
     left = F.transform(exits, lambda f: F.greatest(f - (first + FOLD_ROWS), F.lit(0)).cast("long"))
-    maps = blocks.select(*keys, "_blk", F.expr(f"_blk div {FAN}").alias("_super"), left.alias("_map"))
+    return blocks.select(*keys, "_blk", F.expr(f"_blk div {FAN}").alias("_super"), left.alias("_map"))
+
 
+def _entries(maps: DataFrame, keys: list[str], swing: int) -> DataFrame:
+    """Bars still to skip at the start of every block that has candidates."""
     groups = maps.groupBy(*keys, "_super").agg(F.array_sort(F.collect_list(F.struct("_blk", "_map"))).alias("_maps"))
     whole = F.transform(
         F.sequence(F.lit(0), F.lit(swing - 1)),
@@ -207,18 +234,31 @@ def threshold_search(
 ) -> DataFrame:
     """Best threshold per run: highest net return, ties (within 1e-12) to the lowest.
 
-    A bar is copied only to the thresholds it reaches, and only its position and
-    return travel. Runs without a threshold that trades often enough get NULL.
-    ``min_trades`` may use the run keys and ``n_rows``, the length of the run.
+    A bar travels once, in the array of its block; each threshold filters that array inside the block. What
+    is exchanged per threshold are the blocks' maps and sums. Runs without a threshold that
+    trades often enough get NULL. ``min_trades`` may use the run keys and ``n_rows``, the length of the run.
     """
     keys = list(keys)
-    grid = F.array(*[F.lit(float(t)) for t in thresholds])
-    reached = F.filter(grid, lambda t: F.col(score) >= t)
-    candidates = scored.select(*keys, pos, F.col(ret).alias("_ret"), F.explode(reached).alias("threshold"))
-    picks = cooldown_picks(candidates, [*keys, "threshold"], swing, ["_ret"], pos)
-    nets = picks.groupBy(*keys, "threshold").agg(
-        F.sum(F.size("picks")).alias("n_trades"),
-        F.sum(F.aggregate("picks", F.lit(0.0), lambda acc, p: acc + p["_ret"])).alias("net"),
+    grid = [float(t) for t in thresholds]
+    wanted = scored.filter(F.col(score) >= min(grid)).withColumns({"_score": F.col(score), "_ret": F.col(ret)})
+    blocks = _blocks(wanted, keys, ["_score", "_ret"], pos)
+
+    def reaching(threshold: Column) -> Column:
+        return F.filter("_cands", lambda c: c["_score"] >= threshold)
+
+    each = blocks.withColumn("threshold", F.explode(F.lit(grid)))
+    maps = _exits(each, [*keys, "threshold"], reaching(F.col("threshold")), swing, pos)
+    entries = _entries(maps, [*keys, "threshold"], swing)
+    entries = entries.groupBy(*keys, "_blk").agg(F.array_sort(F.collect_list(F.struct("threshold", "_entry"))).alias("_e"))
+    started = blocks.join(entries, [*keys, "_blk"]).withColumn("_t", F.explode("_e"))
+    picked = _picked(reaching(F.col("_t.threshold")), F.col("_blk") * FOLD_ROWS + F.col("_t._entry"), swing, pos)
+    nets = (
+        started.select(*keys, F.col("_t.threshold").alias("threshold"), picked.alias("picks"))
+        .groupBy(*keys, "threshold")
+        .agg(
+            F.sum(F.size("picks")).alias("n_trades"),
+            F.sum(F.aggregate("picks", F.lit(0.0), lambda acc, p: acc + p["_ret"])).alias("net"),
+        )
     )
     runs = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
     floor = min_trades if isinstance(min_trades, Column) else F.lit(min_trades)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.keys import epoch_micros
+from barloom.operators.quantiles import exact_quantiles
 
 HOUR = 3_600_000_000
 
@@ -105,9 +106,8 @@ def onchain_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mempool_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy(_day()).agg(
-        F.percentile("value", F.lit(0.5)).alias("mempool_fee_rate_p50")
-    )
+    values = table(spark, sf_dir, "events").select(_day(), "value")
+    return exact_quantiles(values, ["ts"], "value", {"mempool_fee_rate_p50": 0.5})
 
 
 def md5_score(*parts):

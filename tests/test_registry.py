@@ -7,23 +7,17 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from barloom.registry import ORACLES
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("events", "orders")
-QUICK = (
-    "bars_4h", "bars_1d", "dedupe_keep_last", "symbol_canonical", "normalise_klines", "rsi", "adx", "obv", "bollinger",
-    "asof_funding", "asof_sentiment", "barrier_labels", "label_grid", "class_balance", "naive_trades", "cooldown_trades",
-    "threshold_search", "temporal_split", "signal_scan", "live_pf_verdict", "verdict_matrix",
-)
-
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    for file in os.listdir(SF):
+        con.execute(f"CREATE VIEW {file.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{file}'")
     return con
 
 
@@ -43,7 +37,7 @@ def canonical(frame):
     return sorted(out)
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_oracle(spark, db, name):
     got = contract.queries()[name](spark, SF).toPandas()
     expected = db.execute(contract.oracle_sql()[name]).df()

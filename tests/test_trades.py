@@ -164,10 +164,11 @@ def test_exact_quantiles_of_skewed_groups(spark):
     from barloom.operators.quantiles import exact_quantiles
 
     rng = random.Random(4)
-    groups = {"wide": [rng.lognormvariate(0, 3) for _ in range(900)], "ties": [1.0] * 50 + [2.0] * 7, "one": [5.0]}
+    groups = {"wide": [rng.lognormvariate(0, 3) for _ in range(900)], "ties": [1.0] * 50 + [2.0] * 7, "one": [5.0],
+              "outlier": [float(i) for i in range(800)] + [1e12], "constant": [3.0] * 700}
     df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs] + [("one", None)], "k string, v double")
     probs = {"p05": 0.05, "p50": 0.5, "p90": 0.9}
-    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", probs, buckets=64).collect()}
+    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", probs, accuracy=100).collect()}
     for k, vs in groups.items():
         vs = sorted(vs)
         for name, p in probs.items():
