@@ -32,7 +32,7 @@ def canonical(frame):
             elif hasattr(v, "isoformat"):
                 cells.append(v.isoformat())
             else:
-                cells.append(repr(float(v)) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v))
+                cells.append(f"{float(v):.12g}" if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v))
         out.append(tuple(cells))
     return sorted(out)
 
