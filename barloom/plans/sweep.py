@@ -19,14 +19,10 @@ EXCLUDED = (
 SLOT = "swing int, tp double, sl double, timeframe string"
 SLOT_KEYS = ("swing", "tp", "sl", "timeframe")
 
-# Production search grid.
+# Barriers and swings of the production search grid.
 PRODUCTION_TP = (1.0, 1.5, 2.0, 3.0)
 PRODUCTION_SL = (1.0, 1.5, 2.0, 2.5)
 PRODUCTION_SWINGS = (5, 7, 10)
-PRODUCTION_DEPTHS = (2, 3, 4)
-PRODUCTION_TREES = (100, 200)
-PRODUCTION_RATES = (0.01, 0.05)
-QUICK = {"tp": (1.5, 2.0), "sl": (1.0, 1.5), "swings": (10,), "depths": (3,), "trees": (100,), "rates": (0.05,)}
 
 
 def sweep_slots(spark: SparkSession) -> DataFrame:

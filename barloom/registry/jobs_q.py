@@ -138,15 +138,33 @@ def hash_rows(df):
 _HASH_SQL = op.md5_score("symbol", "strftime(ts, '%Y-%m-%d')")
 
 
-def split_eval_ctes(swing, split_swing, payoff_label="target", prefix="", tp=1.5, sl=1.0):
-    """Held-out slices with naive and model metrics; CTE names carry ``prefix``."""
+def split_eval_ctes(swing, split_swing, payoff_label="target", prefix="", tp=1.5, sl=1.0, pairs=()):
+    """Held-out slices with naive and model metrics; CTE names carry ``prefix``.
+
+    With ``pairs`` the barrier settings (tp, sl) are key columns.
+    """
     p = prefix
+    cfg = ["tp", "sl"] if pairs else []
+    more = "".join(f", {x}" for x in cfg)
+    payoff = op.ternary(tp, sl)
+    lab = op.labels("c0", swing, tp, sl, name=f"{p}lab")
+    if pairs:
+        values = ", ".join(f"({dbl(a)}, {dbl(b)})" for a, b in pairs)
+        payoff = "(CASE target WHEN 1 THEN atr_14 * tp / close WHEN -1 THEN -(atr_14 * sl / close) ELSE (exit_close - close) / close END)"
+        lab = {
+            f"{p}x": f"SELECT c0.*, tp, sl FROM c0, (VALUES {values}) v(tp, sl)",
+            f"{p}off": f"""SELECT x.symbol, x.rn, x.tp, x.sl, min(f.rn - x.rn) FILTER (f.low <= x.close - x.atr_14 * x.sl) AS sl_off,
+              min(f.rn - x.rn) FILTER (f.high >= x.close + x.atr_14 * x.tp) AS tp_off
+              FROM {p}x x LEFT JOIN c0 f ON f.symbol = x.symbol AND f.rn BETWEEN x.rn + 1 AND x.rn + {swing} GROUP BY ALL""",
+            f"{p}lab": f"""SELECT x.*, CASE WHEN sl_off <= coalesce(tp_off, 1000000) THEN -1 WHEN tp_off IS NOT NULL THEN 1 ELSE 0 END AS target,
+              NULL::DOUBLE AS exit_close FROM {p}x x JOIN {p}off USING (symbol, rn, tp, sl)""",
+        }
     per, gap = split_swing * 5, swing
     from barloom.registry.trades_q import PRODUCTION_GRID, _search_ctes
 
     grid = ", ".join(f"({dbl(t)})" for t in PRODUCTION_GRID)
     search = {}
-    for key, body in _search_ctes(f"{p}v", ["symbol"], PRODUCTION_GRID, f"greatest(10, floor(greatest(1.0::DOUBLE, n_rows / {dbl(float(swing))}) * 0.15::DOUBLE))", "ret", swing).items():
+    for key, body in _search_ctes(f"{p}v", ["symbol", *cfg], PRODUCTION_GRID, f"greatest(10, floor(greatest(1.0::DOUBLE, n_rows / {dbl(float(swing))}) * 0.15::DOUBLE))", "ret", swing).items():
         search[key] = body
     renames = {k: (f"r_{p}{k[2:]}" if k.startswith("r_") else f"nx_r_{p}{k[5:]}" if k.startswith("nx_r_") else f"{p}{k}") for k in search}
 
@@ -158,10 +176,10 @@ def split_eval_ctes(swing, split_swing, payoff_label="target", prefix="", tp=1.5
         return body
 
     search = {renames[k]: fix(b) for k, b in search.items()}
-    equity = lambda src: f"""SELECT *, product(1 + ret) OVER (PARTITION BY symbol, split ORDER BY pos) AS eq FROM {src}"""
-    drawdown = lambda src: f"""SELECT symbol, split, greatest(0, max((pk - eq) / pk)) AS dd FROM
-      (SELECT *, greatest(1, max(eq) OVER (PARTITION BY symbol, split ORDER BY pos)) AS pk FROM {src}) GROUP BY ALL"""
-    metric = lambda src: f"""SELECT symbol, split, count(*) AS n, sum(CASE target WHEN 1 THEN ret WHEN -1 THEN 0 ELSE greatest(ret, 0) END)
+    equity = lambda src: f"""SELECT *, product(1 + ret) OVER (PARTITION BY symbol, split{more} ORDER BY pos) AS eq FROM {src}"""
+    drawdown = lambda src: f"""SELECT symbol, split{more}, greatest(0, max((pk - eq) / pk)) AS dd FROM
+      (SELECT *, greatest(1, max(eq) OVER (PARTITION BY symbol, split{more} ORDER BY pos)) AS pk FROM {src}) GROUP BY ALL"""
+    metric = lambda src: f"""SELECT symbol, split{more}, count(*) AS n, sum(CASE target WHEN 1 THEN ret WHEN -1 THEN 0 ELSE greatest(ret, 0) END)
       / greatest(sum(CASE target WHEN -1 THEN abs(ret) WHEN 1 THEN 0 ELSE greatest(-ret, 0) END), 1e-9::DOUBLE) AS pf FROM {src} GROUP BY ALL"""
     return {
         f"{p}n": "SELECT symbol, count(*) AS n_bars FROM c0 GROUP BY symbol",
@@ -169,18 +187,18 @@ def split_eval_ctes(swing, split_swing, payoff_label="target", prefix="", tp=1.5
           greatest(10 * {per}, floor((n_bars - {2 * gap}) * 0.15::DOUBLE)::BIGINT) AS nt, n_bars - {2 * gap} AS alloc FROM {p}n""",
         f"{p}ok": f"""SELECT *, alloc - nv - nt AS ntr FROM {p}z WHERE n_bars >= 200 + 18 * {per} + {2 * gap}
           AND nv + nt <= alloc * 0.45::DOUBLE AND alloc - nv - nt >= 200""",
-        **op.labels("c0", swing, tp, sl, name=f"{p}lab"),
+        **lab,
         f"{p}s": f"""SELECT l.*, CASE WHEN rn >= ntr + {gap} AND rn < ntr + {gap} + nv THEN 'val' WHEN rn >= ntr + {2 * gap} + nv AND rn < ntr + {2 * gap} + nv + nt THEN 'test' END AS split
           FROM {p}lab l JOIN {p}ok USING (symbol)""",
         f"{p}h": f"""SELECT * EXCLUDE (exit_close), row_number() OVER w - 1 AS pos, {_HASH_SQL} AS score,
-          coalesce(lead(close, {swing}) OVER w, last(close) OVER (PARTITION BY symbol, split ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS exit_close
-          FROM {p}s WHERE split IS NOT NULL WINDOW w AS (PARTITION BY symbol, split ORDER BY rn)""",
-        f"{p}e": f"SELECT *, {op.ternary(tp, sl)} AS ret FROM {p}h",
+          coalesce(lead(close, {swing}) OVER w, last(close) OVER (PARTITION BY symbol, split{more} ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS exit_close
+          FROM {p}s WHERE split IS NOT NULL WINDOW w AS (PARTITION BY symbol, split{more} ORDER BY rn)""",
+        f"{p}e": f"SELECT *, {payoff} AS ret FROM {p}h",
         f"{p}v": f"SELECT * FROM {p}e WHERE split = 'val'",
         **search,
-        f"{p}mc": f"SELECT e.* FROM {p}e e JOIN {p}best b ON b.symbol = e.symbol AND e.score >= b.threshold",
-        **op.picks(f"{p}mc", ["symbol", "split"], swing, f"r_{p}m"),
-        f"{p}mt": f"SELECT c.* FROM {p}mc c JOIN r_{p}m USING (symbol, split, pos)",
+        f"{p}mc": f"SELECT e.* FROM {p}e e JOIN {p}best b ON b.symbol = e.symbol {'AND b.tp = e.tp AND b.sl = e.sl' if pairs else ''} AND e.score >= b.threshold",
+        **op.picks(f"{p}mc", ["symbol", "split", *cfg], swing, f"r_{p}m"),
+        f"{p}mt": f"SELECT c.* FROM {p}mc c JOIN r_{p}m USING (symbol, split, pos{more})",
         f"{p}nt": f"SELECT * FROM {p}e WHERE pos % {swing} = 0",
         f"{p}mm": metric(f"{p}mt"),
         f"{p}mq": equity(f"{p}mt"),
@@ -247,39 +265,40 @@ def label_reconciliation(spark, sf):
 
 # --- grid search ---------------------------------------------------------------------
 
-QUICK_GRID = [Barrier(10, tp, sl) for tp in sweep.QUICK["tp"] for sl in sweep.QUICK["sl"]]
+FULL_GRID = [Barrier(s, tp, sl) for s in sweep.PRODUCTION_SWINGS for tp in sweep.PRODUCTION_TP for sl in sweep.PRODUCTION_SL]
 
 
 def _fitness_sql(pf, dd, n, rows, swing):
     return f"""CASE WHEN {pf} <= 1 THEN -999.0::DOUBLE ELSE (least({pf}, 10) - 1) / greatest({dd}, 0.01::DOUBLE) * ln(greatest({n}, 1))
-      * least(1.0::DOUBLE, {n} / greatest(12, floor(greatest(1.0::DOUBLE, {rows} / {dbl(float(swing))}) * 0.15::DOUBLE))) END"""
+      * least(1.0::DOUBLE, {n} / greatest(12, floor(greatest(1.0::DOUBLE, {rows} / {swing}::DOUBLE) * 0.15::DOUBLE))) END"""
 
 
-_OPT_CONFIGS = {f"g{i}": b for i, b in enumerate(QUICK_GRID)}
+_PAIRS = list(dict.fromkeys((b.tp, b.sl) for b in FULL_GRID))
+_OPT_SWINGS = {f"g{s}": s for s in sweep.PRODUCTION_SWINGS}
 _OPT_ROWS = " UNION ALL ".join(
-    f"""SELECT m.symbol, m.split, {dbl(b.tp)} AS tp, {dbl(b.sl)} AS sl, t.threshold, m.n, m.pf, d.dd, z.nv, z.nt
-    FROM {p}mm m JOIN {p}md d USING (symbol, split) JOIN {p}best t USING (symbol) JOIN {p}ok z USING (symbol)""" for p, b in _OPT_CONFIGS.items())
+    f"""SELECT m.symbol, m.split, {s} AS swing, m.tp, m.sl, t.threshold, m.n, m.pf, d.dd, z.nv, z.nt
+    FROM {p}mm m JOIN {p}md d USING (symbol, split, tp, sl) JOIN {p}best t USING (symbol, tp, sl) JOIN {p}ok z USING (symbol)""" for p, s in _OPT_SWINGS.items())
 _OPT = {
     **C0,
-    **{k: v for p, b in _OPT_CONFIGS.items() for k, v in split_eval_ctes(10, 10, prefix=p, tp=b.tp, sl=b.sl).items()},
-    "cf": f"""SELECT symbol, split, tp, sl, threshold, n, round(pf, 4) AS pf, round(dd, 4) AS dd, nv,
-      round({_fitness_sql('pf', 'dd', 'n', "CASE split WHEN 'val' THEN nv ELSE nt END", 10)}, 6) AS fitness FROM ({_OPT_ROWS})""",
+    **{k: v for p, s in _OPT_SWINGS.items() for k, v in split_eval_ctes(s, 10, prefix=p, pairs=_PAIRS).items() if k != f"{p}r"},
+    "cf": f"""SELECT symbol, split, swing, tp, sl, threshold, n, round(pf, 4) AS pf, round(dd, 4) AS dd, nv,
+      round({_fitness_sql('pf', 'dd', 'n', "CASE split WHEN 'val' THEN nv ELSE nt END", "swing")}, 6) AS fitness FROM ({_OPT_ROWS})""",
     "vl": """SELECT *, CASE WHEN n < greatest(8, floor(nv / 50 * 0.5::DOUBLE)) OR pf <= 1.05::DOUBLE THEN -9999.0::DOUBLE + n
       ELSE (pf - 1) / greatest(dd, 0.01::DOUBLE) * ln(n) END AS production FROM cf WHERE split = 'val' AND fitness <> -999""",
     "wn": """SELECT *, count(*) OVER (PARTITION BY symbol) AS n_valid FROM vl
-      QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(production, 9) DESC, tp, sl) = 1""",
+      QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(production, 9) DESC, swing, tp, sl) = 1""",
 }
 
 
 @query("strategy_search", with_sql(_OPT,
-    f"""SELECT w.symbol, w.n_valid, w.tp, w.sl, {op.r6('w.threshold')} AS threshold, w.n AS trade_count, {op.r6('w.pf')} AS profit_factor, {op.r6('w.dd')} AS max_drawdown,
+    f"""SELECT w.symbol, w.n_valid, w.swing, w.tp, w.sl, {op.r6('w.threshold')} AS threshold, w.n AS trade_count, {op.r6('w.pf')} AS profit_factor, {op.r6('w.dd')} AS max_drawdown,
     {op.r6('w.fitness')} AS fitness, {op.r6('w.production')} AS production, {op.r6('t.fitness')} AS test_fitness,
     coalesce(t.fitness / nullif(greatest(w.fitness, 0), 0) >= 0.5::DOUBLE, false) AS oos_sane
-    FROM wn w LEFT JOIN cf t ON t.symbol = w.symbol AND t.tp = w.tp AND t.sl = w.sl AND t.split = 'test'""", recursive=True))
+    FROM wn w LEFT JOIN cf t ON t.symbol = w.symbol AND t.swing = w.swing AND t.tp = w.tp AND t.sl = w.sl AND t.split = 'test'""", recursive=True))
 def strategy_search(spark, sf):
-    _, winners = jobs.optimize(clean_daily(spark, sf), hash_rows, QUICK_GRID)
+    _, winners = jobs.optimize(clean_daily(spark, sf), hash_rows, FULL_GRID)
     doubles = ("threshold", "profit_factor", "max_drawdown", "fitness", "production", "test_fitness")
-    return rounded(winners, doubles, "symbol", "n_valid", "tp", "sl", "trade_count", "oos_sane")
+    return rounded(winners, doubles, "symbol", "n_valid", "swing", "tp", "sl", "trade_count", "oos_sane")
 
 
 # --- regimes ---------------------------------------------------------------------------
