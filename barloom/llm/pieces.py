@@ -5,8 +5,8 @@ segmentation the product of its pieces, normalised over the lattice of all segme
 Characters without a piece are spelled in byte pieces, so decoding gives every text back.
 
 Pieces never reach over the start of a run of blanks, nor over a line feed: the lattice of a text is
-a chain of small lattices, one per chunk, and equal chunks share one. ``Lattice`` builds all
-distinct chunks of some documents at once in arrays: edges, backward sums and conditional edge
+a chain of small lattices, one per chunk, and equal chunks share one. ``Lattice`` builds many
+distinct chunks at once in arrays: edges, backward sums and conditional edge
 probabilities. A sample walks all chunks of a text in step.
 
 ``top_k`` is the A-star search of Gumbel top-k: a node is a set of segmentations (a fixed prefix, a
@@ -20,7 +20,7 @@ samples is 1 - exp(-exp(log_prob - kappa)): ``log_inclusion`` is its logarithm.
 Uniform numbers are hashes of (seed, doc_id, sample, chunk, step): reruns agree on any partitioning.
 
 Defined cases: null and empty texts have one segmentation without pieces (log_prob 0, log_inclusion 0); a text
-with fewer than k segmentations gives all of them; a null ``doc_id`` is a key of its own; repeated rows
+with fewer than k segmentations gives all of them (what has less than 1e-12 of a chunk's mass is none); a null ``doc_id`` is a key of its own; repeated rows
 give equal rows; empty tables give empty results; columns other than doc_id and text are not read.
 """
 
@@ -31,13 +31,14 @@ import itertools
 import math
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import GOLDEN, arrow_map, mix64, uniform
+from barloom.llm.common import GOLDEN, mix64, uniform
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 K = 2
@@ -49,8 +50,12 @@ BLANK = 0x2581
 LITERAL = 0x110000
 BASE = np.uint64(0x100000001B3)
 CHUNKS = re.compile(r" *[^ \n]+|\n| +")
-#: Characters of documents that share one lattice.
-GROUP_CHARS = 1 << 20
+#: Before the name of a chunk that has no blank: no chunk of a text without it is named so.
+MARK = "\uffff"
+#: Characters of documents that are encoded together.
+GROUP_CHARS = 1 << 19
+#: Chunks whose lattices a task keeps for the documents that follow.
+KEPT_CHUNKS = 1 << 16
 TABLE_BITS = 19
 
 
@@ -86,6 +91,7 @@ class Vocabulary:
             self.keys[slot[now]], self.ids[slot[now]] = keys[now], ids[now]
             left = np.setdiff1d(left, now)
             slot[left] = (slot[left] + 1) & ((1 << TABLE_BITS) - 1)
+        self.single = self.find(np.arange(1, 0x3001, dtype=np.uint64))
         self.log_weight = np.zeros(max(ranked, default=0) + 1)
         for i, r in ranked.items():
             self.log_weight[i] = -alpha * math.log(r + SHIFT)
@@ -106,6 +112,13 @@ class Vocabulary:
             raise ValueError("the model needs byte pieces and pieces that hold blanks at their start only")
         return cls(pieces, byte_ids, alpha)
 
+    def first(self, points: np.ndarray) -> np.ndarray:
+        """``find`` for single characters, most of them by a table."""
+        out = self.single[np.minimum(points, len(self.single) - 1)]
+        high = np.nonzero(points >= len(self.single))[0]
+        out[high] = self.find(points[high].astype(np.uint64) + np.uint64(1))
+        return out
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Id of a piece, -1 for a mere prefix, -2 for neither."""
         at = (mix64(keys) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
@@ -121,8 +134,23 @@ class Vocabulary:
 
 
 def split(text: str) -> list[str]:
-    """The chunks of a text, with the blank that SentencePiece puts before it."""
-    return CHUNKS.findall(" " + text) if text else []
+    """Names of the chunks of a text: a chunk without the blank before it, or MARK and a chunk without a blank.
+
+    SentencePiece puts a blank before the text. The plain form of the rule is ``CHUNKS``; texts without runs of blanks take
+    the faster way of marking line starts and splitting at blanks.
+    """
+    if not text:
+        return []
+    if text[0] == " " or "  " in text or MARK in text:
+        return [c[1:] if c[0] == " " and c[1:2] != MARK else MARK + c for c in CHUNKS.findall(" " + text)]
+    if "\n" not in text:
+        return text.split(" ")
+    marked = text.replace("\n", f" {MARK}\n {MARK}").replace(f"{MARK} ", "")
+    return marked.removesuffix(f" {MARK}").split(" ")
+
+
+def chunk_text(name: str) -> str:
+    return name[1:] if name[:1] == MARK else " " + name
 
 
 def _points(chunks: list[str]) -> np.ndarray:
@@ -157,7 +185,7 @@ class Lattice:
             fits = alive + n <= stop[alive]
             alive, keys = alive[fits], keys[fits]
             keys = keys * BASE + points[alive + n - 1].astype(np.uint64) + np.uint64(1)
-            found = vocabulary.find(keys)
+            found = vocabulary.find(keys) if n > 1 else vocabulary.first(points)
             hit = found >= 0
             starts.append(alive[hit])
             sizes.append(n)
@@ -184,15 +212,13 @@ class Lattice:
             row = free[at]
             self.at[row], self.size[row], self.piece[row] = at, size, piece
             free[at] += 1
-        weight = np.where(
-            self.piece >= 0,
-            vocabulary.log_weight[np.maximum(self.piece, 0)],
-            _byte_count(np.maximum(-self.piece - 1, 0)) * vocabulary.log_byte,
-        )
+        weight = vocabulary.log_weight[np.maximum(self.piece, 0)]
+        spelled = np.nonzero(self.piece < 0)[0]
+        weight[spelled] = _byte_count(-self.piece[spelled] - 1) * vocabulary.log_byte
         # Backward sums by distance to the chunk's end, in logarithms.
         beta = np.zeros(len(points) + 1)
         to = self.at + self.size
-        after = to == stop[self.at] if len(to) else np.zeros(0, bool)
+        to = np.where(to == stop[self.at], len(points), to) if len(to) else to
         away = (stop - np.arange(len(points)))[self.at] if len(to) else np.zeros(0, np.int64)
         furthest = int(away.max()) if len(away) else 0
         by_distance = np.argsort(away.astype(np.int16 if furthest < 1 << 15 else np.int64), kind="stable")
@@ -202,28 +228,46 @@ class Lattice:
             e = by_distance[bounds[d] : bounds[d + 1]]
             if not len(e):
                 continue
-            total[e] = weight[e] + np.where(after[e], 0.0, beta[to[e]])
             p = self.at[e]
+            sums = weight[e] + beta[to[e]]
             heads = np.concatenate(([0], np.nonzero(p[1:] != p[:-1])[0] + 1))
-            top = np.maximum.reduceat(total[e], heads)
+            top = np.maximum.reduceat(sums, heads)
             spread = np.diff(np.append(heads, len(e)))
-            beta[p[heads]] = top + np.log(np.add.reduceat(np.exp(total[e] - np.repeat(top, spread)), heads))
+            beta[p[heads]] = top + np.log(np.add.reduceat(np.exp(sums - np.repeat(top, spread)), heads))
+            total[e] = sums
         self.log_prob = total - beta[self.at] if len(self.at) else total
         running = np.cumsum(np.exp(self.log_prob))
         before = np.concatenate(([0.0], running))[self.first[self.at]] if len(self.at) else running
         self.until = running - before
         # The last edge of a position takes what rounding leaves.
         self.until[self.first[1:] - 1] = 1.0
+        self.size, self.piece = self.size.astype(np.int8), self.piece.astype(np.int32)
+        del self.at, self.points
+
+    def joined(self, other: Lattice) -> Lattice:
+        """The lattices of both, the chunks of ``other`` last."""
+        out = Lattice.__new__(Lattice)
+        edges, positions = len(self.size), len(self.first) - 1
+        out.first = np.concatenate((self.first[:-1], other.first + edges))
+        out.start = np.concatenate((self.start, other.start + positions))
+        out.end = np.concatenate((self.end, other.end + positions))
+        for name in ("size", "piece", "log_prob", "until"):
+            setattr(out, name, np.concatenate((getattr(self, name), getattr(other, name))))
+        return out
 
     def sample(self, chunks: np.ndarray, keys: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Edges in text order, their number per chunk, and each chunk's log-probability."""
         pos, stop = self.start[chunks], self.end[chunks]
         active = np.arange(len(chunks))
         log_prob = np.zeros(len(chunks))
-        whose, edges = [], []
+        whose, edges, words = [], [], keys
         while len(active):
-            # All arrays follow ``active``.
-            goal = _step_uniform(keys, turn * TURN + len(edges))
+            # All arrays follow ``active``; a word of random bits serves three steps.
+            step = len(edges)
+            words = words >> PART if step % 3 else mix64(keys + np.uint64((turn * TURN + step) * MIX_STEP & MASK))
+            goal = (words & LOW).astype(np.float64)
+            goal += 0.5
+            goal *= 2.0**-21
             e = self.first[pos]
             late = np.nonzero(self.until[e] <= goal)[0]
             while len(late):
@@ -234,7 +278,7 @@ class Lattice:
             whose.append(active)
             edges.append(e)
             going = np.nonzero(pos < stop)[0]
-            active, pos, stop, keys = active[going], pos[going], stop[going], keys[going]
+            active, pos, stop, keys, words = active[going], pos[going], stop[going], keys[going], words[going]
         counts = np.zeros(len(chunks), np.int64)
         for own in whose:
             counts[own] += 1
@@ -247,26 +291,28 @@ class Lattice:
         """A segmentation of one chunk other than the excluded ones, by its share of what they leave."""
         p, stop, path = int(self.start[chunk]), int(self.end[chunk]), []
         # Mass of each excluded path from here on, given the walk so far.
-        left = [(list(x), float(self.log_prob[list(x)].sum())) for x in excluded]
+        left = [(x, float(self.log_prob[list(x)].sum())) for x in excluded]
         log_prob, step = 0.0, 0
         while p < stop:
-            options = range(int(self.first[p]), int(self.first[p + 1]))
-            mass = []
-            for e in options:
-                taken = sum(math.exp(lp) for x, lp in left if x[step] == e)
-                mass.append(max(0.0, math.exp(self.log_prob[e]) - taken))
+            a, b = int(self.first[p]), int(self.first[p + 1])
+            logs = self.log_prob[a:b].tolist()
+            mass = [math.exp(x) for x in logs]
+            for x, lp in left:
+                mass[x[step] - a] = max(0.0, mass[x[step] - a] - math.exp(lp))
             total = sum(mass)
             if total <= 0.0:
                 return None
-            u, e = float(_step_uniform(np.array([key], np.uint64), turn * TURN + step)[0]) * total, options[0]
-            for e, m in zip(options, mass, strict=True):
-                if m > 0.0 and u < m:
+            u, e = float(_uniform(np.array([key], np.uint64), turn, step)[0]) * total, 0
+            for e, m in enumerate(mass):
+                if u < m:
                     break
                 u -= m
-            left = [(x, lp - float(self.log_prob[e])) for x, lp in left if x[step] == e and step + 1 < len(x)]
-            log_prob += float(self.log_prob[e])
-            path.append(e)
-            p += int(self.size[e])
+            else:
+                e = max(range(len(mass)), key=mass.__getitem__)  # what rounding leaves
+            left = [(x, lp - logs[e]) for x, lp in left if x[step] == a + e and step + 1 < len(x)]
+            log_prob += logs[e]
+            path.append(a + e)
+            p += int(self.size[a + e])
             step += 1
         return np.array(path, np.int64), log_prob
 
@@ -274,19 +320,12 @@ class Lattice:
 MIX_STEP = 0xD1B54A32D192ED03
 #: Steps that lie between two turns of the search: more than a chunk that anyone writes has pieces.
 TURN = 1 << 40
+MASK = (1 << 64) - 1
+PART, LOW = np.uint64(21), np.uint64((1 << 21) - 1)
 
 
-def _step_uniform(keys: np.ndarray, step: int) -> np.ndarray:
-    """Uniform numbers for a step of a walk; the keys are mixed already, so one more round does."""
-    x = keys + np.uint64((step + 1) * MIX_STEP & 0xFFFFFFFFFFFFFFFF)
-    x ^= x >> np.uint64(32)
-    x *= GOLDEN
-    x ^= x >> np.uint64(29)
-    x >>= np.uint64(12)
-    u = x.astype(np.float64)
-    u += 0.5
-    u *= 2.0**-52
-    return u
+def _uniform(keys: np.ndarray, turn: int, step: int = 0) -> np.ndarray:
+    return uniform(keys + np.uint64((turn * TURN + step) * MIX_STEP & MASK))
 
 
 def row_keys(ids: list[int | None], seed: int) -> np.ndarray:
@@ -338,7 +377,7 @@ def top_k(lattice: Lattice, chunks: np.ndarray, row: np.uint64, k: int, keys: np
         open_ = np.nonzero(rest >= 1e-12)[0]
         if len(open_):
             before = np.cumsum(probs[t:]) - probs[t:] + probs[:t].sum()
-            u = _step_uniform(keys[t:][open_], (2 * turn + 1) * TURN)
+            u = _uniform(keys[t:][open_], 2 * turn + 1)
             best = _gumbel_below(before[open_] + np.log(rest[open_]), u, -key)
             # The k - len(out) nodes that can still be popped, and the one that gives kappa.
             m = k + 1 - len(out)
@@ -382,28 +421,37 @@ def decode(ids: list[int], vocabulary: Vocabulary) -> str:
     return raw.decode("utf-8", "surrogatepass")[1:]
 
 
-def encode_batch(ids: list, texts: list, vocabulary: Vocabulary, k: int, seed: int) -> list[tuple]:
-    """(row, rank, log_prob, perturbed, log_inclusion, piece ids) of all documents; shared lattices by group."""
-    rows, keys = [], row_keys(ids, seed)
-    for group in _groups(texts):
-        seen: defaultdict[str, int] = defaultdict(itertools.count().__next__)
-        tokens = [np.fromiter(map(seen.__getitem__, c), np.int64, len(c)) for c in (split(texts[i] or "") for i in group)]
-        lattice = Lattice(list(seen), vocabulary)
+class Encoder:
+    """Encodes groups of documents; keeps the lattices of the first chunks it has seen."""
+
+    def __init__(self, vocabulary: Vocabulary, k: int, seed: int) -> None:
+        self.vocabulary, self.k, self.seed = vocabulary, k, seed
+        self.known: dict[str, int] = {}
+        self.lattice = Lattice([], vocabulary)
+
+    def encode(self, ids: list, texts: list) -> list[tuple]:
+        """(row, rank, log_prob, perturbed, log_inclusion, piece ids) of all samples."""
+        rows, keys = [], row_keys(ids, self.seed)
+        seen: defaultdict[str, int] = defaultdict(itertools.count(len(self.known)).__next__, self.known)
+        tokens = [np.fromiter(map(seen.__getitem__, c), np.int64, len(c)) for c in (split(t or "") for t in texts)]
+        lattice = self.lattice.joined(Lattice([chunk_text(c) for c in itertools.islice(seen, len(self.known), None)], self.vocabulary))
+        if len(self.known) < KEPT_CHUNKS:
+            self.known, self.lattice = dict(seen), lattice
         with np.errstate(over="ignore", divide="ignore"):
-            own = [token_keys(keys[i], len(t)) for i, t in zip(group, tokens, strict=True)]
+            own = [token_keys(key, len(t)) for key, t in zip(keys, tokens, strict=True)]
             first = lattice.sample(np.concatenate(tokens), np.concatenate(own), 0)
             ends = np.cumsum([len(t) for t in tokens])
             edge_ends = np.concatenate(([0], np.cumsum(first[1])))
-            for i, chunks, row_keys_, b in zip(group, tokens, own, ends.tolist(), strict=True):
+            for i, (chunks, chunk_keys, b) in enumerate(zip(tokens, own, ends.tolist(), strict=True)):
                 a = b - len(chunks)
                 drawn = (first[0][edge_ends[a] : edge_ends[b]], first[1][a:b], first[2][a:b])
-                for rank, (edges, lp, g, inc) in enumerate(top_k(lattice, chunks, keys[i], k, row_keys_, drawn)):
-                    rows.append((i, rank, lp, g, inc, piece_ids(lattice.piece[edges], vocabulary.byte_ids)))
-    return rows
+                for rank, (edges, lp, g, inc) in enumerate(top_k(lattice, chunks, keys[i], self.k, chunk_keys, drawn)):
+                    rows.append((i, rank, lp, g, inc, piece_ids(lattice.piece[edges], self.vocabulary.byte_ids)))
+        return rows
 
 
 def _groups(texts: list) -> list[list[int]]:
-    out, size = [[]], 0
+    out, size = [[]] if texts else [], 0
     for i, t in enumerate(texts):
         n = len(t or "")
         if out[-1] and size + n > GROUP_CHARS:
@@ -421,20 +469,23 @@ def sampled_segmentations(docs: DataFrame, model: str = MODEL, k: int = K, alpha
     """A row for each document and sample: its rank, score, inclusion score and piece ids."""
     vocabulary = Vocabulary.load(model, alpha)
 
-    def run(batch: dict) -> dict:
-        ids = batch["doc_id"].to_pylist()
-        rows = encode_batch(ids, batch["text"].to_pylist(), vocabulary, k, seed)
-        lengths = np.array([len(r[5]) for r in rows], np.int64)
-        offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32))
-        values = np.concatenate([r[5] for r in rows]).astype(np.int32)
-        return {
-            "doc_id": [ids[r[0]] for r in rows],
-            "sample": [r[1] for r in rows],
-            "n_pieces": lengths,
-            "log_prob": [r[2] for r in rows],
-            "perturbed": [r[3] for r in rows],
-            "log_inclusion": [r[4] for r in rows],
-            "pieces": pa.ListArray.from_arrays(offsets, pa.array(values)),
-        }
-
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SCHEMA)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(vocabulary, k, seed)
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for group in _groups(texts):
+                own = [ids[i] for i in group]
+                rows = encoder.encode(own, [texts[i] for i in group])
+                lengths = np.array([len(r[5]) for r in rows], np.int64)
+                offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+                values = np.concatenate([r[5] for r in rows]).astype(np.int32)
+                columns = [
+                    pa.array([own[r[0]] for r in rows], pa.int64()),
+                    pa.array([r[1] for r in rows], pa.int32()),
+                    pa.array(lengths),
+                    *[pa.array([r[c] for r in rows], pa.float64()) for c in (2, 3, 4)],
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "pieces"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)

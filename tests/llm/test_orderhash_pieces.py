@@ -86,7 +86,7 @@ TEXTS = ["", None, "a", "  the  cat\n\n sat ", "▁x ▁", "日本𝄞語\n x\t"
 
 @needs_model
 def test_every_sample_decodes_to_its_text(vocabulary):
-    rows = pieces.encode_batch(list(range(len(TEXTS))), TEXTS, vocabulary, 4, 1)
+    rows = pieces.Encoder(vocabulary, 4, 1).encode(list(range(len(TEXTS))), TEXTS)
     for i, text in enumerate(TEXTS):
         own = [r for r in rows if r[0] == i]
         assert own and all(pieces.decode(r[5].tolist(), vocabulary) == (text or "") for r in own)
@@ -95,6 +95,15 @@ def test_every_sample_decodes_to_its_text(vocabulary):
         assert all(a[3] > b[3] for a, b in zip(own, own[1:], strict=False))
 
 
+def test_split_follows_the_rule():
+    import random
+
+    draw = random.Random(6)
+    for _ in range(3000):
+        text = "".join(draw.choice(["a", "bc", " ", " ", "\n", "\n\n", "\t", "\uffff"][: draw.choice([4, 6, 8])]) for _ in range(draw.randint(0, 9)))
+        assert [pieces.chunk_text(c) for c in pieces.split(text)] == (pieces.CHUNKS.findall(" " + text) if text else [])
+
+
 def all_segmentations(text, vocabulary):
     """Log-probability of every segmentation, by recursion over pieces."""
     ids = {p: i for i, p in vocabulary.text_of.items()}
@@ -116,12 +125,14 @@ def all_segmentations(text, vocabulary):
 @needs_model
 def test_scores_and_chances_match_enumeration(vocabulary):
     exact = all_segmentations("▁the▁cat", vocabulary)
-    every = pieces.encode_batch([0], ["the cat"], vocabulary, 10_000, 3)
-    assert len(every) == len(exact)
+    every = pieces.Encoder(vocabulary, 10_000, 3).encode([0], ["the cat"])
+    found = {tuple(r[5].tolist()) for r in every}
+    assert len(found) == len(every) and found <= set(exact)
+    assert sum(math.exp(v) for k, v in exact.items() if k not in found) < 1e-10
     for r in every:
         assert r[2] == pytest.approx(exact[tuple(r[5].tolist())], abs=1e-9) and r[4] == 0.0
     n, first, inside = 6000, Counter(), Counter()
-    for r in pieces.encode_batch(list(range(n)), ["the cat"] * n, vocabulary, 2, 9):
+    for r in pieces.Encoder(vocabulary, 2, 9).encode(list(range(n)), ["the cat"] * n):
         first[tuple(r[5].tolist())] += r[1] == 0
         inside[tuple(r[5].tolist())] += 1
     chance = {k: math.exp(v) for k, v in exact.items()}
@@ -131,6 +142,14 @@ def test_scores_and_chances_match_enumeration(vocabulary):
         assert abs(inside[k] / n - among) < 4.5 * math.sqrt(among * (1 - among) / n)
 
 
+@needs_model
+def test_kept_lattices_change_nothing(vocabulary):
+    texts = ["the cat sat on the mat", "the dog and the cat", "another one"]
+    encoder = pieces.Encoder(vocabulary, 3, 5)
+    apart = [tuple(r[5].tolist()) for i, t in enumerate(texts) for r in encoder.encode([i], [t])]
+    assert apart == [tuple(r[5].tolist()) for r in pieces.Encoder(vocabulary, 3, 5).encode([0, 1, 2], texts)]
+
+
 @needs_model
 def test_samples_depend_on_row_and_seed_only(docs, corpus):
     def run(rows):
