@@ -112,12 +112,13 @@ def swing_sweep(
 def regimes(
     labelled: DataFrame, windows: Sequence[tuple[str, str, str]], scorer: Scorer, swing: int, tp: float, sl: float, in_sample_end: str,
     payoff: str = "binary", n_iter: int = 1000, seed: int = 42, min_bars: int = 200, min_prior: int = 500, min_trades: int = 20,
+    cost: float = 0.0,
 ) -> DataFrame:
     """Model against naive per market regime, with a per-trade bootstrap out of sample.
 
     ``windows`` lists ``(regime, start, end)``, both ends included. The threshold comes from
     the last 15 % (at least 200 bars) before the regime. Returns one row per series
-    and regime; ``status`` tells why a regime was not evaluated.
+    and regime; ``status`` tells why a regime was not evaluated. ``cost`` is taken off every return.
     """
     keys = [*SERIES_KEYS, "regime"]
     base = cut_lineage(labelled)
@@ -147,7 +148,10 @@ def regimes(
     placed = tr.with_exit_close(placed, swing, run, "pos").withColumn("exit_close", F.coalesce("close_ahead", "last_close"))
     scored = cut_lineage(
         scorer(placed).withColumns(
-            {"ret": tr.trade_return(tp, sl, F.col("exit_close"), payoff=payoff), "ret_val": tr.trade_return(tp, sl, F.col("exit_close"))}
+            {
+                "ret": tr.trade_return(tp, sl, F.col("exit_close"), cost, payoff),
+                "ret_val": tr.trade_return(tp, sl, F.col("exit_close"), cost),
+            }
         )
     )
     found = tr.threshold_search(

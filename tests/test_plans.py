@@ -177,6 +177,8 @@ def test_regimes_match_a_loop(spark, bars):
     scorer = lambda rows: rows.withColumn("score", F.when(F.pmod(F.dayofyear("ts"), F.lit(3)) == 0, 0.9).otherwise(0.2))
     windows = [("early", "2000-06-01", "2001-03-01"), ("in", "2002-01-01", "2002-12-31"), ("out", "2003-01-01", "2003-12-31"), ("gone", "2010-01-01", "2010-12-31")]
     out = {r.regime: r for r in jobs.regimes(clean_rows, windows, scorer, swing, 1.0, 1.0, "2002-06-01", n_iter=20).collect()}
+    costly = {r.regime: r for r in jobs.regimes(clean_rows, windows, scorer, swing, 1.0, 1.0, "2002-06-01", n_iter=5, cost=0.01).collect()}
+    assert costly["out"].naive_pf < out["out"].naive_pf and costly["out"].naive_trades == out["out"].naive_trades
     rows = sorted(clean_rows.collect(), key=lambda r: r.ts)
     assert out["early"].status == "insufficient_prior" and out["in"].sample_type == "IN-SAMPLE" and out["in"].p5 is None
     assert out["out"].sample_type == "OOS" and out["out"].p5 is not None
