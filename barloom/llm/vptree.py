@@ -14,6 +14,12 @@
 
 The only rows on the driver are the sample (``SAMPLE_PER_SHARD`` times the shards, 2**18 at most).
 
+``one_of_similar`` is the dedup of the pipeline: texts whose 5-word shingles have a Jaccard similarity of 0.8 or
+more. At 0.8 two prints differ in about 10 of 64 bits, and balls of that radius reach nearly every leaf of any
+tree, so the trees give candidates at ``BITS`` and 20 bands of 5 min-hashes of the same shingles give the rest (a pair at
+0.8 shares none with a probability of 4e-4). Each member of a band meets the band's least and greatest text; each candidate
+is confirmed on the shingles themselves. Null ids take part by their texts.
+
 Defined cases: a null or wordless text has fingerprint zero and is linked like any other; fewer
 than three words are one shingle; repeated rows and equal texts share a component; a null ``doc_id``
 names no component unless all ids of the component are null (then null); empty tables give empty
@@ -27,11 +33,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import arrow_map
+from barloom.llm.common import GOLDEN, arrow_map, mix64
 from barloom.session import cut_lineage
 
 BITS = 2
@@ -44,20 +51,31 @@ MOST_SAMPLED = 1 << 18
 LEAF = 32
 #: Shingles whose bits are counted at once: bounds memory for very long texts.
 CHUNK = 1 << 16
+#: Similarity of the pipeline's near copies, on shingles of so many words.
+SIMILAR = 0.8
+SIMILAR_SHINGLE = 5
+BANDS = 20
+BAND_ROWS = 5
+#: Shingles whose min-hashes are taken at once.
+HASH_CHUNK = 1 << 12
 
 
-def simhash(text: str | None, shingle: int = SHINGLE) -> int:
-    """Majority bits of the shingles' XXH64; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle; fewer words than ``shingle`` are one, no words none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = np.array([digest(joined, SEED)], dtype=np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - shingle + 1].tolist()
-        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+        return np.array([digest(joined, SEED)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - shingle + 1].tolist()
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    if not len(hashes):
+        return 0
     counts = np.zeros(64, np.int64)
     for a in range(0, len(hashes), CHUNK):
         bits = np.unpackbits(hashes[a : a + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -65,6 +83,11 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def simhash(text: str | None, shingle: int = SHINGLE) -> int:
+    """Majority bits of the shingles' XXH64; 0 without words."""
+    return majority_bits(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, print (the 64 bits as a signed long)."""
 
@@ -229,3 +252,78 @@ def one_of_each(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> Da
     kept = components(docs, bits, shingle).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     named = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+ODD = mix64(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64) * GOLDEN) | np.uint64(1)
+SHIFT = mix64(np.arange(1001, BANDS * BAND_ROWS + 1001, dtype=np.uint64) * GOLDEN)
+
+
+def band_keys(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Keys under which similar texts meet: the bands of min-hashes, and the print itself."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
+    for a in range(0, len(hashes), HASH_CHUNK):
+        np.minimum(least, (hashes[a : a + HASH_CHUNK, None] * ODD + SHIFT).min(axis=0), out=least)
+    rows = [row.tobytes() for row in least.reshape(BANDS, BAND_ROWS)] + [bits.to_bytes(8, "little")]
+    return np.array([xxhash.xxh64_intdigest(row, k) for k, row in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def shingles(text: str | None, shingle: int = SIMILAR_SHINGLE) -> set[bytes]:
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+
+
+def similarity(a: str | None, b: str | None) -> float:
+    """Exact Jaccard similarity of the 5-word shingles."""
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def similar_texts(texts: DataFrame) -> DataFrame:
+    """``texts`` (key, text; keys distinct) -> edges (a, b) of texts at ``SIMILAR`` or more."""
+
+    def keyed(batch: dict) -> dict:
+        own = [shingle_hashes(t, SIMILAR_SHINGLE) for t in batch["text"].to_pylist()]
+        prints = [majority_bits(h) for h in own]
+        bands = [band_keys(h, p) for h, p in zip(own, prints, strict=True)]
+        flat = pa.array(np.concatenate(bands))
+        lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, BANDS + 1, dtype=np.int32), flat)
+        return {"key": batch["key"], "print": np.array(prints, np.uint64).view(np.int64), "bands": lists}
+
+    keys = cut_lineage(arrow_map(texts, keyed, "key string, print long, bands array<long>"))
+    rows = keys.select("key", F.explode("bands").alias("band"))
+    stars = rows.groupBy("band").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter(F.col("first") < F.col("last"))
+    met = rows.join(stars, "band").select("key", F.explode(F.array("first", "last")).alias("other"))
+    nodes = cut_lineage(keys.groupBy("print").agg(F.min("key").alias("key")))
+    tree = (
+        links(nodes.select("print"))
+        .join(nodes.select(F.col("print").alias("a"), "key"), "a")
+        .join(nodes.select(F.col("print").alias("b"), F.col("key").alias("other")), "b")
+        .select("key", "other")
+    )
+    pairs = met.union(tree).filter(F.col("key") != F.col("other"))
+    pairs = cut_lineage(pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct())
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    needed = cut_lineage(texts.join(needed, "key", "left_semi"))
+    both = pairs.join(needed.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(
+        needed.select(F.col("key").alias("b"), F.col("text").alias("y")), "b"
+    )
+
+    def confirmed(batch: dict) -> dict:
+        near = [similarity(x, y) >= SIMILAR for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)]
+        return {name: batch[name].filter(pa.array(near, pa.bool_())) for name in ("a", "b")}
+
+    return arrow_map(both.select("a", "b", "x", "y"), confirmed, "a string, b string")
+
+
+def one_of_similar(docs: DataFrame) -> DataFrame:
+    """One row of each component of similar texts: the one with the smallest id, a null id only if there is no other."""
+    key = F.md5(F.coalesce("text", F.lit("")))
+    named = docs.select(F.col("doc_id").cast("long").alias("id"), key.alias("key"), "text")
+    texts = cut_lineage(named.groupBy("key").agg(F.first("text").alias("text"), F.min("id").alias("id")))
+    roots = connected(similar_texts(texts.select("key", "text")))
+    of = texts.select("key", "id").join(roots.withColumnRenamed("node", "key"), "key", "left")
+    # Ids first, so that a null id wins only among null ids; of equal ids the least key.
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("best")
+    best = of.groupBy(F.coalesce("root", "key").alias("root")).agg(best).select(F.col("best.id").alias("_id"), F.col("best.key").alias("_key"))
+    kept = docs.withColumn("_key", key).join(best, "_key").filter(F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    return kept.dropDuplicates(["_key"]).select(*docs.columns)

@@ -73,3 +73,20 @@ def test_one_of_each_keeps_columns_and_rows_without_id(docs):
 def test_empty_table(docs):
     assert vptree.components(docs([])).count() == 0
     assert vptree.one_of_each(docs([])).count() == 0
+
+
+def test_one_of_similar_drops_near_copies_and_copies_without_id(docs):
+    draw = np.random.default_rng(11)
+    base = [f"w{x}" for x in draw.integers(0, 10**6, 300)]
+
+    def changed(k):
+        return " ".join(w if i % (300 // k) else f"new{i}" for i, w in enumerate(base))
+
+    near, far = changed(4), changed(20)
+    assert vptree.similarity(" ".join(base), near) >= 0.8 > vptree.similarity(" ".join(base), far)
+    assert (vptree.simhash(" ".join(base), 5) ^ vptree.simhash(near, 5)).bit_count() > vptree.BITS
+    rows = [(5, " ".join(base)), (3, near), (9, far), (None, near), (None, "no id at all"), (None, "no id at all"), (2, None), (4, ""), (4, "one two")]
+    kept = vptree.one_of_similar(docs(rows))
+    assert kept.columns == docs(rows).columns
+    assert sorted(((r["doc_id"] or -1), r["text"]) for r in kept.collect()) == sorted([(3, near), (9, far), (-1, "no id at all"), (2, None), (4, "one two")], key=lambda x: x[0])
+    assert vptree.one_of_similar(docs([])).count() == 0
