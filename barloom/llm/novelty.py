@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and novelty against dictionary-primed zstandard.
 
 A candidate is a long run of token characters with a digit and a letter, in a sensitive context (a word
-such as "key" or "credential" in the ``CONTEXT`` characters before it). Its novelty is what it adds to the
+such as "key" or "credential" in the ``CONTEXT`` characters before it, or in the name it is glued to: a run is split at
+each "=" but its padding, and after a name that ends in such a word). Its novelty is what it adds to the
 compressed size when zstandard is primed with an identifier dictionary and the code around the
 candidate: identifiers, paths and repeats of what stands nearby cost next to nothing, random strings
 cost their entropy. Candidates at ``MIN_NOVELTY`` bytes a character or more are reported as ``novel``.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,8 +35,14 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 MIN_ASSIGN = 12
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{20,}")
-SENSITIVE = re.compile(r"(?ai)key|token|secret|passw|pwd|credential|auth|bearer|private|signature|cookie|session|cert|akia")
+MIN_CANDIDATE = 20
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=~-]{{{MIN_CANDIDATE},}}")
+#: What stands between the "=" of a run, with the padding at its end.
+VALUE = re.compile(r"[^=]+(?:=+\Z)?")
+WORDS = "key|token|secret|passw|pwd|credential|auth|bearer|private|signature|cookie|session|cert|akia"
+SENSITIVE = re.compile(f"(?ai){WORDS}")
+#: A name up to the last sensitive word, without "=": stripe_key_, client-secret-.
+NAMED = re.compile(f"(?ai)(?:[a-z]+[0-9]?[_~/+-]+)*[a-z]*(?:{WORDS})[a-z]{{0,3}}[_~/+-]+")
 CONTEXT = 64
 #: Characters of code on either side that prime the compressor.
 SURROUNDING = 2_048
@@ -80,27 +88,36 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def novel_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans of incompressible strings in sensitive context that no known span touches."""
-    found = []
-    for context in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, context.start(), min(len(text), context.end() + CONTEXT)):
-            # The window may end inside a run: take the run as a whole.
-            whole = CANDIDATE.match(text, m.start())
-            if whole.start() and CANDIDATE_CHAR.match(text, whole.start() - 1):
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Values of token characters in sensitive context, without the names they are glued to, in order."""
+    contexts = [m.span() for m in SENSITIVE.finditer(text)]
+    if not contexts:
+        return []
+    starts, found = [c[0] for c in contexts], []
+    for run in CANDIDATE.finditer(text):
+        for m in VALUE.finditer(run[0]):
+            a, b = run.start() + m.start(), run.start() + m.end()
+            name = NAMED.match(text, a, b)
+            if name and b - name.end() >= MIN_CANDIDATE:
+                a = name.end()
+            k = bisect_right(starts, a) - 1
+            if b - a < MIN_CANDIDATE or k < 0 or a + MIN_CANDIDATE > contexts[k][1] + CONTEXT:
                 continue
-            a, b = whole.span()
             body = text[a:b]
-            if any(a < end and start < b for start, _, end in known) or (found and found[-1][0] >= a):
-                continue
-            if not any(map(str.isdigit, body)) or not any(map(str.isalpha, body)):
-                continue
-            if novelty(body, text[max(0, a - SURROUNDING) : a] + text[b : b + SURROUNDING]) >= MIN_NOVELTY:
-                found.append((a, 3, b))
+            if any(map(str.isdigit, body)) and any(map(str.isalpha, body)):
+                found.append((a, b))
     return found
 
 
-CANDIDATE_CHAR = re.compile(r"[A-Za-z0-9+/_=~-]")
+def novel_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans of incompressible strings in sensitive context that no known span touches."""
+    found = []
+    for a, b in candidates(text):
+        if any(a < end and start < b for start, _, end in known):
+            continue
+        if novelty(text[a:b], text[max(0, a - SURROUNDING) : a] + text[b : b + SURROUNDING]) >= MIN_NOVELTY:
+            found.append((a, 3, b))
+    return found
 
 
 def all_spans(text: str | None) -> tuple[list, list]:

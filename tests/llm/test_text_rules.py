@@ -99,6 +99,19 @@ def test_novelty_adds_incompressible_strings_in_sensitive_context():
     assert novelty.all_spans(f"{key} " + "and some words to part them " * 4 + f"the private key is {key} here")[1] == []
 
 
+def test_values_are_measured_without_their_names():
+    key = "q7Zt+Lw9Rk3VxP0mB8nYsD5cJ2hG"
+    names = ("AWS_ACCESS_KEY=", "db_pwd=", "ssh_key=", "private_key=", "service_account_credential_configuration=", "oauth2_auth==", "stripe_key_", "key-", "x=1=session=")
+    for name in names:
+        for value in (key, key + "=="):
+            text = f"export {name}{value} done"
+            assert [s for s in novelty.all_spans(text)[1] if s[1] == 3] == [(7 + len(name), 3, 7 + len(name) + len(value))], text
+            assert key not in novelty.redact(text)
+    assert [s[1] for s in novelty.all_spans("stripe_key=sk_live_q7ZtLw9Rk3VxP0mB8nYsD5c")[1]] == [3]
+    assert novelty.all_spans(f"plain_word={key} x")[1] == []
+    assert novelty.all_spans("auth_name=authorization_configuration_parameter_1")[1] == []
+
+
 def test_redaction_keeps_rows_and_columns(docs):
     frame = docs([(i, t) for i, t in enumerate(TEXTS)] + [(9, None), (10, "")])
     got = {r["doc_id"]: r for r in novelty.redacted(frame).collect()}
