@@ -5,7 +5,8 @@ such as "key" or "credential" in the ``CONTEXT`` characters before it, or in the
 each "=" but its padding, and after a name that ends in such a word). Its novelty is what it adds to the
 compressed size when zstandard is primed with an identifier dictionary and the code around the
 candidate: identifiers, paths and repeats of what stands nearby cost next to nothing, random strings
-cost their entropy. Candidates at ``MIN_NOVELTY`` bytes a character or more are reported as ``novel``.
+cost their entropy. Candidates do not prime each other, so a secret is found at each of its sensitive places; a copy outside
+any sensitive context is code like other code and does prime. Candidates at ``MIN_NOVELTY`` bytes a character or more are reported as ``novel``.
 
 Positions are code points, end exclusive. Defined cases: null or empty text has no spans; repeated rows
 get equal results; empty tables give empty results; columns other than doc_id and text are not
@@ -109,13 +110,29 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def _around(text: str, at: int, others: list[tuple[int, int]]) -> str:
+    """The code around candidate ``at`` of ``others`` that is no candidate itself."""
+    low, high = max(0, others[at][0] - SURROUNDING), others[at][1] + SURROUNDING
+    first, last = at, at + 1
+    while first and others[first - 1][1] > low:
+        first -= 1
+    while last < len(others) and others[last][0] < high:
+        last += 1
+    parts = []
+    for start, end in others[first:last]:
+        parts.append(text[low : max(low, start)])
+        low = end
+    return "".join([*parts, text[low:high]])
+
+
 def novel_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of incompressible strings in sensitive context that no known span touches."""
     found = []
-    for a, b in candidates(text):
+    others = candidates(text)
+    for at, (a, b) in enumerate(others):
         if any(a < end and start < b for start, _, end in known):
             continue
-        if novelty(text[a:b], text[max(0, a - SURROUNDING) : a] + text[b : b + SURROUNDING]) >= MIN_NOVELTY:
+        if novelty(text[a:b], _around(text, at, others)) >= MIN_NOVELTY:
             found.append((a, 3, b))
     return found
 

@@ -112,6 +112,19 @@ def test_values_are_measured_without_their_names():
     assert novelty.all_spans("auth_name=authorization_configuration_parameter_1")[1] == []
 
 
+def test_copies_of_a_secret_do_not_hide_each_other():
+    key = "q7Zt+Lw9Rk3VxP0mB8nYsD5cJ2hG"
+    line = f"auth failed, retry with session {key} now\n"
+    texts = [line * 3, f"access_key = {key}\nold_key = /srv/{key}\n", f"export SSH_KEY={key}\ncurl --cookie {key}\n", f"token={key}\nssh_key = {key}\n"]
+    for text in texts:
+        assert key not in novelty.redact(text), text
+    assert len(novelty.novel_spans(texts[0], [])) == 3
+    repeated = "the session key is authorization_configuration_parameter_1 here\n" * 3
+    assert novelty.all_spans(repeated)[1] == []
+    edge = f"key {key} " + "x y " * ((novelty.SURROUNDING - 20) // 4) + f"key {key} end"
+    assert len(novelty.novel_spans(edge, [])) == 2
+
+
 def test_redaction_keeps_rows_and_columns(docs):
     frame = docs([(i, t) for i, t in enumerate(TEXTS)] + [(9, None), (10, "")])
     got = {r["doc_id"]: r for r in novelty.redacted(frame).collect()}
