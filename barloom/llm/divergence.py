@@ -10,7 +10,7 @@ that mixes languages is held against each reference; the nearest counts.
 One text repeated over and over would bend a reference, so a text with more than a thousandth of all
 rows counts once; there are fewer than a thousand such texts.
 
-Defined cases: null text has no words and fails the base; null or unknown language: nearest of all
+Defined cases: null text has no words and fails the base; null or empty language: nearest of all
 references; repeated rows get equal verdicts; an empty table gives an empty result; other columns
 are not read (``kept_documents`` hands them on).
 """
@@ -179,7 +179,7 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, dict[bytes, int],
 
 def judge(text: str, n_words: int, refs: dict, lang: str | None) -> tuple[float | None, float | None, bool]:
     """Distances of classes and words to the nearest reference (None: not judged), and whether the document is kept."""
-    if not refs or len(text) < MIN_CHARS:
+    if not refs or len(text) < MIN_CHARS or (lang and lang not in refs):
         return None, None, True
     class_limit = CLASS_LIMIT[0] + CLASS_LIMIT[1] / len(text) ** 0.5
     word_limit = WORD_LIMIT[0] + WORD_LIMIT[1] / max(1, n_words) ** 0.5

@@ -60,6 +60,23 @@ def test_junk_is_rejected_and_clean_text_kept(docs):
     assert {r["doc_id"] for r in divergence.kept_documents(frame).collect()} == {i for i, k in kept.items() if k}
 
 
+def test_a_language_without_reference_is_not_judged_by_others(docs):
+    import random
+
+    draw = random.Random(4)
+
+    def prose(common, parts, n=300):
+        return " ".join(draw.choice(common) if draw.random() < 0.5 else "".join(draw.choices(parts, k=3)) for _ in range(n)) + "."
+
+    large = [(i, prose(["the", "of", "and", "to"], ["ter", "lon", "mas", "ri", "ved"])) for i in range(40)]
+    rare = ["ja", "on", "ei", "se"], ["kuu", "lää", "tti", "vö", "sen"]
+    rows = large + [(100 + i, prose(*rare), "fi") for i in range(5)] + [(200, prose(*rare), None), (201, prose(*rare), "en")]
+    got = {r["doc_id"]: r for r in divergence.quality(docs(rows)).collect()}
+    assert all(got[100 + i]["kept"] and got[100 + i]["word_distance"] is None for i in range(5))
+    assert not got[200]["kept"] and not got[201]["kept"] and all(got[i]["kept"] for i in range(40))
+    assert {r["doc_id"] for r in divergence.kept_documents(docs(rows)).collect()} == {i for i, r in got.items() if r["kept"]}
+
+
 def test_empty_tables(docs):
     assert divergence.quality(docs([])).count() == 0 and divergence.kept_documents(docs([])).count() == 0
     assert novelty.secrets(docs([])).count() == 0 and novelty.redacted(docs([])).count() == 0
