@@ -279,7 +279,7 @@ def similarity(a: str | None, b: str | None) -> float:
 
 
 def similar_texts(texts: DataFrame) -> DataFrame:
-    """``texts`` (key, text; keys distinct) -> edges (a, b) of texts at ``SIMILAR`` or more."""
+    """``texts`` (key, text; a key names one text) -> edges (a, b) of texts at ``SIMILAR`` or more."""
 
     def keyed(batch: dict) -> dict:
         own = [shingle_hashes(t, SIMILAR_SHINGLE) for t in batch["text"].to_pylist()]
@@ -289,7 +289,7 @@ def similar_texts(texts: DataFrame) -> DataFrame:
         lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, BANDS + 1, dtype=np.int32), flat)
         return {"key": batch["key"], "print": np.array(prints, np.uint64).view(np.int64), "bands": lists}
 
-    keys = cut_lineage(arrow_map(texts, keyed, "key string, print long, bands array<long>"))
+    keys = cut_lineage(arrow_map(texts, keyed, "key string, print long, bands array<long>").dropDuplicates(["key"]))
     rows = keys.select("key", F.explode("bands").alias("band"))
     stars = rows.groupBy("band").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter(F.col("first") < F.col("last"))
     met = rows.join(stars, "band").select("key", F.explode(F.array("first", "last")).alias("other"))
@@ -303,7 +303,7 @@ def similar_texts(texts: DataFrame) -> DataFrame:
     pairs = met.union(tree).filter(F.col("key") != F.col("other"))
     pairs = cut_lineage(pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct())
     needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    needed = cut_lineage(texts.join(needed, "key", "left_semi"))
+    needed = cut_lineage(texts.groupBy("key").agg(F.first("text").alias("text")).join(needed, "key", "left_semi"))
     both = pairs.join(needed.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(
         needed.select(F.col("key").alias("b"), F.col("text").alias("y")), "b"
     )
@@ -319,9 +319,8 @@ def one_of_similar(docs: DataFrame) -> DataFrame:
     """One row of each component of similar texts: the one with the smallest id, a null id only if there is no other."""
     key = F.md5(F.coalesce("text", F.lit("")))
     named = docs.select(F.col("doc_id").cast("long").alias("id"), key.alias("key"), "text")
-    texts = cut_lineage(named.groupBy("key").agg(F.first("text").alias("text"), F.min("id").alias("id")))
-    roots = connected(similar_texts(texts.select("key", "text")))
-    of = texts.select("key", "id").join(roots.withColumnRenamed("node", "key"), "key", "left")
+    roots = connected(similar_texts(named.select("key", "text")))
+    of = named.groupBy("key").agg(F.min("id").alias("id")).join(roots.withColumnRenamed("node", "key"), "key", "left")
     # Ids first, so that a null id wins only among null ids; of equal ids the least key.
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("best")
     best = of.groupBy(F.coalesce("root", "key").alias("root")).agg(best).select(F.col("best.id").alias("_id"), F.col("best.key").alias("_key"))
