@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from barloom.llm import pagetext, toxicity
 
 SCHEMA = "page_id long, url string, html string, text string, n_chars string"
@@ -47,6 +49,88 @@ def test_unmarked_boilerplate_goes_by_repetition_on_the_host(spark):
     assert got[99] == got[3] and got[100] == top
 
 
+@pytest.mark.parametrize(
+    ("html", "expected"),
+    [
+        ("<article><p>first</p><p class='copyright'>c</p><p>rest one</p><p>rest two</p></article>", "first\nrest one\nrest two"),
+        ("<article><ul><li>a<li class=ad>x<ul><li>y</ul>z<li>b</ul>end</article>", "a\nb\nend"),
+        ("<article><table><tr class=ad><td>q<tr><td class=share>w<td>keep<tr><td>more</table>end</article>", "keep\nmore\nend"),
+        ("<article><dl><dt class=ad>x<dd>y<dt>z</dl><select><option class=ad>o</select>end</article>", "y\nz\nend"),
+        ("<article><p class=ad>x<div>kept</div><p>too</article>", "kept\ntoo"),
+        ("<article><div id='related-work'>rw</div><div data-id='share-5' title=' class=ad'>ds</div><div id=share-5>s</div>rest</article>", "rw\nds\nrest"),
+        ("<article><p>one <span class=ad>no</span> two<button>b</button></p></article>", "one two"),
+        ("<article class='post has-share comments-open'><p>ok</p><section class='comments'><article>c</article></section></article>", "ok"),
+        ("<div class='share'>S</div><p class='related'>R</p><p>text</p>", "text"),
+        ("<p>tag line</p><div class='main has-sidebar'><article>real</article></div>", "real"),
+        ("<div class='header-layout'><div class=ad>Buy</div><p>only text</p></div>", "only text"),
+        ("<li class='ad'>Buy <ul><li>x</li></ul> more</li><li>keep</li>", "keep"),
+    ],
+)
+def test_noise_ends_where_its_element_ends(html, expected):
+    assert "\n".join(pagetext.blocks(html)[0]) == expected
+
+
+def test_very_long_and_deep_pages():
+    assert pagetext.blocks("<article>" + "<p>word</p>" * 50_000 + "</article>") == (["word"] * 50_000, True)
+    assert pagetext.blocks("<div>" * 20_000 + "deep" + "</div>" * 20_000 + "<p>end") == (["deep", "end"], False)
+
+
+def brute_host(rows):
+    """Every 8-token run of every page against every other page of the host."""
+
+    def grams(text):
+        words = text.split()
+        return [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+
+    out = {}
+    for r in rows:
+        host = [o for o in rows if o["host"] == r["host"]]
+        pages = {(o["text"], o["rest"]) for o in host}
+        need = min(len(pages), 3)
+        words = r["text"].split()
+        gone = set()
+        for i, g in enumerate(grams(r["text"])):
+            on = sum(g in grams(text) or g in grams(rest) for text, rest in pages)
+            if on >= 2 and on >= need:
+                gone |= set(range(i, i + 8))
+        kept, at = [], 0
+        for block in r["text"].split("\n"):
+            size = len(block.split())
+            own = [w for i, w in enumerate(words[at : at + size], at) if i not in gone]
+            at += size
+            if own:
+                kept.append(" ".join(own))
+        out[r["page_id"]] = r["text"] if r["marked"] else "\n".join(kept) or r["text"]
+    return out
+
+
+def test_host_intervals_equal_brute_force(spark):
+    draw = random.Random(6)
+    phrases = [" ".join(f"w{draw.randint(0, 60)}" for _ in range(draw.randint(3, 20))) for _ in range(14)]
+
+    def text():
+        return "\n".join(draw.choice(phrases) if draw.random() < 0.5 else " ".join(f"w{draw.randint(0, 60)}" for _ in range(draw.randint(1, 15))) for _ in range(draw.randint(1, 6)))
+
+    rows = []
+    for i in range(90):
+        marked = draw.random() < 0.3
+        host = f"h{min(draw.randint(0, 25), 12)}"
+        rows.append({"page_id": i, "url": f"http://{host}/{i}", "host": host, "text": text(), "marked": marked, "rest": text() if marked and draw.random() < 0.7 else ""})
+    rows += [{**rows[k], "page_id": 90 + k} for k in range(12)]
+    frame = spark.createDataFrame([(r["page_id"], r["url"], r["text"], r["marked"], r["rest"]) for r in rows], "page_id long, url string, text string, marked boolean, rest string")
+    got = {r["page_id"]: r["text"] for r in pagetext.by_host(frame.repartition(3)).collect()}
+    assert got == brute_host(rows)
+
+
+def test_path_is_chosen_by_the_parsed_page(spark):
+    menu = "home news sport culture weather travel contact search login help"
+    rows = [(i, f"http://h/{i}", f"<script>var t='<article>';</script><!-- <main> --><div>{menu}</div><p>text of page {i} " + " ".join(f"t{i}x{k}" for k in range(20)) + "</p>") for i in range(2)]
+    rows += [(5, "http://h/5", f"<div>{menu}</div><article>the {menu} again</article>")]
+    got = {r["page_id"]: r["text"] for r in pagetext.extract(pages(spark, rows)).collect()}
+    assert all(menu not in got[i] and got[i].startswith(f"text of page {i}") for i in range(2))
+    assert got[5] == f"the {menu} again"
+
+
 def labelled(spark, docs):
     draw = random.Random(8)
     plain = ["".join(draw.choices(["ter", "lon", "mas", "ri", "ved"], k=3)) for _ in range(300)]
