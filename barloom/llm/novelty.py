@@ -4,9 +4,10 @@ A candidate is a long run of token characters with a digit and a letter, in a se
 such as "key" or "credential" in the ``CONTEXT`` characters before it, or in the name it is glued to: a run is split at
 each "=" but its padding, and after a name that ends in such a word). Its novelty is what it adds to the
 compressed size when zstandard is primed with an identifier dictionary and the code around the
-candidate: identifiers, paths and repeats of what stands nearby cost next to nothing, random strings
-cost their entropy. Candidates do not prime each other, so a secret is found at each of its sensitive places; a copy outside
-any sensitive context is code like other code and does prime. Candidates at ``MIN_NOVELTY`` bytes a character or more are reported as ``novel``.
+candidate: identifiers, paths and parts of what stands nearby cost next to nothing, random strings
+cost their entropy. Neither candidates nor copies of the candidate prime it, and what is found in a sensitive place
+is reported wherever else it stands in the text. A candidate that lies inside a span of the fixed patterns is known; one that reaches beyond
+is measured whole. Candidates at ``MIN_NOVELTY`` bytes a character or more are reported as ``novel``.
 
 Positions are code points, end exclusive. Defined cases: null or empty text has no spans; repeated rows
 get equal results; empty tables give empty results; columns other than doc_id and text are not
@@ -19,7 +20,9 @@ import hashlib
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
+import ahocorasick
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -111,7 +114,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
 
 
 def _around(text: str, at: int, others: list[tuple[int, int]]) -> str:
-    """The code around candidate ``at`` of ``others`` that is no candidate itself."""
+    """The code around candidate ``at`` of ``others`` that is neither a candidate nor a copy of this one."""
     low, high = max(0, others[at][0] - SURROUNDING), others[at][1] + SURROUNDING
     first, last = at, at + 1
     while first and others[first - 1][1] > low:
@@ -122,19 +125,29 @@ def _around(text: str, at: int, others: list[tuple[int, int]]) -> str:
     for start, end in others[first:last]:
         parts.append(text[low : max(low, start)])
         low = end
-    return "".join([*parts, text[low:high]])
+    return "".join([*parts, text[low:high]]).replace(text[slice(*others[at])], "")
 
 
 def novel_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans of incompressible strings in sensitive context that no known span touches."""
-    found = []
+    """Incompressible strings in sensitive context, and their copies, that lie inside no span of ``known``, which is in order."""
+    starts, ends = [s for s, _, _ in known], list(accumulate((e for _, _, e in known), max))
+
+    def inside(a: int, b: int) -> bool:
+        before = bisect_right(starts, a)
+        return bool(before) and ends[before - 1] >= b
+
     others = candidates(text)
-    for at, (a, b) in enumerate(others):
-        if any(a < end and start < b for start, _, end in known):
-            continue
-        if novelty(text[a:b], _around(text, at, others)) >= MIN_NOVELTY:
-            found.append((a, 3, b))
-    return found
+    found = {
+        text[a:b] for at, (a, b) in enumerate(others) if not inside(a, b) and novelty(text[a:b], _around(text, at, others)) >= MIN_NOVELTY
+    }
+    if not found:
+        return []
+    copies = ahocorasick.Automaton()
+    for word in found:
+        copies.add_word(word, len(word))
+    copies.make_automaton()
+    spans = [(last + 1 - size, 3, last + 1) for last, size in copies.iter(text)]
+    return sorted(s for s in spans if not inside(s[0], s[2]))
 
 
 def all_spans(text: str | None) -> tuple[list, list]:
