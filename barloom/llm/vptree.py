@@ -17,8 +17,10 @@ The only rows on the driver are the sample (``SAMPLE_PER_SHARD`` times the shard
 ``one_of_similar`` is the dedup of the pipeline: texts whose 5-word shingles have a Jaccard similarity of 0.8 or
 more. At 0.8 two prints differ in about 10 of 64 bits, and balls of that radius reach nearly every leaf of any
 tree, so the trees give candidates at ``BITS`` and 20 bands of 5 min-hashes of the same shingles give the rest (a pair at
-0.8 shares none with a probability of 4e-4). Each member of a band meets the band's least and greatest text; each candidate
-is confirmed on the shingles themselves. Null ids take part by their texts.
+0.8 shares none with a probability of 4e-4). Each member of a band meets the band's least text; each candidate is
+confirmed on the shingles themselves. A band whose members are not all connected then may hide links, as in
+families that share a template: all members of such bands meet by prefixes (``rare_partners``), which lose no pair. Null ids take
+part by their texts.
 
 Defined cases: a null or wordless text has fingerprint zero and is linked like any other; fewer
 than three words are one shingle; repeated rows and equal texts share a component; a null ``doc_id``
@@ -35,7 +37,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import GOLDEN, arrow_map, mix64
@@ -58,6 +60,8 @@ BANDS = 20
 BAND_ROWS = 5
 #: Shingles whose min-hashes are taken at once.
 HASH_CHUNK = 1 << 12
+#: Tasks over which the members of one band, or the partners of one text, are dealt.
+SALTS = 16
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -292,21 +296,47 @@ def similar_texts(texts: DataFrame) -> DataFrame:
     keys = cut_lineage(arrow_map(texts, keyed, "key string, print long, bands array<long>").dropDuplicates(["key"]))
     rows = keys.select("key", F.explode("bands").alias("band"))
     stars = rows.groupBy("band").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter(F.col("first") < F.col("last"))
-    met = rows.join(stars, "band").select("key", F.explode(F.array("first", "last")).alias("other"))
+    met = _salted(rows, stars.drop("last"), "band", "key").filter(F.col("key") != F.col("first"))
+    met = cut_lineage(met.select("band", F.col("first").alias("a"), F.col("key").alias("b")))
     nodes = cut_lineage(keys.groupBy("print").agg(F.min("key").alias("key")))
     tree = (
         links(nodes.select("print"))
         .join(nodes.select(F.col("print").alias("a"), "key"), "a")
         .join(nodes.select(F.col("print").alias("b"), F.col("key").alias("other")), "b")
-        .select("key", "other")
+        .filter(F.col("key") != F.col("other"))
+        .select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
     )
-    pairs = met.union(tree).filter(F.col("key") != F.col("other"))
-    pairs = cut_lineage(pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct())
+    edges = cut_lineage(_confirmed(met.select("a", "b").union(tree).distinct(), texts))
+    roots = connected(edges)
+    apart = (
+        met.join(roots.select(F.col("node").alias("a"), F.col("root").alias("x")), "a", "left")
+        .join(roots.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left")
+        .filter(F.coalesce("x", "a") != F.coalesce("y", "b"))
+    )
+    bands = cut_lineage(apart.select("band").distinct())
+    if bands.isEmpty():
+        return edges
+    mixed = met.join(bands, "band", "left_semi").select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    mixed = mixed.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    distinct = texts.groupBy("key").agg(F.first("text").alias("text"))
+    return edges.union(_confirmed(rare_partners(distinct.join(mixed, "key")), texts))
+
+
+def _salted(rows: DataFrame, one: DataFrame, on: str, by: str) -> DataFrame:
+    """``rows`` joined with ``one``, which has a row per ``on``; rows of one key are dealt out by ``by``."""
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    copies = one.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(copies, [on, "salt"]).drop("salt")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys whose texts are similar."""
+    pairs = cut_lineage(pairs)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     needed = cut_lineage(texts.groupBy("key").agg(F.first("text").alias("text")).join(needed, "key", "left_semi"))
-    both = pairs.join(needed.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(
-        needed.select(F.col("key").alias("b"), F.col("text").alias("y")), "b"
-    )
+    left = needed.join(pairs.select(F.col("a").alias("key")).distinct(), "key", "left_semi")
+    both = _salted(pairs, left.select(F.col("key").alias("a"), F.col("text").alias("x")), "a", "b")
+    both = both.join(needed.select(F.col("key").alias("b"), F.col("text").alias("y")), "b")
 
     def confirmed(batch: dict) -> dict:
         near = [similarity(x, y) >= SIMILAR for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)]
@@ -315,6 +345,32 @@ def similar_texts(texts: DataFrame) -> DataFrame:
     return arrow_map(both.select("a", "b", "x", "y"), confirmed, "a string, b string")
 
 
+def rare_partners(texts: DataFrame) -> DataFrame:
+    """(key, text, root) -> pairs (a, b) of different roots among which are all at ``SIMILAR`` or more.
+
+    If the shingles of all texts are in one order, two texts of n and m shingles and a similarity of s share one of the first
+    n - ceil(s n) + 1 of the one and m - ceil(s m) + 1 of the other. The order is rarest first, so what a family
+    shares comes last; a shingle of one text takes a place but has no partner.
+    """
+
+    def shingled(batch: dict) -> dict:
+        own = [np.unique(shingle_hashes(t, SIMILAR_SHINGLE)) for t in batch["text"].to_pylist()]
+        index = np.repeat(np.arange(len(own)), [len(h) for h in own])
+        sizes = np.array([len(h) for h in own])[index]
+        return {"key": batch["key"].take(index), "root": batch["root"].take(index), "size": sizes, "shingle": np.concatenate(own).view(np.int64)}
+
+    rows = cut_lineage(arrow_map(texts.select("key", "root", "text"), shingled, "key string, root string, size long, shingle long"))
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > 1)
+    own = Window.partitionBy("key")
+    shared = rows.join(often, "shingle").withColumn("place", F.row_number().over(own.orderBy("times", "shingle"))).withColumn("n", F.count(F.lit(1)).over(own))
+    places = F.col("size") - F.ceil(F.lit(str(SIMILAR)).cast("decimal(3,2)") * F.col("size")) + 1
+    first = cut_lineage(shared.filter(F.col("size") - F.col("n") + F.col("place") <= places).select("key", "root", "size", "shingle"))
+    other = first.select("shingle", *(F.col(c).alias(f"other_{c}") for c in ("key", "root", "size")))
+    fits = F.least("size", "other_size") >= F.lit(SIMILAR - 1e-9) * F.greatest("size", "other_size")
+    met = first.join(other, "shingle").filter((F.col("key") < F.col("other_key")) & (F.col("root") != F.col("other_root")) & fits)
+    return met.select(F.col("key").alias("a"), F.col("other_key").alias("b")).distinct()
+
+
 def one_of_similar(docs: DataFrame) -> DataFrame:
     """One row of each component of similar texts: the one with the smallest id, a null id only if there is no other."""
     key = F.md5(F.coalesce("text", F.lit("")))

@@ -90,3 +90,58 @@ def test_one_of_similar_drops_near_copies_and_copies_without_id(docs):
     assert kept.columns == docs(rows).columns
     assert sorted(((r["doc_id"] or -1), r["text"]) for r in kept.collect()) == sorted([(3, near), (9, far), (-1, "no id at all"), (2, None), (4, "one two")], key=lambda x: x[0])
     assert vptree.one_of_similar(docs([])).count() == 0
+
+
+def similar_pairs(texts):
+    """All pairs at 0.8 or more, by an inverted list of shingles."""
+    sets = {i: vptree.shingles(t) for i, t in texts.items()}
+    where = {}
+    for i, own in sets.items():
+        for s in own:
+            where.setdefault(s, []).append(i)
+    met = {(a, b) for ids in where.values() for a in ids for b in ids if a < b}
+    return {(a, b) for a, b in met if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+
+
+def groups_of(items, pairs):
+    of = {i: i for i in items}
+
+    def top(i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        of[max(a, b)] = min(a, b)
+    return {i: top(i) for i in items}
+
+
+def test_no_link_is_lost_in_a_family_with_a_template(docs):
+    draw = np.random.default_rng(5)
+    template = [f"t{i}" for i in range(240)]
+    rows = []
+    for k in range(150):
+        own = [f"own{k}x{i}" for i in range(30)]
+        twin = [f"own{k}x{i}" if draw.random() > 0.1 else f"twin{k}x{i}" for i in range(30)]
+        rows += [(2 * k, " ".join(template + own)), (2 * k + 1, " ".join(template + twin))]
+    texts = dict(rows)
+    pairs = similar_pairs(texts)
+    assert 100 < len(pairs) < 400
+    group = groups_of(texts, pairs)
+    kept = {r["doc_id"] for r in vptree.one_of_similar(docs(rows)).collect()}
+    assert kept == {i for i in texts if group[i] == i}
+
+
+def test_rare_partners_lose_no_pair(spark):
+    draw = np.random.default_rng(8)
+    base = [[f"b{k}w{i}" for i in range(80)] for k in range(4)]
+    texts = {}
+    for i in range(160):
+        words = list(base[i % 4])
+        for _ in range(draw.integers(0, 8)):
+            words[draw.integers(0, 80)] = f"n{draw.integers(0, 40)}"
+        texts[f"k{i:03d}"] = " ".join(words[: draw.integers(60, 81)])
+    frame = spark.createDataFrame([(k, t, k) for k, t in texts.items()], "key string, text string, root string")
+    met = {(r["a"], r["b"]) for r in vptree.rare_partners(frame).collect()}
+    assert similar_pairs(texts) <= met
