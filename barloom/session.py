@@ -52,10 +52,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{tempfile.gettempdir()}/barloom-{context.applicationId}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: compact, for tables that are read again."""
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Let the file system delete ``path`` when the driver ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: compact, for tables that are read again.
+
+    The files go when the driver ends.
+    """
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    delete_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
