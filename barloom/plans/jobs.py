@@ -14,7 +14,7 @@ from barloom.operators.labels import Barrier, label_grid
 from barloom.operators.layout import block_window, drop_halo, drop_layout, with_halo, with_position
 from barloom.operators.sizing import barrier_prices
 from barloom.operators.splits import bars_per_trade, min_val_trades, temporal_split
-from barloom.plans.diagnostics import regime_stats
+from barloom.plans.diagnostics import precision, regime_stats
 from barloom.plans.walkforward import Scorer
 from barloom.schemas import SERIES_KEYS
 from barloom.session import cut_lineage
@@ -61,7 +61,8 @@ def naive_vs_model(
 ) -> DataFrame:
     """Naive and model metrics on validation and test, threshold found on validation.
 
-    One row per series and split; model columns are NULL without a threshold.
+    One row per series and split; model columns are NULL without a threshold. ``signals``, ``hits`` and ``precision`` count
+    every bar that reaches the threshold.
     """
     placed = split_positions(labelled, swing, swing if embargo is None else embargo, split_swing)
     ret = tr.trade_return(tp, sl, F.col("exit_close"), cost)
@@ -78,8 +79,9 @@ def naive_vs_model(
     columns = ("trade_count", "gross_profit", "gross_loss", "profit_factor", "max_drawdown")
     n = naive.select(*keys, *[F.col(c).alias(f"naive_{c}") for c in columns])
     m = model.select(*keys, *[F.col(c).alias(f"model_{c}") for c in columns])
+    fired = scored.join(found, list(SERIES_KEYS)).withColumn("signal", F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False)))
     return (
-        n.join(found, list(SERIES_KEYS), "left").join(m, keys, "left")
+        n.join(found, list(SERIES_KEYS), "left").join(m, keys, "left").join(precision(fired, keys), keys, "left")
         .withColumn("delta", F.col("model_profit_factor") - F.col("naive_profit_factor"))
     )
 

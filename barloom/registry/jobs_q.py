@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barloom.functions.keys import r6
 from barloom.operators.indicators import technicals
 from barloom.operators.labels import Barrier, barrier_labels, extrema_labels
+from barloom.operators.columns import DATASET_DROP, clean, infer_features, strategies
 from barloom.operators.layout import with_position
 from barloom.plans import jobs, models, sweep
 from barloom.plans import walkforward as wf
@@ -316,19 +317,39 @@ def regimes_rigorous(spark, sf):
 
 # --- models ------------------------------------------------------------------------------
 
-MODEL_FEATURES = ("rsi_14", "dist_ema_50", "atr_14", "bb_width", "bb_pos", "rel_volume")
-MODEL_CONFIG = ExperimentConfig(window_months=38, step_months=38, n_bootstrap=200)
+def model_data(spark, sf):
+    """Labelled daily bars with all technicals, no missing rows, positions from zero."""
+    bars = technicals(fx.bars(spark, sf, "1d"))
+    labelled = clean(barrier_labels(bars).drop("rn", "n_bars", "last_close"), (*DATASET_DROP, "n_trades"))
+    return with_position(labelled, last="close"), infer_features(labelled)
 
 
 @query("gbt_baseline")
 def gbt_baseline(spark, sf):
-    """All three formulations on daily bars: boosted trees and a multinomial model per fold."""
-    bars = technicals(fx.bars(spark, sf, "1d"), MODEL_FEATURES)
-    dataset = barrier_labels(bars).na.drop("any").drop("rn", "n_bars", "last_close")
-    ready, bounds = wf.prepare(with_position(dataset), MODEL_CONFIG)
-    scorer = models.model_scorer(ready, bounds, {"CONTROL": MODEL_FEATURES}, hyper=models.Hyper(n_trees=10))
+    """All three formulations on daily bars: boosted trees per fold on all technicals, as the default experiment has it."""
+    config = ExperimentConfig()
+    dataset, features = model_data(spark, sf)
+    ready, bounds = wf.prepare(dataset, config)
+    scorer = models.model_scorer(ready, bounds, {"CONTROL": features})
     grids = {f.name: f.thresholds for f in FORMULATIONS.values()}
-    out = wf.evaluate(
-        ready, bounds, scorer, MODEL_CONFIG, grids, ("variant", "formulation"), ("target_ret", *MODEL_FEATURES)
-    )
+    out = wf.evaluate(ready, bounds, scorer, config, grids, models.RUN_KEYS, ("target_ret", *features))
     return rounded(out.runs, RUN_DOUBLES, "symbol", "variant", "formulation", *RUN_COUNTS, "passes_gate")
+
+
+@query("production_training")
+def production_training(spark, sf):
+    """Final models of every series for each strategy of the search, as a table of models."""
+    dataset, features = model_data(spark, sf)
+    sets = {r["name"]: [f for f in r["features"] if f in features] for r in strategies(dataset, with_sentiment=False).collect()}
+    out = models.production_models(dataset, sets)
+    return out.select("symbol", F.col("variant").alias("strategy"), "kept", F.round("loss", 6).alias("loss"), F.size("leaf").alias("n_leaves"))
+
+
+@query("model_evaluation")
+def model_evaluation(spark, sf):
+    """Fitted models on validation and test: threshold, trades against naive, precision of the signals."""
+    dataset, features = model_data(spark, sf)
+    dataset = cut_lineage(dataset)
+    out = jobs.naive_vs_model(dataset, models.split_scorer(dataset, features, SWING), SWING, 1.5, 1.0)
+    doubles = ("threshold", "naive_profit_factor", "model_profit_factor", "delta", "precision")
+    return rounded(out, doubles, "symbol", "split", "naive_trade_count", "model_trade_count", "signals", "hits")
