@@ -34,6 +34,21 @@ def word_count(text) -> object:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: A key with more than 1 / HOT of the rows is hot.
+HOT = 4096
+
+
+def matched(rows: DataFrame, one: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` (stored) joined with ``one`` (stored, a row per key with ``n``, its number of ``rows``).
+
+    Hot keys, of which there are at most ``HOT``, are broadcast, so that no task gets all rows of one.
+    """
+    hot = F.col("n") * HOT > rows.count()
+    few = F.broadcast(one.filter(hot).drop("n"))
+    cold = rows.join(few.select(*on), on, "left_anti").join(one.filter(~hot).drop("n"), on)
+    return cold.unionByName(rows.join(few, on))
+
+
 def arrow_map(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFrame:
     """Map record batches to record batches: ``fn`` takes and gives a dict of columns (lists, arrays).
 

@@ -11,8 +11,9 @@ grow with the corpus, so the shards of the reference are met by key instead:
    window by window: a window is covered if a smaller document leads it as well. Any document that has a
    window has the context of some leader of this window with no larger id, so that is exact.
 
-All keys are reduced by minimum with partial aggregation, so a passage in a third of all documents has no
-task of its own, and copies of a text never meet in pairs. Keys are 64-bit hashes of word sequences.
+All keys are reduced by minimum with partial aggregation, and rows get the minimum of their key back by a join in which keys
+with more than one row in ``common.HOT`` are broadcast (at most ``HOT`` of them), so a passage in a third of all documents has
+no task of its own; copies of a text never meet in pairs. Keys are 64-bit hashes of word sequences.
 
 For a reference of bounded size, ``automaton`` has the broadcast form: suffix automata of its shards, through
 which documents are streamed for matching statistics.
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import arrow_map, mix64
+from barloom.llm.common import arrow_map, matched, mix64
 from barloom.session import stored
 
 WINDOW = 50
@@ -139,16 +140,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.filter(F.col("doc_id").isNotNull())
     found = stored(arrow_map(known, _anchor_rows, "doc_id long, anchor long, context long"))
-    shared = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor")
-    suspect = stored(found.join(shared, "anchor").select("doc_id", "anchor", "context"))
-    leads = suspect.groupBy("anchor", "context").agg(F.min("doc_id").alias("leader"))
-    several = leads.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    lead = leads.join(several, "anchor").groupBy(F.col("leader").alias("doc_id")).agg(F.collect_set("context").alias("lead"))
-    followed = suspect.join(leads, ["anchor", "context"]).filter("doc_id > leader")
+    rows = F.count(F.lit(1)).alias("n")
+    shared = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), rows).filter("a < b")
+    suspect = stored(matched(found, stored(shared.select("anchor", "n")), ["anchor"]).select("doc_id", "anchor", "context"))
+    leads = stored(suspect.groupBy("anchor", "context").agg(F.min("doc_id").alias("leader"), rows))
+    several = stored(leads.groupBy("anchor").agg(rows).filter("n > 1"))
+    lead = matched(leads.drop("n"), several, ["anchor"]).groupBy(F.col("leader").alias("doc_id")).agg(F.collect_set("context").alias("lead"))
+    followed = matched(suspect, leads, ["anchor", "context"]).filter("doc_id > leader")
     contexts = followed.groupBy("doc_id").agg(F.collect_set("context").alias("contexts"))
     windows = stored(arrow_map(docs.join(lead, "doc_id").select("doc_id", "text", "lead"), _window_rows, "doc_id long, window long"))
-    earliest = windows.groupBy("window").agg(F.min("doc_id").alias("first"))
-    covered = windows.join(earliest, "window").filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("window").alias("windows"))
+    earliest = stored(windows.groupBy("window").agg(F.min("doc_id").alias("first"), rows).filter("n > 1"))
+    covered = matched(windows, earliest, ["window"]).filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("window").alias("windows"))
     marked = contexts.join(covered, "doc_id", "full")
     return arrow_map(
         docs.join(marked, "doc_id", "left").select("doc_id", "text", "contexts", "windows"),
