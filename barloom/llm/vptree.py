@@ -19,8 +19,8 @@ more. At 0.8 two prints differ in about 10 of 64 bits, and balls of that radius
 tree, so the trees give candidates at ``BITS`` and 20 bands of 5 min-hashes of the same shingles give the rest (a pair at
 0.8 shares none with a probability of 4e-4). Each member of a band meets the band's least text; each candidate is
 confirmed on the shingles themselves. A band whose members are not all connected then may hide links, as in
-families that share a template: all members of such bands meet by prefixes (``rare_partners``), which lose no pair. Null ids take
-part by their texts.
+families that share a template: all members of such bands meet once more by their rarest min-hashes (``rare_partners``).
+Null ids take part by their texts.
 
 Defined cases: a null or wordless text has fingerprint zero and is linked like any other; fewer
 than three words are one shingle; repeated rows and equal texts share a component; a null ``doc_id``
@@ -40,8 +40,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import GOLDEN, arrow_map, mix64
-from barloom.session import cut_lineage
+from barloom.llm.common import GOLDEN, arrow_map, matched, mix64
+from barloom.session import cut_lineage, stored
 
 BITS = 2
 SHINGLE = 3
@@ -62,6 +62,9 @@ BAND_ROWS = 5
 HASH_CHUNK = 1 << 12
 #: Tasks over which the members of one band, or the partners of one text, are dealt.
 SALTS = 16
+#: Min-hashes by which members of mixed bands meet, and how many of them, the rarest first, a text uses.
+SIGNATURE = BANDS * BAND_ROWS
+RAREST = 16
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -262,11 +265,17 @@ ODD = mix64(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64) * GOLDEN) | np.
 SHIFT = mix64(np.arange(1001, BANDS * BAND_ROWS + 1001, dtype=np.uint64) * GOLDEN)
 
 
-def band_keys(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Keys under which similar texts meet: the bands of min-hashes, and the print itself."""
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The min-hash of the shingles under each permutation."""
     least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
     for a in range(0, len(hashes), HASH_CHUNK):
         np.minimum(least, (hashes[a : a + HASH_CHUNK, None] * ODD + SHIFT).min(axis=0), out=least)
+    return least
+
+
+def band_keys(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Keys under which similar texts meet: the bands of min-hashes, and the print itself."""
+    least = least_hashes(hashes)
     rows = [row.tobytes() for row in least.reshape(BANDS, BAND_ROWS)] + [bits.to_bytes(8, "little")]
     return np.array([xxhash.xxh64_intdigest(row, k) for k, row in enumerate(rows)], np.uint64).view(np.int64)
 
@@ -346,29 +355,30 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def rare_partners(texts: DataFrame) -> DataFrame:
-    """(key, text, root) -> pairs (a, b) of different roots among which are all at ``SIMILAR`` or more.
+    """(key, text, root) -> pairs (a, b) of texts of different roots that share rare min-hashes.
 
-    If the shingles of all texts are in one order, two texts of n and m shingles and a similarity of s share one of the first
-    n - ceil(s n) + 1 of the one and m - ceil(s m) + 1 of the other. The order is rarest first, so what a family
-    shares comes last; a shingle of one text takes a place but has no partner.
+    Of two texts at ``SIMILAR`` four in five of ``SIGNATURE`` min-hashes agree. What a family shares is frequent and tells its members not
+    apart; each text therefore takes its ``RAREST`` min-hashes that occur under several roots, and meets the texts with the
+    least and the greatest root there. The number of pairs grows with the number of texts only.
     """
 
-    def shingled(batch: dict) -> dict:
-        own = [np.unique(shingle_hashes(t, SIMILAR_SHINGLE)) for t in batch["text"].to_pylist()]
-        index = np.repeat(np.arange(len(own)), [len(h) for h in own])
-        sizes = np.array([len(h) for h in own])[index]
-        return {"key": batch["key"].take(index), "root": batch["root"].take(index), "size": sizes, "shingle": np.concatenate(own).view(np.int64)}
-
-    rows = cut_lineage(arrow_map(texts.select("key", "root", "text"), shingled, "key string, root string, size long, shingle long"))
-    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > 1)
-    own = Window.partitionBy("key")
-    shared = rows.join(often, "shingle").withColumn("place", F.row_number().over(own.orderBy("times", "shingle"))).withColumn("n", F.count(F.lit(1)).over(own))
-    places = F.col("size") - F.ceil(F.lit(str(SIMILAR)).cast("decimal(3,2)") * F.col("size")) + 1
-    first = cut_lineage(shared.filter(F.col("size") - F.col("n") + F.col("place") <= places).select("key", "root", "size", "shingle"))
-    other = first.select("shingle", *(F.col(c).alias(f"other_{c}") for c in ("key", "root", "size")))
-    fits = F.least("size", "other_size") >= F.lit(SIMILAR - 1e-9) * F.greatest("size", "other_size")
-    met = first.join(other, "shingle").filter((F.col("key") < F.col("other_key")) & (F.col("root") != F.col("other_root")) & fits)
-    return met.select(F.col("key").alias("a"), F.col("other_key").alias("b")).distinct()
+    def signed(batch: dict) -> dict:
+        own = [least_hashes(shingle_hashes(t, SIMILAR_SHINGLE))[:SIGNATURE] for t in batch["text"].to_pylist()]
+        tokens = mix64(np.stack(own) + np.arange(SIGNATURE, dtype=np.uint64) * GOLDEN).view(np.int64)
+        return {**{c: np.repeat(batch[c].to_numpy(), SIGNATURE) for c in ("id", "root")}, "token": tokens.ravel()}
+
+    ids = cut_lineage(texts.select(F.xxhash64("key").alias("id"), "key"))
+    rows = texts.select(F.xxhash64("key").alias("id"), F.xxhash64("root").alias("root"), "text")
+    rows = stored(arrow_map(rows, signed, "id long, root long, token long"))
+    place = F.struct("root", "id")
+    often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("times"), F.min(place).alias("first"), F.max(place).alias("last"))
+    shared = matched(rows, stored(often.filter("first.root < last.root")), ["token"])
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("times", "token"))
+    rare = shared.withColumn("_rank", rank).filter(F.col("_rank") <= RAREST)
+    met = rare.select("id", "root", F.explode(F.array("first", "last")).alias("other")).filter(F.col("root") != F.col("other.root"))
+    met = met.select(F.least("id", "other.id").alias("x"), F.greatest("id", "other.id").alias("y")).distinct()
+    named = met.join(ids.select(F.col("id").alias("x"), F.col("key").alias("k")), "x").join(ids.select(F.col("id").alias("y"), F.col("key").alias("other")), "y")
+    return named.select(F.least("k", "other").alias("a"), F.greatest("k", "other").alias("b")).distinct()
 
 
 def one_of_similar(docs: DataFrame) -> DataFrame:

@@ -31,6 +31,21 @@ def test_run_equals_its_stages(spark):
     assert first == sorted((r["doc_id"], r["sample"], r["n_pieces"]) for r in corpus_pipeline.run(spark, SF).collect())
 
 
+def test_stages_handle_odd_rows(spark, docs, corpus):
+    odd = [(500, None), (501, ""), (502, " \n\t "), (None, None), (None, "no id " * 30), (500, None)]
+    frame = docs([*corpus, *odd])
+    for rows, least in ((frame, 1), (docs([]), 0), (docs(odd), 0)):
+        own = rows
+        for name, stage in corpus_pipeline.STAGES:
+            # Each stage alone on all rows, and in turn on what the one before it left.
+            alone = stage(spark, rows, SF)
+            own = spark.createDataFrame(stage(spark, own, SF).collect(), alone.schema)
+            if not name.startswith("SentencePiece"):
+                assert alone.columns == own.columns == rows.columns, name
+                assert own.count() <= alone.count(), name
+        assert own.count() >= least
+
+
 TABLES = {"op2": "pages", "op12": "conversations", "op13": "embeddings"}
 
 
