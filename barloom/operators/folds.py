@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.asof import asof_join
@@ -42,38 +42,42 @@ def fold_windows(bars: DataFrame, window_months: int, step_months: int, keys: Se
 def fold_bounds(
     bars: DataFrame,
     windows: DataFrame,
-    swing: int,
+    swing: Column | int,
     embargo_days: int | None = None,
     embargo_bars: int | None = None,
     keys: Sequence[str] = SERIES_KEYS,
+    run_keys: Sequence[str] = (),
 ) -> DataFrame:
     """Position ranges of the train, validation and out-of-sample part of every fold.
 
     The prior data ends ``embargo_days`` before the window; inside it the train and
     validation block are ``embargo_bars`` apart (both default to ``swing``).
-    ``skipped_reason`` is set where the prior data or the window is too short.
+    ``skipped_reason`` is set where the prior data or the window is too short. ``windows`` may
+    repeat per ``run_keys``, of which ``swing`` may be one.
     """
-    keys = list(keys)
-    embargo_days = swing if embargo_days is None else embargo_days
-    embargo_bars = swing if embargo_bars is None else embargo_bars
+    keys, run_keys = list(keys), list(run_keys)
+    number = lambda v: v if isinstance(v, Column) else F.lit(v)
+    embargo_days = number(swing if embargo_days is None else embargo_days)
+    embargo_bars = number(swing if embargo_bars is None else embargo_bars)
     instant = F.expr("INTERVAL '0.000001' SECOND")
     cuts = windows.select(
         *keys,
+        *run_keys,
         "fold",
         "start",
         "end",
         F.explode(
             F.array(
-                F.struct(F.lit("prior").alias("cut"), (F.col("start") - F.expr(f"INTERVAL {embargo_days} DAYS")).alias("at")),
+                F.struct(F.lit("prior").alias("cut"), (F.col("start") - F.make_dt_interval(embargo_days)).alias("at")),
                 F.struct(F.lit("lo").alias("cut"), F.col("start").alias("at")),
                 F.struct(F.lit("hi").alias("cut"), F.col("end").alias("at")),
             )
         ).alias("_c"),
-    ).select(*keys, "fold", "start", "end", F.col("_c.cut").alias("cut"), (F.col("_c.at") - instant).alias("ts"))
+    ).select(*keys, *run_keys, "fold", "start", "end", F.col("_c.cut").alias("cut"), (F.col("_c.at") - instant).alias("ts"))
     # Bars strictly before a cut = position of the latest bar before it, plus one.
     found = asof_join(cuts, bars.select(*keys, "ts", "rn"), ["rn"], timedelta(0), keys)
     before = F.coalesce(F.col("rn") + 1, F.lit(0))
-    wide = found.groupBy(*keys, "fold", "start", "end").agg(
+    wide = found.groupBy(*keys, *run_keys, "fold", "start", "end").agg(
         *[F.max(F.when(F.col("cut") == cut, before)).alias(name)
           for cut, name in (("prior", "n_prior"), ("lo", "oos_lo"), ("hi", "oos_hi"))]
     )
@@ -81,6 +85,7 @@ def fold_bounds(
     short = F.col("split_reason").isNotNull() | (F.col("oos_hi") - F.col("oos_lo") < 2 * swing)
     return sized.select(
         *keys,
+        *run_keys,
         "fold",
         "start",
         "end",
@@ -105,11 +110,13 @@ def fold_slices(
     bounds: DataFrame,
     parts: Sequence[str] = ("val", "oos"),
     columns: Sequence[str] = ("ts", "close", "atr_14", "target", "close_ahead"),
-    swing: int = 10,
+    swing: Column | int = 10,
     keys: Sequence[str] = SERIES_KEYS,
 ) -> DataFrame:
     """Bars of the wanted parts of every usable fold, with the position in the slice.
 
+    ``keys`` are those of ``bounds``; bars may hold several rows per key and position, told apart by carried ``columns``.
+
     The range join runs on ``(series, slot)``: a range is copied to the slots of
     ``JOIN_ROWS`` positions it covers, so a long series is spread over its slots and no bar
     meets a fold it does not belong to, up to the slot grain. ``exit_close`` is the
@@ -129,6 +136,8 @@ def fold_slices(
     # the few ranges can be the small side.
     last = bars.select(*keys, F.col("rn").alias("_at"), F.col("close").alias("_last_close"))
     ranges = ranges.withColumn("_at", F.col("hi") - 1).join(last, [*keys, "_at"]).drop("_at")
+    if not set(SERIES_KEYS) >= set(keys):
+        ranges = ranges.dropDuplicates([*keys, "fold", "part"])
     slotted = ranges.withColumn(
         "_slot", F.explode(F.sequence(F.expr(f"lo div {JOIN_ROWS}"), F.expr(f"(hi - 1) div {JOIN_ROWS}")))
     )

@@ -10,8 +10,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from barloom.functions.keys import epoch_micros, parse_timeframe
 from barloom.operators.layout import block_window, drop_halo, drop_layout, with_halo, with_position
@@ -105,6 +109,80 @@ def label_grid(bars: DataFrame, barriers: Sequence[Barrier], payload: Sequence[s
     )
 
 
+def first_touch(high: np.ndarray, low: np.ndarray, above: np.ndarray, below: np.ndarray, swing: int) -> np.ndarray:
+    """+1, -1 or 0 for each bar: does ``high`` reach ``above`` or ``low`` reach ``below`` first in the next ``swing`` bars?
+
+    Sparse tables hold the extremes of the next 1, 2, 4, ... bars; a binary descent skips the longest stretch without a touch,
+    so a bar takes log2(swing) steps. A stop wins a tie; missing values touch nothing.
+    """
+    n = len(high)
+    highs = [np.where(np.isnan(high), -np.inf, high)]
+    lows = [np.where(np.isnan(low), np.inf, low)]
+    while 1 << len(highs) <= swing:
+        half = 1 << (len(highs) - 1)
+        for table, worst, best in ((highs, -np.inf, np.maximum), (lows, np.inf, np.minimum)):
+            ahead = np.full(n, worst)
+            ahead[: max(n - half, 0)] = table[-1][half:]
+            table.append(best(table[-1], ahead))
+    at, done = np.arange(1, n + 1), np.zeros(n, np.int64)
+
+    def touched(k: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        inside = rows < n
+        rows = np.minimum(rows, n - 1)
+        return inside & (highs[k][rows] >= above), inside & (lows[k][rows] <= below)
+
+    for k in reversed(range(len(highs))):
+        up, down = touched(k, at + done)
+        done += ((done + (1 << k) <= swing) & ~(up | down)).astype(np.int64) << k
+    up, down = touched(0, at + done)
+    return np.where(done >= swing, 0, np.where(down, -1, np.where(up, 1, 0))).astype(np.int32)
+
+
+def label_sweep(bars: DataFrame, barriers: Sequence[Barrier], timeframes: Sequence[str | None] | None = None) -> DataFrame:
+    """Labels for many settings: one row per bar and setting, with ``swing``, ``tp`` and ``sl`` as columns.
+
+    Bars are shuffled once, to their block; the plan is the same for any swing and any number of settings. ``timeframes`` limits a
+    setting to the series of one timeframe. ``close_ahead`` is the close ``swing`` bars on, NULL past the end of the series.
+    """
+    limits = list(timeframes) if timeframes is not None else [None] * len(barriers)
+    settings = [(b.swing, float(b.tp), float(b.sl), t) for b, t in zip(barriers, limits, strict=True)]
+    base = [c for c in bars.columns if c not in POSITION]
+    haloed = with_halo(_positioned(bars), fwd=max(b.swing for b in barriers))
+    own = [*base, *(c for c in POSITION if c in haloed.columns)]
+    kinds = haloed.select(*own).schema
+    schema = StructType([*kinds, *StructType.fromDDL("_s array<struct<swing: int, tp: double, sl: double, target: int, close_ahead: double>>")])
+    arrow = to_arrow_schema(schema)
+
+    def touch(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rn")
+        mine = [s[:3] for s in settings if s[3] in (None, table["timeframe"][0].as_py())]
+        high, low, close, atr = (table[c].to_numpy().astype(np.float64) for c in ("high", "low", "close", "atr_14"))
+        n, keep = len(close), table["_own"].to_numpy().astype(bool)
+        ahead = {}
+        for swing in {s[0] for s in mine}:
+            ahead[swing] = np.full(n, np.nan)
+            ahead[swing][: max(n - swing, 0)] = close[swing:]
+        columns = [
+            (np.full(n, swing, np.int32), np.full(n, tp), np.full(n, sl), first_touch(high, low, close + atr * tp, close - atr * sl, swing), ahead[swing])
+            for swing, tp, sl in mine
+        ]
+        flat = [np.stack(c, axis=1)[keep].ravel() for c in zip(*columns, strict=True)] if mine else [np.zeros(0)] * 5
+        kinds = [pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.float64()]
+        values = [pa.array(v, k, from_pandas=k == pa.float64()) for v, k in zip(flat, kinds, strict=True)]
+        listed = pa.StructArray.from_arrays(values, ["swing", "tp", "sl", "target", "close_ahead"])
+        offsets = pa.array(np.arange(int(keep.sum()) + 1) * len(mine), pa.int32())
+        out = table.select(own).filter(pa.array(keep))
+        return out.append_column("_s", pa.ListArray.from_arrays(offsets, listed)).cast(arrow)
+
+    labelled = haloed.groupBy(*SERIES_KEYS, "_blk").applyInArrow(touch, schema)
+    flat = labelled.withColumn("_s", F.explode("_s")).select(*own, "_s.*")
+    barrier = Barrier(F.col("swing"), F.col("tp"), F.col("sl"))
+    last = F.coalesce("close_ahead", "last_close")
+    return flat.withColumn("target_ret", _exit_return(F.col("target"), barrier, last)).withColumn(
+        "label_complete", F.col("rn") + F.col("swing") < F.col("n_bars")
+    )
+
+
 def barrier_labels_ltf(bars: DataFrame, lower: DataFrame, timeframe: str, barrier: Barrier = Barrier()) -> DataFrame:
     """Labels of ``timeframe`` bars resolved on lower-timeframe bars.
 

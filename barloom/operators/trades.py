@@ -36,6 +36,11 @@ def threshold_grid(first: float, last: float, step: float, inclusive: bool = Tru
     return [first + i * spacing for i in range(math.ceil((stop - first) / step))]
 
 
+def bars_of(swing: Column | int) -> Column:
+    """The cooldown as a column: a number, or a key column of the run."""
+    return swing if isinstance(swing, Column) else F.lit(swing)
+
+
 def with_exit_close(bars: DataFrame, swing: int, keys: Sequence[str], pos: str = "rn") -> DataFrame:
     """Add ``close_ahead``, the close ``swing`` bars later (NULL past the series end)."""
     out = with_halo(bars, fwd=swing, pos=pos)
@@ -78,14 +83,14 @@ def gain_and_loss(ret: Column, target: Column) -> tuple[Column, Column]:
 def cooldown_picks(
     candidates: DataFrame,
     keys: Sequence[str],
-    swing: int,
+    swing: Column | int,
     payload: Sequence[str],
     pos: str = "pos",
 ) -> DataFrame:
     """Picks of the sequential scan: one row per ``(keys, _blk)`` with an array ``picks``.
 
     ``candidates`` holds only bars that may open a trade; ``pos`` counts all bars of
-    the run.
+    the run. ``swing`` may be a key column of the run.
     """
     keys = list(keys)
     blocks = _blocks(candidates, keys, payload, pos)
@@ -103,7 +108,7 @@ def _blocks(candidates: DataFrame, keys: list[str], payload: Sequence[str], pos:
     )
 
 
-def _picked(cands: str | Column, free: Column, swing: int, pos: str) -> Column:
+def _picked(cands: str | Column, free: Column, swing: Column | int, pos: str) -> Column:
     """The candidates of one block that the scan takes, as an array.
 
     Picks are gathered in pieces of ``PIECE`` candidates and flattened once, so that a long block
@@ -131,11 +136,11 @@ def _picked(cands: str | Column, free: Column, swing: int, pos: str) -> Column:
     return F.flatten(F.aggregate(pieces, begin, piece, lambda state: state["picks"]))
 
 
-def _exits(blocks: DataFrame, keys: Sequence[str], cands: str | Column, swing: int, pos: str) -> DataFrame:
+def _exits(blocks: DataFrame, keys: Sequence[str], cands: str | Column, swing: Column | int, pos: str) -> DataFrame:
     """``_map`` of each block: the bars still to skip at its end, for each number at its start."""
     cands = F.col(cands) if isinstance(cands, str) else cands
     first = F.col("_blk") * FOLD_ROWS
-    entry_states = F.transform(F.sequence(F.lit(0), F.lit(swing - 1)), lambda e: first + e)
+    entry_states = F.transform(F.sequence(F.lit(0), bars_of(swing) - 1), lambda e: first + e)
 
     def step(free: Column, c: Column) -> Column:
         return F.transform(free, lambda f: F.when(c[pos] >= f, c[pos] + swing).otherwise(f).cast("long"))
@@ -145,11 +150,11 @@ def _exits(blocks: DataFrame, keys: Sequence[str], cands: str | Column, swing: i
     return blocks.select(*keys, "_blk", F.expr(f"_blk div {FAN}").alias("_super"), left.alias("_map"))
 
 
-def _entries(maps: DataFrame, keys: list[str], swing: int) -> DataFrame:
+def _entries(maps: DataFrame, keys: list[str], swing: Column | int) -> DataFrame:
     """Bars still to skip at the start of every block that has candidates."""
     groups = maps.groupBy(*keys, "_super").agg(F.array_sort(F.collect_list(F.struct("_blk", "_map"))).alias("_maps"))
     whole = F.transform(
-        F.sequence(F.lit(0), F.lit(swing - 1)),
+        F.sequence(F.lit(0), bars_of(swing) - 1),
         lambda e: _compose("_maps", "_blk", F.col("_super") * FAN, e, F.col("_super") * FAN + FAN),
     )
     tops = (
@@ -208,7 +213,7 @@ def _trace(maps: str, index: str, first: Column, entry: Column) -> Column:
 def cooldown_select(
     candidates: DataFrame,
     keys: Sequence[str],
-    swing: int,
+    swing: Column | int,
     payload: Sequence[str],
     pos: str = "pos",
 ) -> DataFrame:
@@ -217,16 +222,16 @@ def cooldown_select(
     return picks.select(*keys, F.explode("picks").alias("_p")).select(*keys, "_p.*")
 
 
-def naive_trades(bars: DataFrame, swing: int, pos: str = "pos") -> DataFrame:
+def naive_trades(bars: DataFrame, swing: Column | int, pos: str = "pos") -> DataFrame:
     """Every bar is a candidate: the picks are every ``swing``-th bar of the run."""
-    return bars.filter(F.pmod(F.col(pos), F.lit(swing)) == 0)
+    return bars.filter(F.pmod(F.col(pos), bars_of(swing)) == 0)
 
 
 def threshold_search(
     scored: DataFrame,
     keys: Sequence[str],
-    swing: int,
-    thresholds: Sequence[float],
+    swing: Column | int,
+    thresholds: Sequence[float] | Column,
     min_trades: Column | int,
     pos: str = "pos",
     score: str = "score",
@@ -236,17 +241,18 @@ def threshold_search(
 
     A bar travels once, in the array of its block; each threshold filters that array inside the block. What
     is exchanged per threshold are the blocks' maps and sums. Runs without a threshold that
-    trades often enough get NULL. ``min_trades`` may use the run keys and ``n_rows``, the length of the run.
+    trades often enough get NULL. ``thresholds`` may be an array column of the run keys; ``min_trades`` may use the
+    run keys and ``n_rows``, the length of the run.
     """
     keys = list(keys)
-    grid = [float(t) for t in thresholds]
-    wanted = scored.filter(F.col(score) >= min(grid)).withColumns({"_score": F.col(score), "_ret": F.col(ret)})
+    grid = thresholds if isinstance(thresholds, Column) else F.lit([float(t) for t in thresholds])
+    wanted = scored.filter(F.col(score) >= F.array_min(grid)).withColumns({"_score": F.col(score), "_ret": F.col(ret)})
     blocks = _blocks(wanted, keys, ["_score", "_ret"], pos)
 
     def reaching(threshold: Column) -> Column:
         return F.filter("_cands", lambda c: c["_score"] >= threshold)
 
-    each = blocks.withColumn("threshold", F.explode(F.lit(grid)))
+    each = blocks.withColumn("threshold", F.explode(grid))
     maps = _exits(each, [*keys, "threshold"], reaching(F.col("threshold")), swing, pos)
     entries = _entries(maps, [*keys, "threshold"], swing)
     entries = entries.groupBy(*keys, "_blk").agg(F.array_sort(F.collect_list(F.struct("threshold", "_entry"))).alias("_e"))
@@ -281,7 +287,7 @@ def threshold_search(
     )
 
 
-def production_min_trades(swing: int) -> Column:
+def production_min_trades(swing: Column | int) -> Column:
     """At least ten trades and 15 % of what the run could hold."""
-    possible = F.greatest(F.lit(1.0), F.col("n_rows") / F.lit(float(swing)))
+    possible = F.greatest(F.lit(1.0), F.col("n_rows") / bars_of(swing).cast("double"))
     return F.greatest(F.lit(10), F.floor(possible * 0.15))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,19 +10,21 @@ from pyspark.sql import functions as F
 from barloom.operators import metrics as mx
 from barloom.operators import trades as tr
 from barloom.operators.bootstrap import delta_percentiles, iid_bootstrap
-from barloom.operators.labels import Barrier, label_grid
-from barloom.operators.layout import block_window, drop_halo, drop_layout, with_halo, with_position
+from barloom.operators.labels import Barrier, label_sweep
+from barloom.operators.layout import with_position
 from barloom.operators.sizing import barrier_prices
 from barloom.operators.splits import bars_per_trade, min_val_trades, temporal_split
 from barloom.plans.diagnostics import precision, regime_stats
-from barloom.plans.walkforward import Scorer
+from barloom.plans.config import ExperimentConfig
+from barloom.plans.sweep import SLOT
+from barloom.plans.walkforward import Scorer, evaluate, prepare_sweep
 from barloom.schemas import SERIES_KEYS
 from barloom.session import cut_lineage
-from barloom.sources.tables import latest_bar
+from barloom.sources.tables import latest_bar, pending, read_runs, write_runs
 
 
 def run_metrics(
-    scored: DataFrame, keys: Sequence[str], swing: int, threshold: Column | None, ret: str = "ret"
+    scored: DataFrame, keys: Sequence[str], swing: Column | int, threshold: Column | None, ret: str = "ret"
 ) -> DataFrame:
     """Trade metrics per run: of the model at ``threshold``, or naive (every bar) when None."""
     gain, loss = tr.gain_and_loss(F.col(ret), F.col("target"))
@@ -35,53 +37,55 @@ def run_metrics(
 
 
 def split_positions(
-    labelled: DataFrame, swing: int, embargo: int, split_swing: int | None = None, extra: Sequence[str] = ()
+    labelled: DataFrame, swing: Column | int, embargo: Column | int, split_swing: Column | int | None = None, extra: Sequence[str] = ()
 ) -> DataFrame:
     """Bars with their split, position in it, and exit close inside it.
 
-    ``extra`` are key columns beyond the series, such as the barrier settings.
+    ``extra`` are key columns beyond the series, such as the barrier settings. Rows of ``label_sweep`` bring their
+    ``close_ahead``; for others ``swing`` is a number.
     """
-    split = temporal_split(labelled, swing, embargo, split_swing)
-    keys = [*SERIES_KEYS, *extra]
-    ahead = with_halo(split, fwd=swing)
-    later = F.lead(F.struct("split", "close"), swing).over(block_window(keys))
-    ahead = drop_layout(drop_halo(ahead.withColumn("_later", later))).filter("split IS NOT NULL")
-    last = split.groupBy(*SERIES_KEYS, "split").agg(F.max_by("close", "rn").alias("_last"))
-    inside = F.when(F.col("_later.split") == F.col("split"), F.col("_later.close"))
+    if "close_ahead" not in labelled.columns:
+        labelled = tr.with_exit_close(labelled if "rn" in labelled.columns else with_position(labelled), swing, SERIES_KEYS)
+    keys = [*SERIES_KEYS, *extra, "split"]
+    split = temporal_split(labelled, swing, embargo, split_swing, size="_size").filter("split IS NOT NULL")
+    last = split.filter(F.col("pos") == F.col("_size") - 1).select(*keys, F.col("close").alias("_last"))
+    inside = F.when(F.col("pos") + swing < F.col("_size"), F.col("close_ahead"))
     return (
-        ahead.join(last, [*SERIES_KEYS, "split"])
+        split.join(last, keys)
         .withColumn("exit_close", F.coalesce(inside, F.col("_last")))
-        .drop("_later", "_last")
+        .drop("close_ahead", "_size", "_last")
     )
 
 
 def naive_vs_model(
-    labelled: DataFrame, scorer: Scorer, swing: int, tp: float, sl: float, embargo: int | None = None,
-    split_swing: int | None = None, cost: float = 0.0,
+    labelled: DataFrame, scorer: Scorer, swing: Column | int, tp: float, sl: float, embargo: Column | int | None = None,
+    split_swing: int | None = None, cost: float = 0.0, run_keys: Sequence[str] = (),
 ) -> DataFrame:
     """Naive and model metrics on validation and test, threshold found on validation.
 
-    One row per series and split; model columns are NULL without a threshold. ``signals``, ``hits`` and ``precision`` count
+    One row per series, run and split (``run_keys`` are columns of ``labelled``, of which ``swing`` may be one); model columns are NULL
+    without a threshold. ``signals``, ``hits`` and ``precision`` count
     every bar that reaches the threshold.
     """
-    placed = split_positions(labelled, swing, swing if embargo is None else embargo, split_swing)
+    run = [*SERIES_KEYS, *run_keys]
+    placed = split_positions(labelled, swing, swing if embargo is None else embargo, split_swing, run_keys)
     ret = tr.trade_return(tp, sl, F.col("exit_close"), cost)
     rows = scorer(placed.filter("split IN ('val', 'test')")).withColumn("ret", ret)
-    scored = cut_lineage(rows.select(*SERIES_KEYS, "split", "pos", "score", "target", "ret"))
+    scored = cut_lineage(rows.select(*run, "split", "pos", "score", "target", "ret"))
     found = tr.threshold_search(
-        scored.filter("split = 'val'"), SERIES_KEYS, swing,
+        scored.filter("split = 'val'"), run, swing,
         tr.threshold_grid(*tr.BINARY_GRID, inclusive=False), tr.production_min_trades(swing),
     )
-    found = cut_lineage(found.select(*SERIES_KEYS, "threshold"))
-    keys = [*SERIES_KEYS, "split"]
+    found = cut_lineage(found.select(*run, "threshold"))
+    keys = [*run, "split"]
     naive = run_metrics(scored, keys, swing, None)
-    model = run_metrics(scored.join(found, list(SERIES_KEYS)), keys, swing, F.col("threshold"))
+    model = run_metrics(scored.join(found, run), keys, swing, F.col("threshold"))
     columns = ("trade_count", "gross_profit", "gross_loss", "profit_factor", "max_drawdown")
     n = naive.select(*keys, *[F.col(c).alias(f"naive_{c}") for c in columns])
     m = model.select(*keys, *[F.col(c).alias(f"model_{c}") for c in columns])
-    fired = scored.join(found, list(SERIES_KEYS)).withColumn("signal", F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False)))
+    fired = scored.join(found, run).withColumn("signal", F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False)))
     return (
-        n.join(found, list(SERIES_KEYS), "left").join(m, keys, "left").join(precision(fired, keys), keys, "left")
+        n.join(found, run, "left").join(m, keys, "left").join(precision(fired, keys), keys, "left")
         .withColumn("delta", F.col("model_profit_factor") - F.col("naive_profit_factor"))
     )
 
@@ -91,24 +95,18 @@ def swing_sweep(
 ) -> DataFrame:
     """Naive against model for every swing: one row per series and swing.
 
-    Bars carry ``atr_14`` and have no missing rows. The swing enters window frames, so
-    each swing is a branch of one plan over the same written table.
+    Bars carry ``atr_14`` and have no missing rows. The swing is a run key: one plan for all swings.
     """
-    base = cut_lineage(bars)
-    out = None
-    for swing in swings:
-        labelled = label_grid(base, [Barrier(swing, tp, sl)]).drop("swing", "tp", "sl")
-        rows = naive_vs_model(labelled, scorer, swing, tp, sl, split_swing=max(swings), cost=cost)
-        wide = rows.groupBy(*SERIES_KEYS).agg(
-            *[
-                F.max(F.when(F.col("split") == s, F.col(c))).alias(f"{alias}_{s}")
-                for s in ("val", "test")
-                for c, alias in (("delta", "delta"), ("model_profit_factor", "model_pf"), ("naive_profit_factor", "naive_pf"))
-            ],
-            *[F.max(F.when(F.col("split") == s, F.col("model_trade_count"))).alias(f"{s}_trades") for s in ("val", "test")],
-        ).withColumn("swing", F.lit(swing))
-        out = wide if out is None else out.unionByName(wide)
-    return out
+    labelled = label_sweep(bars, [Barrier(s, tp, sl) for s in swings]).drop("tp", "sl")
+    rows = naive_vs_model(labelled, scorer, F.col("swing"), tp, sl, split_swing=max(swings), cost=cost, run_keys=("swing",))
+    return rows.groupBy(*SERIES_KEYS, "swing").agg(
+        *[
+            F.max(F.when(F.col("split") == s, F.col(c))).alias(f"{alias}_{s}")
+            for s in ("val", "test")
+            for c, alias in (("delta", "delta"), ("model_profit_factor", "model_pf"), ("naive_profit_factor", "naive_pf"))
+        ],
+        *[F.max(F.when(F.col("split") == s, F.col("model_trade_count"))).alias(f"{s}_trades") for s in ("val", "test")],
+    )
 
 
 def regimes(
@@ -202,46 +200,33 @@ def optimize(
     """Grid search per series: all configurations on validation, the winner also on test.
 
     ``scorer`` may add key columns (``run_keys``: strategy, hyper-parameters). Splits are
-    sized for the largest swing. Returns the validation results of every
-    configuration and one winner row per series with its test score and verdict.
+    sized for the largest swing. Swing and barriers are run keys: one plan for all of them. Returns the
+    validation results of every configuration and one winner row per series with its test score and verdict.
     """
-    base = cut_lineage(bars)
-    largest = max(b.swing for b in barriers)
-    config = ("tp", "sl", *run_keys)
+    largest, swing = max(b.swing for b in barriers), F.col("swing")
+    config = ("swing", "tp", "sl", *run_keys)
     keys = [*SERIES_KEYS, *config]
+    labelled = label_sweep(bars, barriers)
+    placed = split_positions(labelled, swing, swing, largest, config[:3]).filter("split IN ('val', 'test')")
+    ret = tr.trade_return(F.col("tp"), F.col("sl"), F.col("exit_close"), cost)
+    scored = cut_lineage(scorer(placed).withColumn("ret", ret).select(*keys, "split", "pos", "score", "target", "ret"))
+    val = scored.filter("split = 'val'")
     grid = tr.threshold_grid(*tr.BINARY_GRID, inclusive=False)
-    scored: dict[int, DataFrame] = {}
-    results = None
-    for swing in sorted({b.swing for b in barriers}):
-        labelled = label_grid(base, [b for b in barriers if b.swing == swing]).drop("swing")
-        placed = split_positions(labelled, swing, swing, largest, ("tp", "sl")).filter("split IN ('val', 'test')")
-        ret = tr.trade_return(F.col("tp"), F.col("sl"), F.col("exit_close"), cost)
-        rows = scorer(placed).withColumn("ret", ret)
-        scored[swing] = cut_lineage(rows.select(*keys, "split", "pos", "score", "target", "ret"))
-        val = scored[swing].filter("split = 'val'")
-        found = cut_lineage(
-            tr.threshold_search(val, keys, swing, grid, tr.production_min_trades(swing))
-        )
-        found = found.filter("threshold IS NOT NULL").select(*keys, "threshold", "n_rows")
-        one = _config_metrics(val, found, keys, swing).withColumn("swing", F.lit(swing))
-        results = one if results is None else results.unionByName(one)
-    results = cut_lineage(results)
+    found = tr.threshold_search(val, keys, swing, grid, tr.production_min_trades(swing))
+    found = cut_lineage(found.filter("threshold IS NOT NULL").select(*keys, "threshold", "n_rows"))
+    results = cut_lineage(_config_metrics(val, found, keys, swing))
 
     floor = min_val_trades(F.col("n_rows"), largest, bars_per_trade(F.col("timeframe")))
-    winners = cut_lineage(rank_configs(results, SERIES_KEYS, floor, ("swing", *config)))
-    audits = None
-    for swing, rows in scored.items():
-        mine = winners.filter(F.col("swing") == swing)
-        test = rows.filter("split = 'test'").join(mine.select(*keys), keys, "left_semi")
-        sizes = test.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-        one = _config_metrics(test, mine.select(*keys, "threshold").join(sizes, keys), keys, swing)
-        one = one.select(*SERIES_KEYS, F.col("fitness").alias("test_fitness"), F.col("trade_count").alias("test_trades"))
-        audits = one if audits is None else audits.unionByName(one)
+    winners = cut_lineage(rank_configs(results, SERIES_KEYS, floor, config))
+    test = scored.filter("split = 'test'").join(winners.select(*keys), keys, "left_semi")
+    sizes = test.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    audits = _config_metrics(test, winners.select(*keys, "threshold").join(sizes, keys), keys, swing)
+    audits = audits.select(*SERIES_KEYS, F.col("fitness").alias("test_fitness"), F.col("trade_count").alias("test_trades"))
     verdict = winners.join(audits, list(SERIES_KEYS), "left")
     return results, verdict.withColumn("oos_sane", mx.oos_sane(F.col("test_fitness"), F.col("fitness")))
 
 
-def _config_metrics(rows: DataFrame, found: DataFrame, keys: Sequence[str], swing: int) -> DataFrame:
+def _config_metrics(rows: DataFrame, found: DataFrame, keys: Sequence[str], swing: Column) -> DataFrame:
     """Reported metrics per configuration: score from exact values, the rest rounded."""
     fired = rows.join(found.select(*keys, "threshold"), list(keys))
     exact = run_metrics(fired, keys, swing, F.col("threshold"))
@@ -255,10 +240,55 @@ def _config_metrics(rows: DataFrame, found: DataFrame, keys: Sequence[str], swin
         F.round("gross_loss", 6).alias("gross_loss"),
         F.round("profit_factor", 4).alias("profit_factor"),
         F.round("max_drawdown", 4).alias("max_drawdown"),
-        F.round(mx.fitness_score(F.col("n_rows"), F.lit(float(swing))), 6).alias("fitness"),
+        F.round(mx.fitness_score(F.col("n_rows"), swing.cast("double")), 6).alias("fitness"),
     )
 
 
+SWEEP_RUN = ("swing", "tp", "sl", "formulation")
+
+
+def config_sweep(
+    bars: DataFrame, scorer: Scorer, slots: DataFrame, thresholds: Mapping[str, Sequence[float]], config: ExperimentConfig = ExperimentConfig()
+) -> DataFrame:
+    """Walk-forward of every slot (swing, tp, sl, timeframe) under every formulation of ``thresholds``, in one job.
+
+    ``bars`` are clean, with ``atr_14`` and positions; the scorer adds ``formulation`` and ``score``. One row per symbol and run, also for
+    runs without usable windows.
+    """
+    rows = [tuple(r) for r in slots.select("swing", "tp", "sl", "timeframe").collect()]
+    ready, bounds = prepare_sweep(bars, [Barrier(*r[:3]) for r in rows], config, [r[3] for r in rows])
+    runs = slots.withColumn("formulation", F.explode(F.array(*[F.lit(name) for name in thresholds])))
+    out = evaluate(ready, bounds, scorer, config, thresholds, SWEEP_RUN, runs=runs).runs
+    return out.select(
+        *SERIES_KEYS, *SWEEP_RUN, F.round(F.col("tp") / F.col("sl"), 3).alias("rr"), "p5", "p95", (F.col("p95") - F.col("p5")).alias("ci_width"),
+        "pooled_trades", "passes_gate", "windows_used", "windows_delta_gt_0",
+    )
+
+
+def run_config_sweep(
+    bars: DataFrame, scorer: Scorer, slots: DataFrame, thresholds: Mapping[str, Sequence[float]], path: str,
+    config: ExperimentConfig = ExperimentConfig(), per_batch: int = 16,
+) -> DataFrame:
+    """``config_sweep`` into a table that can be resumed: slots without results run in batches, each written as a whole.
+
+    A batch that is killed leaves nothing or is run again; writing a slot twice leaves one copy.
+    """
+    spark, keys = bars.sparkSession, ("timeframe", "swing", "tp", "sl")
+    base = cut_lineage(bars)
+    done = read_runs(spark, path, SWEEP_SCHEMA)
+    todo = [tuple(r) for r in pending(slots, done.select(*keys).distinct(), keys).select("swing", "tp", "sl", "timeframe").orderBy(*keys).collect()]
+    for at in range(0, len(todo), per_batch):
+        batch = spark.createDataFrame(todo[at : at + per_batch], SLOT)
+        write_runs(config_sweep(base, scorer, batch, thresholds, config), path, keys)
+    return read_runs(spark, path, SWEEP_SCHEMA)
+
+
+SWEEP_SCHEMA = (
+    "symbol string, timeframe string, swing int, tp double, sl double, formulation string, rr double, p5 double, p95 double, ci_width double, "
+    "pooled_trades long, passes_gate boolean, windows_used long, windows_delta_gt_0 long"
+)
+
+
 def rank_configs(
     results: DataFrame, keys: Sequence[str], min_trades: Column | int, config: Sequence[str]
 ) -> DataFrame:

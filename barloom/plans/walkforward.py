@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators import bootstrap as boot
 from barloom.operators.folds import fold_bounds, fold_slices, fold_windows, number_used_blocks
+from barloom.operators.labels import Barrier, label_sweep
 from barloom.operators.metrics import passes_gate, profit_factor, signed_sums
 from barloom.operators.splits import VAL_TRADES_FLOOR
 from barloom.operators.trades import cooldown_select, naive_trades, threshold_search, trade_return, with_exit_close
@@ -47,6 +48,20 @@ def prepare(bars: DataFrame, config: ExperimentConfig) -> tuple[DataFrame, DataF
     return ready, cut_lineage(bounds)
 
 
+def prepare_sweep(bars: DataFrame, barriers: Sequence[Barrier], config: ExperimentConfig, timeframes: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Bars labelled for every setting, and the fold bounds of every series and swing.
+
+    A setting counts for the series of its timeframe. Bounds depend on the swing alone, so they are found once for each.
+    """
+    ready = cut_lineage(label_sweep(bars, barriers, timeframes))
+    windows = fold_windows(bars, config.window_months, config.step_months)
+    swings = F.array(*[F.lit(s) for s in sorted({b.swing for b in barriers})])
+    bounds = fold_bounds(
+        bars, windows.withColumn("swing", F.explode(swings)), F.col("swing"), config.embargo_days, config.embargo_bars, run_keys=("swing",)
+    )
+    return ready, cut_lineage(bounds)
+
+
 def evaluate(
     ready: DataFrame,
     bounds: DataFrame,
@@ -55,30 +70,31 @@ def evaluate(
     thresholds: Sequence[float] | Mapping[str, Sequence[float]],
     run_keys: Sequence[str] = (),
     columns: Sequence[str] = (),
+    runs: DataFrame | None = None,
 ) -> WalkForward:
     """Threshold on validation, trades and naive trades out of sample, bootstrap, gate.
 
     ``thresholds`` is one grid, or one per value of a ``formulation`` run key.
-    ``bounds`` is a written table (see ``prepare``).
+    ``bounds`` is a written table (see ``prepare``). If ``swing``, ``tp`` and ``sl`` are run keys, they are columns of ``ready`` and
+    replace the settings of ``config``; ``bounds`` then has a row per swing. ``runs`` lists the combinations of run keys
+    that exist (with ``timeframe``, if it decides); without it all combinations that occur are taken for all series.
     """
     keys = [*SERIES_KEYS, *run_keys]
     run = [*keys, "fold"]
-    swing = config.swing_period
-    base = ("ts", "close", "atr_14", "target", "close_ahead")
-    slices = fold_slices(ready, bounds, ("val", "oos"), (*base, *columns), swing)
-    ret = trade_return(config.tp_multi, config.sl_multi, F.col("exit_close"), config.cost)
+    swept = "swing" in run_keys
+    swing: Column | int = F.col("swing") if swept else config.swing_period
+    tp, sl = (F.col("tp"), F.col("sl")) if swept else (config.tp_multi, config.sl_multi)
+    base = ("ts", "close", "atr_14", "target", "close_ahead", *(("tp", "sl") if swept else ()))
+    slices = fold_slices(ready, bounds, ("val", "oos"), (*base, *columns), swing, [*SERIES_KEYS, *(("swing",) if swept else ())])
+    ret = trade_return(tp, sl, F.col("exit_close"), config.cost)
     # Read for the thresholds, the sizes of the runs and both sides out of sample.
     scored = cut_lineage(scorer(slices).select(*run, "part", "pos", "ts", "score", ret.alias("ret")))
 
     val = scored.filter("part = 'val'")
+    grid: Column | Sequence[float] = thresholds
     if isinstance(thresholds, Mapping):
-        found = None
-        for name, grid in thresholds.items():
-            one = threshold_search(val.filter(F.col("formulation") == name), run, swing, grid, VAL_TRADES_FLOOR)
-            found = one if found is None else found.unionByName(one)
-    else:
-        found = threshold_search(val, run, swing, thresholds, VAL_TRADES_FLOOR)
-    chosen = cut_lineage(found.select(*run, "threshold"))
+        grid = F.coalesce(*[F.when(F.col("formulation") == name, F.lit([float(t) for t in own])) for name, own in thresholds.items()])
+    chosen = cut_lineage(threshold_search(val, run, swing, grid, VAL_TRADES_FLOOR).select(*run, "threshold"))
 
     used = chosen.filter("threshold IS NOT NULL")
     oos = scored.filter("part = 'oos'").join(used, run)
@@ -90,7 +106,7 @@ def evaluate(
         )
     )
 
-    windows = _window_table(bounds, chosen, trades, keys)
+    windows = _window_table(bounds, chosen, trades, keys, runs)
     ranges = number_used_blocks(
         windows.filter("skipped_reason IS NULL").select(*run, "start", "end"), keys, config.n_blocks
     )
@@ -100,9 +116,10 @@ def evaluate(
     return WalkForward(bounds, chosen, trades, windows, runs)
 
 
-def _window_table(bounds: DataFrame, chosen: DataFrame, trades: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _window_table(bounds: DataFrame, chosen: DataFrame, trades: DataFrame, keys: Sequence[str], runs: DataFrame | None = None) -> DataFrame:
     run = [*keys, "fold"]
-    extra = [k for k in keys if k not in SERIES_KEYS]
+    own = [k for k in keys if k in bounds.columns]
+    extra = [k for k in keys if k not in own]
     r, is_model = F.col("ret"), F.col("side") == "model"
     stats = trades.groupBy(*run).agg(
         F.coalesce(F.sum(F.when(is_model, r)), F.lit(0.0)).alias("cum_ret"),
@@ -115,8 +132,10 @@ def _window_table(bounds: DataFrame, chosen: DataFrame, trades: DataFrame, keys:
         F.count_if(is_model).alias("model_trade_count"),
         F.count_if(~is_model).alias("naive_trade_count"),
     )
-    table = bounds.select(*SERIES_KEYS, "fold", "start", "end", "skipped_reason")
-    if extra:
+    table = bounds.select(*own, "fold", "start", "end", "skipped_reason")
+    if runs is not None:
+        table = table.join(F.broadcast(runs), [c for c in runs.columns if c in own])
+    elif extra:
         # Folds skipped for lack of data have no slices: they get one row for each of
         # the few combinations of formulation, variant, ... that occur.
         combinations = chosen.select(*extra).distinct().agg(F.collect_list(F.struct(*extra))).scalar()

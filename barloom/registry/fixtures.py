@@ -61,7 +61,11 @@ def intraday_bars(spark: SparkSession, sf_dir: str, timeframe: str) -> DataFrame
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(
+    return daily_from(table(spark, sf_dir, "orders"))
+
+
+def daily_from(rows: DataFrame) -> DataFrame:
+    orders = rows.select(
         F.col("o_orderstatus").alias("symbol"),
         F.col("o_orderdate").alias("ts"),
         "o_orderkey",

@@ -9,16 +9,17 @@ from barloom.operators.indicators import technicals
 from barloom.operators.labels import Barrier, barrier_labels, extrema_labels
 from barloom.operators.columns import DATASET_DROP, clean, infer_features, strategies
 from barloom.operators.layout import with_position
-from barloom.plans import jobs, models, sweep
+from barloom.plans import diagnostics, jobs, models, sweep
 from barloom.plans import walkforward as wf
 from barloom.plans.config import FORMULATIONS, ExperimentConfig
+from barloom.plans.dataset import Sources, build_dataset
 from barloom.registry import fixtures as fx
 from barloom.registry import oracle_parts as op
 from barloom.registry.core import query
 from barloom.registry.features_q import rounded, rounded_sql
 from barloom.registry.labels_q import atr_bars
 from barloom.registry.oracle_parts import dbl, with_sql
-from barloom.registry.trades_q import BASE_CTES, CONFIG, KEYS, RUN_COUNTS, SWING, run_ctes, wf_bars
+from barloom.registry.trades_q import BASE_CTES, CONFIG, COST, KEYS, RUN_COUNTS, SWING, WF_CTES, run_ctes, wf_bars
 from barloom.operators.trades import BINARY_GRID, MULTICLASS_GRID, REGRESSION_GRID, threshold_grid
 from barloom.session import cut_lineage
 
@@ -75,6 +76,83 @@ def ab_compare(spark, sf):
     return rounded(out, ("delta_p5", "delta_p95"), "symbol", "formulation", "delta_trades", "gate_flip")
 
 
+# --- a real treatment: the daily trend decides half of the treated score --------------------
+
+
+def orders_sentiment(spark, sf):
+    """A daily index over the days of the orders: the share of finished ones."""
+    orders = fx.table(spark, sf, "orders")
+    done = F.count_if(F.col("o_orderstatus") == "F")
+    return orders.groupBy(F.col("o_orderdate").alias("ts")).agg(F.floor(F.lit(100.0) * done / F.count(F.lit(1))).cast("double").alias("fng_value"))
+
+
+def trend_dataset(spark, sf):
+    bars = fx.daily_bars(spark, sf)
+    return build_dataset(bars, Sources(sentiment=orders_sentiment(spark, sf), daily_bars=bars), "trend_htf")
+
+
+TREND_COLUMNS = ("rsi_14", "macd", "macd_hist", "stoch_k", "dist_ema_50", "adx_14", "atr_14", "bb_width", "bb_pos", "obv",
+                 "rel_volume", "fng_value", "fng_sma_14", "fng_vol_14", "trend_htf", "close", "target_ret")
+TREND_CTES = {
+    **op.features("1d"),
+    "fng_daily": "SELECT o_orderdate AS ts, floor(100.0::DOUBLE * count(*) FILTER (o_orderstatus = 'F') / count(*)) AS fng_value FROM orders GROUP BY 1",
+    "fng": op.SENTIMENT["fng"],
+    "fs": op.with_sentiment()["fs"],
+    **op.ema("r_trend", "b", "close", 200),
+    "td": """SELECT b.symbol, b.ts + INTERVAL 1 DAYS AS at, (b.close - r.y) / r.y AS trend_htf FROM b JOIN r_trend r ON r.symbol = b.symbol AND r.rn = b.rn""",
+    "ft": "SELECT x.*, t.trend_htf FROM fs x ASOF LEFT JOIN td t ON x.symbol = t.symbol AND x.ts >= t.at",
+    **op.labels("ft"),
+    "tz": f"SELECT * REPLACE (row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS rn) FROM lab WHERE {' AND '.join(c + ' IS NOT NULL' for c in TREND_COLUMNS)}",
+}
+
+
+@query("dataset_trend_htf", with_sql(TREND_CTES, f"SELECT {rounded_sql(TREND_COLUMNS, 'symbol', 'ts', 'target', 'rn')} FROM tz", recursive=True))
+def dataset_trend_htf(spark, sf):
+    out, features = trend_dataset(spark, sf)
+    assert len(features) == 14 and "trend_htf" not in features
+    return rounded(out, TREND_COLUMNS, "symbol", "ts", "target", "rn")
+
+
+def treated(slices):
+    """The control score is a hash; the treated one is half of it, and half the sign of the trend."""
+    base = fx.md5_score(*[F.col(c) for c in ("symbol", "timeframe", "rn")])
+    score = F.when(F.col("variant") == "CONTROL", base).otherwise(0.5 * base + F.when(F.col("trend_htf") > 0, 0.5).otherwise(0.0))
+    return slices.withColumn("variant", F.explode(F.lit(list(VARIANTS)))).withColumn("score", score)
+
+
+def trend_ctes():
+    base = {k: v for k, v in BASE_CTES.items() if k in ("span", "r_f", "fw", "bd", "bz", "bnd", "rg", "sl", "sr")}
+    base["sl0"] = base.pop("sl")
+    sr = base.pop("sr")
+    base["sl"] = """SELECT s.* REPLACE (CASE variant WHEN 'CONTROL' THEN score ELSE 0.5::DOUBLE * score + CASE WHEN k.trend_htf > 0 THEN 0.5::DOUBLE ELSE 0 END END AS score), variant
+      FROM sl0 s JOIN c k USING (symbol, ts), (VALUES ('CONTROL'), ('TREATMENT')) v(variant)"""
+    base["sr"] = sr
+    return {
+        **TREND_CTES, "c": "SELECT * FROM tz", **base, **run_ctes(("variant",)),
+        "cp": _AB["cp"].replace("t.symbol, t.formulation,", "t.symbol,").replace("USING (symbol, formulation)", "USING (symbol)"),
+    }
+
+
+@query("ab_trend_htf", with_sql(trend_ctes(),
+    f"SELECT {rounded_sql(('delta_p5', 'delta_p95'), 'symbol', 'delta_trades', 'gate_flip')} FROM cp", recursive=True))
+def ab_trend_htf(spark, sf):
+    dataset, _ = trend_dataset(spark, sf)
+    ready, bounds = wf.prepare(dataset, CONFIG)
+    runs = wf.evaluate(ready, bounds, treated, CONFIG, GRIDS["binary_homerun"], ("variant",), ("trend_htf",)).runs
+    return rounded(sweep.ab_compare(runs, KEYS), ("delta_p5", "delta_p95"), "symbol", "delta_trades", "gate_flip")
+
+
+@query("ab_models")
+def ab_models(spark, sf):
+    """The same test with fitted models: all features against all features and the trend."""
+    dataset, features = trend_dataset(spark, sf)
+    ready, bounds = wf.prepare(dataset, CONFIG)
+    scorer = models.model_scorer(ready, bounds, {"CONTROL": features, "TREATMENT": [*features, "trend_htf"]}, ("binary_homerun",))
+    grids = {"binary_homerun": GRIDS["binary_homerun"]}
+    runs = wf.evaluate(ready, bounds, scorer, CONFIG, grids, models.RUN_KEYS, ("target_ret", *features, "trend_htf")).runs
+    return rounded(sweep.ab_compare(runs, [*KEYS, "formulation"]), ("delta_p5", "delta_p95"), "symbol", "formulation", "delta_trades", "gate_flip")
+
+
 # Verdicts over a run table derived from events: one run per symbol, timeframe slot,
 # formulation slot and seed slot, with signed percentiles.
 _RUNS_SQL = """SELECT event_type AS symbol, CASE WHEN user_id % 2 = 0 THEN '4h' ELSE '1h' END AS timeframe, 'f' || (user_id % 3) AS formulation,
@@ -139,10 +217,10 @@ def hash_rows(df):
 _HASH_SQL = op.md5_score("symbol", "strftime(ts, '%Y-%m-%d')")
 
 
-def split_eval_ctes(swing, split_swing, payoff_label="target", prefix="", tp=1.5, sl=1.0, pairs=()):
+def split_eval_ctes(swing, split_swing, payoff_label="target", prefix="", tp=1.5, sl=1.0, pairs=(), factor=5, score=_HASH_SQL):
     """Held-out slices with naive and model metrics; CTE names carry ``prefix``.
 
-    With ``pairs`` the barrier settings (tp, sl) are key columns.
+    With ``pairs`` the barrier settings (tp, sl) are key columns. ``factor`` is that of the timeframe.
     """
     p = prefix
     cfg = ["tp", "sl"] if pairs else []
@@ -160,7 +238,7 @@ def split_eval_ctes(swing, split_swing, payoff_label="target", prefix="", tp=1.5
             f"{p}lab": f"""SELECT x.*, CASE WHEN sl_off <= coalesce(tp_off, 1000000) THEN -1 WHEN tp_off IS NOT NULL THEN 1 ELSE 0 END AS target,
               NULL::DOUBLE AS exit_close FROM {p}x x JOIN {p}off USING (symbol, rn, tp, sl)""",
         }
-    per, gap = split_swing * 5, swing
+    per, gap = split_swing * factor, swing
     from barloom.registry.trades_q import PRODUCTION_GRID, _search_ctes
 
     grid = ", ".join(f"({dbl(t)})" for t in PRODUCTION_GRID)
@@ -191,7 +269,7 @@ def split_eval_ctes(swing, split_swing, payoff_label="target", prefix="", tp=1.5
         **lab,
         f"{p}s": f"""SELECT l.*, CASE WHEN rn >= ntr + {gap} AND rn < ntr + {gap} + nv THEN 'val' WHEN rn >= ntr + {2 * gap} + nv AND rn < ntr + {2 * gap} + nv + nt THEN 'test' END AS split
           FROM {p}lab l JOIN {p}ok USING (symbol)""",
-        f"{p}h": f"""SELECT * EXCLUDE (exit_close), row_number() OVER w - 1 AS pos, {_HASH_SQL} AS score,
+        f"{p}h": f"""SELECT * EXCLUDE (exit_close), row_number() OVER w - 1 AS pos, {score} AS score,
           coalesce(lead(close, {swing}) OVER w, last(close) OVER (PARTITION BY symbol, split{more} ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS exit_close
           FROM {p}s WHERE split IS NOT NULL WINDOW w AS (PARTITION BY symbol, split{more} ORDER BY rn)""",
         f"{p}e": f"SELECT *, {payoff} AS ret FROM {p}h",
@@ -247,6 +325,50 @@ def swing_sweep(spark, sf):
     return rounded(results.join(best, "symbol"), ("delta_val", "delta_test"), "symbol", "swing", "best_swing")
 
 
+# --- long swings on hourly bars of the orders, with what the cost takes of the target ------
+
+LONG_SWINGS = (20, 30, 40, 50, 60)
+_HOUR_SCORE = op.md5_score("symbol", "strftime(ts, '%Y-%m-%d %H')")
+
+
+def hourly_orders(spark, sf):
+    """One market of hourly bars: three order keys make an hour. With ATR, positions from zero."""
+    hour = F.timestamp_micros(F.expr("788918400000000 + (o_orderkey div 3) * 3600000000")).cast("timestamp_ntz")
+    orders = fx.table(spark, sf, "orders").withColumns({"o_orderstatus": F.lit("ALL"), "o_orderdate": hour})
+    bars = fx.daily_from(orders).withColumn("timeframe", F.lit("1h"))
+    return with_position(technicals(bars, ["atr_14"]).filter("atr_14 IS NOT NULL").drop("rn", "n_bars", "last_close"), last="close")
+
+
+def _long_ctes():
+    bars = dict(op.atr("1d"))
+    bars["b"] = bars["b"].replace("FROM bars_1d", "FROM bars_h")
+    bars.pop("bars_1d")
+    hour = "(TIMESTAMP '1995-01-01' + to_hours((o_orderkey // 3)::INT))"
+    rows = " UNION ALL ".join(f"SELECT * FROM l{s}r" for s in LONG_SWINGS)
+    return {
+        "bars_h": fx.SQL["bars_1d"].replace("o_orderstatus AS symbol, '1d' AS timeframe, o_orderdate AS ts", f"'ALL' AS symbol, '1h' AS timeframe, {hour} AS ts"),
+        **bars,
+        "c0": C0["c0"],
+        **{k: v for s in LONG_SWINGS for k, v in split_eval_ctes(s, max(LONG_SWINGS), prefix=f"l{s}", factor=2, score=_HOUR_SCORE).items()},
+        "lw": f"""SELECT symbol, swing, max(delta) FILTER (split = 'val') AS delta_val, max(delta) FILTER (split = 'test') AS delta_test,
+          max(model_n) FILTER (split = 'val') AS val_trades, max(model_n) FILTER (split = 'test') AS test_trades FROM ({rows}) GROUP BY ALL""",
+        "aq": f"""SELECT symbol, quantile_cont(100 * atr_14 / close, 0.25) AS p25, quantile_cont(100 * atr_14 / close, 0.5) AS median,
+          quantile_cont(100 * atr_14 / close, 0.75) AS p75, 10000 * {dbl(COST)} / (quantile_cont(100 * atr_14 / close, 0.5) * 1.5) AS cost_pct_of_tp FROM c0 GROUP BY symbol""",
+    }
+
+
+_LONG = ("delta_val", "delta_test", "p25", "median", "p75", "cost_pct_of_tp")
+
+
+@query("long_swing_sweep", with_sql(_long_ctes(),
+    f"SELECT {rounded_sql(_LONG, 'symbol', 'swing', 'val_trades', 'test_trades')} FROM lw JOIN aq USING (symbol)", recursive=True))
+def long_swing_sweep(spark, sf):
+    bars = cut_lineage(hourly_orders(spark, sf))
+    scorer = lambda df: df.withColumn("score", fx.md5_score(F.col("symbol"), F.date_format("ts", "yyyy-MM-dd HH")))
+    out = jobs.swing_sweep(bars, scorer, LONG_SWINGS).join(diagnostics.atr_quantiles(bars, 1.5, COST), "symbol")
+    return rounded(out.withColumns({f"{s}_trades": F.col(f"{s}_trades").cast("double") for s in ("val", "test")}), _LONG, "symbol", "swing", "val_trades", "test_trades")
+
+
 @query("label_reconciliation", with_sql(
     {**C0, **split_eval_ctes(SWING, SWING),
      "xt": """SELECT *, count(high) OVER w AS fn, max(high) OVER w AS fh, min(low) OVER w AS fl FROM c0
@@ -302,6 +424,72 @@ def strategy_search(spark, sf):
     return rounded(winners, doubles, "symbol", "n_valid", "swing", "tp", "sl", "trade_count", "oos_sane")
 
 
+# --- configuration sweep: all 53 slots under three formulations, in one job ------------
+
+
+def whole_daily(spark, sf):
+    """Daily bars of all orders as one market, once for each timeframe of the sweep: with ATR, positions from zero."""
+    orders = fx.table(spark, sf, "orders").withColumn("o_orderstatus", F.lit("ALL"))
+    bars = technicals(fx.daily_from(orders), ["atr_14"]).filter("atr_14 IS NOT NULL")
+    bars = sweep.fan_out(bars.drop("timeframe", "rn", "n_bars", "n_trades"), F.lit(list(sweep.SWEEP_TIMEFRAMES)), "timeframe")
+    return cut_lineage(with_position(bars.select("symbol", "timeframe", "ts", "open", "high", "low", "close", "volume", "atr_14"), last="close"))
+
+
+def sweep_scorer(slices):
+    wide = slices.withColumn("formulation", F.explode(F.lit(list(GRIDS))))
+    return wide.withColumn("score", fx.md5_score(*[F.col(c) for c in ("symbol", "timeframe", "rn", "swing", "formulation")]))
+
+
+_SWEEP_KEYS = ("timeframe", "swing", "tp", "sl", "formulation")
+_SLOTS = f"""SELECT * FROM (VALUES {', '.join(f'({s})' for s in sweep.SWINGS)}) a(swing),
+  (VALUES {', '.join(f'({tp}::DOUBLE, {sl}::DOUBLE)' for tp, sl in sweep.TP_SL_PAIRS)}) p(tp, sl), (VALUES ('4h'), ('1h')) t(timeframe)
+  WHERE (swing, tp, sl, timeframe) NOT IN (SELECT * FROM (VALUES {', '.join(f"({s}, {tp}::DOUBLE, {sl}::DOUBLE, '{tf}')" for s, tp, sl, tf in sweep.EXCLUDED)}) x)"""
+
+
+def sweep_ctes():
+    bars = dict(op.atr("1d"))
+    bars["b"] = bars["b"].replace("FROM bars_1d", "FROM bars_all")
+    bars.pop("bars_1d")
+    runs = run_ctes(_SWEEP_KEYS, GRIDS, swing="swing")
+    runs["rk"] = f"SELECT 'ALL' AS symbol, slots.*, formulation FROM slots, (VALUES {', '.join(f'({f!r})' for f in GRIDS)}) f(formulation)"
+    runs["win"] = runs["win"].replace("JOIN rk USING (symbol)", "JOIN rk USING (symbol, swing)")
+    return {
+        "bars_all": fx.SQL["bars_1d"].replace("o_orderstatus AS symbol", "'ALL' AS symbol"),
+        **bars,
+        "c": "SELECT * REPLACE (rn - 13 AS rn) FROM a WHERE atr_14 IS NOT NULL",
+        "slots": _SLOTS,
+        "x": "SELECT c.*, swing, tp, sl FROM c, (SELECT DISTINCT swing, tp, sl FROM slots)",
+        "off": """SELECT x.swing, x.tp, x.sl, x.rn, min(f.rn - x.rn) FILTER (f.low <= x.close - x.atr_14 * x.sl) AS sl_off,
+          min(f.rn - x.rn) FILTER (f.high >= x.close + x.atr_14 * x.tp) AS tp_off
+          FROM x LEFT JOIN c f ON f.rn BETWEEN x.rn + 1 AND x.rn + x.swing GROUP BY ALL""",
+        "lab": """SELECT x.*, CASE WHEN sl_off <= coalesce(tp_off, 1000000) THEN -1 WHEN tp_off IS NOT NULL THEN 1 ELSE 0 END AS target
+          FROM x JOIN off USING (swing, tp, sl, rn)""",
+        **{k: WF_CTES[k] for k in ("span", "r_f", "fw")},
+        "bd": """SELECT f.symbol, s.swing, f.fold, f.start, f."end", count(*) FILTER (c.ts < f.start - to_days(s.swing)) AS n_prior,
+          count(*) FILTER (c.ts < f.start) AS oos_lo, count(*) FILTER (c.ts < f."end") AS oos_hi
+          FROM fw f JOIN c ON c.symbol = f.symbol, (SELECT DISTINCT swing FROM slots) s GROUP BY ALL""",
+        "bz": "SELECT *, n_prior - swing AS alloc, greatest(16 * swing, floor((n_prior - swing) * 0.15::DOUBLE)::BIGINT) AS nv FROM bd",
+        "bnd": """SELECT *, alloc - nv AS ntr, CASE WHEN n_prior < 200 + 17 * swing OR nv > alloc * 0.45::DOUBLE OR alloc - nv < 200
+          OR oos_hi - oos_lo < 2 * swing THEN 'insufficient_prior_data' END AS skipped FROM bz""",
+        "rg": """SELECT symbol, swing, fold, 'val' AS part, ntr + swing AS lo, ntr + swing + nv AS hi FROM bnd WHERE skipped IS NULL
+          UNION ALL SELECT symbol, swing, fold, 'oos', oos_lo, oos_hi FROM bnd WHERE skipped IS NULL""",
+        "sl0": """SELECT l.symbol, l.swing, l.tp, l.sl, g.fold, g.part, l.rn, l.rn - g.lo AS pos, l.ts, l.target, l.atr_14, l.close, x.close AS exit_close
+          FROM rg g JOIN lab l ON l.swing = g.swing AND l.rn >= g.lo AND l.rn < g.hi JOIN c x ON x.rn = least(l.rn + g.swing, g.hi - 1)""",
+        "sl": f"""SELECT s.*, r.timeframe, r.formulation, {op.md5_score('s.symbol', 'r.timeframe', 's.rn', 's.swing', 'r.formulation')} AS score
+          FROM sl0 s JOIN (SELECT slots.*, formulation FROM slots, (VALUES {', '.join(f'({f!r})' for f in GRIDS)}) f(formulation)) r USING (swing, tp, sl)""",
+        "sr": """SELECT *, CASE target WHEN 1 THEN atr_14 * tp / close WHEN -1 THEN -(atr_14 * sl / close) ELSE (exit_close - close) / close END AS ret FROM sl""",
+        **runs,
+    }
+
+
+@query("config_sweep", with_sql(sweep_ctes(),
+    f"""SELECT timeframe, swing, tp, sl, round(tp / sl, 3) AS rr, formulation, {op.r6('p5')} AS p5, {op.r6('p95')} AS p95, {op.r6('p95 - p5')} AS ci_width,
+    pooled_trades, passes_gate, windows_used, windows_delta_gt_0 FROM run""", recursive=True))
+def config_sweep(spark, sf):
+    out = jobs.config_sweep(whole_daily(spark, sf), sweep_scorer, sweep.sweep_slots(spark), GRIDS)
+    return rounded(out, ("p5", "p95", "ci_width"), *_SWEEP_KEYS, "rr", "pooled_trades", "passes_gate", "windows_used", "windows_delta_gt_0")
+
+
 # --- regimes ---------------------------------------------------------------------------
 
 REGIMES = (("bear", "1997-01-01", "1997-12-31"), ("range", "1998-01-01", "1998-12-31"), ("late", "1999-06-01", "2001-03-01"))

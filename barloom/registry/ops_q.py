@@ -179,6 +179,46 @@ def dataset_control(spark, sf):
     return rounded(out, _DATASET, "symbol", "ts", "target", "rn")
 
 
+# Profiles with a treatment on 4h bars: source, its SQL with ``ts`` from which a row may be used, column, scale for rounding.
+_TREATED = {
+    "funding_rate": ({"funding_8h": None, "tt": "SELECT symbol, ts, funding_rate AS v FROM funding_8h"}, "funding_rate_current", 1e6),
+    "onchain_activity": ({"onchain_daily": None, "tt": "SELECT ts + INTERVAL 2 DAYS AS ts, onchain_active_addresses AS v FROM onchain_daily"}, "onchain_active_addresses", 1.0),
+    "onchain_fee_pressure": ({"mempool_daily": None, "tt": "SELECT ts + INTERVAL 1 DAYS AS ts, mempool_fee_rate_p50 AS v FROM mempool_daily"}, "mempool_fee_rate_p50", 1.0),
+    "taker_buy_ratio": ({}, "taker_buy_ratio", 1.0),
+}
+
+
+def _profile_sql(profile):
+    ctes, column, scale = _TREATED[profile]
+    if ctes:
+        on = "x.symbol = t.symbol AND " if profile == "funding_rate" else ""
+        joined = f"SELECT x.*, t.v AS {column} FROM fs x ASOF LEFT JOIN tt t ON {on}x.ts >= t.ts"
+    else:
+        joined = f"SELECT *, CASE WHEN volume > 0 THEN taker_buy_base_vol / volume END AS {column} FROM fs"
+    kept = (*_DATASET, column)
+    return with_sql(
+        {**op.features("4h"), **op.with_sentiment(), **ctes, "ft": joined, **op.labels("ft"),
+         "z": f"SELECT * FROM lab WHERE {' AND '.join(c + ' IS NOT NULL' for c in kept)}"},
+        f"""SELECT {rounded_sql(_DATASET, 'symbol', 'ts', 'target')}, {op.r6(f'{column} * {scale!r}::DOUBLE')} AS {column},
+        row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS rn FROM z""", recursive=True)
+
+
+def _profile_query(profile):
+    column, scale = _TREATED[profile][1:]
+
+    def run(spark, sf):
+        sources = Sources(sentiment=fx.fng_daily(spark, sf), funding=fx.funding_8h(spark, sf), onchain=fx.onchain_daily(spark, sf), mempool=fx.mempool_daily(spark, sf))
+        out, features = build_dataset(fx.bars(spark, sf, "4h"), sources, profile)
+        assert len(features) == 14 and column not in features
+        return rounded(out.withColumn(column, F.col(column) * scale), (*_DATASET, column), "symbol", "ts", "target", "rn")
+
+    return query(f"dataset_{profile}", _profile_sql(profile))(run)
+
+
+for _profile in _TREATED:
+    _profile_query(_profile)
+
+
 @query("split_sizes", with_sql({**op.numbered("1d")},
     """SELECT symbol, swing, n_bars, greatest(8, floor(nv / (swing * 5) * 0.5::DOUBLE)::BIGINT) AS min_val_trades,
     CASE WHEN n_bars < 200 + 8 * swing * 5 + 10 * swing * 5 + 2 * swing THEN 'too_few_bars'

@@ -216,18 +216,22 @@ WF_CTES = {
 }
 
 
-def run_ctes(extra=(), grid=WALK_GRID, seed="42"):
-    """Threshold, trades, windows, bootstrap and gate for runs (symbol, *extra) over slices ``sr``."""
+def run_ctes(extra=(), grid=WALK_GRID, seed="42", swing=SWING):
+    """Threshold, trades, windows, bootstrap and gate for runs (symbol, *extra) over slices ``sr``.
+
+    ``swing`` is a number, or "swing" where it is a key column.
+    """
+    cooldown = f"c.{swing}" if isinstance(swing, str) else swing
     keys = ["symbol", *extra]
     k, kf = ", ".join(keys), ", ".join([*keys, "fold"])
     return {
         "vs": "SELECT * FROM sr WHERE part = 'val'",
-        **_search_ctes("vs", [*keys, "fold"], grid, "8", "ret"),
+        **_search_ctes("vs", [*keys, "fold"], grid, "8", "ret", cooldown),
         "oos": f"SELECT s.*, b.threshold FROM sr s JOIN best b USING ({kf}) WHERE part = 'oos'",
         "oc": "SELECT * FROM oos WHERE score >= threshold",
-        **op.picks("oc", [*keys, "fold"], SWING, "r_op"),
+        **op.picks("oc", [*keys, "fold"], cooldown, "r_op"),
         "tr": f"""SELECT {kf}, 'model' AS side, pos, c.ts, c.ret FROM oc c JOIN r_op p USING ({kf}, pos)
-          UNION ALL SELECT {kf}, 'naive', pos, ts, ret FROM oos WHERE pos % 10 = 0""",
+          UNION ALL SELECT {kf}, 'naive', pos, ts, ret FROM oos WHERE pos % {swing} = 0""",
         "ws": f"""SELECT {kf}, coalesce(sum(ret) FILTER (side = 'model'), 0) AS cum_ret, coalesce(stddev_pop(ret) FILTER (side = 'model'), 0) AS vol,
           coalesce(sum(ret) FILTER (side = 'model' AND ret > 0), 0) AS mg, coalesce(sum(-ret) FILTER (side = 'model' AND ret < 0), 0) AS ml,
           coalesce(sum(ret) FILTER (side = 'naive' AND ret > 0), 0) AS ng, coalesce(sum(-ret) FILTER (side = 'naive' AND ret < 0), 0) AS nl,

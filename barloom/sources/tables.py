@@ -50,7 +50,7 @@ def write_bars(bars: DataFrame, path: str, mode: str = "overwrite") -> None:
     spread.sortWithinPartitions("symbol", "timeframe", "ts").write.mode(mode).partitionBy("symbol", "timeframe").parquet(path)
 
 
-def read_series(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_series(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """An external series; an empty table when nothing has landed yet."""
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
@@ -110,6 +110,17 @@ def append_results(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def write_runs(rows: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """Results of runs, one directory per run key: writing a run again replaces it, so a repeated job leaves one copy."""
+    spread = rows.repartition(*[F.col(k) for k in keys])
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+def read_runs(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """What ``write_runs`` left; an empty table before the first run."""
+    return read_series(spark, path, schema)
+
+
 def pending(configs: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Configurations without a result yet."""
     return configs.join(done.select(*list(keys)), list(keys), "left_anti")
