@@ -17,7 +17,10 @@ samples come out distinct and in order; all keys of a sample's nodes are compute
 With kappa the key that comes after the k-th sample, a segmentation's chance of being among the
 samples is 1 - exp(-exp(log_prob - kappa)): ``log_inclusion`` is its logarithm.
 
-Uniform numbers are hashes of (seed, doc_id, sample, chunk, step): reruns agree on any partitioning.
+Uniform numbers are hashes of (seed, doc_id, sample, chunk, step): reruns agree on any partitioning. Those of a first sample have 21
+bits, so an edge with a conditional probability under about 5e-7 may never be drawn there, although ``log_inclusion`` counts it.
+
+``decoded`` gives samples back their text.
 
 Defined cases: null and empty texts have one segmentation without pieces (log_prob 0, log_inclusion 0); a text
 with fewer than k segmentations gives all of them (what has less than 1e-12 of a chunk's mass is none); a null ``doc_id`` is a key of its own; repeated rows
@@ -37,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from barloom.llm.common import GOLDEN, mix64, uniform
 
@@ -489,3 +493,23 @@ def sampled_segmentations(docs: DataFrame, model: str = MODEL, k: int = K, alpha
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "pieces"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+
+
+def decoded(samples: DataFrame, model: str = MODEL, alpha: float = ALPHA) -> DataFrame:
+    """``samples`` with ``text``, what their ``pieces`` spell; null pieces spell nothing."""
+    vocabulary = Vocabulary.load(model, alpha)
+    kept = [c for c in samples.columns if c != "text"]
+    schema = StructType([*(samples.schema[c] for c in kept), *StructType.fromDDL("text string")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        byte_of = {i: bytes([b]) for b, i in vocabulary.byte_ids.items()}
+        spelled: dict[int, bytes] = {}
+        for batch in batches:
+            texts = []
+            for ids in batch.column("pieces").to_pylist():
+                for i in set(ids or ()) - spelled.keys():
+                    spelled[i] = byte_of[i] if i in byte_of else vocabulary.text_of[i].replace(chr(BLANK), " ").encode("utf-8")
+                texts.append(b"".join([spelled[i] for i in ids or ()]).decode("utf-8", "surrogatepass")[1:])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, "text"])
+
+    return samples.select(*kept).mapInArrow(run, schema)

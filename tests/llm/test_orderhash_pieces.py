@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.llm import orderhash, pieces
 
@@ -158,3 +159,17 @@ def test_samples_depend_on_row_and_seed_only(docs, corpus):
     assert run(corpus) == run(corpus[::-1])
     assert pieces.sampled_segmentations(docs([])).count() == 0
     assert pieces.sampled_segmentations(docs([(1, None), (1, None)])).count() == 2
+
+
+def test_decoding_gives_every_text_back(spark, docs, corpus):
+    known = {i: t for i, t, *_ in corpus if i is not None and i != 70}
+    frame = docs([r for r in corpus if r[0] in known])
+    samples = pieces.sampled_segmentations(frame)
+    out = pieces.decoded(samples.withColumn("text", F.lit("clash")))
+    assert out.columns == [*samples.columns, "text"]
+    rows = out.collect()
+    assert {r["doc_id"] for r in rows} == set(known)
+    assert all(r["text"] == (known[r["doc_id"]] or "") for r in rows)
+    assert pieces.decoded(samples.filter("doc_id = -5")).count() == 0
+    none = spark.createDataFrame([(1, None)], "doc_id long, pieces array<int>")
+    assert pieces.decoded(none).first()["text"] == ""
