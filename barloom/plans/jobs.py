@@ -12,6 +12,7 @@ from barloom.operators import trades as tr
 from barloom.operators.bootstrap import delta_percentiles, iid_bootstrap
 from barloom.operators.labels import Barrier, label_sweep
 from barloom.operators.layout import with_position
+from barloom.operators.quantiles import exact_quantiles
 from barloom.operators.sizing import barrier_prices
 from barloom.operators.splits import bars_per_trade, min_val_trades, temporal_split
 from barloom.plans.diagnostics import precision, regime_stats
@@ -165,6 +166,21 @@ def regimes(
     trades = cut_lineage(
         model.withColumn("side", F.lit("model")).unionByName(naive.withColumn("side", F.lit("naive")))
     )
+    sums = _side_factors(trades, keys)
+    enough = (F.col("model_trades") >= min_trades) & (F.col("naive_trades") >= min_trades)
+    eligible = sums.join(usable.select(*keys, "sample_type"), keys).filter((F.col("sample_type") == "OOS") & enough).select(*keys)
+    cuts = _trade_bootstrap(trades.join(eligible, keys), keys, n_iter, seed)
+    market = regime_stats(
+        tagged.filter("ts >= start").select(*SERIES_KEYS, "regime", "ts", "rn", "close"), keys
+    ).select(*keys, "cum_return_pct", "ret_std_pct")
+    out = sizes.select(*keys, "sample_type", "n_bars", "n_prior", "status")
+    out = out.join(found, keys, "left").join(sums, keys, "left").join(cuts, keys, "left").join(market, keys, "left")
+    failed = F.col("status").isNull() & F.col("threshold").isNull()
+    return out.withColumn("status", F.when(failed, "threshold_failed").otherwise(F.col("status")))
+
+
+def _side_factors(trades: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Trades and profit factor of both sides, by the sign of the returns, and their difference."""
     r = F.col("ret")
     sums = trades.groupBy(*keys).agg(
         *[
@@ -174,24 +190,49 @@ def regimes(
         *[F.count_if(F.col("side") == s).alias(f"{s}_trades") for s in ("model", "naive")],
     )
     pf = {s: mx.profit_factor(F.col(f"_{s}_gain"), F.col(f"_{s}_loss"), F.col(f"{s}_trades")) for s in ("model", "naive")}
-    sums = sums.select(
+    return sums.select(
         *keys, "model_trades", "naive_trades", pf["model"].alias("model_pf"), pf["naive"].alias("naive_pf"),
         (pf["model"] - pf["naive"]).alias("delta"),
     )
-    eligible = sums.join(usable.select(*keys, "sample_type"), keys).filter(
-        (F.col("sample_type") == "OOS") & (F.col("model_trades") >= min_trades) & (F.col("naive_trades") >= min_trades)
-    ).select(*keys)
-    indexed = with_position(
-        trades.join(eligible, keys).withColumn("_one", F.lit(0)), [*keys, "side"], "pos", F.expr("pos div 262144"), "idx"
-    )
-    cuts = delta_percentiles(iid_bootstrap(indexed, keys, n_iter, seed), keys).select(*keys, "p5", "p50", "p95")
-    market = regime_stats(
-        tagged.filter("ts >= start").select(*SERIES_KEYS, "regime", "ts", "rn", "close"), keys
-    ).select(*keys, "cum_return_pct", "ret_std_pct")
-    out = sizes.select(*keys, "sample_type", "n_bars", "n_prior", "status")
-    out = out.join(found, keys, "left").join(sums, keys, "left").join(cuts, keys, "left").join(market, keys, "left")
-    failed = F.col("status").isNull() & F.col("threshold").isNull()
-    return out.withColumn("status", F.when(failed, "threshold_failed").otherwise(F.col("status")))
+
+
+def _trade_bootstrap(trades: DataFrame, keys: Sequence[str], n_iter: int, seed: int) -> DataFrame:
+    """Percentiles of the per-trade bootstrap; the trades of a side are numbered in order."""
+    indexed = with_position(trades.withColumn("_one", F.lit(0)), [*keys, "side"], "pos", F.expr("pos div 262144"), "idx")
+    return delta_percentiles(iid_bootstrap(indexed, keys, n_iter, seed), keys).select(*keys, "p5", "p50", "p95")
+
+
+#: Quantiles of scores that a comparison of formulations reports, beside the maximum.
+SCORE_QUANTILES = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
+
+
+def compare_formulations(
+    labelled: DataFrame, scorer: Scorer, swing: int, tp: float, sl: float, thresholds: Mapping[str, Sequence[float]], cost: float = 0.0,
+    n_iter: int = 1000, seed: int = 42, min_trades: int = 20,
+) -> DataFrame:
+    """Formulations side by side on validation and test, each with its own thresholds.
+
+    One row per series, formulation and split: threshold (from validation), trades and profit factor against naive, quantiles of the scores, and
+    percentiles of the per-trade bootstrap where both sides have ``min_trades``. The scorer adds ``formulation`` and ``score``.
+    """
+    run, keys = [*SERIES_KEYS, "formulation"], [*SERIES_KEYS, "formulation", "split"]
+    placed = split_positions(labelled, swing, swing).filter("split IN ('val', 'test')")
+    rows = scorer(placed).withColumn("ret", tr.trade_return(tp, sl, F.col("exit_close"), cost))
+    scored = cut_lineage(rows.select(*keys, "pos", "score", "ret"))
+    grid = F.coalesce(*[F.when(F.col("formulation") == name, F.lit([float(x) for x in own])) for name, own in thresholds.items()])
+    found = tr.threshold_search(scored.filter("split = 'val'"), run, swing, grid, tr.production_min_trades(swing))
+    found = cut_lineage(found.select(*run, "threshold"))
+    known = scored.join(found.filter("threshold IS NOT NULL"), run)
+    model = tr.cooldown_select(known.filter("score >= threshold"), keys, swing, ["ret"])
+    naive = tr.naive_trades(known, swing).select(*keys, "pos", "ret")
+    trades = cut_lineage(model.withColumn("side", F.lit("model")).unionByName(naive.withColumn("side", F.lit("naive"))))
+    sums = cut_lineage(_side_factors(trades, keys))
+    enough = sums.filter((F.col("model_trades") >= min_trades) & (F.col("naive_trades") >= min_trades)).select(*keys)
+    cuts = _trade_bootstrap(trades.join(enough, keys), keys, n_iter, seed)
+    quantiles = exact_quantiles(scored, keys, "score", SCORE_QUANTILES)
+    quantiles = quantiles.select(*keys, *[F.col(c).alias(f"score_{c}") for c in SCORE_QUANTILES])
+    most = scored.groupBy(*keys).agg(F.max("score").alias("score_max"))
+    return most.join(quantiles, keys).join(found, run, "left").join(sums, keys, "left").join(cuts, keys, "left")
 
 
 def optimize(

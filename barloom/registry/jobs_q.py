@@ -495,12 +495,115 @@ def config_sweep(spark, sf):
 REGIMES = (("bear", "1997-01-01", "1997-12-31"), ("range", "1998-01-01", "1998-12-31"), ("late", "1999-06-01", "2001-03-01"))
 
 
-@query("regimes_rigorous")
+def regime_ctes():
+    from barloom.registry.trades_q import PRODUCTION_GRID, _search_ctes, draw_ctes
+
+    values = ", ".join(f"('{name}', TIMESTAMP '{lo}', TIMESTAMP '{hi}')" for name, lo, hi in REGIMES)
+    keys = "symbol, regime"
+    floor = f"greatest(10, floor(greatest(1.0::DOUBLE, n_rows / {dbl(float(SWING))}) * 0.15::DOUBLE))"
+    return {
+        **C0,
+        "tg": f"SELECT c0.*, regime, lo, hi, CASE WHEN lo <= TIMESTAMP '1998-06-01' THEN 'IN-SAMPLE' ELSE 'OOS' END AS sample_type FROM c0 JOIN (VALUES {values}) g(regime, lo, hi) ON c0.ts <= hi",
+        "sz": """SELECT symbol, regime, sample_type, count(*) FILTER (ts >= lo) AS n_bars, count(*) FILTER (ts < lo) AS n_prior FROM tg GROUP BY ALL""",
+        "st": """SELECT *, CASE WHEN n_bars < 200 THEN 'insufficient_data' WHEN n_prior < 500 THEN 'insufficient_prior' END AS status,
+          greatest(200, floor(n_prior * 0.15::DOUBLE)) AS n_val FROM sz""",
+        **op.labels("c0", SWING),
+        "pt": """SELECT l.*, t.regime, CASE WHEN l.ts >= t.lo THEN 'window' WHEN l.rn >= s.n_prior - s.n_val THEN 'val' END AS part
+          FROM lab l JOIN tg t ON t.symbol = l.symbol AND t.rn = l.rn JOIN st s ON s.symbol = l.symbol AND s.regime = t.regime WHERE s.status IS NULL""",
+        "pp": f"""SELECT * REPLACE (coalesce(lead(close, {SWING}) OVER w, last(close) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS exit_close),
+          row_number() OVER w - 1 AS pos, {_HASH_SQL} AS score FROM pt WHERE part IS NOT NULL WINDOW w AS (PARTITION BY symbol, regime, part ORDER BY rn)""",
+        "sc0": f"SELECT *, {op.binary()} AS ret, {op.ternary()} AS ret_val FROM pp",
+        "vl": "SELECT * FROM sc0 WHERE part = 'val'",
+        **_search_ctes("vl", ["symbol", "regime"], PRODUCTION_GRID, floor, "ret_val"),
+        "wi": "SELECT s.*, b.threshold FROM sc0 s JOIN best b USING (symbol, regime) WHERE part = 'window'",
+        "mc": "SELECT * FROM wi WHERE score >= threshold",
+        **op.picks("mc", ["symbol", "regime"], SWING, "r_mp"),
+        "tt": f"""SELECT symbol, regime, 'model' AS side, pos, ret FROM mc JOIN r_mp USING (symbol, regime, pos)
+          UNION ALL SELECT symbol, regime, 'naive', pos, ret FROM wi WHERE pos % {SWING} = 0""",
+        "sm0": f"""SELECT {keys}, count(*) FILTER (side = 'model') AS model_trades, count(*) FILTER (side = 'naive') AS naive_trades,
+          coalesce(sum(ret) FILTER (side = 'model' AND ret > 0), 0) AS mg, coalesce(sum(-ret) FILTER (side = 'model' AND ret < 0), 0) AS ml,
+          coalesce(sum(ret) FILTER (side = 'naive' AND ret > 0), 0) AS ng, coalesce(sum(-ret) FILTER (side = 'naive' AND ret < 0), 0) AS nl FROM tt GROUP BY {keys}""",
+        "pfs": f"SELECT *, {op.pf('mg', 'ml', 'model_trades')} AS model_pf, {op.pf('ng', 'nl', 'naive_trades')} AS naive_pf FROM sm0",
+        "ix": f"""SELECT t.*, row_number() OVER (PARTITION BY {keys}, side ORDER BY pos) - 1 AS idx, count(*) OVER (PARTITION BY {keys}, side) AS n
+          FROM tt t SEMI JOIN (SELECT p.* FROM pfs p JOIN sz USING (symbol, regime) WHERE sample_type = 'OOS' AND model_trades >= 20 AND naive_trades >= 20) e USING (symbol, regime)""",
+        "dw": f"""SELECT {keys}, side, iteration, CAST('0x' || substr(md5('42|' || side || '|' || iteration || '|' || idx), 1, 8) AS BIGINT) % n AS idx
+          FROM ix, range(1000) g(iteration)""",
+        "sm": f"""SELECT {keys}, d.iteration, coalesce(sum(ret) FILTER (side = 'model' AND ret > 0), 0) AS mg, coalesce(sum(-ret) FILTER (side = 'model' AND ret < 0), 0) AS ml,
+          coalesce(sum(ret) FILTER (side = 'naive' AND ret > 0), 0) AS ng, coalesce(sum(-ret) FILTER (side = 'naive' AND ret < 0), 0) AS nl,
+          count(*) FILTER (side = 'model') AS mn, count(*) FILTER (side = 'naive') AS nn FROM dw d JOIN ix USING (symbol, regime, side, idx) GROUP BY ALL""",
+        "dl": f"SELECT {keys}, iteration, {op.pf('mg', 'ml', 'mn')} - {op.pf('ng', 'nl', 'nn')} AS delta FROM sm",
+        "ct": draw_ctes(keys)["ct"],
+        "mk0": """SELECT symbol, regime, rn, close, close / nullif(lag(close) OVER (PARTITION BY symbol, regime ORDER BY rn), 0) - 1 AS r FROM tg WHERE ts >= lo""",
+        "mk": """SELECT symbol, regime, 100 * (arg_max(close, rn) / arg_min(close, rn) - 1) AS cum_return_pct, 100 * stddev_samp(r) AS ret_std_pct FROM mk0 GROUP BY ALL""",
+        "rr": """SELECT s.*  REPLACE (CASE WHEN status IS NULL AND b.threshold IS NULL THEN 'threshold_failed' ELSE status END AS status), b.threshold, model_trades, naive_trades, model_pf, naive_pf,
+          model_pf - naive_pf AS delta, CASE WHEN n_null = 0 THEN p5 END AS p5, CASE WHEN n_null = 0 THEN p50 END AS p50, CASE WHEN n_null = 0 THEN p95 END AS p95, cum_return_pct, ret_std_pct
+          FROM st s LEFT JOIN best b USING (symbol, regime) LEFT JOIN pfs USING (symbol, regime) LEFT JOIN ct USING (symbol, regime) LEFT JOIN mk USING (symbol, regime)""",
+    }
+
+
+_REGIME_DOUBLES = ("threshold", "model_pf", "naive_pf", "delta", "p5", "p50", "p95", "cum_return_pct", "ret_std_pct")
+
+
+@query("regimes_rigorous", with_sql(regime_ctes(),
+    f"SELECT {rounded_sql(_REGIME_DOUBLES, 'symbol', 'regime', 'sample_type', 'n_bars', 'n_prior', 'status', 'model_trades', 'naive_trades')} FROM rr", recursive=True))
 def regimes_rigorous(spark, sf):
     labelled = barrier_labels(clean_daily(spark, sf))
     out = jobs.regimes(labelled, REGIMES, hash_rows, SWING, 1.5, 1.0, in_sample_end="1998-06-01", n_iter=1000)
-    doubles = ("threshold", "model_pf", "naive_pf", "delta", "p5", "p50", "p95", "cum_return_pct", "ret_std_pct")
-    return rounded(out, doubles, "symbol", "regime", "sample_type", "n_bars", "n_prior", "status", "model_trades", "naive_trades")
+    return rounded(out, _REGIME_DOUBLES, "symbol", "regime", "sample_type", "n_bars", "n_prior", "status", "model_trades", "naive_trades")
+
+
+# --- two formulations side by side -------------------------------------------------------
+
+PAIR = {name: GRIDS[name] for name in ("binary_homerun", "multiclass_3")}
+
+
+def pair_scorer(df):
+    wide = df.withColumn("formulation", F.explode(F.lit(list(PAIR))))
+    return wide.withColumn("score", fx.md5_score(F.col("symbol"), F.date_format("ts", "yyyy-MM-dd"), F.col("formulation")))
+
+
+def pair_ctes():
+    from barloom.registry.trades_q import _search_ctes, draw_ctes
+
+    keys = "symbol, formulation, split"
+    regime = regime_ctes()
+    floor = f"greatest(10, floor(greatest(1.0::DOUBLE, n_rows / {dbl(float(SWING))}) * 0.15::DOUBLE))"
+    whole = split_eval_ctes(SWING, SWING)
+    moved = lambda body: body.replace("symbol, regime", keys)
+    return {
+        **{k: v for k, v in {**C0, **whole}.items() if k in C0 or k in ("n", "z", "ok", "lab", "lab_off", "lab_t", "s")},
+        "h": f"""SELECT * EXCLUDE (exit_close), formulation, row_number() OVER w - 1 AS pos, {op.md5_score('symbol', "strftime(ts, '%Y-%m-%d')", 'formulation')} AS score,
+          coalesce(lead(close, {SWING}) OVER w, last(close) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS exit_close
+          FROM s, (VALUES ('binary_homerun'), ('multiclass_3')) f(formulation) WHERE split IS NOT NULL WINDOW w AS (PARTITION BY symbol, formulation, split ORDER BY rn)""",
+        "e": f"SELECT *, {op.ternary()} AS ret FROM h",
+        "vl": "SELECT * FROM e WHERE split = 'val'",
+        **_search_ctes("vl", ["symbol", "formulation"], PAIR, floor, "ret"),
+        "wi": "SELECT e.*, b.threshold FROM e JOIN best b USING (symbol, formulation)",
+        "mc": "SELECT * FROM wi WHERE score >= threshold",
+        **op.picks("mc", ["symbol", "formulation", "split"], SWING, "r_mp"),
+        "tt": moved(regime["tt"]),
+        "sm0": moved(regime["sm0"]),
+        "pfs": regime["pfs"],
+        "ix": f"""SELECT t.*, row_number() OVER (PARTITION BY {keys}, side ORDER BY pos) - 1 AS idx, count(*) OVER (PARTITION BY {keys}, side) AS n
+          FROM tt t SEMI JOIN (SELECT * FROM pfs WHERE model_trades >= 20 AND naive_trades >= 20) x USING ({keys})""",
+        **{k: moved(regime[k]) for k in ("dw", "sm", "dl")},
+        "ct": draw_ctes(keys)["ct"],
+        "qs": f"""SELECT {keys}, quantile_cont(score, 0.1) AS score_p10, quantile_cont(score, 0.5) AS score_p50, quantile_cont(score, 0.9) AS score_p90, max(score) AS score_max
+          FROM e GROUP BY {keys}""",
+        "rr": f"""SELECT q.*, b.threshold, model_trades, naive_trades, model_pf, naive_pf, model_pf - naive_pf AS delta,
+          CASE WHEN n_null = 0 THEN p5 END AS p5, CASE WHEN n_null = 0 THEN p50 END AS p50, CASE WHEN n_null = 0 THEN p95 END AS p95
+          FROM qs q LEFT JOIN best b USING (symbol, formulation) LEFT JOIN pfs USING ({keys}) LEFT JOIN ct USING ({keys})""",
+    }
+
+
+_PAIR_DOUBLES = ("threshold", "model_pf", "naive_pf", "delta", "p5", "p50", "p95", "score_p10", "score_p50", "score_p90", "score_max")
+
+
+@query("binary_vs_multiclass", with_sql(pair_ctes(),
+    f"SELECT {rounded_sql(_PAIR_DOUBLES, 'symbol', 'formulation', 'split', 'model_trades', 'naive_trades')} FROM rr", recursive=True))
+def binary_vs_multiclass(spark, sf):
+    out = jobs.compare_formulations(barrier_labels(clean_daily(spark, sf)), pair_scorer, SWING, 1.5, 1.0, PAIR)
+    return rounded(out, _PAIR_DOUBLES, "symbol", "formulation", "split", "model_trades", "naive_trades")
 
 
 # --- models ------------------------------------------------------------------------------
