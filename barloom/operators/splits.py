@@ -86,13 +86,11 @@ def split_bounds(df: DataFrame, embargo: Column | int) -> DataFrame:
     )
 
 
-def temporal_split(
-    df: DataFrame, swing: Column | int, embargo: Column | int, split_swing: Column | int | None = None, size: str | None = None
-) -> DataFrame:
+def temporal_split(df: DataFrame, swing: Column | int, embargo: Column | int, split_swing: Column | int | None = None) -> DataFrame:
     """Label each bar ``train``, ``val``, ``test`` or NULL (gap, or no split possible).
 
-    ``pos`` is the position inside the block, ``size`` names a column for the length of the block. ``rn`` and ``n_bars``, if
-    present, must count the rows given.
+    ``pos`` is the position inside the block. ``rn`` and ``n_bars``, if present, must
+    count the rows given.
     """
     if "rn" not in df.columns:
         df = with_position(df)
@@ -105,9 +103,7 @@ def temporal_split(
         .when((rn >= F.col("test_lo")) & (rn < F.col("test_hi")), "test")
     )
     first = F.when(F.col("split") == "val", F.col("val_lo")).when(F.col("split") == "test", F.col("test_lo")).otherwise(0)
-    placed = out.withColumn("split", label).withColumn("pos", rn - first)
-    length = F.when(F.col("split") == "val", F.col("n_val")).when(F.col("split") == "test", F.col("n_test")).otherwise(F.col("n_train"))
-    return placed.select(*base, "split", "pos", *([length.alias(size)] if size else []))
+    return out.withColumn("split", label).withColumn("pos", rn - first).select(*base, "split", "pos")
 
 
 def min_val_trades(n_val: Column, swing: Column | int, factor: Column | int, floor: int = VAL_TRADES_FLOOR) -> Column:

@@ -14,7 +14,7 @@ from barloom.operators.labels import Barrier, label_sweep
 from barloom.operators.layout import with_position
 from barloom.operators.quantiles import exact_quantiles
 from barloom.operators.sizing import barrier_prices
-from barloom.operators.splits import bars_per_trade, min_val_trades, temporal_split
+from barloom.operators.splits import bars_per_trade, min_val_trades, split_bounds, split_sizes
 from barloom.plans.diagnostics import precision, regime_stats
 from barloom.plans.config import ExperimentConfig
 from barloom.plans.sweep import SLOT
@@ -38,38 +38,47 @@ def run_metrics(
 
 
 def split_positions(
-    labelled: DataFrame, swing: Column | int, embargo: Column | int, split_swing: Column | int | None = None, extra: Sequence[str] = ()
+    labelled: DataFrame, swing: Column | int, embargo: Column | int, split_swing: Column | int | None = None,
+    swings: Sequence[int] | None = None, closes: DataFrame | None = None,
 ) -> DataFrame:
     """Bars with their split, position in it, and exit close inside it.
 
-    ``extra`` are key columns beyond the series, such as the barrier settings. Rows of ``label_sweep`` bring their
-    ``close_ahead``; for others ``swing`` is a number.
+    Where the splits lie is a small table, one row per series and swing. ``swings`` lists the values of ``swing`` if that is a column of
+    ``labelled`` (rows of ``label_sweep``, which bring their ``close_ahead``). ``closes``, the bars before labelling, are looked up for
+    the last close of each split; they default to ``labelled``.
     """
     if "close_ahead" not in labelled.columns:
         labelled = tr.with_exit_close(labelled if "rn" in labelled.columns else with_position(labelled), swing, SERIES_KEYS)
-    keys = [*SERIES_KEYS, *extra, "split"]
-    split = temporal_split(labelled, swing, embargo, split_swing, size="_size").filter("split IS NOT NULL")
-    last = split.filter(F.col("pos") == F.col("_size") - 1).select(*keys, F.col("close").alias("_last"))
-    inside = F.when(F.col("pos") + swing < F.col("_size"), F.col("close_ahead"))
-    return (
-        split.join(last, keys)
-        .withColumn("exit_close", F.coalesce(inside, F.col("_last")))
-        .drop("close_ahead", "_size", "_last")
-    )
+    closes = (labelled if closes is None else closes).select(*SERIES_KEYS, "rn", "n_bars", "close")
+    series = closes.groupBy(*SERIES_KEYS).agg(F.max("n_bars").alias("n_bars"))
+    keys = [*SERIES_KEYS, *(["swing"] if swings else [])]
+    if swings:
+        series = series.withColumn("swing", F.explode(F.array(*[F.lit(s) for s in sorted(set(swings))])))
+    sized = split_bounds(split_sizes(series, swing if split_swing is None else split_swing, embargo), embargo).filter("n_train IS NOT NULL")
+    parts = [("train", F.lit(0).cast("long"), F.col("n_train")), ("val", F.col("val_lo"), F.col("val_hi")), ("test", F.col("test_lo"), F.col("test_hi"))]
+    ranges = sized.select(*keys, F.explode(F.array(*[F.struct(F.lit(p).alias("split"), lo.alias("lo"), hi.alias("hi")) for p, lo, hi in parts])).alias("_r"))
+    ranges = ranges.select(*keys, "_r.*").withColumn("rn", F.col("hi") - 1).join(closes.drop("n_bars"), [*SERIES_KEYS, "rn"])
+    bounds = ranges.groupBy(*keys).agg(F.collect_list(F.struct("split", "lo", "hi", F.col("close").alias("last"))).alias("_ranges"))
+    mine = F.get(F.filter("_ranges", lambda r: (F.col("rn") >= r["lo"]) & (F.col("rn") < r["hi"])), F.lit(0))
+    placed = labelled.join(bounds, keys).withColumn("_r", mine).filter("_r IS NOT NULL")
+    inside = F.when(F.col("rn") + swing < F.col("_r.hi"), F.col("close_ahead"))
+    return placed.withColumns(
+        {"split": F.col("_r.split"), "pos": F.col("rn") - F.col("_r.lo"), "exit_close": F.coalesce(inside, F.col("_r.last"))}
+    ).drop("close_ahead", "_ranges", "_r")
 
 
 def naive_vs_model(
     labelled: DataFrame, scorer: Scorer, swing: Column | int, tp: float, sl: float, embargo: Column | int | None = None,
-    split_swing: int | None = None, cost: float = 0.0, run_keys: Sequence[str] = (),
+    split_swing: int | None = None, cost: float = 0.0, swings: Sequence[int] | None = None, closes: DataFrame | None = None,
 ) -> DataFrame:
     """Naive and model metrics on validation and test, threshold found on validation.
 
-    One row per series, run and split (``run_keys`` are columns of ``labelled``, of which ``swing`` may be one); model columns are NULL
+    One row per series and split, and per swing if ``swings`` lists the values of the column ``swing``; model columns are NULL
     without a threshold. ``signals``, ``hits`` and ``precision`` count
     every bar that reaches the threshold.
     """
-    run = [*SERIES_KEYS, *run_keys]
-    placed = split_positions(labelled, swing, swing if embargo is None else embargo, split_swing, run_keys)
+    run = [*SERIES_KEYS, *(["swing"] if swings else [])]
+    placed = split_positions(labelled, swing, swing if embargo is None else embargo, split_swing, swings, closes)
     ret = tr.trade_return(tp, sl, F.col("exit_close"), cost)
     rows = scorer(placed.filter("split IN ('val', 'test')")).withColumn("ret", ret)
     scored = cut_lineage(rows.select(*run, "split", "pos", "score", "target", "ret"))
@@ -98,8 +107,9 @@ def swing_sweep(
 
     Bars carry ``atr_14`` and have no missing rows. The swing is a run key: one plan for all swings.
     """
-    labelled = label_sweep(bars, [Barrier(s, tp, sl) for s in swings]).drop("tp", "sl")
-    rows = naive_vs_model(labelled, scorer, F.col("swing"), tp, sl, split_swing=max(swings), cost=cost, run_keys=("swing",))
+    base = cut_lineage(bars if "last_close" in bars.columns else with_position(bars.drop("rn", "n_bars"), last="close"))
+    labelled = label_sweep(base, [Barrier(s, tp, sl) for s in swings]).drop("tp", "sl")
+    rows = naive_vs_model(labelled, scorer, F.col("swing"), tp, sl, split_swing=max(swings), cost=cost, swings=swings, closes=base)
     return rows.groupBy(*SERIES_KEYS, "swing").agg(
         *[
             F.max(F.when(F.col("split") == s, F.col(c))).alias(f"{alias}_{s}")
@@ -247,8 +257,9 @@ def optimize(
     largest, swing = max(b.swing for b in barriers), F.col("swing")
     config = ("swing", "tp", "sl", *run_keys)
     keys = [*SERIES_KEYS, *config]
-    labelled = label_sweep(bars, barriers)
-    placed = split_positions(labelled, swing, swing, largest, config[:3]).filter("split IN ('val', 'test')")
+    base = cut_lineage(bars if "last_close" in bars.columns else with_position(bars.drop("rn", "n_bars"), last="close"))
+    swings = [b.swing for b in barriers]
+    placed = split_positions(label_sweep(base, barriers), swing, swing, largest, swings, base).filter("split IN ('val', 'test')")
     ret = tr.trade_return(F.col("tp"), F.col("sl"), F.col("exit_close"), cost)
     scored = cut_lineage(scorer(placed).withColumn("ret", ret).select(*keys, "split", "pos", "score", "target", "ret"))
     val = scored.filter("split = 'val'")
