@@ -23,6 +23,7 @@ from barloom.operators.layout import (
     with_position,
 )
 from barloom.operators.scan import ema_term, linear_recurrence, memory_rows, rma_term, running_sum
+from barloom.schemas import SERIES_KEYS
 
 # The longest memory: ADX averages an average of 14. Frames read at most 20 rows.
 HALO_BACK = memory_rows(13 / 14, 13 / 14)
@@ -101,7 +102,9 @@ def technicals(df: DataFrame, wanted: Iterable[str] = ALL) -> DataFrame:
     if "obv" in need:
         # The first bar has no predecessor and counts with its full volume.
         moved = F.coalesce(F.signum("_diff"), F.lit(1.0)) * F.col("volume")
-        out = running_sum(out, {"obv": moved})
+        lean = with_halo(df.select(*SERIES_KEYS, "rn", "close", "volume"), back=1)
+        lean = drop_halo(lean.withColumn("_diff", F.col("close") - F.lag("close").over(w)))
+        out = running_sum(out, {"obv": moved}, totals_of=lean)
     return drop_layout(out.select(*base, *[c for c in df.columns if c not in base], *wanted, "_blk", "_sub"))
 
 

@@ -99,17 +99,18 @@ def linear_recurrence(
 
 
 def running_sum(
-    df: DataFrame, sums: Mapping[str, Column], keys: Sequence[str] = SERIES_KEYS
+    df: DataFrame, sums: Mapping[str, Column], keys: Sequence[str] = SERIES_KEYS, totals_of: DataFrame | None = None
 ) -> DataFrame:
     """Add sums over the whole history of the series (no halo rows in ``df``).
 
     In-block sums plus the total of the earlier blocks, which travels in a table
-    with one row per block.
+    with one row per block. ``totals_of`` has the same blocks and inputs without the other columns of ``df``, so
+    that these are not computed twice.
     """
     keys = list(keys)
     growing = block_window(keys).rowsBetween(Window.unboundedPreceding, 0)
     out = df.withColumns({f"_l_{name}": F.sum(term).over(growing) for name, term in sums.items()})
-    totals = df.groupBy(*keys, "_blk").agg(*[F.sum(term).alias(name) for name, term in sums.items()])
+    totals = (df if totals_of is None else totals_of).groupBy(*keys, "_blk").agg(*[F.sum(term).alias(name) for name, term in sums.items()])
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     carries = totals.select(
         *keys,
