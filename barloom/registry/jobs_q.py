@@ -495,6 +495,14 @@ def config_sweep(spark, sf):
 REGIMES = (("bear", "1997-01-01", "1997-12-31"), ("range", "1998-01-01", "1998-12-31"), ("late", "1999-06-01", "2001-03-01"))
 
 
+#: Counts that may be missing, as doubles.
+_TRADE_COUNTS_SQL = "model_trades::DOUBLE AS model_trades, naive_trades::DOUBLE AS naive_trades"
+
+
+def counted(out):
+    return out.withColumns({c: F.col(c).cast("double") for c in ("model_trades", "naive_trades")})
+
+
 def regime_ctes():
     from barloom.registry.trades_q import PRODUCTION_GRID, _search_ctes, draw_ctes
 
@@ -545,11 +553,11 @@ _REGIME_DOUBLES = ("threshold", "model_pf", "naive_pf", "delta", "p5", "p50", "p
 
 
 @query("regimes_rigorous", with_sql(regime_ctes(),
-    f"SELECT {rounded_sql(_REGIME_DOUBLES, 'symbol', 'regime', 'sample_type', 'n_bars', 'n_prior', 'status', 'model_trades', 'naive_trades')} FROM rr", recursive=True))
+    f"SELECT {rounded_sql(_REGIME_DOUBLES, 'symbol', 'regime', 'sample_type', 'n_bars', 'n_prior', 'status')}, {_TRADE_COUNTS_SQL} FROM rr", recursive=True))
 def regimes_rigorous(spark, sf):
     labelled = barrier_labels(clean_daily(spark, sf))
     out = jobs.regimes(labelled, REGIMES, hash_rows, SWING, 1.5, 1.0, in_sample_end="1998-06-01", n_iter=1000)
-    return rounded(out, _REGIME_DOUBLES, "symbol", "regime", "sample_type", "n_bars", "n_prior", "status", "model_trades", "naive_trades")
+    return rounded(counted(out), _REGIME_DOUBLES, "symbol", "regime", "sample_type", "n_bars", "n_prior", "status", "model_trades", "naive_trades")
 
 
 # --- two formulations side by side -------------------------------------------------------
@@ -600,10 +608,10 @@ _PAIR_DOUBLES = ("threshold", "model_pf", "naive_pf", "delta", "p5", "p50", "p95
 
 
 @query("binary_vs_multiclass", with_sql(pair_ctes(),
-    f"SELECT {rounded_sql(_PAIR_DOUBLES, 'symbol', 'formulation', 'split', 'model_trades', 'naive_trades')} FROM rr", recursive=True))
+    f"SELECT {rounded_sql(_PAIR_DOUBLES, 'symbol', 'formulation', 'split')}, {_TRADE_COUNTS_SQL} FROM rr", recursive=True))
 def binary_vs_multiclass(spark, sf):
     out = jobs.compare_formulations(barrier_labels(clean_daily(spark, sf)), pair_scorer, SWING, 1.5, 1.0, PAIR)
-    return rounded(out, _PAIR_DOUBLES, "symbol", "formulation", "split", "model_trades", "naive_trades")
+    return rounded(counted(out), _PAIR_DOUBLES, "symbol", "formulation", "split", "model_trades", "naive_trades")
 
 
 # --- models ------------------------------------------------------------------------------
