@@ -16,10 +16,10 @@ The only rows on the driver are the sample (``SAMPLE_PER_SHARD`` times the shard
 
 ``one_of_similar`` is the dedup of the pipeline: texts whose 5-word shingles have a Jaccard similarity of 0.8 or
 more. At 0.8 two prints differ in about 10 of 64 bits, and balls of that radius reach nearly every leaf of any
-tree, so the trees give candidates at ``BITS`` and 20 bands of 5 min-hashes of the same shingles give the rest (a pair at
-0.8 shares none with a probability of 4e-4). Each member of a band meets the band's least text; each candidate is
-confirmed on the shingles themselves. A band whose members are not all connected then may hide links, as in
-families that share a template: all members of such bands meet once more by their rarest min-hashes (``rare_partners``).
+tree, so the trees give candidates at ``BITS`` and 20 bands of 5 min-hashes of the same shingles give more. Each member of a
+band meets the band's least text; each candidate is confirmed on the shingles themselves. That joins nearly all; what it leaves
+apart is exact: texts of different components that share one of the n / 5 + 1 first shingles of their sets, in one order of all
+shingles, meet (``prefix_partners``). Any order is right; seldom shingles come first, as counted on a bounded sample.
 Null ids take part by their texts.
 
 Defined cases: a null or wordless text has fingerprint zero and is linked like any other; fewer
@@ -62,9 +62,15 @@ BAND_ROWS = 5
 HASH_CHUNK = 1 << 12
 #: Tasks over which the members of one band, or the partners of one text, are dealt.
 SALTS = 16
-#: Min-hashes by which members of mixed bands meet, and how many of them, the rarest first, a text uses.
+#: Min-hashes by which ``rare_partners`` meet, and how many of them, the rarest first, a text uses.
 SIGNATURE = BANDS * BAND_ROWS
 RAREST = 16
+#: Texts on which the order of shingles is fitted, bits of a shingle's bucket, and how often a bucket must be met there to come later.
+SAMPLED_TEXTS = 1 << 14
+BUCKET_BITS = 22
+SELDOM = 6
+#: Bits of a set's parity, at least.
+PARITY_BITS = 512
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -292,7 +298,8 @@ def similarity(a: str | None, b: str | None) -> float:
 
 
 def similar_texts(texts: DataFrame) -> DataFrame:
-    """``texts`` (key, text; a key names one text) -> edges (a, b) of texts at ``SIMILAR`` or more."""
+    """``texts`` (key, text; a key names one text) -> edges (a, b) of texts at ``SIMILAR`` or more, whose components are those of all such pairs."""
+    often = frequent_shingles(texts)
 
     def keyed(batch: dict) -> dict:
         own = [shingle_hashes(t, SIMILAR_SHINGLE) for t in batch["text"].to_pylist()]
@@ -300,13 +307,24 @@ def similar_texts(texts: DataFrame) -> DataFrame:
         bands = [band_keys(h, p) for h, p in zip(own, prints, strict=True)]
         flat = pa.array(np.concatenate(bands))
         lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, BANDS + 1, dtype=np.int32), flat)
-        return {"key": batch["key"], "print": np.array(prints, np.uint64).view(np.int64), "bands": lists}
-
-    keys = cut_lineage(arrow_map(texts, keyed, "key string, print long, bands array<long>").dropDuplicates(["key"]))
+        sets = [np.unique(h) for h in own]
+        prefixes = [prefix(h, often) for h in sets]
+        ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+        return {
+            "key": batch["key"],
+            "print": np.array(prints, np.uint64).view(np.int64),
+            "bands": lists,
+            "n": [len(h) for h in sets],
+            "prefix": pa.ListArray.from_arrays(ends, pa.array(np.concatenate(prefixes).view(np.int64))),
+            "parity": [parity(h) for h in sets],
+        }
+
+    schema = "key string, print long, bands array<long>, n int, prefix array<long>, parity binary"
+    keys = stored(arrow_map(texts, keyed, schema).dropDuplicates(["key"]), "zstd")
     rows = keys.select("key", F.explode("bands").alias("band"))
     stars = rows.groupBy("band").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter(F.col("first") < F.col("last"))
     met = _salted(rows, stars.drop("last"), "band", "key").filter(F.col("key") != F.col("first"))
-    met = cut_lineage(met.select("band", F.col("first").alias("a"), F.col("key").alias("b")))
+    met = met.select(F.col("first").alias("a"), F.col("key").alias("b"))
     nodes = cut_lineage(keys.groupBy("print").agg(F.min("key").alias("key")))
     tree = (
         links(nodes.select("print"))
@@ -315,20 +333,10 @@ def similar_texts(texts: DataFrame) -> DataFrame:
         .filter(F.col("key") != F.col("other"))
         .select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
     )
-    edges = cut_lineage(_confirmed(met.select("a", "b").union(tree).distinct(), texts))
+    edges = cut_lineage(_confirmed(met.union(tree).distinct(), texts))
     roots = connected(edges)
-    apart = (
-        met.join(roots.select(F.col("node").alias("a"), F.col("root").alias("x")), "a", "left")
-        .join(roots.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left")
-        .filter(F.coalesce("x", "a") != F.coalesce("y", "b"))
-    )
-    bands = cut_lineage(apart.select("band").distinct())
-    if bands.isEmpty():
-        return edges
-    mixed = met.join(bands, "band", "left_semi").select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    mixed = mixed.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    distinct = texts.groupBy("key").agg(F.first("text").alias("text"))
-    return edges.union(_confirmed(rare_partners(distinct.join(mixed, "key")), texts))
+    apart = keys.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    return edges.union(_confirmed(prefix_partners(stored(apart.select("key", "root", "n", "prefix", "parity"), "zstd")), texts))
 
 
 def _salted(rows: DataFrame, one: DataFrame, on: str, by: str) -> DataFrame:
@@ -354,12 +362,79 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return arrow_map(both.select("a", "b", "x", "y"), confirmed, "a string, b string")
 
 
+def frequent_shingles(texts: DataFrame) -> np.ndarray:
+    """How often shingles occur in a sample of about ``SAMPLED_TEXTS`` texts, by ``BUCKET_BITS`` of their hash; seldom ones count as 0."""
+    some = texts.filter(F.pmod(F.xxhash64("key"), F.lit(max(1, texts.count()))) < SAMPLED_TEXTS)
+
+    def counted(batch: dict) -> dict:
+        own = [np.unique(shingle_hashes(t, SIMILAR_SHINGLE)) for t in batch["text"].to_pylist()]
+        buckets, times = np.unique(np.concatenate(own) >> np.uint64(64 - BUCKET_BITS), return_counts=True)
+        return {"bucket": buckets.astype(np.int64), "times": times}
+
+    found = arrow_map(some.dropDuplicates(["key"]), counted, "bucket long, times long")
+    found = found.groupBy("bucket").agg(F.sum("times").alias("times")).filter(F.col("times") >= SELDOM).toPandas()
+    often = np.zeros(1 << BUCKET_BITS, np.uint16)
+    often[found["bucket"].to_numpy(np.int64)] = np.minimum(found["times"].to_numpy(np.int64), np.iinfo(np.uint16).max)
+    return often
+
+
+def prefix(own: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The shingles, seldom ones first, of which two sets at ``SIMILAR`` share one: 4/5 of a set are common, so one of any 1/5 + 1 is."""
+    times = often[(own >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+    return own[np.lexsort((own, times))][: len(own) // 5 + 1]
+
+
+def parity(own: np.ndarray) -> bytes:
+    """Whether an odd number of shingles falls on each bit; a bit or more for two shingles, ``PARITY_BITS`` at least."""
+    bits = PARITY_BITS
+    while bits * 2 < len(own):
+        bits *= 2
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two parities differ: at most the number of shingles that only one of the sets has."""
+    short, long = sorted((a, b), key=len)
+    x = int.from_bytes(long, "little")
+    for size in (len(long) >> k for k in range(1, (len(long) // len(short)).bit_length())):
+        x = (x >> 8 * size) ^ (x & (1 << 8 * size) - 1)
+    return (x ^ int.from_bytes(short, "little")).bit_count()
+
+
+def prefix_partners(texts: DataFrame) -> DataFrame:
+    """(key, root, n, prefix, parity) -> pairs (a, b) of texts of different roots that may be similar; no similar pair is left out.
+
+    Similar sets share a shingle of their prefixes, and their sizes, the places of the first one they share and the bits
+    of their parities allow a similarity of 4/5: common >= 4/9 of both sizes, so at most 1/9 lies in one set only.
+    """
+    texts = texts.select(F.xxhash64("key").alias("id"), "key", F.xxhash64("root").alias("root"), "n", "prefix", "parity")
+    places = texts.select(F.posexplode("prefix").alias("at", "shingle"), "id", "root", "n")
+    x, y = (places.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("at", "id", "root", "n")]) for side in "xy")
+    both = F.col("n_x") + F.col("n_y")
+    left = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    met = x.join(y, "shingle").filter((F.col("id_x") < F.col("id_y")) & (F.col("root_x") != F.col("root_y")) & (9 * left >= 4 * both))
+    met = met.select("id_x", "id_y").distinct()
+    own = [texts.select(*[F.col(c).alias(f"{c}_{side}") for c in ("id", "key", "n", "parity")]) for side in "xy"]
+
+    def possible(batch: dict) -> dict:
+        sizes = batch["n_x"].to_numpy() + batch["n_y"].to_numpy()
+        apart = [differing(a, b) for a, b in zip(batch["parity_x"].to_pylist(), batch["parity_y"].to_pylist(), strict=True)]
+        near = pa.array(np.array(apart) * 9 <= sizes)
+        return {"a": batch["key_x"].filter(near), "b": batch["key_y"].filter(near)}
+
+    named = met.join(own[0], "id_x").join(own[1], "id_y").drop("id_x", "id_y")
+    pairs = arrow_map(named, possible, "a string, b string")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def rare_partners(texts: DataFrame) -> DataFrame:
     """(key, text, root) -> pairs (a, b) of texts of different roots that share rare min-hashes.
 
     Of two texts at ``SIMILAR`` four in five of ``SIGNATURE`` min-hashes agree. What a family shares is frequent and tells its members not
     apart; each text therefore takes its ``RAREST`` min-hashes that occur under several roots, and meets the texts with the
-    least and the greatest root there. The number of pairs grows with the number of texts only.
+    least and the greatest root there. The number of pairs grows with the number of texts only, but links are lost:
+    ``similar_texts`` meets by ``prefix_partners`` instead.
     """
 
     def signed(batch: dict) -> dict:

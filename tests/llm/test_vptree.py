@@ -156,6 +156,47 @@ def test_rare_partners_are_few_and_hold_most_pairs(spark):
     assert len(set(got.values())) <= len(set(want.values())) + 0.05 * len(texts)
 
 
+def test_no_link_is_lost_in_families_with_a_template(docs):
+    draw = np.random.default_rng(13)
+    rows = []
+    for family in range(2):
+        template = [f"f{family}t{i}" for i in range(240)]
+        for k in range(150):
+            own = [f"f{family}own{k}x{i}" for i in range(30)]
+            for twin in range(2):
+                changed = [f"{w}twin" if twin and draw.random() < 0.4 else w for w in own]
+                rows.append((len(rows), " ".join(template + changed)))
+    texts = dict(rows)
+    pairs = similar_pairs(texts)
+    assert 100 < len(pairs) < 400
+    group = groups_of(texts, pairs)
+    assert {r["doc_id"] for r in vptree.one_of_similar(docs(rows)).collect()} == {i for i in texts if group[i] == i}
+
+
+def test_prefixes_meet_all_similar_pairs_and_parity_bounds_the_difference(spark):
+    draw = np.random.default_rng(21)
+    sets = {}
+    for i in range(300):
+        base = draw.integers(0, 1 << 62, draw.integers(1, 60) if i % 3 else 2_500, dtype=np.uint64) if i % 5 == 0 else own
+        own = np.unique(np.concatenate([base[draw.random(len(base)) > 0.1], draw.integers(0, 1 << 62, draw.integers(1, 1 + max(1, len(base) // 8)), dtype=np.uint64)]))
+        sets[f"k{i:03d}"] = own
+    often = np.zeros(1 << vptree.BUCKET_BITS, np.uint16)
+    often[draw.integers(0, 1 << 20, 1 << 18)] = 9
+    rows = [(k, k, len(h), vptree.prefix(h, often).view(np.int64).tolist(), bytearray(vptree.parity(h))) for k, h in sets.items()]
+    met = {(r["a"], r["b"]) for r in vptree.prefix_partners(spark.createDataFrame(rows, "key string, root string, n int, prefix array<long>, parity binary")).collect()}
+    near = 0
+    for a in sets:
+        for b in sets:
+            if a < b:
+                common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                whole = len(sets[a]) + len(sets[b])
+                assert vptree.differing(vptree.parity(sets[a]), vptree.parity(sets[b])) <= whole - 2 * common
+                if common >= 0.8 * (whole - common):
+                    near += 1
+                    assert (a, b) in met
+    assert near > 50
+
+
 def test_equals_the_exact_join_on_the_tables(spark):
     path = "/root/testdata/sf0.001/documents.parquet"
     if not os.path.exists(path):
