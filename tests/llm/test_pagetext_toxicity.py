@@ -168,3 +168,20 @@ def test_defined_cases(spark, docs):
     one_class = toxicity.scores(frame, odd).collect()
     assert len({r["p_toxic"] for r in one_class}) == 1 and not any(r["toxic"] for r in one_class)
     assert toxicity.scores(docs([]), odd).count() == 0
+
+
+def test_suffix_arrays_are_sorted_and_intervals_count_streams_across_partitions(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        menu = " ".join(f"m{i}" for i in range(9))
+        rows = [("h", f"{menu} own{k} {' '.join(f'w{k}x{i}' for i in range(9))}", menu, k) for k in range(40)] + [("g", menu, "", 99)]
+        array = pagetext.suffix_array(spark.createDataFrame(rows, "host string, text string, rest string, stream long"))
+        parts = [[tuple(r) for r in part] for part in array.rdd.glom().collect()]
+        found = [r for part in parts if part for r in part]
+        assert sum(map(bool, parts)) > 1 and found == sorted(found) and len(found) == len(set(found))
+        spans = {(r["host"], r["window"]): r["on"] for r in pagetext.intervals(array).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    first, second = pagetext.windows(menu.split()).tolist()
+    assert [spans[h, w] for h in "hg" for w in (first, second)] == [40, 40, 1, 1]
+    assert sum(n > 1 for n in spans.values()) == 2
