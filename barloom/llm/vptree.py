@@ -19,7 +19,9 @@ more. At 0.8 two prints differ in about 10 of 64 bits, and balls of that radius
 tree, so the trees give candidates at ``BITS`` and 20 bands of 5 min-hashes of the same shingles give more. Each member of a
 band meets the band's least text; each candidate is confirmed on the shingles themselves. That joins nearly all; what it leaves
 apart is exact: texts of different components that share one of the n / 5 + 1 first shingles of their sets, in one order of all
-shingles, meet (``prefix_partners``). Any order is right; seldom shingles come first, as counted on a bounded sample.
+shingles, meet (``prefix_partners``). Any order is right; seldom shingles come first, as counted on a bounded sample. Only shingles that
+two texts put first go on, those of the same texts as one; sizes, places and parities of the sets decide in the join itself, so that
+it gives about the pairs that are similar. Within a group of texts that share a passage all pairs are still compared.
 Null ids take part by their texts.
 
 Defined cases: a null or wordless text has fingerprint zero and is linked like any other; fewer
@@ -37,7 +39,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import GOLDEN, arrow_map, matched, mix64
@@ -60,8 +62,11 @@ BANDS = 20
 BAND_ROWS = 5
 #: Shingles whose min-hashes are taken at once.
 HASH_CHUNK = 1 << 12
-#: Tasks over which the members of one band, or the partners of one text, are dealt.
+#: Tasks over which the members of one band, or the partners of one text, are dealt; and the partners from which a text is.
 SALTS = 16
+MANY_PARTNERS = 256
+#: Pairs of ``prefix_partners`` up to which the keys of their texts are broadcast.
+FEW_PAIRS = 1 << 17
 #: Min-hashes by which ``rare_partners`` meet, and how many of them, the rarest first, a text uses.
 SIGNATURE = BANDS * BAND_ROWS
 RAREST = 16
@@ -319,7 +324,7 @@ def similar_texts(texts: DataFrame) -> DataFrame:
             "parity": [parity(h) for h in sets],
         }
 
-    schema = "key string, print long, bands array<long>, n int, prefix array<long>, parity binary"
+    schema = f"key {kind_of(texts)}, print long, bands array<long>, n int, prefix array<long>, parity binary"
     keys = stored(arrow_map(texts, keyed, schema).dropDuplicates(["key"]), "zstd")
     rows = keys.select("key", F.explode("bands").alias("band"))
     stars = rows.groupBy("band").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter(F.col("first") < F.col("last"))
@@ -335,8 +340,12 @@ def similar_texts(texts: DataFrame) -> DataFrame:
     )
     edges = cut_lineage(_confirmed(met.union(tree).distinct(), texts))
     roots = connected(edges)
-    apart = keys.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    return edges.union(_confirmed(prefix_partners(stored(apart.select("key", "root", "n", "prefix", "parity"), "zstd")), texts))
+    return edges.union(_confirmed(_partners(keys, roots.withColumnRenamed("node", "key")), texts, FEW_PAIRS))
+
+
+def kind_of(texts: DataFrame) -> str:
+    """The type of the keys."""
+    return texts.schema["key"].dataType.simpleString()
 
 
 def _salted(rows: DataFrame, one: DataFrame, on: str, by: str) -> DataFrame:
@@ -346,20 +355,25 @@ def _salted(rows: DataFrame, one: DataFrame, on: str, by: str) -> DataFrame:
     return dealt.join(copies, [on, "salt"]).drop("salt")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of keys whose texts are similar."""
+def _confirmed(pairs: DataFrame, texts: DataFrame, few: int = 0) -> DataFrame:
+    """The pairs (a, b) of keys whose texts are similar. The keys of ``few`` pairs or less are broadcast, which spares a shuffle of all texts."""
     pairs = cut_lineage(pairs)
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    needed = cut_lineage(texts.groupBy("key").agg(F.first("text").alias("text")).join(needed, "key", "left_semi"))
-    left = needed.join(pairs.select(F.col("a").alias("key")).distinct(), "key", "left_semi")
-    both = _salted(pairs, left.select(F.col("key").alias("a"), F.col("text").alias("x")), "a", "b")
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    keys = F.broadcast(keys) if few and pairs.count() <= few else keys
+    needed = stored(texts.join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "zstd")
+    # Only texts with many partners are copied for several tasks.
+    many = F.broadcast(pairs.groupBy("a").count().filter(F.col("count") > MANY_PARTNERS).select("a", F.lit(SALTS - 1).cast("long").alias("salts")))
+    dealt = pairs.join(many, "a", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.lit(SALTS)))).drop("salts")
+    left = needed.join(pairs.select(F.col("a").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("a"), F.col("text").alias("x"))
+    left = left.join(many, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(0).cast("long"))))).drop("salts")
+    both = dealt.join(left, ["a", "salt"]).drop("salt")
     both = both.join(needed.select(F.col("key").alias("b"), F.col("text").alias("y")), "b")
 
     def confirmed(batch: dict) -> dict:
         near = [similarity(x, y) >= SIMILAR for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)]
         return {name: batch[name].filter(pa.array(near, pa.bool_())) for name in ("a", "b")}
 
-    return arrow_map(both.select("a", "b", "x", "y"), confirmed, "a string, b string")
+    return arrow_map(both.select("a", "b", "x", "y"), confirmed, f"a {kind_of(texts)}, b {kind_of(texts)}")
 
 
 def frequent_shingles(texts: DataFrame) -> np.ndarray:
@@ -402,30 +416,57 @@ def differing(a: bytes, b: bytes) -> int:
     return (x ^ int.from_bytes(short, "little")).bit_count()
 
 
+def _differing(x: Column, y: Column) -> Column:
+    """``differing`` of two parities in longs, the longer at most twice as long."""
+    def half(p: Column) -> Column:
+        size = (F.size(p) / 2).cast("int")
+        return F.zip_with(F.slice(p, 1, size), F.slice(p, size + 1, size), lambda a, b: a.bitwiseXOR(b))
+
+    a, b = F.when(F.size(x) > F.size(y), half(x)).otherwise(x), F.when(F.size(y) > F.size(x), half(y)).otherwise(y)
+    return F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, n: total + n)
+
+
 def prefix_partners(texts: DataFrame) -> DataFrame:
     """(key, root, n, prefix, parity) -> pairs (a, b) of texts of different roots that may be similar; no similar pair is left out.
 
     Similar sets share a shingle of their prefixes, and their sizes, the places of the first one they share and the bits
     of their parities allow a similarity of 4/5: common >= 4/9 of both sizes, so at most 1/9 lies in one set only.
     """
-    texts = texts.select(F.xxhash64("key").alias("id"), "key", F.xxhash64("root").alias("root"), "n", "prefix", "parity")
-    places = texts.select(F.posexplode("prefix").alias("at", "shingle"), "id", "root", "n")
-    x, y = (places.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("at", "id", "root", "n")]) for side in "xy")
+    return _partners(texts, texts.select("key", "root"))
+
+
+def _partners(texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """``prefix_partners`` of ``texts`` (key, n, prefix, parity), whose root is their key unless ``roots`` (key, root) names another.
+
+    A shingle that one text alone, or texts of one root alone, put first joins nothing. Shingles that the same texts put first join the
+    same pairs, so they are one (by the XOR of the texts' hashes; lists that agree in it by chance only give more pairs).
+    """
+    ident = F.xxhash64("key").alias("id")
+    places = texts.select(ident, F.posexplode("prefix").alias("at", "shingle"))
+    alike = Window.partitionBy("shingle")
+    shared = places.select("*", F.min("id").over(alike).alias("_lo"), F.max("id").over(alike).alias("_hi")).filter("_lo < _hi").select("id", "at", "shingle")
+    named = texts.select("key", "n").join(roots, "key", "left").select(ident, "n", F.xxhash64(F.coalesce("root", "key")).alias("root"))
+    rooted = shared.join(named, "id")
+    lists = [F.min("root").over(alike).alias("_lo"), F.max("root").over(alike).alias("_hi"), F.bit_xor(F.xxhash64("id")).over(alike).alias("ids")]
+    rooted = rooted.select("*", *lists).filter("_lo < _hi")
+    rooted = stored(rooted.groupBy("ids", "id", "root", "n").agg(F.min("at").alias("at")))
+
+    def in_longs(batch: dict) -> dict:
+        own = [np.frombuffer(p, "<i8") for p in batch["parity"].to_pylist()]
+        ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+        return {"id": batch["id"], "parity": pa.ListArray.from_arrays(ends, pa.array(np.concatenate(own)))}
+
+    needed = texts.select(ident, "parity").join(rooted.select("id").distinct(), "id", "left_semi")
+    listed = rooted.join(arrow_map(needed, in_longs, "id long, parity array<long>"), "id")
+    x, y = (listed.select(*[F.col(c).alias(f"{c}_{side}") for c in ("ids", "at", "id", "root", "n", "parity")]) for side in "xy")
     both = F.col("n_x") + F.col("n_y")
     left = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
-    met = x.join(y, "shingle").filter((F.col("id_x") < F.col("id_y")) & (F.col("root_x") != F.col("root_y")) & (9 * left >= 4 * both))
+    possible = (F.col("id_x") < F.col("id_y")) & (F.col("root_x") != F.col("root_y")) & (9 * left >= 4 * both)
+    met = x.join(y, (F.col("ids_x") == F.col("ids_y")) & possible & (9 * _differing(F.col("parity_x"), F.col("parity_y")) <= both))
     met = met.select("id_x", "id_y").distinct()
-    own = [texts.select(*[F.col(c).alias(f"{c}_{side}") for c in ("id", "key", "n", "parity")]) for side in "xy"]
-
-    def possible(batch: dict) -> dict:
-        sizes = batch["n_x"].to_numpy() + batch["n_y"].to_numpy()
-        apart = [differing(a, b) for a, b in zip(batch["parity_x"].to_pylist(), batch["parity_y"].to_pylist(), strict=True)]
-        near = pa.array(np.array(apart) * 9 <= sizes)
-        return {"a": batch["key_x"].filter(near), "b": batch["key_y"].filter(near)}
-
-    named = met.join(own[0], "id_x").join(own[1], "id_y").drop("id_x", "id_y")
-    pairs = arrow_map(named, possible, "a string, b string")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    a, b = (texts.select(F.xxhash64("key").alias(f"id_{side}"), F.col("key").alias(f"key_{side}")) for side in "xy")
+    pairs = met.join(a, "id_x").join(b, "id_y")
+    return pairs.select(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b"))
 
 
 def rare_partners(texts: DataFrame) -> DataFrame:
@@ -458,7 +499,7 @@ def rare_partners(texts: DataFrame) -> DataFrame:
 
 def one_of_similar(docs: DataFrame) -> DataFrame:
     """One row of each component of similar texts: the one with the smallest id, a null id only if there is no other."""
-    key = F.md5(F.coalesce("text", F.lit("")))
+    key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
     named = docs.select(F.col("doc_id").cast("long").alias("id"), key.alias("key"), "text")
     roots = connected(similar_texts(named.select("key", "text")))
     of = named.groupBy("key").agg(F.min("id").alias("id")).join(roots.withColumnRenamed("node", "key"), "key", "left")

@@ -197,6 +197,37 @@ def test_prefixes_meet_all_similar_pairs_and_parity_bounds_the_difference(spark)
     assert near > 50
 
 
+def joined_rows(plan):
+    """The rows that the joins of an executed plan made, most of any one."""
+    rows = [plan.metrics().get("numOutputRows").get().value()] if "Join" in plan.nodeName() else []
+    inner = [plan.executedPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else [plan.plan()] if plan.nodeName().endswith("QueryStage") else []
+    children = plan.children()
+    for child in inner + [children.apply(i) for i in range(children.size())]:
+        rows.append(joined_rows(child))
+    return max(rows, default=0)
+
+
+def test_texts_that_share_a_passage_give_no_row_for_each_pair(spark):
+    draw = np.random.default_rng(34)
+    passage = draw.integers(0, 1 << 62, 250, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([passage, draw.integers(0, 1 << 62, 60, dtype=np.uint64)])) for _ in range(150)]
+    # Ten twins that lie at 0.8 or more of one text.
+    sets += [np.unique(np.concatenate([own[draw.random(len(own)) > 0.03], draw.integers(0, 1 << 62, 8, dtype=np.uint64)])) for own in sets[:10]]
+    often = np.zeros(1 << vptree.BUCKET_BITS, np.uint16)
+    rows = [(i.to_bytes(16, "big"), i.to_bytes(16, "big"), len(h), vptree.prefix(h, often).view(np.int64).tolist(), vptree.parity(h)) for i, h in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "key binary, root binary, n int, prefix array<long>, parity binary")
+    partners = vptree.prefix_partners(frame)
+    met = {(int.from_bytes(r["a"], "big"), int.from_bytes(r["b"], "big")) for r in partners.collect()}
+    assert {(i, 150 + i) for i in range(10)} <= met
+    assert joined_rows(partners._jdf.queryExecution().executedPlan()) <= 30 * len(sets)
+
+
+def test_keys_may_be_bytes(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    frame = spark.createDataFrame([(b"\xff\x00", text), (b"\xfe\x80", text + " end"), (b"\x80", "other words")], "key binary, text string")
+    assert {(bytes(r["a"]), bytes(r["b"])) for r in vptree.similar_texts(frame).collect()} == {(b"\xfe\x80", b"\xff\x00")}
+
+
 def test_equals_the_exact_join_on_the_tables(spark):
     path = "/root/testdata/sf0.001/documents.parquet"
     if not os.path.exists(path):
