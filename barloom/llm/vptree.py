@@ -505,6 +505,9 @@ def one_of_similar(docs: DataFrame) -> DataFrame:
     of = named.groupBy("key").agg(F.min("id").alias("id")).join(roots.withColumnRenamed("node", "key"), "key", "left")
     # Ids first, so that a null id wins only among null ids; of equal ids the least key.
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("best")
-    best = of.groupBy(F.coalesce("root", "key").alias("root")).agg(best).select(F.col("best.id").alias("_id"), F.col("best.key").alias("_key"))
-    kept = docs.withColumn("_key", key).join(best, "_key").filter(F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    return kept.dropDuplicates(["_key"]).select(*docs.columns)
+    best = of.groupBy(F.coalesce("root", "key").alias("root")).agg(best)
+    # Joined and made distinct by the same columns, so that the rows are shuffled once; a key has one id.
+    one = {"__near_key": F.col("best.key"), "__near_none": F.col("best.none"), "__near_id": F.coalesce("best.id", F.lit(0).cast("long"))}
+    ident = F.col("doc_id").cast("long")
+    placed = docs.withColumns({"__near_key": key, "__near_none": ident.isNull(), "__near_id": F.coalesce(ident, F.lit(0).cast("long"))})
+    return placed.join(best.select(*[c.alias(name) for name, c in one.items()]), list(one)).dropDuplicates(list(one)).select(*docs.columns)
