@@ -100,26 +100,34 @@ def neutral_screen(labels: DataFrame, by: Sequence[str], limit: float = 0.5) ->
 
 
 def feature_target_corr(
-    train: DataFrame, features: Sequence[str], label: str = "target", by: Sequence[str] = ("symbol",), k: int = 5
+    train: DataFrame,
+    features: Sequence[str],
+    label: str = "target",
+    by: Sequence[str] = ("symbol",),
+    k: int = 5,
+    undefined: float | None = None,
 ) -> DataFrame:
     """Strongest and weakest ``k`` features per key by absolute correlation with the label.
 
     A feature needs ten pairs and more than one value. All correlations come from one
-    aggregation; the ranking runs on one short array per key.
+    aggregation; the ranking runs on one short array per key. ``undefined`` stands for a correlation
+    whose pairs have one value only on a side: NULL leaves the feature out, NaN ranks as strongest.
     """
     by = list(by)
     aggs = []
     for c in features:
         varied = (F.min(c) < F.max(c)) & (F.min(label) < F.max(label))
-        aggs.append(F.when((F.count(c) >= 10) & varied, F.corr(c, label)).alias(c))
+        # Not F.corr: in ANSI mode it fails on pairs without variance, whatever condition stands around it.
+        spread = F.sqrt(F.regr_sxx(label, c)) * F.sqrt(F.regr_syy(label, c))
+        corr = F.when(spread == 0, F.lit(undefined).cast("double")).otherwise(F.try_divide(F.regr_sxy(label, c), spread))
+        aggs.append(F.when((F.count(c) >= 10) & varied, corr).alias(c))
     wide = train.groupBy(*by).agg(*aggs)
     entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("corr")) for c in features])
     known = F.filter(entries, lambda e: e["corr"].isNotNull())
-    # Ranked by |corr| descending, equal ones by name.
+    # Ranked by |corr| descending, equal ones by name; NaN is the greatest.
+    strength = lambda corr: F.when(F.isnan(corr), F.lit(float("-inf"))).otherwise(-F.round(F.abs(corr), 9))
     ranked = F.array_sort(
-        F.transform(
-            known, lambda e: F.struct((-F.round(F.abs(e["corr"]), 9)).alias("_key"), e["feature"].alias("feature"), e["corr"].alias("corr"))
-        )
+        F.transform(known, lambda e: F.struct(strength(e["corr"]).alias("_key"), e["feature"].alias("feature"), e["corr"].alias("corr")))
     )
     rows = wide.select(*by, ranked.alias("_all")).select(*by, F.size("_all").alias("_n"), F.posexplode("_all").alias("_i", "_e"))
     top, bottom = F.col("_i") < k, F.col("_i") >= F.col("_n") - k

@@ -164,7 +164,9 @@ def _corr_sql():
 def feature_target_corr(spark, sf):
     labelled = barrier_labels(full_dataset(spark, sf, "1h"))
     train = temporal_split(labelled, swing=5, embargo=10).filter("split = 'train'")
-    return rounded(diag.feature_target_corr(train, HEALTH, k=5), ("corr",), "symbol", "feature", "is_top", "is_bottom")
+    # As its SQL has it, a correlation without variance is NaN.
+    out = diag.feature_target_corr(train, HEALTH, k=5, undefined=float("nan"))
+    return rounded(out, ("corr",), "symbol", "feature", "is_top", "is_bottom")
 
 
 @query("atr_quantiles", with_sql(op.atr("1h"),

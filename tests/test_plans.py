@@ -2,9 +2,11 @@ import math
 import tempfile
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from barloom.operators.columns import LABEL_COLS, clean, strategies
 from barloom.operators.indicators import technicals
 from barloom.operators.labels import Barrier, barrier_labels
@@ -90,6 +92,49 @@ def test_staircase_tells_whether_time_goes_back(spark):
     assert "monotonic" not in diagnostics.staircase_check(df.drop("rn"), "v").columns
 
 
+def test_correlation_without_variance_is_no_error(spark):
+    """Constant features, labels and pairs: left out, or NaN before all others."""
+    rows = [
+        (k, float(i % 5), 5.0, float(i % 7) if i % 3 == 1 else None, int(i % 3 == 1) if k == "a" else 1) for k in ("a", "flat") for i in range(60)
+    ]
+    df = spark.createDataFrame(rows, "symbol string, varied double, constant double, pairs double, target int")
+    features = ["varied", "constant", "pairs"]
+    got = diagnostics.feature_target_corr(df, features, k=1).collect()
+    x, y = [r[1] for r in rows[:60]], [r[4] for r in rows[:60]]
+    mx, my = sum(x) / 60, sum(y) / 60
+    expected = sum((a - mx) * (b - my) for a, b in zip(x, y)) / math.sqrt(sum((a - mx) ** 2 for a in x) * sum((b - my) ** 2 for b in y))
+    assert [(r.symbol, r.feature, r.is_top, r.is_bottom) for r in got] == [("a", "varied", True, True)]
+    assert got[0]["corr"] == pytest.approx(expected, rel=1e-12)
+    kept = diagnostics.feature_target_corr(df, features, k=1, undefined=float("nan")).collect()
+    assert {(r.symbol, r.feature, math.isnan(r["corr"]), r.is_top, r.is_bottom) for r in kept} == {
+        ("a", "pairs", True, True, False), ("a", "varied", False, False, True),
+    }
+
+
+def test_correlation_query_on_constant_columns(spark, tmp_path):
+    """Ranges so wide that no barrier is touched: labels are all 0 in one series, and 0 where the index mean is known in another."""
+    t0 = datetime(2024, 1, 1)
+    values = []
+    for h in range(600):
+        calm = [float((h * 7) % 13), float((h * 5) % 11)]
+        wild = [0.0, 100.0, 50.0 + (h * 7) % 13]
+        values += [("view", h, calm), ("error", h, wild), ("purchase", h, (calm if h < 200 else wild) + [55.0] * (h // 24 % 3))]
+    rows = [(t0 + timedelta(hours=h, minutes=10 * i + 1), s, v) for s, h, vs in values for i, v in enumerate(vs)]
+    events = [(n, ts, n % 9, s, v, '{"k": %d}' % (n % 50)) for n, (ts, s, v) in enumerate(rows)]
+    kinds = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(events, kinds).write.parquet(f"{tmp_path}/events.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    columns = "symbol, feature, is_top, is_bottom, corr"
+    name = "feature_target_corr"
+    expected = db.execute(f"SELECT {columns} FROM ({contract.oracle_sql()[name]})").fetchall()
+    got = contract.queries()[name](spark, str(tmp_path)).select(*columns.split(", ")).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
+    undefined = {(r.symbol, r.feature) for r in got if math.isnan(r["corr"])}
+    assert undefined == {("purchase", "fng_sma_14"), ("purchase", "fng_vol_14")}
+    assert {r.symbol for r in got} == {"purchase", "view"}
+
+
 def test_taker_ratio_needs_a_finite_value(spark):
     df = spark.createDataFrame([("a", 0.0, 1.0), ("a", None, 2.0)], "symbol string, volume double, taker_buy_base_vol double")
     with pytest.raises(Exception, match="taker"):
