@@ -185,3 +185,68 @@ def test_suffix_arrays_are_sorted_and_intervals_count_streams_across_partitions(
     first, second = pagetext.windows(menu.split()).tolist()
     assert [spans[h, w] for h in "hg" for w in (first, second)] == [40, 40, 1, 1]
     assert sum(n > 1 for n in spans.values()) == 2
+
+
+def brute_repeated(rows):
+    """Tokens of each text in 8-token runs that enough pages of the host hold."""
+    streams, on = {}, {}
+    for r in rows:
+        streams.setdefault(r["host"], set()).add((r["text"], r["rest"]))
+    for host, own in streams.items():
+        for parts in own:
+            for run in {tuple(w[i : i + 8]) for w in map(str.split, parts) for i in range(len(w) - 7)}:
+                on[host, run] = on.get((host, run), 0) + 1
+    out = {}
+    for r in rows:
+        words, least = r["text"].split(), max(2, min(3, len(streams[r["host"]])))
+        out[r["page_id"]] = len({i + k for i in range(len(words) - 7) if on[r["host"], tuple(words[i : i + 8])] >= least for k in range(8)})
+    return out
+
+
+@pytest.mark.parametrize("share", [1.0, 0.4])
+def test_every_host_has_its_array_also_if_all_its_pages_are_marked(spark, share):
+    draw = random.Random(11)
+    phrases = [" ".join(f"w{draw.randint(0, 40)}" for _ in range(draw.randint(6, 15))) for _ in range(6)]
+    rows = []
+    for i in range(60):
+        text, rest = ("\n".join([*draw.sample(phrases, 2), f"own{i} " * 9]) for _ in range(2))
+        marked = draw.random() < share
+        rows.append({"page_id": i, "host": f"h{draw.randint(0, 12)}", "text": text, "marked": marked, "rest": rest if marked else ""})
+    rows += [{**rows[k], "page_id": 60 + k} for k in range(8)]
+    frame = spark.createDataFrame([(r["page_id"], f"http://{r['host']}/x", r["text"], r["marked"], r["rest"]) for r in rows], "page_id long, url string, text string, marked boolean, rest string")
+    got = {r["page_id"]: r for r in pagetext.by_host(frame.repartition(3)).collect()}
+    want = brute_repeated(rows)
+    assert {k: r["n_repeated"] for k, r in got.items()} == want and sum(want[r["page_id"]] > 0 for r in rows if r["marked"]) > 5
+    assert all(got[r["page_id"]]["text"] == r["text"] for r in rows if r["marked"])
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+
+
+def test_marked_pages_tell_how_much_their_host_repeats(spark):
+    line = "read more of our stories every single morning at nine"
+    rows = [(i, f"http://h/{i}", f"<article><p>{line}</p><p>{' '.join(f't{i}x{k}' for k in range(12))}</p></article>") for i in range(3)]
+    got = pagetext.extract(pages(spark, [*rows, (9, "http://other/", rows[0][2])])).collect()
+    assert {r["page_id"]: r["n_repeated"] for r in got} == {0: 10, 1: 10, 2: 10, 9: 0}
+    assert all(r["text"].startswith(line + "\n") for r in got)
+
+
+def test_parts_of_an_array_are_the_whole(spark):
+    draw = random.Random(3)
+    rows = [(f"h{k % 3}", " ".join(draw.choices(["é", "b", "ab", "ba", "x"], k=draw.randint(0, 60))), " ".join(draw.choices("ab", k=20)), k) for k in range(30)]
+    # Copies in other rows.
+    frame = spark.createDataFrame([*rows, *rows[:10], *rows[:10]], "host string, text string, rest string, stream long").repartition(3)
+    brute = {(h, " ".join(w[i : i + 8]), k) for h, *parts, k in rows for w in map(str.split, parts) for i in range(len(w) - 7)}
+    parts = [{tuple(r) for r in pagetext.suffix_array(frame, k).collect()} for k in range(pagetext.SHARDS)]
+    assert set.union(*parts) == brute and sum(map(len, parts)) == len(brute) and sum(map(bool, parts)) > 2
+    want = {}
+    for h, s, k in brute:
+        want.setdefault((h, pagetext.windows(s.split()).tolist()[0]), set()).add(k)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        array = pagetext.suffix_array(frame)
+        assert {(r["host"], r["window"]): r["on"] for r in pagetext.intervals(array).collect()} == {k: len(v) for k, v in want.items()}
+        found = {}
+        for r in pagetext.runs(array, 2).collect():
+            found.setdefault((r["host"], r["window"]), []).extend(r["streams"])
+        assert all(sorted(v) == sorted(want[k]) for k, v in found.items()) and all(k in found for k, v in want.items() if len(v) > 1)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
